@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, packing
+from sparkloom.llm import byte_bpe, packing, url_filter
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,61 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_url_filter": op2_url_filter,
     "op7_packing": op7_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, html,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS rest
+  FROM pages),
+named AS (SELECT *, nullif(host || path || rest, '') AS node FROM parts),
+tags AS (
+  SELECT node, host, path, regexp_extract(url, '(?s)^(.*?):', 1) AS scheme,
+         unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM named),
+targets AS (
+  SELECT node, host, path, scheme, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags
+  WHERE regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+  UNION ALL
+  SELECT node, host, path, scheme, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
+urls AS (
+  SELECT node, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN scheme || ':' || t WHEN t LIKE '/%' THEN scheme || '://' || host || t
+                    ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS u
+  FROM targets WHERE t <> ''),
+links AS (
+  SELECT node AS a, nullif(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1), '') AS b FROM urls),
+edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+rules(rule, verdict, rule_host, rule_path) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+all_nodes AS (SELECT DISTINCT other AS node, split_part(other, '/', 1) AS host FROM reach),
+node_rules AS (
+  SELECT n.node, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM all_nodes n JOIN rules r ON (regexp_extract(n.host, '^[^?]*') = r.rule_host OR ends_with(regexp_extract(n.host, '^[^?]*'), '.' || r.rule_host)) AND starts_with(substr(n.node, length(n.host) + 1), r.rule_path)
+  GROUP BY n.node),
+alias AS (
+  SELECT reach.node, min(reach.other) AS alias_of, CASE WHEN bool_or(v.verdict = 'allow') THEN 'allow' WHEN bool_or(v.verdict = 'block') THEN 'block' END AS verdict
+  FROM reach LEFT JOIN node_rules v ON reach.other = v.node GROUP BY reach.node),
+best AS (
+  SELECT h.host, h.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM named) h JOIN rules r ON (h.host = r.rule_host OR ends_with(h.host, '.' || r.rule_host)) AND starts_with(h.path, r.rule_path)
+  GROUP BY h.host, h.path)
+SELECT n.page_id, n.host, n.path, b.rule, coalesce(b.verdict, a.verdict, 'allow') AS verdict, a.alias_of
+FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path LEFT JOIN alias a ON n.node = a.node
+""",
+}
