@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, packing, url_filter
+from sparkloom.llm import byte_bpe, packing, pii, secrets, url_filter
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -23,6 +23,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"), RULES)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secrets.digests(found, ("assign", "access", "hex"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(pii.find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
@@ -30,6 +39,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
+    "op3_secrets": op3_secrets,
+    "op4_pii": op4_pii,
     "op7_packing": op7_packing,
 }
 
