@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import byte_bpe, packing, pii, secrets, url_filter
+from sparkloom.llm import byte_bpe, language, packing, pii, quality, secrets, url_filter
+from sparkloom.llm.common import crc_bucket
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -32,16 +34,35 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(pii.find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
 
 
+#: A document is kept as good if its score reaches this.
+LEAST_QUALITY = 0.3
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    weights = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    return language.predict(documents, language.learn(documents, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_secrets": op3_secrets,
     "op4_pii": op4_pii,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
