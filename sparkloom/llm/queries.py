@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import byte_bpe, language, packing, pii, quality, secrets, url_filter
+from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, quality, secrets, url_filter
 from sparkloom.llm.common import crc_bucket
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -49,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = crc_bucket("doc_id", 4) == 2
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op9_bagminhash": op9_bagminhash,
     "op10_language": op10_language,
 }
 
