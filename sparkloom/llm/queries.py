@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, quality, secrets, url_filter
+from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, pivot_index, quality, secrets, segment_topk, url_filter
 from sparkloom.llm.common import crc_bucket
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -34,6 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(pii.find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
 
 
+def op5_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 #: A document is kept as good if its score reaches this.
 LEAST_QUALITY = 0.3
 
@@ -49,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
 
+def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -64,13 +72,38 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_secrets": op3_secrets,
     "op4_pii": op4_pii,
+    "op5_segment_topk": op5_segment_topk,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_pivot_index": op8_pivot_index,
     "op9_bagminhash": op9_bagminhash,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_segment_topk": """
+WITH usable AS (
+  SELECT vec_id, min(embedding) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+floored AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM usable),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM floored q JOIN floored c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+""",
+    "op8_pivot_index": """
+WITH RECURSIVE every AS (
+  SELECT vec_id, min(CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN embedding END) AS e FROM embeddings GROUP BY vec_id),
+usable AS (SELECT vec_id, list_transform(e, lambda x: CAST(x AS DOUBLE)) AS v FROM every WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT a AS vec_id, a AS other FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(l.component_id, e.vec_id), true) AS kept
+FROM every e LEFT JOIN counts c USING (vec_id) LEFT JOIN least l USING (vec_id)
+""",
     "op2_url_filter": r"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html,
