@@ -240,3 +240,37 @@ def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
     found = signed.select(id_col, "key").join(named, "key", "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col))
     return found.select(id_col, component.alias("component_id")).withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+
+
+def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` but those of which another of their group stays.
+
+    Only rows of a group of several are joined; which they are is first looked up in a bitmap of fixed
+    size, so other texts are never shuffled. Of rows equal in id and text one stays.
+    """
+    signed = durable(sign(df, id_col, text_col), "signed")
+    components = connected_components(find_links(df, signed, threshold, text_col)).select(F.col("node").alias("key"), "component")
+    ids = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")).join(components, "key", "left")
+    several = ids.where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "key"))
+    stays = several.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "key")).alias("stays"))
+    verdict = durable(several.join(stays, "component").select("key", (F.col("key") == F.col("stays.key")).alias("first"), "least"), "verdicts")
+    bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(verdict))
+    names = df.columns
+    at = names.index(text_col)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, at):
+            keys = [key_of(words_of(text)) for text in texts]
+            hashes = np.array([_spark_xxhash64(k) if k else 0 for k in keys], dtype=np.uint64)
+            hit = ((bitmap.value[hashes >> np.uint64(64 - BITMAP_BITS)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+            found = pa.array([k if h and k else None for k, h in zip(keys, hit.tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, "__key"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    marked = map_arrow(df, mark, f"{fields}, __key string")
+    alone = marked.where("__key IS NULL").drop("__key")
+    maybe = marked.where("__key IS NOT NULL").join(verdict.select(F.col("key").alias("__key"), "first", "least"), "__key", "left")
+    # Of a group that stays, the rows of the least id: all are the same words, so any one of them does.
+    candidates = maybe.where(F.col("first").isNull() | (F.col("first") & F.col(f"`{id_col}`").eqNullSafe(F.col("least"))))
+    chosen = candidates.where("first").groupBy("__key").agg(F.first(F.struct(*(F.col(f"`{n}`") for n in names))).alias("row")).select("row.*")
+    return alone.unionByName(candidates.where("first IS NULL").select(*(F.col(f"`{n}`") for n in names))).unionByName(chosen)
