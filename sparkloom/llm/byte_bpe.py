@@ -31,6 +31,8 @@ from sparkloom.llm.common import map_arrow, text_slices
 
 #: Encodings of words kept by each worker process.
 CACHE_WORDS = 500_000
+#: Texts encoded together: the more, the more prefixes are shared.
+SLICE_ROWS = 1536
 #: Words longer than this are encoded each time they occur.
 CACHE_CHARS = 48
 #: Answers of the seam test kept by each worker process.
@@ -39,7 +41,9 @@ CACHE_SEAMS = 1_000_000
 #: Unicode's White_Space property (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WORDS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_ODD_SPACE = re.compile(f"[{SPACE}] |\\A | \\Z")
+#: White space before a space, where cutting before each space would be wrong.
+_PAIRS = tuple(c + " " for c in SPACE if c.isascii())
+_WIDE_PAIR = re.compile("[" + "".join(c for c in SPACE if not c.isascii()) + "] ")
 
 
 class PrefixBpe:
@@ -109,22 +113,18 @@ class PrefixBpe:
         """
         tail_rank, seams = self._tails.get, self._seams
         for end in range(len(last) + 1, len(piece) + 1):
-            begin, ends = end, []
-            while begin:
+            begin = end
+            while begin:  # exactly one token that ends here is valid, so the first found is it
                 begin -= 1
                 token = tail_rank(piece[begin:end], -2)
                 if token >= 0:
-                    ends.append((begin, token))
+                    if not begin:
+                        break
+                    holds = seams.get((last[begin - 1], token))
+                    if holds or (holds is None and self.seam_holds(last[begin - 1], token)):
+                        break
                 elif token == -2:
-                    break
-            for begin, token in reversed(ends):
-                if begin == 0:
-                    break
-                holds = seams.get((last[begin - 1], token))
-                if holds or (holds is None and self.seam_holds(last[begin - 1], token)):
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte of the text")
+                    raise ValueError("the vocabulary lacks a single byte of the text")
             start.append(begin)
             last.append(token)
 
@@ -210,49 +210,68 @@ class EditableEncoding:
         return [x for piece in self.ids for x in piece]
 
 
-def words_of(text: str) -> list[str]:
-    """Cut a text after each word, white space leading; the pieces of a text are those of its words.
+def words_of(text: str) -> tuple[list[str], list[str]]:
+    """Cut a text after each word: words as they stand, and words that a space leads, without it.
 
     No piece of the pattern runs from a non-space into a space, and what precedes such a place can't
-    change the pieces after it.
+    change the pieces after it; so the pieces of a text are those of its words, white space leading.
     """
     if not text:
-        return []
-    if _ODD_SPACE.search(text):
-        return _WORDS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
+        return [], []
+    if text[0] == " " or text[-1] == " " or any(pair in text for pair in _PAIRS) or (not text.isascii() and _WIDE_PAIR.search(text)):
+        return _WORDS.findall(text), []
+    rest = text.split(" ")
+    return [rest.pop(0)], rest
 
 
 class TextEncoder:
     """Whole texts to token ids; distinct words are encoded once and kept, up to a bound."""
 
     def __init__(self, bpe: PrefixBpe, pattern: str):
-        self.bpe, self.pattern, self.kept = bpe, regex.compile(pattern), {}
+        self.bpe, self.pattern = bpe, regex.compile(pattern)
+        #: Encodings of strings as they stand, and of strings with a space before them.
+        self.plain: dict[str, bytes] = {}
+        self.led: dict[str, bytes] = {}
+
+    def _known(self, piece: str) -> bytes | None:
+        return self.led.get(piece[1:]) if piece[0] == " " else self.plain.get(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as native 32-bit integers."""
         cut = [words_of(text) for text in texts]
-        kept = self.kept
-        new = {word for words in cut for word in words if word not in kept}
-        parts = {word: [word.encode()] if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else [x.encode() for x in self.pattern.findall(word)] for word in new}
-        found = self.bpe.encode_pieces(piece for pieces in parts.values() for piece in pieces)
-        for word, pieces in parts.items():
-            kept[word] = array("i", found[pieces[0]] if len(pieces) == 1 else [x for piece in pieces for x in found[piece]]).tobytes()
-        encoded = [b"".join(map(kept.__getitem__, words)) for words in cut]
-        full = len(kept) > CACHE_WORDS
-        for word in new:
+        first = set().union(*(words for words, _ in cut))
+        new_plain = {word for word in first if word[0] != " "} - self.plain.keys()
+        new_led = set().union({word[1:] for word in first if word[0] == " "}, *(words for _, words in cut)) - self.led.keys()
+        # A word of letters is one piece; others are cut by the pattern, and their pieces kept as well.
+        letters = [word for word in new_plain if word.isalpha()] + [" " + word for word in new_led if word.isalpha()]
+        mixed = {word: self.pattern.findall(word) for word in [*(w for w in new_plain if not w.isalpha()), *(" " + w for w in new_led if not w.isalpha())]}
+        pieces = {piece for found in mixed.values() for piece in found if self._known(piece) is None}
+        pieces.update(letters)
+        for piece, ids in self.bpe.encode_pieces(map(str.encode, pieces)).items():
+            self._keep(piece.decode(), array("i", ids).tobytes())
+        for word, found in mixed.items():
+            self._keep(word, b"".join(map(self._known, found)))
+        led = self.led.__getitem__
+        encoded = [b"".join(map(self._known, words)) + b"".join(map(led, rest)) for words, rest in cut]
+        full = len(self.plain) + len(self.led) > CACHE_WORDS
+        for word in [*pieces, *mixed]:
             if full or len(word) > CACHE_CHARS:
-                del kept[word]
+                (self.led if word[0] == " " else self.plain).pop(word[1:] if word[0] == " " else word, None)
         return encoded
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if word[0] == " ":
+            self.led[word[1:]] = ids
+        else:
+            self.plain[word] = ids
+
 
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, token_ids array<int>`` of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(PrefixBpe.load(ranks_path), pattern)
-        for part, texts in text_slices(batches, 1):
+        for part, texts in text_slices(batches, 1, SLICE_ROWS):
             encoded = encoder.encode(texts)
             offsets = np.zeros(len(texts) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in encoded], out=offsets[1:])

@@ -57,7 +57,7 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches so that a slice's texts stay small; null texts come as empty strings.
 
     A single text larger than the bound makes a slice of its own.
@@ -66,7 +66,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
         lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
         start, size = 0, 0
         for i, n in enumerate(lengths):
-            if i > start and (i - start >= SLICE_ROWS or size + (n or 0) > SLICE_CHARS):
+            if i > start and (i - start >= rows or size + (n or 0) > SLICE_CHARS):
                 part = batch.slice(start, i - start)
                 yield part, [x or "" for x in part.column(column).to_pylist()]
                 start, size = i, 0
