@@ -7,11 +7,13 @@ units that a document's weights cover. Points come in ascending order, so a shin
 soon as its next point lies beyond the largest slot. Two signatures agree in a slot with probability
 sum(min) / sum(max) of the weights.
 
-Signatures are cut into bands. Each band's bucket is compared to its first member (its leader) by
-exact multiset overlap; those linked become one component at once. What is left in buckets of several
-components is then compared pair by pair, except where the triangle inequality of the Jaccard
-distance, with the known distances to the leader, rules a link out. So no pair that shares a band is
-lost, and a bucket of thousands of near copies costs one comparison for each.
+Signatures are cut into bands. Each band's bucket is compared to one member by exact multiset
+overlap, and what that leaves apart to the member nearest to the first (of a group of copies of one
+text, that text as a rule); those linked become one component at once. What is left in buckets of
+several components is compared pair by pair: in small buckets by a join, except where the triangle
+inequality of the Jaccard distance rules a link out; in large ones by blocks of bounded size, whose
+overlaps are products of incidence matrices and which yield components instead of pairs. So no pair
+that shares a band is lost, and a bucket of thousands of near copies costs rows in proportion to it.
 
 Texts are lower-cased and split at white space; texts of the same words are one class from the start
 (copies never enter a bucket). A text of fewer words than a shingle is one shingle of its own.
@@ -25,6 +27,7 @@ are read, so further columns of any name do no harm.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,10 @@ BANDS, ROWS = 25, 5
 SLOTS = 128
 #: Shingles whose points are drawn together.
 BLOCK = 1 << 19
+#: Buckets with at most so many pairs to compare are joined, others are worked through in blocks.
+JOINED_PAIRS = 512
+#: Rows of a block: texts outside a bucket's largest component, and any texts.
+BLOCK_Y, BLOCK_X = 512, 1024
 #: 64-bit words of the bitmap of wanted texts: 8 MB, whatever the input.
 BITMAP_BITS = 20
 
@@ -200,33 +207,130 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b"), run, "a string, b string, similarity double")
 
 
+def _units(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: each shingle hashed with each number up to its weight."""
+    times = np.arange(int(bag[1].sum())) - np.repeat(np.cumsum(bag[1]) - bag[1], bag[1])
+    return _mix(np.repeat(bag[0], bag[1]) + times.astype(np.uint64) * _A)
+
+
+def _linked(ys: list[np.ndarray], xs: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which rows of the two sides have the wished similarity, by products of incidence matrices."""
+    sizes = np.array([len(u) for u in ys + xs])
+    _, column, count = np.unique(np.concatenate(ys + xs), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    both = np.zeros((len(ys), len(xs)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, b = np.searchsorted(column, [start, start + 8192])
+        has = np.zeros((len(sizes), 8192), dtype=np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        both += has[: len(ys)] @ has[len(ys) :].T
+    return both / np.maximum(1, sizes[: len(ys), None] + sizes[None, len(ys) :] - both) >= threshold
+
+
+def _least_labels(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of a two-sided graph: the least row or (after the rows) column of each."""
+    rows, columns = linked.shape
+    a, b, far = np.arange(rows), rows + np.arange(columns), rows + columns
+    while True:
+        new_b = np.minimum(b, np.where(linked, a[:, None], far).min(axis=0, initial=far))
+        new_a = np.minimum(a, np.where(linked, new_b[None, :], far).min(axis=1, initial=far))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b
+
+
+def _compare_blocks(side: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links that connect what is linked in large buckets.
+
+    ``side``: ``band, key, minor`` (outside the bucket's largest component), ``n`` and ``minors``.
+    """
+    blocks_y, blocks_x = (F.ceil(F.col(n) / size).cast("int") for n, size in (("minors", BLOCK_Y), ("n", BLOCK_X)))
+    number = F.xxhash64("key", "band")
+    as_x = side.select("band", "key", F.lit(True).alias("is_x"), F.pmod(number, blocks_x).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), blocks_y - 1)).alias("y"))
+    as_y = side.where("minor").select("band", "key", F.lit(False).alias("is_x"), F.explode(F.sequence(F.lit(0), blocks_x - 1)).alias("x"), F.pmod(number, blocks_y).cast("int").alias("y"))
+    placed = as_x.union(as_y).join(texts, "key").select("band", "x", "y", "is_x", "key", "text")
+    together = placed.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        place, rows = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            ys, xs = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+            if not ys or not xs:
+                return
+            linked = _linked([u for _, _, u in ys], [u for _, _, u in xs], threshold)
+            names = [key for _, key, _ in ys + xs]
+            labels = np.concatenate(_least_labels(linked))
+            found = [(names[k], names[label]) for k, label in enumerate(labels.tolist()) if names[k] != names[label]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["a", "b"])
+
+        for batch in batches:
+            places = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for here, is_x, key, text in zip(places, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if here != place:
+                    yield from finish()
+                    place, rows = here, []
+                if key not in known:
+                    if len(known) > 4 * BLOCK_X:
+                        known.clear()
+                    known[key] = _units(shingles(words_of(text.as_py())))
+                rows.append((is_x, key, known[key]))
+        yield from finish()
+
+    return map_arrow(together, run, "a string, b string")
+
+
+def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``buckets`` with the components so far, only those of several components."""
+    components = connected_components(links)
+    placed = buckets.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("band")
+    return durable(placed.join(mixed, "band"), "mixed")
+
+
 def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``a, b``: links between keys that connect all of the found pairs' groups."""
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.any_value("bands").alias("bands"))
     member = classes.select("key", F.explode("bands").alias("band"))
     leaders = member.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
     buckets = durable(member.join(leaders, "band"), "buckets")
-    stars = durable(buckets.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    if stars.isEmpty():
-        return stars
-    wanted = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
+    pairs = durable(buckets.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     texts = durable(_texts(df, durable(wanted, "keys"), text_col), "texts")
-    compared = durable(_compare(stars, texts), "compared")
-    links = compared.where(F.col("similarity") >= threshold).select("a", "b")
-    components = connected_components(links)
-
-    # Buckets of several components: whatever the leader's distances don't rule out is compared too.
-    placed = buckets.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("band")
-    far = compared.select(F.col("a").alias("key"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
-    side = durable(placed.join(mixed, "band").join(far, ["key", "leader"], "left").select("band", "key", "component", F.coalesce("far", F.lit(0.0)).alias("far")), "mixed")
-    x, y = side.alias("x"), side.alias("y")
-    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near)
-    more = more.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = durable(_compare(more.join(done, ["a", "b"], "left_anti"), texts), "compared")
-    return links.union(again.where(F.col("similarity") >= threshold).select("a", "b"))
+    first = durable(_compare(pairs, texts), "compared")
+    links = first.where(F.col("similarity") >= threshold).select("a", "b")
+    far = first.select(F.col("a").alias("key"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
+
+    # A second star, about the member nearest to the leader.
+    mixed = _placed(buckets, links).join(far, ["key", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    nearest = mixed.where("key <> leader").groupBy("band").agg(F.min(F.struct("far", "key", "component")).alias("near"))
+    apart = mixed.join(nearest, "band").where(F.col("component") != F.col("near.component"))
+    pairs = apart.select(F.col("key").alias("a"), F.col("near.key").alias("b")).distinct()
+    second = durable(_compare(pairs, texts), "compared")
+    links = links.union(second.where(F.col("similarity") >= threshold).select("a", "b"))
+
+    # What is still apart within a bucket.
+    mixed = _placed(buckets, links)
+    sizes = mixed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"))
+    sizes = sizes.select("band", "n", F.col("major.component").alias("major"), (F.col("n") - F.col("major.c")).alias("minors"))
+    side = mixed.join(sizes, "band").join(far, ["key", "leader"], "left")
+    side = durable(side.select("band", "key", "component", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("component") != F.col("major")).alias("minor"), "n", "minors"), "side")
+    small = F.col("n") * F.col("minors") <= JOINED_PAIRS
+    x, y = side.where(small).alias("x"), side.where(small & F.col("minor")).alias("y")
+    feasible = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
+    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & feasible)
+    more = more.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    done = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    third = durable(_compare(more.join(done, ["a", "b"], "left_anti"), texts), "compared")
+    blocks = durable(_compare_blocks(side.where(~small), texts, threshold), "links")
+    return links.union(third.where(F.col("similarity") >= threshold).select("a", "b")).union(blocks)
 
 
 def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
