@@ -36,7 +36,7 @@ SLICE_ROWS = 1536
 #: Words longer than this are encoded each time they occur.
 CACHE_CHARS = 48
 #: Answers of the seam test kept by each worker process.
-CACHE_SEAMS = 1_000_000
+CACHE_SEAMS = 400_000
 
 #: Unicode's White_Space property (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -46,6 +46,32 @@ _PAIRS = tuple(c + " " for c in SPACE if c.isascii())
 _WIDE_PAIR = re.compile("[" + "".join(c for c in SPACE if not c.isascii()) + "] ")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Read a rank file: a base64 token and its rank on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+class Decoder:
+    """Ids to bytes; needs no more than each token's bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+
+    @classmethod
+    @functools.lru_cache(maxsize=2)
+    def load(cls, path: str) -> Decoder:
+        return cls(read_ranks(path))
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+
+def release() -> None:
+    PrefixBpe.load.cache_clear()
+    Decoder.load.cache_clear()
+
+
 class PrefixBpe:
     """A vocabulary of ``bytes -> rank`` in which rank order is merge order."""
 
@@ -54,7 +80,7 @@ class PrefixBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.usable: dict[bytes, int] = {}
-        self._seams: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.usable[token] = rank
@@ -70,11 +96,9 @@ class PrefixBpe:
         self._seams.clear()
 
     @classmethod
-    @functools.lru_cache(maxsize=4)
+    @functools.lru_cache(maxsize=2)
     def load(cls, path: str) -> PrefixBpe:
-        """Read a rank file: a base64 token and its rank on each line."""
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+        return cls(read_ranks(path))
 
     def _seam_holds(self, left: int, right: int, before: float) -> bool:
         """Whether no merge of rank under ``before`` crosses from ``left`` into ``right``.
@@ -98,7 +122,7 @@ class PrefixBpe:
 
     def seam_holds(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' joined bytes is again these two tokens."""
-        key = (left, right)
+        key = left << 20 | right
         found = self._seams.get(key)
         if found is None:
             if len(self._seams) >= CACHE_SEAMS:
@@ -120,7 +144,7 @@ class PrefixBpe:
                 if token >= 0:
                     if not begin:
                         break
-                    holds = seams.get((last[begin - 1], token))
+                    holds = seams.get(last[begin - 1] << 20 | token)
                     if holds or (holds is None and self.seam_holds(last[begin - 1], token)):
                         break
                 elif token == -2:
@@ -159,8 +183,6 @@ class PrefixBpe:
             before = piece
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class EditableEncoding:
@@ -279,14 +301,14 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [id_col, "token_ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, token_ids array<int>")
+    return map_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, token_ids array<int>", "byte_bpe", release)
 
 
 def decode_documents(df: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
     """The rows of ``df`` with a ``decoded`` binary column made from the token ids (null ids: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PrefixBpe.load(ranks_path)
+        bpe = Decoder.load(ranks_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -295,7 +317,7 @@ def decode_documents(df: DataFrame, ranks_path: str, ids_col: str = "token_ids")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, run, f"{fields}, decoded binary")
+    return map_arrow(df, run, f"{fields}, decoded binary", "byte_bpe", release)
 
 
 def digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,8 +79,38 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = SLIC
             yield part, [x or "" for x in part.column(column).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+_held: tuple[str, Callable[[], object]] | None = None
+
+
+def hold(owner: str, release: Callable[[], object]) -> None:
+    """Say that this Python worker keeps a cache of ``owner``; what another operator left in it goes.
+
+    Workers outlive stages, so without this each stage of a pipeline would add its cache to the last's.
+    """
+    global _held
+    if _held is not None and _held[0] != owner:
+        _held[1]()
+        trim()
+    _held = owner, release
+
+
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "", release: Callable[[], object] = bool) -> DataFrame:
+    """``mapInArrow`` for a function whose worker may keep a cache; ``release`` empties it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(owner, release)
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_bucket(id_column: str | Column, modulus: int) -> Column:
