@@ -27,15 +27,24 @@ def weighted_choice(df: DataFrame, key: list[str], weights: dict[str, float], se
     return df.withColumn(name, out.otherwise(list(weights)[-1]))
 
 
-def quota_blocks(df: DataFrame, key: list[str], shares: dict[str, float], seed: int, name: str = "choice") -> DataFrame:
-    """Shuffle by hash, then give consecutive blocks to names by share (G04, G05): shares are met exactly."""
-    order = Window.partitionBy(F.lit(0)).orderBy(unit_hash(key, seed), *key)
-    rows = df.withColumn("__at", (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+def quota_blocks(df: DataFrame, key: list[str], shares: dict[str, float], seed: int, name: str = "choice", bins: int = 4096) -> DataFrame:
+    """Shuffle by hash, then give consecutive blocks to names by share (G04, G05): shares are met exactly.
+
+    Places in the order come from counts of ``bins`` ranges of the hash, which are few, and row numbers
+    within a range; so no task sees all rows.
+    """
+    rows = df.withColumn("__h", unit_hash(key, seed)).withColumn("__bin", F.floor(F.col("__h") * bins))
+    counts = rows.groupBy("__bin").agg(F.count(F.lit(1)).alias("__c"))
+    # At most ``bins`` rows.
+    every = Window.partitionBy(F.lit(0))
+    before = counts.select("__bin", (F.sum("__c").over(every.orderBy("__bin")) - F.col("__c")).alias("__before"), F.sum("__c").over(every).alias("__all"))
+    place = F.row_number().over(Window.partitionBy("__bin").orderBy("__h", *key)) - 1
+    rows = rows.withColumn("__n", place).join(F.broadcast(before), "__bin").withColumn("__at", (F.col("__before") + F.col("__n")) / F.col("__all"))
     total, running, out = float(sum(shares.values())), 0.0, None
     for label, share in shares.items():
         running += share / total
         out = F.when(F.col("__at") < running, label) if out is None else out.when(F.col("__at") < running, label)
-    return rows.withColumn(name, out.otherwise(list(shares)[-1])).drop("__at")
+    return rows.withColumn(name, out.otherwise(list(shares)[-1])).select(*df.columns, name)
 
 
 def every_nth_batch(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:

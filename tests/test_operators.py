@@ -360,3 +360,11 @@ def test_tools_and_detectors(spark):
     assert [r.x for r in rows] == ["de", "en", None, None]
     with pytest.raises(KeyError):
         registry.retrievers.get("nosuch")
+
+
+def test_quotas_are_met(spark):
+    from sparkloom.operators import sampling
+
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    got = {r.choice: r["count"] for r in sampling.quota_blocks(rows, ["k"], {"a": 0.5, "b": 0.3, "c": 0.2}, 3, bins=16).groupBy("choice").count().collect()}
+    assert got == {"a": 500, "b": 300, "c": 200}
