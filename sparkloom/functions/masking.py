@@ -93,3 +93,32 @@ def calculate(c: str | Column) -> Column:
         return pd.Series([one(t) for t in texts], dtype="float64")
 
     return run(c)
+
+
+def set_json_values(c: str | Column, paths: str | Column, values: str | Column) -> Column:
+    """A JSON text with values set at paths like ``a/0/b`` (X38); paths that it lacks change nothing."""
+    import json
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, where: pd.Series, what: pd.Series) -> pd.Series:
+        out = []
+        for text, keys, new in zip(texts, where, what, strict=True):
+            if text is None:
+                out.append(None)
+                continue
+            record = json.loads(text)
+            for key, value in zip([] if keys is None else keys, [] if new is None else new, strict=False):
+                *parents, last = key.split("/")
+                node = record
+                try:
+                    for part in parents:
+                        node = node[int(part)] if isinstance(node, list) else node[part]
+                    at = int(last) if isinstance(node, list) else last
+                    node[at]  # only what is there
+                    node[at] = value
+                except (KeyError, IndexError, ValueError, TypeError):
+                    continue
+            out.append(json.dumps(record, ensure_ascii=False))
+        return pd.Series(out, dtype=object)
+
+    return run(c, paths, values)

@@ -166,3 +166,66 @@ def system_error(termination: str | Column, texts: str | Column, needles: Iterab
     pattern = "(?i)" + "|".join(map(re.escape, needles))
     heads = F.transform(F.coalesce(col(texts), F.array().cast("array<string>")), lambda t: F.coalesce(F.left(t, F.lit(1000)), F.lit("")))
     return F.coalesce(col(termination).isin(*reasons) | col(termination).rlike(pattern), F.lit(False)) | F.exists(heads, lambda t: t.rlike(pattern))
+
+
+def skips_first_agent_turn(scenario: str | Column, role: str | Column, is_first: str | Column, of: str = "l2_interaction") -> Column:
+    """Whether a turn is a fixed greeting that doesn't count."""
+    return (col(scenario) == of) & col(role).isin("agent", "assistant") & col(is_first)
+
+
+def flag_is(flag: str | Column, wanted: bool = True) -> Column:
+    """Equality of flags (F14); NULL is neither."""
+    return F.coalesce(col(flag) == F.lit(wanted), F.lit(False))
+
+
+def path_wanted(path: str | Column, leaves: Iterable[str], never: Iterable[str] = ()) -> Column:
+    """Whether a path like ``a/b/0/title`` ends in a wanted name and has no unwanted part (F24); numbers don't count."""
+    names = F.filter(F.split(col(path), "/"), lambda p: ~p.rlike(r"^\d+$"))
+    return F.coalesce(F.try_element_at(names, F.lit(-1)).isin(*leaves), F.lit(False)) & ~F.arrays_overlap(names, F.array(*map(F.lit, never)) if list(never) else F.array().cast("array<string>"))
+
+
+def path_segment(path: str | Column, after: str) -> Column:
+    """The part of a path behind a named part (X09), NULL without it."""
+    return F.nullif(F.regexp_extract(col(path), rf"(?:^|/){re.escape(after)}/([^/]+)", 1), F.lit(""))
+
+
+def time_text(c: str | Column, pattern: str = "yyyyMMdd_HHmmss") -> Column:
+    """A time as text."""
+    return F.date_format(col(c), pattern)
+
+
+def audio_seconds(size: str | Column, rate: int, channels: int = 1, bytes_per_sample: int = 2) -> Column:
+    """Bytes of sound to seconds."""
+    return col(size) / F.lit(float(rate * channels * bytes_per_sample))
+
+
+def printed_call(c: str | Column) -> Column:
+    """``name(a=1, b='x')`` as ``struct<name, args>`` (X29): values as texts without quotes."""
+    name = F.regexp_extract(col(c), r"^\s*([A-Za-z_]\w*)\s*\(", 1)
+    pairs = F.regexp_extract_all(col(c), F.lit(r"""([A-Za-z_]\w*\s*=\s*(?:'[^']*'|"[^"]*"|[^,()]+))"""), 1)
+    entry = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, r"(?s)=(.*)$", 1)), r"""^['"]|['"]$""", "").alias("v")))
+    return F.when(name != "", F.struct(name.alias("name"), F.map_from_entries(entry).alias("args")))
+
+
+def response_text(c: str | Column) -> Column:
+    """Any value as JSON text."""
+    return F.to_json(F.struct(col(c).alias("value")))
+
+
+def one_line(c: str | Column) -> Column:
+    """Line breaks to spaces, NULL for blanks."""
+    return F.when(~is_blank(c), F.translate(col(c), "\n", " "))
+
+
+def first_present(*columns: str | Column) -> Column:
+    """The first value that isn't blank."""
+    return F.coalesce(*(F.when(~is_blank(c), col(c)) for c in columns))
+
+
+def unique_names(c: str | Column, keys: list[str], order: list[Column], longest: int = 31) -> Column:
+    """Names cut to a length, repeated ones numbered."""
+    from pyspark.sql import Window
+
+    cut = F.left(col(c), F.lit(longest - 4))
+    n = F.row_number().over(Window.partitionBy(*keys, cut).orderBy(*order))
+    return F.when(n > 1, F.concat(cut, F.lit("_"), n.cast("string"))).otherwise(cut)

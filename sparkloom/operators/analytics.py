@@ -150,3 +150,95 @@ def bootstrap_means(df: DataFrame, by: list[str], value: str, resamples: int = 1
     if low is not None and high is not None:
         out = out.withColumns({c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c in ("ci_low", "ci_high")})
     return out
+
+
+def score_summary(scores: DataFrame, by: list[str], sim: str, correct: str, total: str, language: str, top: int = 5) -> DataFrame:
+    """Mean score, perfect and drifted simulations, turn accuracy, top drift languages, worst simulations.
+
+    One row for each simulation comes in; the lists hold at most ``top`` entries.
+    """
+    score = F.try_divide(F.col(correct).cast("double"), F.col(total).cast("double"))
+    rows = scores.withColumn("__s", score)
+    base = rows.groupBy(*by).agg(
+        F.avg("__s").alias("mean_score"), F.count_if(F.col("__s") == 1.0).alias("perfect"), F.count_if(F.col("__s") < 1.0).alias("drifted"), F.try_divide(F.sum(correct).cast("double"), F.sum(total).cast("double")).alias("turn_accuracy")
+    )
+    drift = top_per_group(rows.where(F.col("__s") < 1.0).groupBy(*by, language).agg(F.count(F.lit(1)).alias("n")), by, [F.desc("n"), F.col(language)], top)
+    languages = drift.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", language))), lambda x: x[language]).alias("drift_languages"))
+    low = top_per_group(rows.where(F.col("__s").isNotNull()), by, [F.col("__s"), F.col(sim)], top)
+    worst = low.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", sim))), lambda x: x[sim]).alias("worst"))
+    return base.join(languages, by, "left").join(worst, by, "left")
+
+
+def domain_percentages(runs: DataFrame, domain: str, metrics: list[str]) -> DataFrame:
+    """Metrics of each domain times 100; a domain that comes twice raises, NaN is NULL."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a domain comes twice")).cast("double"))
+    return runs.groupBy(domain).agg(*(F.coalesce(once, F.max(no_nan(m) * 100)).alias(m) for m in metrics))
+
+
+def classify_issues(sims: DataFrame, by: list[str], waiting: str, threshold: int, errors: str) -> DataFrame:
+    """Simulations by what went wrong, and how many waited too long."""
+    kind = F.when(F.col(errors) > 0, "error").when(F.col(waiting) >= threshold, "unresponsive").otherwise("fine")
+    return sims.withColumn("issue", kind).groupBy(*by, "issue").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(waiting) >= threshold).alias("over_threshold"))
+
+
+def or_zero(df: DataFrame, by: list[str], column: str, order: str) -> DataFrame:
+    """Each cell's first value by order, 0.0 where there is none."""
+    return df.groupBy(*by).agg(F.coalesce(F.min_by(column, order), F.lit(0.0)).alias(column))
+
+
+def run_pairs(rows: DataFrame, run: list[str], role: str, aggs: dict[str, Column]) -> DataFrame:
+    """One row for each run with its figures for both roles side by side (V12): one aggregation, no join."""
+    out = []
+    for who in ("user", "agent"):
+        out += [F.expr(f"max(CASE WHEN {role} = '{who}' THEN {name} END)").alias(f"{who}_{name}") for name in aggs]
+    return rows.groupBy(*run, role).agg(*(a.alias(name) for name, a in aggs.items())).groupBy(*run).agg(*out)
+
+
+def last_by_name(df: DataFrame, name: str, order: str) -> DataFrame:
+    """One record for each name, the last by load order."""
+    rest = [c for c in df.columns if c not in (name, order)]
+    return df.groupBy(name).agg(F.max_by(F.struct(*rest), order).alias("r")).select(name, "r.*")
+
+
+def all_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Whether each check holds for all rows, and whether all do."""
+    held = df.agg(*(F.coalesce(F.bool_and(c), F.lit(True)).alias(name) for name, c in checks.items()))
+    everything = F.lit(True)
+    for name in checks:
+        everything = everything & F.col(name)
+    return held.withColumn("valid", everything)
+
+
+def changed_tags(before: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """How often each tag became another, most often first."""
+    pairs = before.select(key, F.explode(F.arrays_zip(F.col(old).alias("a"), F.col(new).alias("b"))).alias("p")).where(~F.col("p.a").eqNullSafe(F.col("p.b")))
+    return pairs.groupBy(F.col("p.a").alias("old"), F.col("p.b").alias("new")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "old", "new")
+
+
+def stitched_sections(source: DataFrame, override: DataFrame, key: str, section: str, text: str) -> DataFrame:
+    """Documents put together from their sections, overridden where there is an override."""
+    rows = source.join(override.select(key, section, F.col(text).alias("__o")), [key, section], "left").withColumn("__t", F.coalesce("__o", text))
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(section).alias("s"), F.col("__t").alias("t")))), lambda x: x["t"]), "\n").alias(text))
+
+
+def grouped_units(tools: DataFrame, groups: DataFrame, tool: str, group: str) -> DataFrame:
+    """Groups of tools, and tools in none, as units."""
+    grouped = groups.groupBy(group).agg(F.array_sort(F.collect_set(tool)).alias("tools")).select(F.col(group).alias("unit"), "tools")
+    alone = tools.join(groups.select(tool), tool, "left_anti").select(F.col(tool).alias("unit"), F.array(tool).alias("tools"))
+    return grouped.unionByName(alone)
+
+
+def fan_out(df: DataFrame, key: Column, work: DataFrame | None, process) -> DataFrame:
+    """Process each distinct content once and hand the result to all rows that hold it.
+
+    ``process`` takes ``__key, content`` rows and returns ``__key, result``.
+    """
+    rows = df.withColumn("__key", key)
+    distinct = (work if work is not None else rows).groupBy("__key").agg(F.first("content").alias("content"))
+    return rows.join(process(distinct), "__key", "left").drop("__key")
+
+
+def literal_map(df: DataFrame, source: str, target: str, order: str) -> DataFrame:
+    """Canonical to localised literals, one target each, the last by order."""
+    present = df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    return present.groupBy(source).agg(F.max_by(target, order).alias(target))

@@ -71,3 +71,18 @@ def counts_equal(left: DataFrame, right: DataFrame) -> DataFrame:
 def max_merge(results: list[DataFrame], keys: list[str], score: str) -> DataFrame:
     """Best score of each key over several results."""
     return reduce(DataFrame.unionByName, (r.select(*keys, score) for r in results)).groupBy(*keys).agg(F.max(score).alias(score))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values that aren't NULL."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct()
+
+
+def unfinished(df: DataFrame, final: str) -> DataFrame:
+    """Rows whose final text is blank."""
+    return df.where(F.coalesce(F.trim(final), F.lit("")) == "")
+
+
+def fingerprints(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """A hash of all rows of a group, in any order."""
+    return df.select(group, content_hash(columns).alias("__h")).groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ""), 256).alias("fingerprint"))

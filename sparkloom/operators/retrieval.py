@@ -126,3 +126,39 @@ def to_markdown(docs: DataFrame, id_col: str, title: str, text: str) -> DataFram
     """All documents as one Markdown text, in order of id (Q19): for small corpora only."""
     section = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(text))
     return docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), section.alias("s")))), lambda x: x["s"]), "\n\n").alias("markdown"))
+
+
+class Pipeline:
+    """Preprocess, retrieve with several retrievers, merge, rerank.
+
+    ``config`` names one ``retriever`` or a list of ``retrievers``, not both; an empty corpus raises.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, config: dict, preprocessors: list[Callable[[DataFrame], DataFrame]] | None = None):
+        if ("retriever" in config) == ("retrievers" in config):
+            raise ValueError("give exactly one of retriever and retrievers")
+        for step in preprocessors or []:
+            docs = step(docs)
+        if docs.isEmpty():
+            raise ValueError("the corpus is empty")
+        self.docs, self.id, self.config = docs, id_col, config
+
+    def search(self, queries: DataFrame, query_id: str, k: int | None = None) -> DataFrame:
+        """The k best documents of each query; ``k`` overrides the configuration's."""
+        from sparkloom.functions.registry import retrievers
+
+        names = self.config.get("retrievers") or [self.config["retriever"]]
+        results = [retrievers.get(name)(self.docs, queries) for name in names]
+        return hybrid(results, [query_id, self.id], k or self.config.get("top_k", 10), [query_id])
+
+
+def required_documents(asked: DataFrame, docs: DataFrame, wanted: str, id_col: str, title: str) -> DataFrame:
+    """Documents by title, else by id (Q18); what is neither is NULL."""
+    by_title = docs.select(F.col(title).alias(wanted), F.col(id_col).alias("__t")).dropDuplicates([wanted])
+    by_id = docs.select(F.col(id_col).cast("string").alias(wanted), F.col(id_col).alias("__i"))
+    return asked.join(by_title, wanted, "left").join(by_id, wanted, "left").withColumn("found", F.coalesce("__t", "__i")).drop("__t", "__i")
+
+
+def cache_figures(cache: DataFrame, embedder: str, vector: str) -> DataFrame:
+    """Entries and numbers held for each embedder."""
+    return cache.groupBy(embedder).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.size(vector)).cast("long").alias("numbers"))

@@ -115,3 +115,52 @@ def state_reward(gold: DataFrame, actual: DataFrame, sim: str) -> DataFrame:
 def judged(df: DataFrame, judge: Callable[[Column], Column], text: str, name: str = "judgement") -> DataFrame:
     """Attach a pluggable judge's verdict, a Column function such as a pandas UDF."""
     return df.withColumn(name, judge(F.col(text)))
+
+
+def merged_utterances(chunks: DataFrame, key: str, position: str, ids: str, text: str) -> DataFrame:
+    """Consecutive chunks whose utterance ids overlap those gathered so far become one message.
+
+    The gathered set grows with the open message, so a conversation is one sequential scan.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        seen: set = set()
+        for row in group.sort_values(position, kind="stable").itertuples(index=False):
+            own = set(getattr(row, ids)) if getattr(row, ids) is not None else set()
+            if out and own & seen:
+                out[-1]["content"] += getattr(row, text) or ""
+                out[-1]["last"] = getattr(row, position)
+                seen |= own
+            else:
+                out.append({key: getattr(row, key), "first": getattr(row, position), "last": getattr(row, position), "content": getattr(row, text) or ""})
+                seen = own
+        return pd.DataFrame(out, columns=[key, "first", "last", "content"])
+
+    kinds = dict(chunks.dtypes)
+    return chunks.select(key, position, ids, text).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, first {kinds[position]}, last {kinds[position]}, content string")
+
+
+def with_language_score(sims: DataFrame, scores: DataFrame, sim: str, name: str = "language_score") -> DataFrame:
+    """Simulations with a score from elsewhere, what is stored coming first."""
+    given = scores.select(sim, F.col("score").alias("__score"))
+    stored = F.col(name) if name in sims.columns else F.lit(None).cast("double")
+    return sims.join(given, sim, "left").withColumn(name, F.coalesce(stored, "__score")).drop("__score")
+
+
+def rescored(sims: DataFrame, basis: Column, components: str, termination: str, name: str = "reward") -> DataFrame:
+    """All simulations of a run with rewards by another basis."""
+    return sims.withColumn(name, rebased_reward(components, basis, termination))
+
+
+def assertion_met(actual: str | Column, expected: str | Column) -> Column:
+    """Whether a check returned what was asserted (E12); NULL never does."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (actual, expected))
+    return F.coalesce(a == b, F.lit(False))
+
+
+def replay_view(messages: str | Column) -> Column:
+    """Messages without agents' calls and without messages that then say nothing."""
+    messages = F.col(messages) if isinstance(messages, str) else messages
+    spoken = F.filter(messages, lambda m: (m["role"] == "user") | F.coalesce(F.trim(m["content"]) != "", F.lit(False)))
+    return F.transform(spoken, lambda m: F.when(m["role"] == "assistant", m.withField("tool_calls", F.filter(m["tool_calls"], lambda c: F.lit(False)))).otherwise(m))

@@ -164,3 +164,57 @@ def close_intervals(events: DataFrame, keys: list[str], at: str, opens: Column,
 def open_at(intervals: DataFrame, by: list[str], start: str, end: str, at: Column) -> DataFrame:
     """Whether an interval is open at a time."""
     return intervals.groupBy(*by).agg(F.bool_or((F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) > at))).alias("is_open"))
+
+
+def call_segments(ticks: DataFrame, keys: list[str], tick: str, call: str, result: str) -> DataFrame:
+    """Tool calls from the tick they are made in to the tick of their result."""
+    calls = ticks.where(F.col(call).isNotNull()).select(*keys, F.col(call).alias("id"), F.col(tick).alias("start"))
+    results = ticks.where(F.col(result).isNotNull()).groupBy(*keys, F.col(result).alias("id")).agg(F.min(tick).alias("end"))
+    return calls.join(results, [*keys, "id"], "left")
+
+
+def reaction_chance(waited: str | Column, least: int, most: int, rate: float, seconds: float) -> Column:
+    """Chance to react in a tick: none under a least wait, sure from a most, Poisson between."""
+    w = F.col(waited) if isinstance(waited, str) else waited
+    return F.when(w < least, 0.0).when(w >= most, 1.0).otherwise(1 - F.exp(F.lit(-rate * seconds)))
+
+
+def ramp_chance(waited: str | Column, start: int, end: int) -> Column:
+    """Chance that grows from 0 to 1 over a span of ticks."""
+    w = F.col(waited) if isinstance(waited, str) else waited
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (w - start) / float(max(1, end - start))))
+
+
+def lossy_ticks(ticks: DataFrame, key: str, tick: str, good_to_bad: float, bad_to_good: float, seed: int = 0) -> DataFrame:
+    """Mark ticks lost by a two-state chain (M17); draws are hashes, so the marks never change.
+
+    The state after a tick is that of the last tick which sets it: a draw low enough to enter, or high
+    enough to leave, whatever the state was. Others keep it, which is a running last value.
+    """
+    from sparkloom.operators.sampling import unit_hash
+
+    enter, leave = F.col("__u") < good_to_bad, F.col("__u") >= 1 - bad_to_good
+    rows = ticks.withColumn("__u", unit_hash([key, tick], seed)).withColumn("__set", F.when(enter, True).when(leave, False))
+    order = Window.partitionBy(key).orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("lost", F.coalesce(F.last("__set", ignorenulls=True).over(order), F.lit(False))).drop("__u", "__set")
+
+
+def due_events(ticks: DataFrame, schedule: DataFrame, key: str, tick: str, at: str) -> DataFrame:
+    """Events for the first tick at or after their time (M18): an equality join on that tick."""
+    width = ticks.groupBy(key).agg(F.array_sort(F.collect_set(tick)).alias("__t"))
+    due = schedule.join(width, key).withColumn(tick, F.array_min(F.filter("__t", lambda t: t >= F.col(at)))).drop("__t")
+    return ticks.join(due.where(F.col(tick).isNotNull()), [key, tick])
+
+
+def proportional_transcript(ticks: DataFrame, words: DataFrame, keys: list[str], tick: str, start: str, end: str, text: str, gap: int) -> DataFrame:
+    """Recognised words merged to utterances and dealt out over the ticks they cover.
+
+    Each tick shows the share of the utterance that has been spoken by its end.
+    """
+    from sparkloom.operators.windows import merge_intervals, text_cursor
+
+    utterances = merge_intervals(words, keys, start, end, gap, text)
+    covered = utterances.withColumn(tick, F.explode(F.sequence(F.col(start), F.col(end))))
+    rows = ticks.select(*keys, tick).join(covered, [*keys, tick])
+    ratio = (F.col(tick) - F.col(start) + 1) / (F.col(end) - F.col(start) + 1)
+    return text_cursor(rows, [*keys, "island"], [F.col(tick)], ratio, text)

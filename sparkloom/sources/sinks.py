@@ -49,3 +49,26 @@ def trimmed(df: DataFrame, message_fields: list[str], simulation_fields: list[st
     slim = df.withColumn("__before", before).withColumn(messages, F.transform(messages, lambda m: m.dropFields(*message_fields))).drop(*simulation_fields)
     kept = [c for c in slim.columns if c != "__before"]
     return slim.withColumn("saved_bytes", F.col("__before") - F.octet_length(F.to_json(F.struct(*kept)))).drop("__before")
+
+
+def write_any(df: DataFrame, path: str) -> None:
+    """Write by suffix: JSON, text or Markdown, CSV, Parquet (K01); any other raises.
+
+    Text files take the frame's one text column.
+    """
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "json":
+        df.write.mode("overwrite").json(path)
+    elif suffix in ("txt", "md"):
+        df.write.mode("overwrite").text(path)
+    elif suffix == "csv":
+        write_csv(df, path)
+    elif suffix == "parquet":
+        df.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"no writer for .{suffix} files")
+
+
+def write_metadata(df: DataFrame, path: str) -> None:
+    """A run's metadata beside its simulations, which stay as they are."""
+    df.drop("simulations").write.mode("overwrite").json(path)
