@@ -9,7 +9,8 @@ A list is worked through in blocks of bounded size. A pair of blocks yields, for
 links it has there and the least vector of its component among the links there, never the links
 themselves; so a group of very many near copies costs rows in proportion to its members.
 
-The pivots are a bounded sample of the vectors (the least by a hash of the id), and every vector is
+The pivots come from a bounded sample of the vectors (the least by a hash of the id), from which those
+too near to one another are left out, so that a group of near copies doesn't fill them. Every vector is
 indexed. Defined results: one row for each id; vectors that are null, empty or zero or hold null or
 non-finite components link with nothing, as do those with a null id; of rows that share an id the
 least usable vector counts, so repeated rows are one; only vectors of equal length are compared; an
@@ -38,6 +39,8 @@ LEAST_PIVOTS, MOST_PIVOTS = 64, 1024
 NEAREST = 8
 #: Wished length of a pair's list, and rows of a block.
 LIST, BLOCK = 32, 1024
+#: The sample has so many vectors for each pivot; pivots are less alike than this, if enough are.
+SAMPLED, APART = 8, 0.8
 
 
 def pivot_count(n: int) -> int:
@@ -45,6 +48,15 @@ def pivot_count(n: int) -> int:
     return max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(2 * pairs * n // LIST)))
 
 
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` unit vectors that lie apart from those before; all such, if fewer."""
+    chosen = np.zeros((0, sample.shape[1]))
+    for x in sample:
+        if len(chosen) < n and (chosen @ x < APART).all():
+            chosen = np.vstack([chosen, x])
+    return chosen
+
+
 def nearest_count(pivots: int) -> int:
     return min(pivots, NEAREST + 2 * max(0, round(math.log2(max(1, pivots) / 256))))
 
@@ -164,11 +176,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     nonzero = every.where("id IS NOT NULL AND vector IS NOT NULL").where(F.exists("vector", lambda x: x != 0))
     for row in nonzero.groupBy(F.size("vector").alias("d")).count().collect():  # lengths of vectors: one, as a rule
         same = nonzero.where(F.size("vector") == row.d)
-        chosen = same.orderBy(F.xxhash64("id"), "id").limit(pivot_count(row["count"])).collect()  # at most MOST_PIVOTS rows
-        pivots = _unit(np.array([p.vector for p in chosen], dtype=np.float64))
+        wanted = pivot_count(row["count"])
+        sample = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * wanted).collect()  # at most SAMPLED * MOST_PIVOTS rows
+        pivots = spread(_unit(np.array([p.vector for p in sample], dtype=np.float64)), wanted)
+        if len(pivots) < 2:  # all alike: any second pivot makes lists of all
+            pivots = np.vstack([pivots, -pivots])
         nearest = nearest_count(len(pivots))
-        if nearest < 2:
-            continue
         links = find_links(durable(describe(same, pivots, nearest), "described"), nearest, threshold)
         found = links if found is None else found.union(links)
     if found is None:
