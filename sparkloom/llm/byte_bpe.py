@@ -306,15 +306,17 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
 def decode_documents(df: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
     """The rows of ``df`` with a ``decoded`` binary column made from the token ids (null ids: empty)."""
+    names = df.columns
+    at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Decoder.load(ranks_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = part.column(part.schema.get_field_index(ids_col))
+                ids = part.column(at)
                 decoded = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return map_arrow(df, run, f"{fields}, decoded binary", "byte_bpe", release)

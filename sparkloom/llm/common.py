@@ -110,9 +110,24 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         yield from fn(batches)
         trim()
 
+    if any("." in c or "`" in c for c in df.columns):  # names that mapInArrow can't take; functions go by position
+        df = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fields_of(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def crc_bucket(id_column: str | Column, modulus: int) -> Column:
     """``crc32(id as text) mod modulus``; null ids count as the empty text."""
     ids = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -98,6 +98,10 @@ class WordTokenizer:
         return encoded
 
 
+def release() -> None:
+    WordTokenizer.load.cache_clear()
+
+
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, longest: int = 4096, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: where it lies in its document, its ids (or only their checksum), its sequence."""
     decompose(0, longest)
@@ -123,7 +127,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, longest: int
 
     kind = df.schema[id_col].dataType.simpleString()
     fields = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", token_ids array<int>" * keep_ids
-    pieces = map_arrow(df.select(id_col, text_col), run, fields)
+    pieces = map_arrow(df.select(id_col, text_col), run, fields, "packing", release)
     bucket = F.log2("length").cast("long")
     return pieces.withColumns({"sequence_id": F.shiftleft(bucket, BUCKET_BIT) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 

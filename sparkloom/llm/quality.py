@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_arrow, text_slices
+from sparkloom.llm.common import fields_of, map_arrow, text_slices
 
 #: Slots of the weight table, as a power of two.
 BITS = 18
@@ -64,6 +64,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def release() -> None:
+    _HASHES.clear()
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text's features; the values' squares add up to one."""
     tokens = _TOKEN.findall(text)
@@ -132,29 +136,36 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from: Column, sample: int
                 model.learn(slots, values, label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], ["weights", "rows"])
 
-    found = map_arrow(chosen.repartition(1), run, "weights binary, rows long").collect()
+    found = map_arrow(chosen.repartition(1), run, "weights binary, rows long", "quality", release).collect()
     found = [row for row in found if row.rows]
     return np.frombuffer(found[0].weights, dtype=np.float32) if found else None
 
 
-def score(df: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id, score`` of every row, or with ``keep`` the rows themselves with ``__score``."""
+def score_text(text: str, weights: np.ndarray | None) -> float:
+    if weights is None:
+        return 0.5
+    slots, values = features(text)
+    return float(_sigmoid(float(weights[slots] @ values) + float(weights[-1])))
+
+
+def score(df: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, score`` of every row."""
     shared = df.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the input
-    names = df.columns if keep else [id_col, text_col]
-    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        for part, texts in text_slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([score_text(t, shared.value) for t in texts], pa.float64())], [id_col, "score"])
+
+    return map_arrow(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double", "quality", release)
+
+
+def keep_good(df: DataFrame, weights: np.ndarray | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose score reaches ``least``, columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, at):
-            scores = []
-            for text in texts:
-                if w is None:
-                    scores.append(0.5)
-                    continue
-                slots, values = features(text)
-                scores.append(float(_sigmoid(float(w[slots] @ values) + float(w[-1]))))
-            columns = part.columns if keep else [part.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*(names if keep else [id_col]), "__score" if keep else "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if keep or f.name == id_col)
-    return map_arrow(df.select(*(F.col(f"`{n}`") for n in names)), run, f"{fields}, {'__score' if keep else 'score'} double")
+            yield part.filter(pa.array([score_text(t, shared.value) >= least for t in texts], pa.bool_()))
+
+    return map_arrow(df, run, fields_of(df), "quality", release)
