@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import durable, map_arrow, text_slices
+from sparkloom.llm.common import durable, fields_of, map_arrow, text_slices, unused
 from sparkloom.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -166,17 +166,22 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _texts(df: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
-    """``key, text`` of the wanted keys, one text each; texts whose bit isn't set are never shuffled."""
+    """``key, text`` of the wanted keys, one text each.
+
+    Texts whose bit isn't set are never shuffled, and each task hands on only one of several copies.
+    """
     spark = df.sparkSession
     bitmap = spark.sparkContext.broadcast(_bitmap(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        seen: set[str] = set()
         for _, texts in text_slices(batches, 0):
             found = [key_of(words_of(text)) for text in texts]
-            hashes = np.array([_spark_xxhash64(k) if k else 0 for k in found], dtype=np.uint64)
-            hit = (bits[hashes >> np.uint64(64 - BITMAP_BITS)] >> (hashes & np.uint64(63))) & np.uint64(1)
-            chosen = [k for k in np.flatnonzero(hit).tolist() if found[k]]
+            chosen = []
+            for k in np.flatnonzero(_in_bitmap(bitmap.value, found)).tolist():
+                if found[k] not in seen:
+                    seen.add(found[k])
+                    chosen.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([found[k] for k in chosen], pa.string()), pa.array([texts[k] for k in chosen], pa.string())], ["key", "text"])
 
     return map_arrow(df.select(text_col), run, "key string, text string").join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
@@ -187,6 +192,13 @@ def _spark_xxhash64(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode(), seed=42)
 
 
+def _in_bitmap(bits: np.ndarray, keys: list[str | None]) -> np.ndarray:
+    """Whether each key's bit is set; null keys have none."""
+    hashes = np.array([_spark_xxhash64(k) if k else 0 for k in keys], dtype=np.uint64)
+    hit = ((bits[hashes >> np.uint64(64 - BITMAP_BITS)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return hit & np.array([bool(k) for k in keys], dtype=bool)
+
+
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, similarity`` by the exact multisets of shingles."""
 
@@ -223,9 +235,9 @@ def _linked(ys: list[np.ndarray], xs: list[np.ndarray], threshold: float) -> np.
     both = np.zeros((len(ys), len(xs)), dtype=np.float64)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-        a, b = np.searchsorted(column, [start, start + 8192])
-        has = np.zeros((len(sizes), 8192), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        has = np.zeros((len(sizes), 4096), dtype=np.float32)
         has[row[a:b], column[a:b] - start] = 1
         both += has[: len(ys)] @ has[len(ys) :].T
     return both / np.maximum(1, sizes[: len(ys), None] + sizes[None, len(ys) :] - both) >= threshold
@@ -349,32 +361,39 @@ def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` but those of which another of their group stays.
 
-    Only rows of a group of several are joined; which they are is first looked up in a bitmap of fixed
-    size, so other texts are never shuffled. Of rows equal in id and text one stays.
+    What goes is decided on ids and keys. Only rows that a bitmap of fixed size says may go are joined
+    to the decisions, by id and key; so no group of copies meets in one task, and other texts are never
+    shuffled. Of rows equal in id and words one stays; a row with a null id stays only if its group has
+    no other.
     """
     signed = durable(sign(df, id_col, text_col), "signed")
     components = connected_components(find_links(df, signed, threshold, text_col)).select(F.col("node").alias("key"), "component")
-    ids = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")).join(components, "key", "left")
-    several = ids.where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "key"))
-    stays = several.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "key")).alias("stays"))
-    verdict = durable(several.join(stays, "component").select("key", (F.col("key") == F.col("stays.key")).alias("first"), "least"), "verdicts")
-    bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(verdict))
+    rows = signed.where(F.col("key").isNotNull()).select(F.col(id_col).alias("id"), "key")
+    each = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(components, "key", "left")
+    several = each.where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "key"))
+    first = several.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "key")).alias("first"))
+    verdict = several.join(first, "component").select("key", (F.col("key") == F.col("first.key")).alias("stays"), "least")
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("key"))
+    decided = rows.join(verdict, "key").select(name.alias("key"), (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
+    # Rows that stay and come once need nothing done.
+    acted = durable(decided.groupBy("key").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1").select("key", "stays"), "verdicts")
+    bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(acted))
     names = df.columns
-    at = names.index(text_col)
+    at, mine = names.index(text_col), unused("__key", names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, at):
+            *columns, ids = part.columns
             keys = [key_of(words_of(text)) for text in texts]
-            hashes = np.array([_spark_xxhash64(k) if k else 0 for k in keys], dtype=np.uint64)
-            hit = ((bitmap.value[hashes >> np.uint64(64 - BITMAP_BITS)] >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
-            found = pa.array([k if h and k else None for k, h in zip(keys, hit.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, "__key"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    marked = map_arrow(df, mark, f"{fields}, __key string")
-    alone = marked.where("__key IS NULL").drop("__key")
-    maybe = marked.where("__key IS NOT NULL").join(verdict.select(F.col("key").alias("__key"), "first", "least"), "__key", "left")
-    # Of a group that stays, the rows of the least id: all are the same words, so any one of them does.
-    candidates = maybe.where(F.col("first").isNull() | (F.col("first") & F.col(f"`{id_col}`").eqNullSafe(F.col("least"))))
-    chosen = candidates.where("first").groupBy("__key").agg(F.first(F.struct(*(F.col(f"`{n}`") for n in names))).alias("row")).select("row.*")
-    return alone.unionByName(candidates.where("first IS NULL").select(*(F.col(f"`{n}`") for n in names))).unionByName(chosen)
+            both = [f"{i}:{k}" if k else None for i, k in zip(ids.to_pylist(), keys, strict=True)]
+            hit = _in_bitmap(bitmap.value, both)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x if h else None for x, h in zip(both, hit.tolist(), strict=True)], pa.string())], [*names, mine])
+
+    named = df.select(*(F.col(f"`{n}`") for n in names), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias(mine))
+    marked = map_arrow(named, mark, f"{fields_of(df)}, `{mine}` string")
+    columns = [F.col(f"r.`{n}`") for n in names]
+    alone = marked.where(F.col(f"`{mine}`").isNull()).drop(mine)
+    maybe = marked.where(F.col(f"`{mine}`").isNotNull()).alias("r").join(acted.alias("v"), F.col(f"r.`{mine}`") == F.col("v.key"), "left")
+    others = maybe.where(F.col("v.key").isNull()).select(*columns)
+    repeated = maybe.where("v.stays").groupBy(F.col("v.key").alias("k")).agg(F.first(F.struct(*columns)).alias("row")).select(*(F.col(f"row.`{n}`") for n in names))
+    return alone.unionByName(others).unionByName(repeated)

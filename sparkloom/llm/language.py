@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_arrow, text_slices
+from sparkloom.llm.common import fields_of, map_arrow, text_slices
 
 #: Length of profiles and of texts' own lists.
 RANKS = 400
@@ -145,19 +145,34 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (RANKS * len(own)))
 
 
-def predict(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id, lang_pred, score`` of every row, or with ``keep`` the rows with ``__lang_pred, __score``."""
+def predict(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, lang_pred, score`` of every row."""
     shared = df.sparkSession.sparkContext.broadcast(Profiles(profiles))  # at most MOST_LANGUAGES profiles of RANKS n-grams
-    names = df.columns if keep else [id_col, text_col]
-    at = names.index(text_col)
-    mark = "__" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        for part, texts in text_slices(batches, 1):
+            found = [shared.value.nearest(text) for text in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
+
+    return map_arrow(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_known(df: DataFrame, profiles: dict[str, list[int]], least: float, text_col: str = "text") -> DataFrame:
+    """The rows with letters whose nearest profile has a score of ``least``, columns as they are.
+
+    Without any profile, all rows with letters.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(Profiles(profiles))
+    at = df.columns.index(text_col)
+
+    def keep(text: str) -> bool:
+        if not shared.value.langs:
+            return any(map(str.isalpha, text))
+        lang, score = shared.value.nearest(text)
+        return lang != "und" and score >= least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, at):
-            found = [table.nearest(text) for text in texts]
-            columns = part.columns if keep else [part.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*(names if keep else [id_col]), f"{mark}lang_pred", f"{mark}score"])
+            yield part.filter(pa.array([keep(t) for t in texts], pa.bool_()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if keep or f.name == id_col)
-    return map_arrow(df.select(*(F.col(f"`{n}`") for n in names)), run, f"{fields}, {mark}lang_pred string, {mark}score double")
+    return map_arrow(df, run, fields_of(df))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import durable, map_arrow, text_slices
+from sparkloom.llm.common import durable, fields_of, map_arrow, text_slices, unused
 from sparkloom.llm.secrets import SPAN_TYPE, SPANS
 
 #: The order of kinds among spans with one start.
@@ -235,10 +235,10 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     Overlapping spans are replaced together, by the first one's kind.
     """
-    found = find_pii(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy("__key").agg(F.any_value("spans").alias("__spans"))
-    joined = df.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left").drop("__key")
+    found = find_pii(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy("__key").agg(F.any_value("spans").alias("spans"))
     names = df.columns
     at, length_at = names.index(text_col), names.index(length_col) if length_col in names else None
+    joined = df.alias("d").join(found.alias("f"), row_key(f"d.{id_col}", f"d.{text_col}") == F.col("f.__key"), "left").select(*(F.col(f"d.`{n}`") for n in names), F.col("f.spans").alias(unused("__spans", names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +254,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                     columns[length_at] = pa.compute.if_else(spans.is_valid(), new, columns[length_at])
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(joined.select(*(F.col(f"`{n}`") for n in names), "__spans"), run, fields)
+    return map_arrow(joined, run, fields_of(df))
 
 
 def _replace(text: str, spans: list[dict]) -> str:
