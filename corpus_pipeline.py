@@ -10,7 +10,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import bagminhash, language, packing, pii, quality
 from sparkloom.llm.common import crc_bucket, shared_dir
@@ -26,15 +25,12 @@ ORACLE_SQL: str | None = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of ``sf_dir``."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
-    return quality.score(docs, weights, keep=True).where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+    return quality.keep_good(docs, weights, LEAST_QUALITY)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in a language near one of the learned profiles."""
-    profiles = language.learn(docs, crc_bucket("doc_id", 4) != 2)
-    found = language.predict(docs, profiles, keep=True)
-    known = F.lit(not profiles) | (F.col("__score") >= LEAST_LANGUAGE)
-    return found.where((F.col("__lang_pred") != "und") & known).drop("__lang_pred", "__score")
+    return language.keep_known(docs, language.learn(docs, crc_bucket("doc_id", 4) != 2), LEAST_LANGUAGE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
