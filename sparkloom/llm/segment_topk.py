@@ -35,6 +35,8 @@ BLOCK, QUERY_BLOCK = 8192, 1024
 RESOLUTIONS = (1, 4, 16)
 #: Candidates scored first, to learn a query's k-th best score; a multiple of k.
 FIRST = 4
+#: Queries of a block that are compared at once.
+TOGETHER = 256
 
 
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -57,36 +59,40 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, ids and scores of each query's k best in a block (more where scores tie is cut by id)."""
-    norms = np.sqrt((queries**2).sum(axis=1))[:, None] * np.sqrt((vectors**2).sum(axis=1))[None, :]
-    slack = norms.max(initial=0) * 1e-9 + 1e-6
-    own = query_ids[:, None] == ids[None, :]
-
-    # Each bound is what the squared distance's lower bound leaves for the inner product:
-    # (|q|^2 + |x|^2 - bound) / 2, which is the inner product of the statistics.
-    coarse = [(statistics(queries, s), statistics(vectors, s)) for s in RESOLUTIONS]
-    bound = coarse[0][0] @ coarse[0][1].T
-    bound[own] = -np.inf
-
-    # Score the candidates with the best bounds to learn a threshold for each query.
+    """Query ids, ids and scores of each query's k best in a block; of equal scores the smaller ids."""
+    levels = [(statistics(queries, s), statistics(vectors, s)) for s in RESOLUTIONS]
+    parts = []
+    for start in range(0, len(query_ids), TOGETHER):
+        part = slice(start, start + TOGETHER)
+        parts.append(_best(query_ids[part], queries[part], ids, vectors, [(q[part], x) for q, x in levels], k))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    most = np.sqrt((queries**2).sum(axis=1)).max(initial=0) * np.sqrt((vectors**2).sum(axis=1)).max(initial=0)
+    slack = most * 1e-9 + 1e-6
+
+    # What the lower bound of the squared distance leaves for the inner product, (|q|^2 + |x|^2 - bound) / 2,
+    # is the inner product of the statistics. The candidates with the best finest bounds are scored first
+    # and give each query a threshold.
+    finest = levels[-1][0] @ levels[-1][1].T
+    finest[query_ids[:, None] == ids[None, :]] = -np.inf
     first = min(FIRST * k, len(ids))
     rows = np.arange(len(query_ids))
-    finest = coarse[-1][0] @ coarse[-1][1].T
-    finest[own] = -np.inf
     at = np.argpartition(-finest, first - 1, axis=1)[:, :first]
     scores = _exact(queries[np.repeat(rows, first)], vectors[at.ravel()]).reshape(len(rows), first).astype(np.float64)
     scores[np.isneginf(np.take_along_axis(finest, at, axis=1))] = -np.inf
-    least = np.partition(scores, first - k, axis=1)[:, first - k] if first >= k else np.full(len(rows), -np.inf)
+    least = (np.partition(scores, first - k, axis=1)[:, first - k] if first >= k else np.full(len(rows), -np.inf))[:, None] - slack
 
-    q, x = np.nonzero((bound >= least[:, None] - slack) & ~own)
-    for of_queries, of_vectors in coarse[1:]:
-        keep = np.concatenate([np.einsum("ij,ij->i", of_queries[q[i : i + 100_000]], of_vectors[x[i : i + 100_000]]) >= least[q[i : i + 100_000]] - slack for i in range(0, len(q), 100_000)] or [np.zeros(0, dtype=bool)])
-        q, x = q[keep], x[keep]
+    # Coarse to fine: a candidate stays while its bound reaches the threshold.
+    stays = ~np.isneginf(finest)
+    for of_queries, of_vectors in levels[:-1]:
+        stays &= of_queries @ of_vectors.T >= least
+    q, x = np.nonzero(stays & (finest >= least))
     exact = np.concatenate([_exact(queries[q[i : i + 100_000]], vectors[x[i : i + 100_000]]) for i in range(0, len(q), 100_000)] or [np.zeros(0, dtype=np.int64)])
-    order = np.lexsort((ids[x], -exact.astype(np.float64) if not len(exact) or np.abs(exact.astype(np.float64)).max() < 2**53 else ~exact, q))
+    order = np.lexsort((ids[x], ~exact, q))  # ~ turns the order of integers round without overflow
     q, x, exact = q[order], x[order], exact[order]
-    starts = np.searchsorted(q, q, side="left")
-    top = np.arange(len(q)) - starts < k
+    top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
     return query_ids[q[top]], ids[x[top]], exact[top]
 
 
