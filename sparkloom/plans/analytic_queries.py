@@ -139,7 +139,7 @@ def language_run_summary(t: Tables) -> DataFrame:
     return analytics.distribution(t.documents, ["source"], "lang").select("source", "n", "distribution")
 
 
-@query("top_languages", "SELECT source, lang, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS INTEGER) AS place FROM documents GROUP BY ALL QUALIFY place <= 2")
+@query("top_languages", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, lang, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS INTEGER) AS place FROM c QUALIFY place <= 2")
 def top_languages(t: Tables) -> DataFrame:
     return analytics.top_per_group(t.documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")), ["source"], [F.desc("n"), F.col("lang")], 2)
 
