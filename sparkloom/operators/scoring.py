@@ -6,11 +6,11 @@ import hashlib
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import product_of, says
+from sparkloom.operators.grouped import scan_groups
 
 #: Reasons to end a run that void its reward (fixed values).
 PREMATURE = ("max_steps", "too_many_errors", "agent_error", "user_error", "infrastructure_error", "timeout")
@@ -88,22 +88,22 @@ def key_value_step(state: dict, op: str, key: str, value: str | None) -> None:
 def replay_states(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None] = key_value_step) -> DataFrame:
     """``sim, state, state_hash`` after each simulation's mutating calls in order.
 
-    A step that raises leaves the state as it was, as a failed tool call does.
+    A step that raises leaves the state as it was, as a failed tool call does. Steps of their own may
+    change nested values in place only under the name ``append``.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def scan(rows: list[dict]) -> list[tuple]:
         state: dict = {}
         failed = 0
-        for row in group.sort_values(order, kind="stable").itertuples(index=False):
-            before = json.dumps(state)
+        for row in rows:
+            before = dict(state) if row[op] != "append" else json.loads(json.dumps(state))
             try:
-                step(state, getattr(row, op), getattr(row, key), getattr(row, value))
+                step(state, row[op], row[key], row[value])
             except (ValueError, TypeError, KeyError):
-                state, failed = json.loads(before), failed + 1
-        return pd.DataFrame({sim: [group[sim].iloc[0]], "state": [json.dumps(state, sort_keys=True)], "state_hash": [state_hash(state)], "failed_calls": [failed]})
+                state, failed = before, failed + 1
+        return [(json.dumps(state, sort_keys=True), state_hash(state), failed)]
 
-    kind = calls.schema[sim].dataType.simpleString()
-    return calls.select(sim, order, op, key, value).groupBy(sim).applyInPandas(run, f"`{sim}` {kind}, state string, state_hash string, failed_calls int")
+    return scan_groups(calls, sim, order, [op, key, value], scan, "state string, state_hash string, failed_calls int")
 
 
 def state_reward(gold: DataFrame, actual: DataFrame, sim: str) -> DataFrame:
@@ -123,22 +123,22 @@ def merged_utterances(chunks: DataFrame, key: str, position: str, ids: str, text
     The gathered set grows with the open message, so a conversation is one sequential scan.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
+    def scan(rows: list[dict]) -> list[list]:
+        out: list[list] = []
         seen: set = set()
-        for row in group.sort_values(position, kind="stable").itertuples(index=False):
-            own = set(getattr(row, ids)) if getattr(row, ids) is not None else set()
+        for row in rows:
+            own = set(row[ids] or ())
             if out and own & seen:
-                out[-1]["content"] += getattr(row, text) or ""
-                out[-1]["last"] = getattr(row, position)
+                out[-1][1] = row[position]
+                out[-1][2] += row[text] or ""
                 seen |= own
             else:
-                out.append({key: getattr(row, key), "first": getattr(row, position), "last": getattr(row, position), "content": getattr(row, text) or ""})
+                out.append([row[position], row[position], row[text] or ""])
                 seen = own
-        return pd.DataFrame(out, columns=[key, "first", "last", "content"])
+        return out
 
-    kinds = dict(chunks.dtypes)
-    return chunks.select(key, position, ids, text).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, first {kinds[position]}, last {kinds[position]}, content string")
+    kind = dict(chunks.dtypes)[position]
+    return scan_groups(chunks, key, position, [ids, text], scan, f"first {kind}, last {kind}, content string")
 
 
 def with_language_score(sims: DataFrame, scores: DataFrame, sim: str, name: str = "language_score") -> DataFrame:

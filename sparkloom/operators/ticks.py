@@ -1,18 +1,18 @@
 """Tick streams of two parties: segments, silences, overlaps, and linear transcripts.
 
 A tick row holds what each side said in it (``self``, ``other``; NULL is silence). Linear transcripts
-need a sequential scan with splits, so each conversation goes to one Python call; a conversation is
-bounded, all else is window expressions.
+need a sequential scan with splits, so each conversation travels as one sorted array; a conversation
+is bounded, all else is window expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.grouped import scan_groups
 from sparkloom.operators.windows import true_runs
 
 STRATEGIES = ("timestamp", "self_first", "other_first", "consolidated", "containment_aware")
@@ -119,16 +119,13 @@ def linearize(own: dict[int, str], other: dict[int, str], strategy: str = "conta
 
 def linear_transcript(ticks: DataFrame, key: str, tick: str, own: str, other: str, strategy: str = "containment_aware", gap: int = 1, tool: str | None = None) -> DataFrame:
     """``key, pos, role, content`` of each conversation."""
-    names = [key, tick, own, other, *([tool] if tool else [])]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [{int(t): w for t, w in zip(group[tick], group[side], strict=True) if isinstance(w, str)} for side in (own, other)]
-        stops = [int(t) for t, x in zip(group[tick], group[tool], strict=True) if isinstance(x, str)] if tool else []
-        found = linearize(*sides, strategy=strategy, gap=gap, barriers=stops)
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "pos": range(len(found)), "role": [r for r, _ in found], "content": [c for _, c in found]})
+    def scan(rows: list[dict]) -> list[tuple]:
+        sides = [{r[tick]: r[side] for r in rows if r[side] is not None} for side in (own, other)]
+        stops = [r[tick] for r in rows if r[tool] is not None] if tool else []
+        return [(k, role, content) for k, (role, content) in enumerate(linearize(*sides, strategy=strategy, gap=gap, barriers=stops))]
 
-    kind = ticks.schema[key].dataType.simpleString()
-    return ticks.select(*names).groupBy(key).applyInPandas(run, f"`{key}` {kind}, pos int, role string, content string")
+    return scan_groups(ticks, key, tick, [own, other, *([tool] if tool else [])], scan, "pos int, role string, content string")
 
 
 def expand_results(ticks: DataFrame, keys: list[str], tick: str, result: str) -> DataFrame:
