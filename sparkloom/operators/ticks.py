@@ -7,6 +7,7 @@ is bounded, all else is window expressions.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +52,7 @@ def _segments(words: dict[int, str], gap: int, barriers: Iterable[int] = ()) ->
     out: list[dict[int, str]] = []
     before = None
     for tick in sorted(words):
-        if before is None or tick - before > gap or any(before <= stop < tick for stop in stops):
+        if before is None or tick - before > gap or bisect_left(stops, before) < bisect_left(stops, tick):
             out.append({})
         out[-1][tick] = words[tick]
         before = tick
@@ -63,16 +64,19 @@ def _contained(own: list[dict[int, str]], other: list[dict[int, str]], own_role:
 
     Of two that cover the same ticks neither contains the other.
     """
-    def inside(a: dict[int, str], b: dict[int, str]) -> bool:
-        return min(b) <= min(a) and max(a) <= max(b) and (min(a), max(a)) != (min(b), max(b))
-
     out: list[tuple[float, int, str, str]] = []
     for mine, theirs, role, priority in ((own, other, own_role, 1), (other, own, other_role, 0)):
+        # A side's segments don't overlap, so those that lie within a span, or hold it, are found by search.
+        bounds = [(min(t), max(t)) for t in theirs]
+        starts_at, ends_at = [low for low, _ in bounds], [high for _, high in bounds]
         for segment in mine:
-            cuts = sorted({max(t) for t in theirs if inside(t, segment)})
-            holder = [t for t in theirs if inside(segment, t)]
+            span = min(segment), max(segment)
+            within = bounds[bisect_left(starts_at, span[0]) : bisect_right(ends_at, span[1])]
+            cuts = [high for low, high in within if (low, high) != span]
+            at = bisect_right(starts_at, span[0]) - 1
+            holder = at >= 0 and ends_at[at] >= span[1] and bounds[at] != span
             # A contained segment comes behind its container's part that ends with it.
-            place = (max(segment) + 0.25, priority) if holder else (float(min(segment)), priority)
+            place = (span[1] + 0.25, priority) if holder else (float(span[0]), priority)
             parts: list[list[str]] = [[]]
             starts: list[float] = [place[0]]
             ticks = sorted(segment)
