@@ -297,16 +297,15 @@ def _compare_blocks(side: DataFrame, texts: DataFrame, threshold: float) -> Data
     return map_arrow(together, run, "a string, b string")
 
 
-def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(buckets: DataFrame, components: DataFrame) -> DataFrame:
     """``buckets`` with the components so far, only those of several components."""
-    components = connected_components(links)
     placed = buckets.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("band")
     return durable(placed.join(mixed, "band"), "mixed")
 
 
 def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``a, b``: links between keys that connect all of the found pairs' groups."""
+    """``a, b``: edges between keys whose components are those of all links (loops may be among them)."""
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.any_value("bands").alias("bands"))
     member = classes.select("key", F.explode("bands").alias("band"))
     leaders = member.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
@@ -321,15 +320,17 @@ def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, t
     far = first.select(F.col("a").alias("key"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
 
     # A second star, about the member nearest to the leader.
-    mixed = _placed(buckets, links).join(far, ["key", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    components = connected_components(links, stored=True)
+    mixed = _placed(buckets, components).join(far, ["key", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
     nearest = mixed.where("key <> leader").groupBy("band").agg(F.min(F.struct("far", "key", "component")).alias("near"))
     apart = mixed.join(nearest, "band").where(F.col("component") != F.col("near.component"))
     pairs = apart.select(F.col("key").alias("a"), F.col("near.key").alias("b")).distinct()
     second = durable(_compare(pairs, texts), "compared")
-    links = links.union(second.where(F.col("similarity") >= threshold).select("a", "b"))
+    links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second.where(F.col("similarity") >= threshold).select("a", "b"))
 
     # What is still apart within a bucket.
-    mixed = _placed(buckets, links)
+    components = connected_components(links, stored=True)
+    mixed = _placed(buckets, components)
     sizes = mixed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"))
     sizes = sizes.select("band", "n", F.col("major.component").alias("major"), (F.col("n") - F.col("major.c")).alias("minors"))
     side = mixed.join(sizes, "band").join(far, ["key", "leader"], "left")
@@ -342,13 +343,14 @@ def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, t
     done = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     third = durable(_compare(more.join(done, ["a", "b"], "left_anti"), texts), "compared")
     blocks = durable(_compare_blocks(side.where(~small), texts, threshold), "links")
+    links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return links.union(third.where(F.col("similarity") >= threshold).select("a", "b")).union(blocks)
 
 
 def deduplicate(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id, kept`` of every row: the least id of its group, and whether it is the row's own."""
     signed = durable(sign(df, id_col, text_col), "signed")
-    components = connected_components(find_links(df, signed, threshold, text_col)).select(F.col("node").alias("key"), "component")
+    components = connected_components(find_links(df, signed, threshold, text_col), stored=True).select(F.col("node").alias("key"), "component")
     ids = signed.select(id_col, "key").where(F.col(id_col).isNotNull() & F.col("key").isNotNull())
     least = ids.groupBy("key").agg(F.min(id_col).alias("least")).join(components, "key", "left").withColumn("component", F.coalesce("component", "key"))
     grouped = least.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -367,7 +369,7 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     no other.
     """
     signed = durable(sign(df, id_col, text_col), "signed")
-    components = connected_components(find_links(df, signed, threshold, text_col)).select(F.col("node").alias("key"), "component")
+    components = connected_components(find_links(df, signed, threshold, text_col), stored=True).select(F.col("node").alias("key"), "component")
     rows = signed.where(F.col("key").isNotNull()).select(F.col(id_col).alias("id"), "key")
     each = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(components, "key", "left")
     several = each.where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "key"))

@@ -14,8 +14,10 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(high.alias("a"), low.alias("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges lead to roots: no node has an edge and is one's end, or has edges to two ends."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(True).alias("leads"), "b").union(edges.select(F.col("b").alias("n"), F.lit(False).alias("leads"), F.lit(None).alias("b")))
+    return ends.groupBy("n").agg(F.bool_or("leads").alias("leads"), F.bool_and("leads").alias("only"), F.min("b").alias("low"), F.max("b").alias("high")).where("leads AND (NOT only OR low < high)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,25 +33,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, stored: bool = False) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``; a component's id is its least node.
 
-    Each round is written to the shared folder, so a lost executor never repeats earlier rounds. All
-    work is in joins and grouped minima; a node with very many edges is pre-aggregated, and its join
-    is split by adaptive execution. An empty table gives an empty table.
+    Each round is written to the shared folder, so a lost executor never repeats earlier rounds; edges
+    that are ``stored`` already needn't be written first. All work is in joins and grouped minima; a node
+    with very many edges is pre-aggregated, and its join is split by adaptive execution. An empty table
+    gives an empty table.
     """
-    current = durable(_forest(edges), "edges")
-    state = _state(current)
+    current = _forest(edges) if stored else durable(_forest(edges), "edges")
     for _ in range(rounds):
-        if not state[0]:
-            break
-        after = durable(_forest(_small_star(_forest(_large_star(current)))), "edges")
-        state_after = _state(after)
+        after = durable(_forest(_small_star(_large_star(current))), "edges")
         discard(current)
         current = after
-        if state_after == state:
+        if _settled(current):
             break
-        state = state_after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -187,7 +187,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     if found is None:
         found = every.where("false").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
     found = durable(found, "links")
-    components = connected_components(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    components = connected_components(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), stored=True).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     out = every.select("id").join(counts, "id", "left").join(components, "id", "left")
     component = F.coalesce("component", "id")
