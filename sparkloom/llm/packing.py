@@ -14,6 +14,7 @@ are read, so further columns of any name do no harm.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import map_arrow, text_slices
 
-CACHE_WORDS = 500_000
-CACHE_CHARS = 48
+#: Encodings of words kept by each worker process, of words up to a length.
+CACHE_WORDS, CACHE_CHARS = 750_000, 48
+#: Texts encoded together: the more, the fewer words are encoded twice.
+SLICE_ROWS = 1024
 #: Words sent to the tokenizer in one text.
 TOGETHER = 100
 #: Sequence ids hold the length's logarithm above this bit, below it the partition and the row.
@@ -69,7 +72,8 @@ class WordTokenizer:
         plain = [word for word in words if _LATIN(word)]
         rest = [word for word in words if not _LATIN(word)]
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        encoded = itertools.chain.from_iterable(self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[i : i + 100]], add_special_tokens=False) for i in range(0, len(groups), 100))
+        for group, found in zip(groups, encoded, strict=True):
             ids = np.array(found.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(group):
@@ -88,13 +92,12 @@ class WordTokenizer:
         """Each text's ids as unsigned 32-bit integers."""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         kept = self.kept
-        new = {word for words in cut for word in words if word not in kept}
+        new = set().union(*cut) - kept.keys()
         kept.update(self._encode_words(list(new)))
         encoded = [b"".join(map(kept.__getitem__, words)) for words in cut]
         full = len(kept) > CACHE_WORDS
-        for word in new:
-            if full or len(word) > CACHE_CHARS:
-                del kept[word]
+        for word in new if full else [word for word in new if len(word) > CACHE_CHARS]:
+            del kept[word]
         return encoded
 
 
@@ -109,7 +112,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, longest: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.load(tokenizer_path)
         end = np.uint32(end_id).tobytes()
-        for part, texts in text_slices(batches, 1):
+        for part, texts in text_slices(batches, 1, SLICE_ROWS):
             rows: list[list] = [[], [], [], [], [], []]
             for k, ids in enumerate(tokenizer.encode(texts)):
                 ids += end
