@@ -140,6 +140,23 @@ def text_cursor(t: Tables) -> DataFrame:
     return windows.text_cursor(rows, ["conv_id"], [F.col("turn")], ((F.col("turn") + 1) % 4 + 1) / 5.0, "text").select("conv_id", "turn", "piece")
 
 
+@query(
+    "text_cursor_whole",
+    """WITH f AS (SELECT conv_id, turn, first_value(text) OVER w AS text, CASE WHEN lead(turn) OVER w IS NULL THEN 1.0 ELSE ((turn + 1) % 4 + 1) / 5.0 END AS ratio FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+       t AS (SELECT conv_id, turn, text, least(CAST(max(ceil(ratio * length(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS INTEGER), length(text)) AS t2 FROM f),
+       p AS (SELECT conv_id, turn, text, t2, coalesce(lag(t2) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS t1 FROM t)
+       SELECT conv_id, turn, substr(text, CAST(t1 AS BIGINT) + 1, CAST(t2 - t1 AS BIGINT)) AS piece FROM p""",
+)
+def text_cursor_whole(t: Tables) -> DataFrame:
+    """Whole texts dealt out by the cursor (W16): the last turn takes what is left, so the pieces make up the text."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    ratio = F.when(F.lead("turn").over(order).isNull(), 1.0).otherwise(((F.col("turn") + 1) % 4 + 1) / 5.0)
+    rows = t.conversations.select("conv_id", "turn", F.first("text").over(order).alias("text"), ratio.alias("ratio"))
+    return windows.text_cursor(rows, ["conv_id"], [F.col("turn")], F.col("ratio"), "text").select("conv_id", "turn", "piece")
+
+
 @query(
     "onestop_self_join",
     f"""WITH l AS (SELECT event_id, user_id % 20 AS a, CAST(floor(value) AS BIGINT) % 20 AS b, s // 86400 AS d, s AS dep, s + 3600 AS arr FROM {_E})
