@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions.text import SPACE
 from sparkloom.operators.reconcile import max_merge
 from sparkloom.operators.topk import top_by_score
 
+#: Rows of a block of documents and of queries (expected; rows are dealt by a hash of their id).
+BLOCK, QUERY_BLOCK = 8192, 1024
+#: Queries of a block that are compared at once.
+TOGETHER = 256
+
 
 def tokens(c: str | Column) -> Column:
     """Lower-cased words split at Unicode white space."""
@@ -74,13 +83,55 @@ def cosine_search(docs: DataFrame, id_col: str, vector: str, query: list[float],
     return docs.select(id_col, dot(unit(vector), given).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def cosine_batch(docs: DataFrame, id_col: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
-    """The k nearest rows to each query (Q05, Q11): the query set, of checked size, goes to all rows."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in parts")
-    asked = queries.select(query_id, unit(query_vector).alias("__q"))
-    scored = docs.select(id_col, unit(vector).alias("__v")).crossJoin(F.broadcast(asked)).select(query_id, id_col, dot("__v", "__q").alias("score"))
-    return top_by_score(scored, [query_id], "score", [id_col], k)
+def best_of_block(queries: np.ndarray, vectors: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries, rows of vectors and cosines of each query's k best; of equal scores the first rows."""
+    found = []
+    for start in range(0, len(queries), TOGETHER):
+        scores = queries[start : start + TOGETHER] @ vectors.T
+        scores = scores if digits is None else scores.round(digits)
+        top = min(k, len(vectors))
+        least = np.partition(scores, len(vectors) - top, axis=1)[:, len(vectors) - top]
+        q, x = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((x, -scores[q, x], q))
+        q, x = q[order], x[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < top
+        q, x = q[kept], x[kept]
+        found.append((q + start, x, scores[q, x]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def cosine_batch(docs: DataFrame, id_col: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, digits: int | None = None) -> DataFrame:
+    """The k nearest rows to each query (Q05, Q11), of any number of queries.
+
+    Both sides are dealt in blocks by their ids, and each pair of blocks is one product of matrices that
+    yields at most k rows for each query; neither side is broadcast. With ``digits`` scores are rounded
+    before ranking, so that equal rows tie. Only vectors of equal length are compared; those that are
+    NULL or hold NULL, NaN or infinity have no score and take no part.
+    """
+    blocks, query_blocks = max(1, math.ceil(docs.count() / BLOCK)), max(1, math.ceil(queries.count() / QUERY_BLOCK))
+
+    def numbered(df: DataFrame, key: str, v: str, own: str, n: int, other: str, others: int) -> DataFrame:
+        usable = df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+        number = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own)
+        return usable.select(number, F.size("v").alias("d"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    asked = numbered(queries, query_id, query_vector, "q", query_blocks, "x", blocks)
+    rows = numbered(docs, id_col, vector, "x", blocks, "q", query_blocks)
+    kinds = [(query_id, queries.schema[query_id].dataType), (id_col, docs.schema[id_col].dataType)]
+    result = pa.schema([*(pa.field(name, to_arrow_type(kind)) for name, kind in kinds), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return result.empty_table()
+        right = right.sort_by("id")  # so of equal scores the smaller id comes first
+        sides = [side["v"].combine_chunks().flatten().to_numpy().reshape(side.num_rows, side["d"][0].as_py()) for side in (left, right)]
+        norms = [np.linalg.norm(v, axis=1, keepdims=True) for v in sides]
+        q, x, scores = best_of_block(*(v / np.where(norm == 0, 1.0, norm) for v, norm in zip(sides, norms, strict=True)), k, digits)
+        return pa.Table.from_arrays([left["id"].take(q), right["id"].take(x), pa.array(scores)], schema=result)
+
+    fields = ", ".join(f"`{name}` {kind.simpleString()}" for name, kind in kinds)
+    best = asked.groupBy("q", "x", "d").cogroup(rows.groupBy("q", "x", "d")).applyInArrow(run, f"{fields}, score double")
+    return top_by_score(best, [query_id], "score", [id_col], k)
 
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:

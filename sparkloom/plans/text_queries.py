@@ -69,6 +69,19 @@ def cosine_batch(t: Tables) -> DataFrame:
     return retrieval.cosine_batch(docs, "vec_id", "embedding", queries, "query_id", "asked", 3).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "cosine_batch_whole",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+       SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id) AS INTEGER) AS rank
+       FROM e, (SELECT * FROM e WHERE vec_id % 50 = 0) q QUALIFY rank <= 3""",
+)
+def cosine_batch_whole(t: Tables) -> DataFrame:
+    """The nearest rows to each of the searches' queries, every id divisible by 50 (Q05, Q11)."""
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    docs = t.embeddings.select("vec_id", "embedding")
+    return retrieval.cosine_batch(docs, "vec_id", "embedding", queries, "query_id", "asked", 3, digits=6)
+
+
 @query(
     "hybrid_max_merge",
     f"""WITH {_BM25}, best AS (SELECT doc_id, round(max(score), 6) AS score FROM bm25 GROUP BY 1),

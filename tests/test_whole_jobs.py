@@ -1,6 +1,10 @@
 """Queries over the whole of their tables, against brute force on small fixtures."""
 
+import numpy as np
+import pytest
+
 import __spark_entry__ as entry
+from sparkloom.operators import retrieval
 
 QUERIES = entry.queries()
 
@@ -18,3 +22,30 @@ def test_text_cursor_deals_out_whole_texts(spark, tmp_path):
         pieces.setdefault(row.conv_id, []).append(row.piece)
     assert {conv: "".join(x) for conv, x in pieces.items()} == texts
     assert [len(x) for x in pieces[4]] == [240, 120, 120, 0, 120]
+
+
+def test_cosine_batch_asks_every_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 70)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    vectors = np.random.default_rng(3).normal(size=(451, 8))
+    vectors[7] = vectors[50] * 2  # as near to 50 as itself
+    vectors[9] = 0
+    write(spark, tmp_path, "embeddings", [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, None), (1001, [1.0, None]), (1050, []), (1002, [float("inf")] * 8), (1003, [float("nan")] * 8)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in sorted(QUERIES["cosine_batch_whole"](spark, str(tmp_path)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    assert got.pop(1050) == [(1050, 0.0)]  # an empty vector has only itself to be compared to
+    assert sorted(got) == list(range(0, 451, 50))
+    for q, found in got.items():
+        scores = (unit @ unit[q]).round(6)
+        best = sorted(range(451), key=lambda x: (-scores[x], x))[:3]
+        assert [x for x, _ in found] == best and [s for _, s in found] == pytest.approx([scores[x] for x in best], abs=2e-6)
+    assert [x for x, _ in got[50]][:2] == [7, 50]
+
+
+def test_cosine_batch_takes_more_than_ten_thousand_queries(spark):
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, v array<double>")
+    queries = spark.range(10_001).selectExpr("id AS n", "array(1D, id / 20000D) AS asked")
+    out = retrieval.cosine_batch(docs, "id", "v", queries, "n", "asked", 1)
+    assert [tuple(r) for r in out.groupBy("id", "rank").count().collect()] == [("a", 1, 10_001)]
