@@ -49,3 +49,10 @@ def test_cosine_batch_takes_more_than_ten_thousand_queries(spark):
     queries = spark.range(10_001).selectExpr("id AS n", "array(1D, id / 20000D) AS asked")
     out = retrieval.cosine_batch(docs, "id", "v", queries, "n", "asked", 1)
     assert [tuple(r) for r in out.groupBy("id", "rank").count().collect()] == [("a", 1, 10_001)]
+
+
+def test_routed_lookup_asks_every_customer(spark, tmp_path):
+    write(spark, tmp_path, "customer", [(k, f"customer {k}") for k in range(120)], "c_custkey long, c_name string")
+    write(spark, tmp_path, "supplier", [(k, f"supplier {k}") for k in range(3)], "s_suppkey long, s_name string")
+    got = {r.id: r.found for r in QUERIES["routed_lookup_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"c:{k}": f"customer {k}" for k in range(120)} | {f"s:{k}": f"supplier {k}" for k in range(3)} | {"x:1": None}
