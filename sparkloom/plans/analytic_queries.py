@@ -178,7 +178,7 @@ def action_frequency(t: Tables) -> DataFrame:
 def bootstrap_ci(t: Tables) -> DataFrame:
     """Intervals of mean prices by flag, from means by supplier."""
     means = t.lineitem.groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("mean"))
-    return analytics.bootstrap_means(means, ["l_returnflag"], "mean", resamples=200, low=0.0, high=1.0)
+    return analytics.bootstrap_means(means, ["l_returnflag"], "mean", low=0.0, high=1.0)
 
 
 @query("leaderboard_topk", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS rank FROM supplier QUALIFY rank <= 20")

@@ -56,3 +56,18 @@ def test_routed_lookup_asks_every_customer(spark, tmp_path):
     write(spark, tmp_path, "supplier", [(k, f"supplier {k}") for k in range(3)], "s_suppkey long, s_name string")
     got = {r.id: r.found for r in QUERIES["routed_lookup_whole"](spark, str(tmp_path)).collect()}
     assert got == {f"c:{k}": f"customer {k}" for k in range(120)} | {f"s:{k}": f"supplier {k}" for k in range(3)} | {"x:1": None}
+
+
+def test_bootstrap_ci_draws_as_often_as_the_reference(spark, tmp_path):
+    discounts = np.random.default_rng(5).integers(0, 11, size=(3, 12, 4)) / 100  # by flag, supplier and line
+    rows = [("ANR"[f], s, float(x)) for f in range(3) for s in range(12 if f < 2 else 1) for x in discounts[f, s]]
+    write(spark, tmp_path, "lineitem", rows, "l_returnflag string, l_suppkey long, l_discount double")
+    got = {r.l_returnflag: (r.estimate, r.ci_low, r.ci_high) for r in QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()}
+    want = {"R": (discounts[2, 0].mean(),) * 3}
+    for f in range(2):
+        means = np.sort(discounts[f].mean(axis=1))
+        draws = np.random.default_rng(20260625).choice(means, size=(1000, 12), replace=True).mean(axis=1)
+        want["ANR"[f]] = means.mean(), np.quantile(draws, 0.025), np.quantile(draws, 0.975)
+    assert sorted(got) == sorted(want)
+    for flag, figures in want.items():
+        assert got[flag] == pytest.approx(figures, abs=1e-12), flag
