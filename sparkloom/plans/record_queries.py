@@ -207,6 +207,18 @@ def segment_assignment(t: Tables) -> DataFrame:
     return joins.assign_segment(points, bounds, ["o_custkey"], "at", "s", "e", "n")
 
 
+@query(
+    "segment_assignment_whole",
+    """WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey - 100 AS s, o_orderkey AS e FROM orders), p AS (SELECT o_custkey, o_orderkey + 37 AS at FROM orders)
+       SELECT p.o_custkey, p.at, CAST(coalesce(min(s.n) FILTER (s.e >= p.at), max(s.n)) AS INTEGER) AS n FROM p LEFT JOIN s USING (o_custkey) GROUP BY ALL""",
+)
+def segment_assignment_whole(t: Tables) -> DataFrame:
+    """All orders as segments, and a point after each."""
+    bounds = t.orders.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"), (F.col("o_orderkey") - 100).alias("s"), F.col("o_orderkey").alias("e"))
+    points = t.orders.select("o_custkey", (F.col("o_orderkey") + 37).alias("at"))
+    return joins.assign_segment(points, bounds, ["o_custkey"], "at", "s", "e", "n")
+
+
 @query("metric_spine", "SELECT lang, coalesce(n, 0) AS n FROM (VALUES ('en'), ('de'), ('th')) v(lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)")
 def metric_spine(t: Tables) -> DataFrame:
     """A fixed list of languages, 0 where there is nothing."""

@@ -71,3 +71,10 @@ def test_bootstrap_ci_draws_as_often_as_the_reference(spark, tmp_path):
     assert sorted(got) == sorted(want)
     for flag, figures in want.items():
         assert got[flag] == pytest.approx(figures, abs=1e-12), flag
+
+
+def test_segment_assignment_takes_every_order(spark, tmp_path):
+    orders = {c: sorted({(k * 31 + c * 7) % 500 for k in range(c * 3)}) for c in range(1, 6)}
+    write(spark, tmp_path, "orders", [(c, k) for c, keys in orders.items() for k in keys], "o_custkey long, o_orderkey long")
+    got = {(r.o_custkey, r.at): r.n for r in QUERIES["segment_assignment_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(c, k + 37): next((n for n, end in enumerate(keys, 1) if end >= k + 37), len(keys)) for c, keys in orders.items() for k in keys}
