@@ -4,6 +4,10 @@ Natural words and identifiers are in a tokenizer's vocabulary as long tokens, ra
 apart into short ones. A long run of key-like characters is therefore reported as ``random`` if it has
 few characters for each token, unless it is a known digest (by its length in hex digits, or listed) or
 an identifier (a UUID, a number, words joined by separators) or a fixed pattern has found it already.
+Runs of letters only may be long words, so they are held to a stricter ratio.
+
+Limits: runs shorter than ``least_length`` aren't tested, and a random string counts as an identifier
+if each of its parts between separators is all letters or all digits. The README gives measured recall.
 
 Spans are in code points, ends exclusive. Defined results: null and empty texts have no spans; texts
 of any length are scanned whole, in time proportional to their length; each of several equal rows is
@@ -41,6 +45,14 @@ DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _JOINED_WORDS = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))+[+/_=-]*\Z")
 
+#: The least length of a run that is tested, and the most characters for each token of a run of letters.
+LEAST_LENGTH, MOST_OF_LETTERS = 16, 1.9
+
+
+@functools.lru_cache(maxsize=8)
+def _run(least_length: int) -> re.Pattern:
+    return re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % least_length)
+
 
 @functools.lru_cache(maxsize=2)
 def _vocabulary(path: str, pattern: str):
@@ -65,27 +77,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def looks_random(string: str, vocabulary, most_chars_per_token: float, known: frozenset[str]) -> bool:
+def looks_random(string: str, vocabulary, most_chars_per_token: float, known: frozenset[str], most_of_letters: float = MOST_OF_LETTERS) -> bool:
     """The token-efficiency test, after digests and identifiers are set aside."""
     letters, digits = re.search("[A-Za-z]", string), re.search("[0-9]", string)
-    if not letters or not digits or string in known:
+    if not letters or string in known:
         return False
     if (len(string) in DIGEST_LENGTHS and _DIGEST.match(string)) or _UUID.match(string) or _JOINED_WORDS.match(string):
         return False
-    return len(string) < most_chars_per_token * len(vocabulary.encode_ordinary(string))
+    most = most_chars_per_token if digits else min(most_chars_per_token, most_of_letters)
+    return len(string) < most * len(vocabulary.encode_ordinary(string))
 
 
-def random_spans(text: str, taken: list[tuple[str, int, int]], vocabulary, most_chars_per_token: float, known: frozenset[str]) -> list[tuple[str, int, int]]:
+def random_spans(
+    text: str, taken: list[tuple[str, int, int]], vocabulary, most_chars_per_token: float, known: frozenset[str], least_length: int = LEAST_LENGTH, most_of_letters: float = MOST_OF_LETTERS
+) -> list[tuple[str, int, int]]:
     out = []
-    for run in _RUN.finditer(text):
+    for run in _run(least_length).finditer(text):
         start, end = run.span()
-        if not any(s < end and start < e for _, s, e in taken) and looks_random(run.group(), vocabulary, most_chars_per_token, known):
+        if not any(s < end and start < e for _, s, e in taken) and looks_random(run.group(), vocabulary, most_chars_per_token, known, most_of_letters):
             out.append(("random", start, end))
     return out
 
 
 def find_secrets(
-    df: DataFrame, ranks_path: str, pattern: str, most_chars_per_token: float = 2.0, known_digests: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, ranks_path: str, pattern: str, most_chars_per_token: float = 2.0, known_digests: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, most_of_letters: float = MOST_OF_LETTERS
 ) -> DataFrame:
     """``id, base_spans, spans`` of every row: those of the fixed patterns, and with the method's added."""
 
@@ -94,7 +109,7 @@ def find_secrets(
         names = ("kind", "start", "end")
         for part, texts in text_slices(batches, 1):
             base = [base_spans(text) for text in texts]
-            both = [sorted(found + random_spans(text, found, vocabulary, most_chars_per_token, known_digests), key=lambda s: (s[1], KINDS.index(s[0]))) for text, found in zip(texts, base, strict=True)]
+            both = [sorted(found + random_spans(text, found, vocabulary, most_chars_per_token, known_digests, least_length, most_of_letters), key=lambda s: (s[1], KINDS.index(s[0]))) for text, found in zip(texts, base, strict=True)]
             columns = [pa.array([[dict(zip(names, s, strict=True)) for s in spans] for spans in x], SPANS) for x in (base, both)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "base_spans", "spans"])
 
