@@ -204,8 +204,8 @@ class Pipeline:
 
 
 def required_documents(asked: DataFrame, docs: DataFrame, wanted: str, id_col: str, title: str) -> DataFrame:
-    """Documents by title, else by id (Q18); what is neither is NULL."""
-    by_title = docs.select(F.col(title).alias(wanted), F.col(id_col).alias("__t")).dropDuplicates([wanted])
+    """Documents by title, else by id (Q18); what is neither is NULL. Of equal titles the smallest id is found."""
+    by_title = docs.groupBy(F.col(title).alias(wanted)).agg(F.min(id_col).alias("__t"))
     by_id = docs.select(F.col(id_col).cast("string").alias(wanted), F.col(id_col).alias("__i"))
     return asked.join(by_title, wanted, "left").join(by_id, wanted, "left").withColumn("found", F.coalesce("__t", "__i")).drop("__t", "__i")
 

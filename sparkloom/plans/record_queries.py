@@ -100,6 +100,15 @@ def markdown_sections(t: Tables) -> DataFrame:
     return flatten.markdown_sections(docs, "n_nationkey", "md").select("n_nationkey", "section_id")
 
 
+@query("markdown_sections_whole")
+def markdown_sections_whole(t: Tables) -> DataFrame:
+    """Whole conversations as Markdown, a heading for each turn, cut at the headings."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    parts = F.transform(turns, lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"]))
+    docs = t.conversations.groupBy("conv_id").agg(F.concat(F.lit("# Conversation\n"), F.array_join(parts, "\n")).alias("md"))
+    return flatten.markdown_sections(docs, "conv_id", "md").select("conv_id", "section_id", "title", "body")
+
+
 @query(
     "review_errors",
     "SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'user' ELSE 'agent' END AS source, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT l_orderkey, 'user', count(*) FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1",

@@ -159,6 +159,12 @@ def text_pieces(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", text.pieces("n_name", 3).alias("pieces"))
 
 
+@query("text_pieces_whole", "SELECT doc_id, [substr(text, 1, CAST(floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) / 3) AS INTEGER) + 1, CAST(floor(length(text) * 2 / 3) - floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) * 2 / 3) AS INTEGER) + 1, CAST(length(text) - floor(length(text) * 2 / 3) AS INTEGER))] AS pieces FROM documents")
+def text_pieces_whole(t: Tables) -> DataFrame:
+    """Whole documents cut evenly."""
+    return t.documents.select("doc_id", text.pieces("text", 3).alias("pieces"))
+
+
 @query("system_errors", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR regexp_matches(o_orderpriority, '(?i)urgent|specified')")
 def system_errors(t: Tables) -> DataFrame:
     """Runs ended by the system: by reason or by a needle in their texts."""
@@ -174,6 +180,13 @@ def masked_terms(t: Tables) -> DataFrame:
     return masked.select("n_nationkey", masking.unmask(F.col("m.text"), F.col("m.terms")).alias("restored"))
 
 
+@query("masked_terms_whole")
+def masked_terms_whole(t: Tables) -> DataFrame:
+    """Terms masked in whole documents, how many, and the texts restored."""
+    masked = t.documents.select("doc_id", masking.mask("text", ["the", "der", "license", "the license", "@", "1", "10"]).alias("m"))
+    return masked.select("doc_id", F.col("m.text").alias("masked"), F.size("m.terms").alias("n"), masking.unmask(F.col("m.text"), F.col("m.terms")).alias("restored"))
+
+
 @query("calculated", "SELECT n_nationkey, CAST((n_nationkey + 2) * 1.5 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS refused FROM nation")
 def calculated(t: Tables) -> DataFrame:
     """Arithmetic in texts, and what isn't arithmetic."""

@@ -78,3 +78,56 @@ def test_segment_assignment_takes_every_order(spark, tmp_path):
     write(spark, tmp_path, "orders", [(c, k) for c, keys in orders.items() for k in keys], "o_custkey long, o_orderkey long")
     got = {(r.o_custkey, r.at): r.n for r in QUERIES["segment_assignment_whole"](spark, str(tmp_path)).collect()}
     assert got == {(c, k + 37): next((n for n, end in enumerate(keys, 1) if end >= k + 37), len(keys)) for c, keys in orders.items() for k in keys}
+
+
+TEXTS = {1: "Titel über\nthe license, 10 of 1: the end\n" * 3, 2: "", 3: None, 4: "Titel über\nder 1", 5: "7", 6: "x" * 5000, 7: "a@b [x]"}
+
+
+def write_documents(spark, folder):
+    write(spark, folder, "documents", list(TEXTS.items()), "doc_id long, text string")
+
+
+def test_text_pieces_of_documents(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    got = {r.doc_id: r.pieces for r in QUERIES["text_pieces_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: [None] * 3 if x is None else [x[len(x) * i // 3 : len(x) * (i + 1) // 3] for i in range(3)] for k, x in TEXTS.items()}
+
+
+def test_masked_terms_of_documents(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    got = {r.doc_id: r for r in QUERIES["masked_terms_whole"](spark, str(tmp_path)).collect()}
+    assert {k: r.restored for k, r in got.items()} == TEXTS
+    assert got[1].masked.startswith("Titel über\n[[0]], [[1]] of [[2]]: [[3]] end\n") and got[1].n == 12
+    assert got[4].masked == "Titel über\n[[0]] [[1]]" and got[7].masked == "a[[0]]b [x]" and got[6].n == 0
+
+
+def test_required_documents_by_first_line(spark, tmp_path):
+    write_documents(spark, tmp_path)
+    got = sorted((tuple(r) for r in QUERIES["required_documents_whole"](spark, str(tmp_path)).collect()), key=str)
+    # 7 is the title of 5, which goes before the id
+    assert got == sorted([("1", 1), ("", 2), ("3", 3), ("Titel über", 1), ("5", 5), ("x" * 5000, 6), ("7", 5), ("none", None)], key=str)
+
+
+TURNS = [(1, 0, "user", "Hello # there"), (1, 1, "assistant", "# Facts\n- é\n\n### user\nend"), (1, 2, "user", ""), (2, 0, "user", "only " * 900), (2, 1, "assistant", "y"), (2, 2, "user", "z" * 7), (2, 3, "assistant", "w")]
+
+
+def test_proportional_transcript_of_conversations(spark, tmp_path):
+    write(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string")
+    got = sorted(map(tuple, QUERIES["proportional_transcript_whole"](spark, str(tmp_path)).collect()))
+    want = []
+    for conv in (1, 2):
+        for pair in (0, 1):
+            texts = [x for c, turn, _, x in TURNS if c == conv and turn // 2 == pair]
+            whole, n = " ".join(texts), 3 * len(texts)
+            cuts = [-(-len(whole) * k // n) for k in range(n + 1)]
+            want += [(conv, pair * 8 + k, whole[cuts[k] : cuts[k + 1]]) for k in range(n)]
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == [x[2] for x in want]
+
+
+def test_markdown_sections_of_conversations(spark, tmp_path):
+    write(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string")
+    got = sorted(map(tuple, QUERIES["markdown_sections_whole"](spark, str(tmp_path)).collect()))
+    first = [("001_conversation_1", "Conversation", "# Conversation"), ("002_user_1", "user", "## user\nHello # there"), ("003_assistant_1", "assistant", "## assistant"), ("004_facts_1", "Facts", "# Facts\n- é\n"), ("005_user_2", "user", "### user\nend"), ("006_user_3", "user", "## user\n")]
+    assert [x[1:] for x in got if x[0] == 1] == first
+    assert "\n".join(x[3] for x in got if x[0] == 2) == "# Conversation\n" + "\n".join(f"## {role}\n{text}" for c, _, role, text in TURNS if c == 2)
