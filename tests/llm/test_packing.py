@@ -28,9 +28,16 @@ def test_words_encode_as_the_whole_text_does():
         assert np.frombuffer(got, dtype=np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|startoftext|><|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>\n<|endoftext|>", "e<|startoftext|>\u0301"])
+def test_special_tokens_in_a_text_are_what_the_library_makes_of_them(text):
+    expected = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordTokenizer(PATH).encode([text])[0], dtype=np.uint32).tolist() == expected
+    assert {49406, 49407} & set(expected)
+
+
 def test_pieces_cover_each_document_once(spark):
     plain = Tokenizer.from_file(PATH)
-    rows = [(1, None, "x"), (2, "", "x"), (3, "Hello, world! " * 900, "x"), (3, "Hello, world! " * 900, "x"), (4, "one", "x")]
+    rows = [(1, None, "x"), (2, "", "x"), (3, "Hello, world! " * 900, "x"), (3, "Hello, world! " * 900, "x"), (4, "one", "x"), (5, "x <|endoftext|> " + "Long texts, whole. " * 3000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
     got = packing.pack_documents(docs, PATH, 2).collect()
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 for r in got)
@@ -40,6 +47,7 @@ def test_pieces_cover_each_document_once(spark):
         pieces = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.start)
         copies = 2 if doc == 3 else 1
         assert sum(r.length for r in pieces) == copies * len(ids)
+        assert doc != 5 or (len(ids) > 3 * 4096 and [r.length for r in pieces[:3]] == [4096] * 3)
         for r in pieces:
             part = ids[r.start : r.start + r.length]
             assert list(r.token_ids) == part and r.doc_tokens == len(ids)
