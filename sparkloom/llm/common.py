@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -79,6 +80,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = SLIC
             yield part, [x or "" for x in part.column(column).to_pylist()]
 
 
+class Cover:
+    """What a list of ``(kind, start, end)`` covers, as disjoint stretches; a search tells what meets it."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+
 _held: tuple[str, Callable[[], object]] | None = None
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_arrow, text_slices
+from sparkloom.llm.common import Cover, map_arrow, text_slices
 
 #: The order of kinds among spans with one start.
 KINDS = ("assign", "access", "hex", "random")
@@ -91,10 +91,10 @@ def looks_random(string: str, vocabulary, most_chars_per_token: float, known: fr
 def random_spans(
     text: str, taken: list[tuple[str, int, int]], vocabulary, most_chars_per_token: float, known: frozenset[str], least_length: int = LEAST_LENGTH, most_of_letters: float = MOST_OF_LETTERS
 ) -> list[tuple[str, int, int]]:
-    out = []
+    out, cover = [], Cover(taken)
     for run in _run(least_length).finditer(text):
         start, end = run.span()
-        if not any(s < end and start < e for _, s, e in taken) and looks_random(run.group(), vocabulary, most_chars_per_token, known, most_of_letters):
+        if not cover.meets(start, end) and looks_random(run.group(), vocabulary, most_chars_per_token, known, most_of_letters):
             out.append(("random", start, end))
     return out
 
