@@ -129,12 +129,198 @@ def test_redaction_keeps_columns_and_rows(spark):
     assert out == [(1, "mail <EMAIL> now", "x", 16), (1, "mail <EMAIL> now", "x", 16), (2, None, None, None), (3, "<CARD>", "y", 6)]
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "+1" + "(" * 200_000, "1.2." * 50_000, "=password=" * 20_000, "0a" * 100_000])
+LONG = [
+    "1" * 200_000, "a" * 200_000 + "@", "+1" + "(" * 200_000, "1.2." * 50_000, "=password=" * 20_000, "0a" * 100_000,
+    "mail a1@b.co or 10.0.0.1, " * 50_000, "token=abcdef123 xK9v2Lq8ZtR4mWp1YcB7 " * 50_000, "ref 9000000001 and 4111 1111 1111 1111; " * 30_000,
+]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
 def test_very_long_texts_take_linear_time(text):
     import time
 
+    vocabulary = secrets._vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     began = time.time()
     found = pii.base_spans(text)
-    pii.identifier_spans(text, found)
-    secrets.base_spans(text)
+    spans = sorted([(s, e) for _, s, e in found] + pii.identifier_spans(text, found))
+    assert len(pii.instance_contexts(text, spans)) == len(spans)
+    secrets.random_spans(text, secrets.base_spans(text), vocabulary, 2.0, frozenset())
     assert time.time() - began < 5
+
+
+def brute_random(text, vocabulary):
+    """The method's spans from its rules: each long run, each base span, one comparison at a time."""
+    base, out = brute_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        if len(run) < 16 or any(s < m.end() and m.start() < e for _, s, e in base) or not re.search("[A-Za-z]", run):
+            continue
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) and len(run) in (32, 40, 56, 64, 96, 128):
+            continue
+        parts = [x for x in re.split("[+/_=-]+", run) if x]
+        if re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run):
+            continue
+        if run[0] not in "+/_=-" and len(parts) > 1 and all(x.isalpha() or x.isdigit() for x in parts):
+            continue
+        if len(run) / len(vocabulary.encode_ordinary(run)) < (2.0 if re.search("[0-9]", run) else 1.9):
+            out.append(("random", m.start(), m.end()))
+    return sorted(base + out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_random_spans_equal_brute_force(spark):
+    import random
+    import string
+
+    r = random.Random(11)
+    vocabulary = secrets._vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    def part():
+        kind, n = r.randint(0, 9), r.choice([12, 15, 16, 17, 24, 32, 40])
+        alphabet = [string.ascii_letters + string.digits, string.ascii_letters, string.hexdigits, "0123456789abcdef", string.digits, string.ascii_letters + string.digits + "+/_=-"][kind] if kind < 6 else ""
+        words = ["token=", "secret: ", "internationalisation", "some-joined-words-2024", "3f2504e0-4f89-11d3-9a0c-0305e82c3301", "-", "é", "plain words", "AKIA"]
+        return "".join(r.choice(alphabet) for _ in range(n)) if alphabet else r.choice(words)
+
+    texts = ["".join(part() + r.choice(["", " ", ", ", "."]) for _ in range(r.randint(0, 8))) for _ in range(800)]
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = {row.doc_id: [tuple(s) for s in row.spans] for row in found.collect()}
+    assert sum(k == "random" for x in rows.values() for k, *_ in x) > 300
+    for k, text in enumerate(texts):
+        assert rows[k] == brute_random(text, vocabulary), text
+
+
+def brute_identifiers(texts, least_seeds=pii.LEAST_SEEDS, least_share=pii.LEAST_SHARE, least_score=pii.LEAST_SCORE, rounds=pii.ROUNDS):
+    """The method's added spans from its rules, with words in place of hashes."""
+    held, edges, counted = {}, {}, {}
+    instances = []
+    for doc, text in enumerate(texts):
+        spaced = text
+        for c in ":=#([<\"'":
+            spaced = spaced.replace(c, " ")
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\S+", spaced)]
+        names = [w for _, _, w in words]
+
+        def near(k, behind):
+            left = names[:k]
+            right = names[behind] if behind < len(names) else None
+            return [c for c in (("1", left[-1]) if left else None, ("2", *left[-2:]) if len(left) > 1 else None, ("s", left[-1], right) if left else None) if c]
+
+        for k in range(len(names)):
+            for c in near(k, k + 1):
+                held[c] = held.get(c, 0) + 1
+        base = pii.base_spans(text)
+        taken = set()
+        for s, e, seed in sorted([(s, e, True) for _, s, e in base] + [(s, e, False) for s, e in pii.identifier_spans(text, base)]):
+            k = max(i for i, w in enumerate(words) if w[0] <= s)
+            behind = sum(w[0] < e for w in words)
+            found = near(k, behind)
+            value = text[s:e].lower()
+            place = names[max(0, k - 2) : k]
+            instances.append((doc, s, e, value, seed))
+            for c in found:
+                edges.setdefault(c, {}).setdefault(value, [False, set()])
+                edges[c][value][0] |= seed
+                edges[c][value][1].add(tuple(place))
+                if k not in taken and (c[0] != "s" or behind == k + 1):
+                    counted[c] = counted.get(c, 0) + 1
+            taken.add(k)
+    useful = {}
+    for c, values in edges.items():
+        seeds = sum(seed for seed, _ in values.values())
+        if seeds >= least_seeds and seeds >= len(values) * least_share and len(values) > seeds:
+            useful[c] = values
+    seeds = {v for values in useful.values() for v, (seed, _) in values.items() if seed}
+    score = {v: 1.0 if v in seeds else None for values in useful.values() for v in values}
+    for _ in range(rounds):
+        confidence = {}
+        for c, values in useful.items():
+            known = [score[v] for v in values if score[v] is not None]
+            confidence[c] = sum(known) / (len(known) + held.get(c, 0) - counted.get(c, 0))
+        for v in score:
+            best = {}
+            for c, values in useful.items():
+                for place in values[v][1] if v in values else ():
+                    best[place] = max(best.get(place, 0), confidence[c])
+            miss = 1.0
+            for x in best.values():
+                miss *= 1 - x
+            score[v] = 1.0 if v in seeds else 1 - miss
+    return {(doc, s, e) for doc, s, e, value, seed in instances if not seed and (score.get(value) or 0) >= least_score}
+
+
+def identifier_corpus(seed):
+    """Made texts: cues before and behind seeds and unseen identifiers, among words that stand there too."""
+    import random
+
+    r = random.Random(seed)
+
+    def phone():
+        return f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+
+    def email():
+        return f"{r.choice('abcdef')}{r.randint(0, 40)}@mail.example"
+
+    def number():
+        return str(r.randint(10_000_000, 99_999_999))
+
+    cues = [("my phone is {}", phone), ("member id:{} joined", email), ("account ({}) closed", number), ("of the {} thing", phone), ("Kundennummer {}", email), ("ticket no={} open", number)]
+    words = ["my phone is off", "member id: none", "of the day", "of the year", "open thing", "plain words here", "account closed", "Kundennummer fehlt"]
+    texts = []
+    for _ in range(r.randint(30, 60)):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            cue, make = r.choice(cues)
+            parts.append(cue.format(make() if r.random() < 0.6 else number()) if r.random() < 0.7 else r.choice(words))
+        texts.append(r.choice([" ", ", ", "; "]).join(parts))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_added_identifiers_equal_brute_force(spark, seed):
+    texts = identifier_corpus(seed)
+    got = {(r.doc_id, s["start"], s["end"]) for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s["kind"] == "id"}
+    want = brute_identifiers(texts)
+    assert got == want
+    assert seed or want
+
+
+def added(spark, texts):
+    return {r.doc_id for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if any(s["kind"] == "id" for s in r.spans)}
+
+
+def seeds(cue, n=12):
+    return [f"{k} {cue}+1 (415) 555-{1000 + k} ok" for k in range(n)]
+
+
+def test_words_behind_a_prefix_are_counted_as_instances_are(spark):
+    new = [f"please see id:9000000{k} ok" for k in range(3)]
+    assert added(spark, seeds("please see id:") + new) == {12, 13, 14}
+    assert added(spark, seeds("please see id:") + new + [f"please see id:other{k} ok" for k in range(200)]) == set()
+
+
+def test_one_word_cues_and_far_words_are_induced(spark):
+    varied = [f"{'wort' + 'e' * k} Kundennummer +49 30 12345{k:02}" for k in range(20)]
+    assert added(spark, [*varied, "anders Kundennummer 12345678", "anders Nummer 12345678 nicht"]) == {20, 21}  # one value, wherever it occurs
+    far = [f"{'x' * 500}{k % 3} call +1 (415) 555-{2000 + k}" for k in range(12)]
+    assert added(spark, [*far, f"{'x' * 500}1 call 415-555-9999"]) == {12}
+
+
+def test_many_unseen_identifiers_are_found_and_chance_seeds_are_not(spark):
+    new = [f"{k} badge number {70000000 + k} ok" for k in range(60)]
+    assert added(spark, seeds("badge number ", 40) + new) == set(range(40, 100))
+    assert added(spark, seeds("badge number ", 6) + new) == set()  # a tenth of seeds doesn't carry a pattern
+
+
+def test_precision_and_recall_on_planted_identifiers(spark):
+    """Unseen identifiers after cues that seeds share are found; numbers elsewhere are left alone."""
+    import random
+
+    r = random.Random(5)
+    texts, planted = [], set()
+    for k in range(400):
+        cue = r.choice(["you can reach me at", "my card ending", "call us on", "write to"])
+        n = r.randint(10_000_000, 99_999_999)
+        texts.append(r.choice([f"{cue} +44 20 {n} please", f"{cue} u{n}@mail.example please", f"{cue} {n} please", f"the year {n} was good", f"lot {n} sold", "nothing here at all"]))
+        if texts[-1].startswith(cue) and "+" not in texts[-1] and "@" not in texts[-1]:
+            planted.add(k)
+    got = added(spark, texts)
+    assert len(got & planted) == len(planted) > 40 and got == planted
