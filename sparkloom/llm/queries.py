@@ -80,6 +80,23 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
+#: SQL of what op2's links are made of; ``p``, ``v``, ``t``, ``u`` and ``path`` are columns or lambdas' names.
+_PATH = r"""CASE WHEN regexp_matches(path, '/\.\.?(/|$)') THEN '/' || array_to_string(list_concat(list_reduce(list_transform(string_split(path, '/')[2:], lambda x: [x]), lambda seen, x: CASE WHEN x = ['.'] THEN seen WHEN x = ['..'] THEN seen[:greatest(len(seen) - 1, 0)] ELSE list_concat(seen, x) END, CAST([] AS VARCHAR[])), CASE WHEN string_split(path, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') ELSE path END"""
+_RESOLVED = r"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR t = '' THEN NULL
+    WHEN t LIKE '//%' THEN regexp_extract(u, '(?s)^(.*?):', 1) || ':' || t WHEN t LIKE '#%' THEN u
+    ELSE regexp_extract(u, '(?s)^(.*?):', 1) || '://' || regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1) || CASE WHEN t LIKE '/%' THEN '' WHEN t LIKE '?%' THEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE coalesce(nullif(regexp_extract(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1), ''), '/') END || t END"""
+
+
+def _attribute(name: str) -> str:
+    raw = " || ".join(rf"""regexp_extract(t, '(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', {k})""" for k in (1, 2, 3))
+    named = " ".join(f"WHEN regexp_matches(p, '^{name};') THEN '{c}' || p[{len(name) + 2}:]" for name, c in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''")))
+    numeric = ""
+    for pattern, prefix in (("#([0-9]{1,7});", ""), ("#[xX]([0-9a-fA-F]{1,6});", "0x")):
+        code = f"CAST('{prefix}' || regexp_extract(p, '^{pattern}', 1) AS BIGINT)"
+        numeric += f" WHEN regexp_matches(p, '^{pattern}') THEN chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER)) || substr(p, strpos(p, ';') + 1)"
+    return f"trim(list_transform([{raw}], lambda v: string_split(v, '&')[1] || array_to_string(list_transform(string_split(v, '&')[2:], lambda p: CASE {named}{numeric} ELSE '&' || p END), ''))[1])"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_segment_topk": """
 WITH usable AS (
@@ -111,39 +128,41 @@ WITH RECURSIVE parts AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS rest
   FROM pages),
-named AS (SELECT *, nullif(host || path || rest, '') AS node FROM parts),
+named AS (SELECT *, nullif(host || {path} || rest, '') AS node FROM parts),
 tags AS (
-  SELECT node, host, path, regexp_extract(url, '(?s)^(.*?):', 1) AS scheme,
-         unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
-  FROM named),
+  SELECT url, node, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta|base)\b[^>]*>') AS tags
+  FROM named WHERE regexp_matches(html, '(?i)canonical|refresh')),
+bases AS (SELECT url, node, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base\b')), lambda t: {href}), lambda h: h <> '')[1] AS t, url AS u FROM tags),
+based AS (SELECT node, tags, coalesce({resolved}, url) AS u FROM bases),
+raw AS (
+  SELECT node, u, unnest(list_concat(
+    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<link\b') AND regexp_matches(lower({rel}), '(^|\s)canonical(\s|$)')), lambda t: {href}),
+    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\b') AND lower({equiv}) = 'refresh'), lambda t: trim(regexp_extract({content}, '(?is)\burl\s*=\s*["'']?([^"'']*)', 1))))) AS t
+  FROM based),
+urls AS (SELECT node, {resolved} AS u FROM raw WHERE t <> ''),
 targets AS (
-  SELECT node, host, path, scheme, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags
-  WHERE regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
-  UNION ALL
-  SELECT node, host, path, scheme, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
-  WHERE regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
-urls AS (
-  SELECT node, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN scheme || ':' || t WHEN t LIKE '/%' THEN scheme || '://' || host || t
-                    ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS u
-  FROM targets WHERE t <> ''),
-links AS (
-  SELECT node AS a, nullif(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1), '') AS b FROM urls),
+  SELECT node, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS rest
+  FROM urls),
+links AS (SELECT node AS a, nullif(host || {path} || rest, '') AS b FROM targets),
 edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
 rules(rule, verdict, rule_host, rule_path) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 all_nodes AS (SELECT DISTINCT other AS node, split_part(other, '/', 1) AS host FROM reach),
 node_rules AS (
-  SELECT n.node, arg_max(r.verdict, length(r.rule)) AS verdict
+  SELECT n.node, arg_max(r.verdict, (length(r.rule), r.rule)) AS verdict
   FROM all_nodes n JOIN rules r ON (regexp_extract(n.host, '^[^?]*') = r.rule_host OR ends_with(regexp_extract(n.host, '^[^?]*'), '.' || r.rule_host)) AND starts_with(substr(n.node, length(n.host) + 1), r.rule_path)
   GROUP BY n.node),
 alias AS (
   SELECT reach.node, min(reach.other) AS alias_of, CASE WHEN bool_or(v.verdict = 'allow') THEN 'allow' WHEN bool_or(v.verdict = 'block') THEN 'block' END AS verdict
   FROM reach LEFT JOIN node_rules v ON reach.other = v.node GROUP BY reach.node),
 best AS (
-  SELECT h.host, h.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  SELECT h.host, h.path, arg_max(r.rule, (length(r.rule), r.rule)) AS rule, arg_max(r.verdict, (length(r.rule), r.rule)) AS verdict
   FROM (SELECT DISTINCT host, path FROM named) h JOIN rules r ON (h.host = r.rule_host OR ends_with(h.host, '.' || r.rule_host)) AND starts_with(h.path, r.rule_path)
   GROUP BY h.host, h.path)
 SELECT n.page_id, n.host, n.path, b.rule, coalesce(b.verdict, a.verdict, 'allow') AS verdict, a.alias_of
 FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path LEFT JOIN alias a ON n.node = a.node
 """,
 }
+for _name, _sql in {"path": _PATH, "resolved": _RESOLVED, "href": _attribute("href"), "rel": _attribute("rel"), "equiv": _attribute("http-equiv"), "content": _attribute("content")}.items():
+    ORACLE_SQL["op2_url_filter"] = ORACLE_SQL["op2_url_filter"].replace("{" + _name + "}", _sql)

@@ -5,12 +5,18 @@ are also joined into classes of aliases by their canonical links, meta refreshes
 table of redirects: a page that no rule fits is blocked if some alias is blocked by a rule and none
 is allowed by one. Explicit allow rules thus come first, on the page itself and within a class.
 
+Links are read as browsers do: character references in attributes are decoded (the five of XML and
+numeric ones), targets are resolved against the page's URL or its first ``<base href>``, and dot
+segments go, also from the URLs of pages before they are compared as aliases. Comments and scripts hold
+no links. A target that isn't relative and has no ``://`` is none.
+
 Everything is DataFrame functions: rules become a literal map from host to its rules, which is looked
 up for each suffix of the page's host, and classes come from distributed connected components. Only
 URLs are shuffled, never page texts.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule and no aliases,
-and is allowed; null html has no links; every one of several equal rows is returned; an empty table
+and is allowed; null html has no links; html of any length is read whole; of rules of one length that
+fit, the one greatest in text counts; every one of several equal rows is returned; an empty table
 gives an empty table; only the named columns are read, so further columns of any name do no harm.
 """
 
@@ -39,9 +45,63 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; one that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/")
+    last_is_dot = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda seen, x: F.when(x == ".", seen).when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(x))),
+    )
+    joined = F.concat(F.lit("/"), F.array_join(F.when(last_is_dot, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), joined).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What stands for a URL among aliases: host, path and query; null where there is no ``://``."""
-    return F.nullif(F.concat(host_of(url), path_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 3)), F.lit(""))
+    """What stands for a URL among aliases: host, path without dot segments, query; null where there is no ``://``."""
+    return F.nullif(F.concat(host_of(url), without_dots(path_of(url)), F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 3)), F.lit(""))
+
+
+def _character(code: Column) -> Column:
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")), "UTF-32")
+
+
+def decoded(c: Column) -> Column:
+    """Character references of an attribute's value as the characters they stand for."""
+
+    def part(p: Column) -> Column:
+        named, decimal, hexadecimal = F.regexp_extract(p, r"^(amp|lt|gt|quot|apos);", 1), F.regexp_extract(p, r"^#([0-9]{1,7});", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        rest = F.substr(p, F.locate(";", p) + 1)
+        character = F.when(named == "amp", "&").when(named == "lt", "<").when(named == "gt", ">").when(named == "quot", '"').when(named == "apos", "'")
+        character = character.when(decimal != "", _character(decimal.cast("long"))).when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10).cast("long")))
+        return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), p))
+
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(c)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty where there is none."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(decoded(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The URL that ``target`` names on a page at ``base``; null if it names none."""
+    scheme = F.regexp_extract(base, r"(?s)\A(.*?):", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(base), r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") | (target == ""), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, path_of(base), target))
+        .when(F.startswith(target, F.lit("#")), base)
+        .otherwise(F.concat(site, folder, target))
+    )
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -67,18 +127,15 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``a, b``: a page's node and that of the URL it names as canonical or refreshes to."""
     html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)
-    hints = F.filter(tags, lambda t: t.rlike(r"(?i)\A<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b") | t.rlike(r"(?i)\A<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    target = F.transform(hints, lambda t: F.trim(F.when(t.rlike(r"(?i)\A<link\b"), F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))))
-    page = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("__url"), F.explode(target).alias("__to")).where("__to <> ''")
-    scheme = F.regexp_extract(F.col("__url"), r"(?s)\A(.*?):", 1)
-    absolute = (
-        F.when(F.col("__to").contains("://"), F.col("__to"))
-        .when(F.startswith("__to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("__to")))
-        .when(F.startswith("__to", F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("__url")), F.col("__to")))
-        .otherwise(F.concat(scheme, F.lit("://"), host_of(F.col("__url")), F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("__url")), r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/")), F.col("__to")))
-    )
-    return page.select(node_of(F.col("__url")).alias("a"), node_of(absolute).alias("b"))
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta|base)\b[^>]*>)"), 1)
+    found = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), tags.alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)\A<base\b")), lambda t: attribute(t, "href")), lambda h: h != "")
+    found = found.withColumn("base", F.coalesce(resolved(F.try_element_at(bases, F.lit(1)), F.col("url")), F.col("url")))
+    canonical = F.filter("tags", lambda t: t.rlike(r"(?i)\A<link\b") & F.lower(attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
+    refresh = F.filter("tags", lambda t: t.rlike(r"(?i)\A<meta\b") & (F.lower(attribute(t, "http-equiv")) == "refresh"))
+    targets = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: F.trim(F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1))))
+    links = found.select("url", "base", F.explode(targets).alias("to")).where("to <> ''")
+    return links.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("to"), F.col("base"))).alias("b"))
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,8 @@
+import random
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
 import duckdb
 import pytest
 
@@ -50,6 +55,127 @@ def test_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+class Links(HTMLParser):
+    """What a page names as canonical or refreshes to, read by an HTML parser."""
+
+    def __init__(self, url):
+        super().__init__()
+        self.url, self.base, self.targets = url, None, []
+
+    def handle_starttag(self, tag, attributes):
+        a = {k: (v or "").strip() for k, v in attributes}
+        if tag == "base" and a.get("href") and self.base is None:
+            self.base = a["href"]
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.targets.append(a.get("href", ""))
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            found = re.search(r"""\burl\s*=\s*["']?([^"']*)""", a.get("content", ""), re.IGNORECASE)
+            self.targets.append(found[1].strip() if found else "")
+
+    def links(self):
+        base = urljoin(self.url, self.base) if self.base else self.url
+        base = base if "://" in base else self.url
+        return [urljoin(base, t) for t in self.targets if t]
+
+
+def name(url):
+    """Host, path without dots and query of a URL."""
+    if not url or "://" not in url:
+        return None
+    head, rest = url.split("://", 1)
+    host, tail = re.match(r"([^/?#]*)([^#]*)", rest).groups()
+    path, _, query = tail.partition("?")
+    if re.search(r"/\.\.?(/|$)", path):
+        path = urlsplit(urljoin("http://h/", "http:" + path)).path
+    return host.lower() + path + tail[len(tail.partition("?")[0]) :] or None
+
+
+def rule_of(host, path):
+    fits = [r for r in queries.RULES if (host == r[0].split("/")[0] or host.endswith("." + r[0].split("/")[0])) and path.startswith("/" + r[0].split("/", 1)[1])]
+    return max(fits, key=lambda r: len(r[0]), default=(None, None))
+
+
+def judged_by_rules(pages):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, html in pages:
+        reader = Links(url or "")
+        if url and "://" in url and html:
+            reader.feed(html)
+            for to in reader.links():
+                if name(to) and name(url) and name(to) != name(url):
+                    a, b = find(name(url)), find(name(to))
+                    parent[max(a, b)] = min(a, b)
+    classes = {}
+    for x in parent:
+        host = re.match(r"[^/?]*", x)[0]
+        classes.setdefault(find(x), set()).add(rule_of(host, x[len(host) :].split("?")[0])[1])
+    out = []
+    for page, url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = host.lower()
+        rule, verdict = rule_of(host, path)
+        found = classes.get(find(name(url)), set()) if name(url) in parent else set()
+        alias = find(name(url)) if name(url) in parent else None
+        out.append((page, host, path, rule, verdict or next((v for v in ("allow", "block") if v in found), "allow"), alias))
+    return out
+
+
+def made_pages(seed):
+    r = random.Random(seed)
+    hosts = ["a.io", "b.io", "www.example.org", "foo.net", "sub.example.net", "example.com", "C.io"]
+    paths = ["/", "/en/", "/fr/1", "/de/x", "/q?a=1&b=2", "/q?a=1", "/d/e/f", "/d/k", "", "/d/./k", "/d/e/../k", "/d/e/.."]
+
+    def url():
+        return f"{r.choice(['http', 'https'])}://{r.choice(hosts)}{r.choice(paths)}"
+
+    def escaped(text):
+        return "".join(r.choice({"&": ["&amp;", "&#38;", "&#x26;"], "/": ["/", "/", "&#47;", "&#x2F;"]}.get(c, [c])) for c in text)
+
+    def target():
+        return escaped(r.choice([url(), url(), "//foo.net/de/x", "../k", "./k", "k", "?a=1&b=2", "#top", "/d/e/../k", "../../fr/1", "mailto:x@y", "q?u=http://a.io/"]))
+
+    def quoted(value):
+        return r.choice([f'"{value}"', f"'{value}'", f'" {value} "', value])
+
+    def tag():
+        t = target()
+        return r.choice(
+            [f"<link rel=canonical href={quoted(t)}>", f"<LINK HREF = {quoted(t)} REL='nofollow CANONICAL'>", f'<meta http-equiv="refresh" content="0; url={t}">', f"<META content=\"5;URL='{t}'\" HTTP-EQUIV=Refresh>"]
+            + [f"<base href={quoted(target())}>", f"<link rel=stylesheet href={quoted(t)}>", f"<!-- <link rel=canonical href={quoted(t)}> -->", f"<script>'<link rel=canonical href=x>'</script>", f"<link rel=canonical data-href={quoted(t)}>", "<p>canonical</p>"]
+        )
+
+    return [(k, r.choice([url(), url(), url(), url(), None, "plain"]), "".join(tag() for _ in range(r.choice([0, 0, 1, 1, 2])))) for k in range(200)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_and_verdicts_of_made_pages_follow_the_rules(spark, seed):
+    pages = made_pages(seed)
+    want = sorted(judged_by_rules(pages), key=str)
+    got = url_filter.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert sorted(con.execute(queries.ORACLE_SQL["op2_url_filter"]).fetchall(), key=str) == want
+    assert sum(x[5] is not None for x in want) > 10
+
+
+def test_long_html_and_rules_of_one_length(spark):
+    long = "<p>x</p>" * 200_000 + '<link rel=canonical href="http://b.org/ab">' + "<" * 100_000
+    pages = spark.createDataFrame([(1, "http://x.io/", long), (2, "http://a.b.org/abc", None)], "page_id long, url string, html string")
+    rules = [("b.org/ab", "block"), ("a.b.org/", "allow")]
+    assert len(rules[0][0]) == len(rules[1][0])
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_pages(pages, rules).collect()}
+    assert got == {1: (None, "block"), 2: ("b.org/ab", "block")}
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "empty"])
 def test_components(spark, shape):
     import random
