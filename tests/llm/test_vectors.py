@@ -33,6 +33,8 @@ def sql(rows, name):
 def test_top_k_is_exact_in_any_blocks(spark, rows, table, block, monkeypatch):
     monkeypatch.setattr(segment_topk, "BLOCK", block)
     monkeypatch.setattr(segment_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(segment_topk, "CHUNK", 3)
+    monkeypatch.setattr(segment_topk, "FIRST", 16)
     got = segment_topk.top_k(table.union(table.limit(20)), F.col("id") % 100 == 0)
     assert sorted(map(tuple, got.collect()), key=str) == sql(rows, "op5_segment_topk")
     assert segment_topk.top_k(table.limit(0), F.col("id") % 100 == 0).count() == 0
@@ -51,9 +53,56 @@ def test_bounds_lie_above_the_product():
 
 def test_products_beyond_doubles_stay_exact():
     big = np.array([[2.0**40, 3.0], [2.0**40, 1.0]])
-    assert segment_topk._exact(big, big).tolist() == [(1 << 63) - 1] * 2
+    assert segment_topk._exact(big, big).tolist() == [[(1 << 63) - 1] * 2] * 2
     mid = np.array([[2.0**30, 3.0]])
-    assert segment_topk._exact(mid, mid).tolist() == [(1 << 60) + 9]
+    assert segment_topk._exact(mid, mid).tolist() == [[(1 << 60) + 9]]
+
+
+def test_envelopes_hold_what_their_vectors_reach():
+    r = np.random.default_rng(8)
+    queries = r.integers(-900, 900, (25, 37)).astype(float)
+    blocks = [(r.integers(-900, 900, 37) + r.integers(-90, 90, (20, 37))).astype(float) for _ in range(12)]
+    best = np.stack([(queries @ b.T).max(axis=1) for b in blocks], axis=1)
+    envelopes = np.stack([segment_topk.envelope(b) for b in blocks])
+    for share in (0.2, 0.5, 0.9):
+        least = np.quantile(best, share, axis=1)
+        stays = segment_topk.reachable(queries, least, envelopes)
+        assert stays[best >= least[:, None]].all()
+    assert not stays.all()  # and some blocks are dropped
+
+
+def like_vectors(clusters=60, each=50, d=64, noise=0.15, seed=9):
+    """Groups of like vectors, in random order."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(clusters, d))
+    x = (centres[:, None, :] + noise * r.normal(size=(clusters, each, d))).reshape(-1, d)
+    x = x[r.permutation(len(x))]
+    return np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def test_bounds_drop_most_pairs_of_like_vectors():
+    x = like_vectors()
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 20)
+    true = x[asked] @ x.T
+    true[np.arange(len(asked)), asked] = -np.inf
+    least = np.sort(true, axis=1)[:, -10]
+    tally = {}
+    order = np.argsort(x[asked] @ x[0], kind="stable")
+    q, found, scores = segment_topk.best_of_block(asked[order], x[asked][order], ids, x, 10, least[order], tally)
+    assert tally["scored"] < 0.05 * tally["pairs"]
+    one = {}
+    segment_topk.best_of_block(asked[:50], x[asked[:50]], ids, x, 10, least[:50], one)
+    assert one["pairs"] >= one[1] >= one[4] >= one[16] == one["scored"]
+    want = sorted((int(a), int(b), int(true[i, b])) for i, a in enumerate(asked) for b in np.lexsort((ids, -true[i]))[:10])
+    assert sorted(zip(q.tolist(), found.tolist(), scores.tolist(), strict=True)) == want
+
+
+def test_ties_at_the_last_rank_go_to_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(segment_topk, "BLOCK", 16)
+    rows = [(k, [1.0, 0.0] if k % 3 else [0.5, 0.0]) for k in range(100)]
+    got = segment_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=7)
+    want = [k for k in range(100) if k % 3 and k]
+    assert {q: [r.vec_id for r in sorted(got.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50)} == {0: want[:7], 50: [k for k in want if k != 50][:7]}
 
 
 def test_links_components_and_recall(spark, rows, table, monkeypatch):
