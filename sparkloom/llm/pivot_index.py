@@ -1,11 +1,18 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its nearest reference points (pivots), nearest first. Inverted lists are
-kept for pairs of pivots, so two vectors meet in a list exactly if they share at least two of their
-nearest pivots. Whoever meets is verified by cosine in double precision. Two vectors that share many
-pivots meet in many lists; a link counts only in the list of their two smallest shared pivots.
-
-A list is worked through in blocks of bounded size. A pair of blocks yields, for each vector, how many
+Each vector is described by its eight nearest reference points (pivots), nearest first. Inverted lists
+are kept for each vector's three nearest pivots. Two vectors are compared if they meet in a list and
+share at least two of their eight pivots; whoever is compared is verified by cosine in double
+precision. Two vectors that meet in several lists count in that of their smallest shared pivot only.
+
+Pivots grow with the number of vectors, so that lists don't: up to 1,024 are compared to each vector
+directly, beyond that each of 1,024 has up to 32 of its own, and a vector is compared to those of its
+eight nearest. A list that is very long all the same is cut by the second shared pivot: its members
+stand in a list for each pair of that pivot and another of their eight, which loses nothing, as two
+pivots must be shared anyway.
+
+Postings carry a vector once for each list. A list is worked through in blocks of bounded size, whose
+number is known before vectors move, so they are shuffled once. A pair of blocks yields, for each vector, how many
 links it has there and the least vector of its component among the links there, never the links
 themselves; so a group of very many near copies costs rows in proportion to its members.
 
@@ -33,32 +40,70 @@ from sparkloom.llm.common import durable, map_arrow
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.vectors import one_for_each_id
 
-#: Pivots grow with the square root of the number of vectors, between these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 1024
-#: Nearest pivots that describe a vector; each doubling of the pivots beyond 256 adds two.
-NEAREST = 8
-#: Wished length of a pair's list, and rows of a block.
-LIST, BLOCK = 32, 1024
-#: The sample has so many vectors for each pivot; pivots are less alike than this, if enough are.
-SAMPLED, APART = 8, 0.8
+#: Pivots of the first kind, and pivots that each of them may have of its own: 32,768 at most.
+LEAST_PIVOTS, MOST_PIVOTS, OWN_PIVOTS = 64, 1024, 32
+#: Nearest pivots that describe a vector, those of them that it is listed under, and how many two must share.
+NEAREST, LISTED, SHARED = 8, 3, 2
+#: Wished length of a list, rows of a block, and blocks from which a list is cut by second pivots.
+LIST, BLOCK, LONG = 256, 1024, 32
+#: The sample has so many vectors for each pivot, in so many bytes; pivots are less alike than this, if enough are.
+SAMPLED, SAMPLE_BYTES, APART = 8, 1 << 27, 0.8
+#: Pairs whose pivots are compared at once.
+TOGETHER = 100_000
 
 
 def pivot_count(n: int) -> int:
-    pairs = NEAREST * (NEAREST - 1) // 2
-    return max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(2 * pairs * n // LIST)))
+    return max(LEAST_PIVOTS, min(MOST_PIVOTS * OWN_PIVOTS, LISTED * n // LIST))
 
 
 def spread(sample: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` unit vectors that lie apart from those before; all such, if fewer."""
-    chosen = np.zeros((0, sample.shape[1]))
+    chosen = np.zeros((n, sample.shape[1]))
+    count = 0
     for x in sample:
-        if len(chosen) < n and (chosen @ x < APART).all():
-            chosen = np.vstack([chosen, x])
-    return chosen
-
-
-def nearest_count(pivots: int) -> int:
-    return min(pivots, NEAREST + 2 * max(0, round(math.log2(max(1, pivots) / 256))))
+        if count < n and (chosen[:count] @ x < APART).all():
+            chosen[count] = x
+            count += 1
+    return chosen[:count]
+
+
+class Pivots:
+    """Pivots of one or two levels, made from unit vectors; at most MOST_PIVOTS * OWN_PIVOTS."""
+
+    def __init__(self, sample: np.ndarray, wanted: int):
+        first = spread(sample, min(wanted, MOST_PIVOTS))
+        if len(first) < 2:  # all alike: any second pivot makes lists of all
+            first = np.vstack([first, -first])
+        self.first, self.own = first, []
+        if wanted > MOST_PIVOTS:
+            near = (sample @ first.T).argmax(axis=1)
+            for k in range(len(first)):
+                own = spread(sample[near == k], -(-wanted // MOST_PIVOTS))
+                self.own.append(own if len(own) else first[k : k + 1])
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in self.own])]).astype(np.int64) if self.own else None
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The numbers of each unit vector's nearest pivots, nearest first; -1 where there are fewer."""
+        near = -(x @ self.first.T)
+        order = np.argsort(near, axis=1, kind="stable")[:, :NEAREST]
+        if not self.own:
+            return _padded(order, NEAREST)
+        width = max(len(own) for own in self.own)
+        scores = np.full((len(x), order.shape[1], width), -np.inf)
+        for k in np.unique(order).tolist():
+            rows, at = np.nonzero(order == k)
+            scores[rows, at, : len(self.own[k])] = x[rows] @ self.own[k].T
+        numbers = (self.starts[order][:, :, None] + np.arange(width)).reshape(len(x), -1)
+        scores = scores.reshape(len(x), -1)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :NEAREST]
+        found = np.take_along_axis(numbers, best, axis=1)
+        return _padded(np.where(np.isneginf(np.take_along_axis(scores, best, axis=1)), -1, found), NEAREST)
+
+
+def _padded(numbers: np.ndarray, width: int) -> np.ndarray:
+    out = np.full((len(numbers), width), -1, dtype=np.int16)
+    out[:, : numbers.shape[1]] = numbers
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -67,30 +112,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """``id, vector`` with ``pivots array<int>``: the nearest, nearest first."""
+def describe(vectors: DataFrame, pivots: Pivots) -> DataFrame:
+    """``id, vector`` with ``pivots array<short>``: the nearest, nearest first."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS * OWN_PIVOTS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * order.shape[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.reshape(-1)))], [*batch.schema.names, "pivots"])
+            found = [shared.value.nearest(_unit(x[i : i + 2048])) for i in range(0, len(x), 2048)]
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * NEAREST
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).reshape(-1) if found else np.zeros(0, np.int16)))], [*batch.schema.names, "pivots"])
 
-    return map_arrow(vectors, run, f"id {vectors.schema['id'].dataType.simpleString()}, vector {vectors.schema['vector'].dataType.simpleString()}, pivots array<int>")
+    return map_arrow(vectors, run, f"id {vectors.schema['id'].dataType.simpleString()}, vector {vectors.schema['vector'].dataType.simpleString()}, pivots array<short>")
 
 
-def _first_shared(left: np.ndarray, right: np.ndarray, one: int, two: int) -> np.ndarray:
-    """Whether ``one`` and ``two`` are the smallest pivots that two rows share."""
-    both = np.concatenate([left, right])
-    smaller = (both < two) & (both != one)
-    names = np.unique(both[smaller])
-    if not len(names):
-        return np.ones((len(left), len(right)), dtype=bool)
-    has = np.zeros((len(both), len(names)), dtype=np.float32)
-    rows, columns = np.nonzero(smaller)
-    has[rows, np.searchsorted(names, both[rows, columns])] = 1
-    return has[: len(left)] @ has[len(left) :].T == 0
+def counts_here(one: int, two: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows of pivots share enough, and count in the list of ``one`` (cut by ``two``, unless -1)."""
+    far = np.iinfo(np.int16).max
+    same = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] >= 0)
+    listed = np.where(same[:, :LISTED, :LISTED].any(axis=2), left[:, :LISTED], far).min(axis=1) == one
+    shared = same.any(axis=2)
+    ok = listed & (shared.sum(axis=1) >= SHARED)
+    if two >= 0:
+        ok &= np.where(shared & (left != one), left, far).min(axis=1) == two
+    return ok
 
 
 def _least_labels(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +151,20 @@ def _least_labels(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = new_a, new_b
 
 
-def links_of_block(pair: int, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links_of_block(one: int, two: int, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, link counts and component roots of the vectors with links in one block or pair of blocks.
 
     ``side``: 0 and 1 for a pair of different blocks, 2 for a block with itself.
     """
-    one, two = divmod(pair, MOST_PIVOTS)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     linked = x[left] @ x[right].T >= threshold
     linked &= ids[left][:, None] != ids[right][None, :]
+    a, b = np.nonzero(linked)
+    for start in range(0, len(a), TOGETHER):
+        part = a[start : start + TOGETHER], b[start : start + TOGETHER]
+        linked[part] = counts_here(one, two, pivots[left[part[0]]], pivots[right[part[1]]])
     if not linked.any():
         return ids[:0], np.zeros(0, dtype=np.int64), ids[:0]
-    linked &= _first_shared(pivots[left], pivots[right], one, two)
     of_left, of_right = linked.sum(axis=1), linked.sum(axis=0)
     label_left, label_right = _least_labels(linked)
     names = np.concatenate([ids[left], ids[right]])
@@ -128,17 +175,29 @@ def links_of_block(pair: int, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray
     return names[n > 0], n[n > 0], names[label[n > 0]]
 
 
-def find_links(described: DataFrame, nearest: int, threshold: float) -> DataFrame:
+def _postings(described: DataFrame) -> DataFrame:
+    """A row for each list that a vector stands in: ``one, two, blocks, id, vector, pivots`` (``two`` -1 in uncut lists)."""
+    under = F.explode(F.filter(F.slice("pivots", 1, LISTED), lambda p: p >= 0)).alias("one")
+    lengths = described.select(under).groupBy("one").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lengths = durable(lengths.select("one", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
+    # A row for each pivot, so at most MOST_PIVOTS * OWN_PIVOTS.
+    listed = described.select("id", "vector", "pivots", under).join(F.broadcast(lengths), "one")
+    whole = listed.where(F.col("blocks") <= LONG).withColumn("two", F.lit(-1).cast("short"))
+    if lengths.where(F.col("blocks") > LONG).isEmpty():
+        return whole
+    other = F.explode(F.filter("pivots", lambda p: (p >= 0) & (p != F.col("one")))).alias("two")
+    long = listed.where(F.col("blocks") > LONG).drop("blocks").select("id", "vector", "pivots", "one", other)
+    cut = long.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return whole.unionByName(long.join(cut, ["one", "two"]))
+
+
+def find_links(described: DataFrame, threshold: float) -> DataFrame:
     """``id, n, root`` from each block that a vector has links in."""
-    pairs = F.array(*(F.least(F.col("pivots")[i], F.col("pivots")[j]) * MOST_PIVOTS + F.greatest(F.col("pivots")[i], F.col("pivots")[j]) for i, j in itertools.combinations(range(nearest), 2)))
-    postings = described.select("id", F.explode(pairs).alias("pair"))
-    blocks = postings.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = described.select("id", "vector", "pivots", F.explode(pairs).alias("pair")).join(blocks, "pair")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    placed = dealt.select("pair", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "vector", "pivots", side.alias("side"))
-    together = placed.repartition("pair", "low", "high").sortWithinPartitions("pair", "low", "high")
+    dealt = _postings(described).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte")
+    placed = dealt.select("one", "two", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "vector", "pivots", side.alias("side"))
+    together = placed.repartition("one", "two", "low", "high").sortWithinPartitions("one", "two", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -150,16 +209,16 @@ def find_links(described: DataFrame, nearest: int, threshold: float) -> DataFram
                     return
                 ends, columns = [len(held[0])], held
             else:
-                place = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1).astype(np.int64)
-                x = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                columns = (place, batch.column(3).to_numpy(zero_copy_only=False), _unit(x), batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False))
+                place = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1).astype(np.int64)
+                x = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                columns = (place, batch.column(4).to_numpy(zero_copy_only=False), _unit(x), batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(7).to_numpy(zero_copy_only=False))
                 if held is not None:
                     columns = tuple(np.concatenate(c) for c in zip(held, columns, strict=True))
                 ends = (np.flatnonzero((columns[0][1:] != columns[0][:-1]).any(axis=1)) + 1).tolist()
             start, out = 0, []
             for end in ends:
                 if end - start > 1:
-                    out.append(links_of_block(int(columns[0][start, 0]), *(c[start:end] for c in columns[1:]), threshold))
+                    out.append(links_of_block(int(columns[0][start, 0]), int(columns[0][start, 1]), *(c[start:end] for c in columns[1:]), threshold))
                 start = end
             held = None if batch is None else tuple(c[start:] for c in columns)
             if out:
@@ -177,12 +236,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     for row in nonzero.groupBy(F.size("vector").alias("d")).count().collect():  # lengths of vectors: one, as a rule
         same = nonzero.where(F.size("vector") == row.d)
         wanted = pivot_count(row["count"])
-        sample = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * wanted).collect()  # at most SAMPLED * MOST_PIVOTS rows
-        pivots = spread(_unit(np.array([p.vector for p in sample], dtype=np.float64)), wanted)
-        if len(pivots) < 2:  # all alike: any second pivot makes lists of all
-            pivots = np.vstack([pivots, -pivots])
-        nearest = nearest_count(len(pivots))
-        links = find_links(durable(describe(same, pivots, nearest), "described"), nearest, threshold)
+        most = max(2, min(SAMPLED * wanted, SAMPLE_BYTES // (8 * row.d)))
+        sample = same.orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toArrow().column(0).combine_chunks()
+        x = _unit(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sample), -1))
+        links = find_links(durable(describe(same, Pivots(x, wanted)), "described"), threshold)
         found = links if found is None else found.union(links)
     if found is None:
         found = every.where("false").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))

@@ -121,7 +121,36 @@ def test_links_components_and_recall(spark, rows, table, monkeypatch):
 
 
 def test_a_link_counts_in_one_list():
-    left = np.array([[1, 2, 5], [1, 3, 5]])
-    right = np.array([[1, 2, 5], [2, 5, 7]])
-    assert pivot_index._first_shared(left, right, 1, 5).tolist() == [[False, False], [True, True]]
-    assert pivot_index._first_shared(left, right, 2, 5).tolist() == [[False, True], [False, True]]
+    left = np.array([[1, 2, 5, 9], [3, 1, 5, 9], [1, 2, 4, -1], [5, 2, 1, 8]], dtype=np.int16)
+    right = np.array([[1, 5, 2, 7], [1, 5, 8, 3], [1, 7, 8, -1], [9, 8, 7, 1]], dtype=np.int16)
+    # 1 and 2 shared and 1 the least list; 1, 3 and 5; only 1; shared pivots, but no list of both
+    assert pivot_index.counts_here(1, -1, left, right).tolist() == [True, True, False, False]
+    assert pivot_index.counts_here(5, -1, left, right).tolist() == [False] * 4
+    assert pivot_index.counts_here(1, 2, left, right).tolist() == [True, False, False, False]
+    assert pivot_index.counts_here(1, 3, left, right).tolist() == [False, True, False, False]
+
+
+def test_cut_lists_and_two_levels_find_what_whole_lists_do(spark, rows, table, monkeypatch):
+    usual = sorted(map(tuple, pivot_index.near_duplicates(table).collect()), key=str)
+    monkeypatch.setattr(pivot_index, "BLOCK", 8)
+    monkeypatch.setattr(pivot_index, "LONG", 2)
+    assert sorted(map(tuple, pivot_index.near_duplicates(table).collect()), key=str) == usual
+    monkeypatch.setattr(pivot_index, "MOST_PIVOTS", 8)
+    monkeypatch.setattr(pivot_index, "OWN_PIVOTS", 12)
+    deep = sorted(map(tuple, pivot_index.near_duplicates(table).collect()), key=str)
+    want = sql(rows, "op8_pivot_index")
+    assert sum(g[1] for g in deep) >= 0.9 * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(deep, want, strict=True))
+
+
+def test_recall_of_links_just_above_the_threshold(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = pivot_index.near_duplicates(table).collect()
+    assert sum(row.n_links for row in got) >= 0.95 * 3000
+    assert all(row.n_links <= 1 and row.component_id in (row.vec_id, row.vec_id - 1500) for row in got)
