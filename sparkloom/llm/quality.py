@@ -8,7 +8,8 @@ scoring goes over all texts in parallel.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; texts of
 any length count whole; each of several equal rows is scored; contradictory labels of one document
-count by their mean, halves as 1; without usable labels the score is 0.5; an empty table gives an
+count by their mean, halves as 1; of several documents of one id the one with the least hash of its
+text is learned from; without usable labels the score is 0.5; an empty table gives an
 empty table; only the id and the text column of the documents and the id and label column of the
 labels are read, so further columns of any name do no harm.
 """
@@ -109,7 +110,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from: Column, sample: int
     """The weight table, learned from documents whose id fulfils ``learn_from``; None without labels.
 
     ``sample`` bounds the labelled documents: ids are taken whose hash lies under the share that
-    gives as many. They go to one task, in the order of that hash.
+    gives as many (about: each id's hash decides for itself). One row of each goes to one task, where
+    they are learned from in the order of that hash, so every run learns the same weights.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(learn_from).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("__label"))
     count = usable.count()
@@ -119,20 +121,20 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from: Column, sample: int
     share = min(1.0, sample / count)
     if share < 1:
         usable = usable.where(F.shiftrightunsigned(order, 11) < F.lit(int(share * (1 << 53))))
-    # About ``sample`` rows of an id and a label: small at any input size.
-    chosen = documents.where(learn_from).select(id_col, text_col).join(F.broadcast(usable), id_col).select(order.alias("order"), F.col("__label"), F.col(text_col).alias("text"))
+    # About ``sample`` rows of an id and a label: small at any input size. Of rows that share an id the one
+    # with the least hash of its text counts, so neither copies nor the order of arrival make a difference.
+    chosen = documents.where(learn_from).select(id_col, text_col).join(F.broadcast(usable), id_col).select(F.struct(order.alias("order"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__label").alias("label"), F.col(text_col).alias("text")).alias("row"))
+    chosen = chosen.groupBy("row.id").agg(F.min("row").alias("row")).select("row.order", "row.id", "row.label", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, seen = [], 0
-        for part, texts in text_slices(batches, 2):
-            for key, label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                seen += 1
-                if seen <= 2 * sample:  # ids that many rows share can't make the task grow
-                    rows.append((key, *features(text), label))
-        rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+        rows = []
+        for part, texts in text_slices(batches, 3):
+            for key, own, label, text in zip(*(part.column(k).to_pylist() for k in range(3)), texts, strict=True):
+                rows.append((key, own, *features(text), label))
+        rows.sort(key=lambda r: r[:2])
         model = Ftrl()
         for _ in range(epochs):
-            for _, slots, values, label in rows:
+            for _, _, slots, values, label in rows:
                 model.learn(slots, values, label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], ["weights", "rows"])
 
