@@ -5,7 +5,7 @@ are padded with a space) by rank. A text's own list is compared to each profile
 distance: the sum, over the text's n-grams, of how far their ranks lie apart, or the greatest distance
 for n-grams that the profile lacks. The nearest profile wins, ties go to the smaller name.
 
-Profiles count all training texts: each task sums its own counts, Spark adds them up. N-grams are held
+Profiles count all training texts: tasks sum counts up to a bound, Spark adds them up. N-grams are held
 as 32-bit hashes.
 
 Defined results: a text that is null or without any letter is ``und`` with score 0, as is every text
@@ -30,6 +30,8 @@ from sparkloom.llm.common import fields_of, map_arrow, text_slices
 RANKS = 400
 #: More languages than this are refused: profiles are held by every task.
 MOST_LANGUAGES = 2_000
+#: Counts that a task holds before it hands them on; Spark adds up what several hands give.
+HELD = 2_000_000
 BLOCK = 1 << 18
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -98,14 +100,21 @@ def learn(documents: DataFrame, learn_from: Column, text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, (grams, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            sums.clear()
+
         for part, texts in text_slices(batches, 1):
             new: dict[str, list] = {}
             for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 new.setdefault(lang, []).append(counts(text))
             for lang, parts in new.items():
                 sums[lang] = _added([*([sums[lang]] if lang in sums else []), *parts])
-        for lang, (grams, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            if sum(len(grams) for grams, _ in sums.values()) > HELD:
+                yield from flushed()
+        yield from flushed()
 
     texts = documents.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
     totals = map_arrow(texts, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
