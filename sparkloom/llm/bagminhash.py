@@ -2,7 +2,8 @@
 
 A shingle's weight is how often it occurs. The weights up to a doubling bound, (0, 1], (1, 2],
 (2, 4], ..., each carry a Poisson process of points; a point falls on one slot of the signature and,
-by halving its interval again and again, on one unit of weight. Slots keep the least point among the
+as the bits of one random number halve its interval again and again, on one unit of weight (all
+halvings are read at once, as a fraction of the interval's width). Slots keep the least point among the
 units that a document's weights cover. Points come in ascending order, so a shingle is given up as
 soon as its next point lies beyond the largest slot. Two signatures agree in a slot with probability
 sum(min) / sum(max) of the weights.
@@ -50,6 +51,8 @@ BLOCK = 1 << 19
 JOINED_PAIRS = 512
 #: Rows of a block: texts outside a bucket's largest component, and any texts.
 BLOCK_Y, BLOCK_X = 512, 1024
+#: Shingles, counted as often as they occur, that a task keeps of earlier blocks: 64 MB.
+HELD_UNITS = 1 << 23
 #: 64-bit words of the bitmap of wanted texts: 8 MB, whatever the input.
 BITMAP_BITS = 20
 
@@ -269,6 +272,7 @@ def _compare_blocks(side: DataFrame, texts: DataFrame, threshold: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
+        held = 0
         place, rows = None, []
 
         def finish() -> Iterator[pa.RecordBatch]:
@@ -288,9 +292,10 @@ def _compare_blocks(side: DataFrame, texts: DataFrame, threshold: float) -> Data
                     yield from finish()
                     place, rows = here, []
                 if key not in known:
-                    if len(known) > 4 * BLOCK_X:
-                        known.clear()
+                    if held > HELD_UNITS:
+                        known, held = {}, 0
                     known[key] = _units(shingles(words_of(text.as_py())))
+                    held += len(known[key])
                 rows.append((is_x, key, known[key]))
         yield from finish()
 
