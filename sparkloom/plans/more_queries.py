@@ -113,19 +113,12 @@ def group_fingerprints(t: Tables) -> DataFrame:
     return a.join(b, "o_orderstatus").select("o_orderstatus", "rows", (F.col("fingerprint") == F.col("f")).alias("stable"))
 
 
-@query("required_documents", "SELECT DISTINCT n_name AS wanted, n_nationkey AS found FROM nation UNION ALL SELECT '999', NULL")
-def required_documents(t: Tables) -> DataFrame:
-    """Documents by title, else by id (Q18)."""
-    asked = t.nation.select(F.when(F.col("n_nationkey") < 0, F.col("n_nationkey").cast("string")).otherwise(F.col("n_name")).alias("wanted")).union(t.spark.sql("SELECT '999'"))
-    return retrieval.required_documents(asked, t.nation, "wanted", "n_nationkey", "n_name").select("wanted", "found")
-
-
 @query(
-    "required_documents_whole",
+    "required_documents",
     """WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), a AS (SELECT CASE WHEN doc_id % 2 = 0 THEN title ELSE CAST(doc_id AS VARCHAR) END AS wanted FROM d UNION ALL SELECT 'none')
        SELECT wanted, coalesce(b.id, d.doc_id) AS found FROM a LEFT JOIN (SELECT title, min(doc_id) AS id FROM d GROUP BY 1) b ON wanted = b.title LEFT JOIN d ON wanted = CAST(d.doc_id AS VARCHAR)""",
 )
-def required_documents_whole(t: Tables) -> DataFrame:
+def required_documents(t: Tables) -> DataFrame:
     """Half of all documents asked for by their first line, half by id (Q18)."""
     docs = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
     asked = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.col("doc_id").cast("string")).alias("wanted")).union(t.spark.sql("SELECT 'none'"))
@@ -220,23 +213,15 @@ def due_events(t: Tables) -> DataFrame:
     return ticks.due_events(rows, schedule, "conv_id", "tick", "at").select("conv_id", "tick", "event")
 
 
-@query("proportional_transcript", "SELECT n_nationkey AS conv_id, tick, CASE tick WHEN 0 THEN left(n_name, CAST(ceil(length(n_name) / 3) AS INTEGER)) WHEN 1 THEN substr(n_name, CAST(ceil(length(n_name) / 3) AS INTEGER) + 1, CAST(ceil(length(n_name) * 2 / 3) - ceil(length(n_name) / 3) AS INTEGER)) ELSE substr(n_name, CAST(ceil(length(n_name) * 2 / 3) AS INTEGER) + 1) END AS piece FROM nation, range(3) r(tick)")
-def proportional_transcript(t: Tables) -> DataFrame:
-    """Recognised speech dealt out over the ticks it covers."""
-    words = t.nation.select(F.col("n_nationkey").alias("conv_id"), F.lit(0).cast("long").alias("s"), F.lit(2).cast("long").alias("e"), F.col("n_name").alias("text"))
-    grid = t.nation.select(F.col("n_nationkey").alias("conv_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("tick"))
-    return ticks.proportional_transcript(grid, words, ["conv_id"], "tick", "s", "e", "text", 1).select("conv_id", "tick", "piece")
-
-
 @query(
-    "proportional_transcript_whole",
+    "proportional_transcript",
     """WITH w AS (SELECT conv_id, CAST(turn AS BIGINT) // 2 AS pair, turn * 3 + turn // 2 * 2 AS s, text FROM conversations),
        u AS (SELECT conv_id, min(s) AS s, max(s) + 2 AS e, string_agg(text, ' ' ORDER BY s, text) AS text FROM w GROUP BY conv_id, pair),
        k AS (SELECT *, unnest(range(s, e + 1)) AS tick FROM u),
        p AS (SELECT *, CAST(ceil((tick - s) / (e - s + 1) * length(text)) AS BIGINT) AS t1, CAST(ceil((tick - s + 1) / (e - s + 1) * length(text)) AS BIGINT) AS t2 FROM k)
        SELECT conv_id, CAST(tick AS BIGINT) AS tick, substr(text, t1 + 1, t2 - t1) AS piece FROM p""",
 )
-def proportional_transcript_whole(t: Tables) -> DataFrame:
+def proportional_transcript(t: Tables) -> DataFrame:
     """All turns of conversations, three ticks each with a pause after every second, dealt out over the ticks."""
     at = F.col("turn").cast("long") * 3 + F.floor(F.col("turn") / 2) * 2
     words = t.conversations.select("conv_id", at.alias("s"), (at + 2).alias("e"), "text")

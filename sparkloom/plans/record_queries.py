@@ -93,15 +93,17 @@ def leaf_totals(t: Tables) -> DataFrame:
     return flatten.leaf_totals(nested, "event_id", "j")
 
 
-@query("markdown_sections", "SELECT n_nationkey, unnest(['001_' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') || '_1', '002_facts_1', '003_facts_2']) AS section_id FROM nation")
+@query(
+    "markdown_sections",
+    r"""WITH d AS (SELECT conv_id, '# Conversation' || chr(10) || string_agg('## ' || role || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS md FROM conversations GROUP BY 1),
+       s AS (SELECT conv_id, string_split(md, chr(10)) AS lines FROM d),
+       l AS (SELECT conv_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
+       h AS (SELECT *, regexp_matches(line, '^#{1,6}\s') AS heading, sum(CAST(regexp_matches(line, '^#{1,6}\s') AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY pos) AS section FROM l),
+       c AS (SELECT conv_id, section, string_agg(line, chr(10) ORDER BY pos) AS body, max(CASE WHEN heading THEN regexp_replace(line, '^#{1,6}\s+', '') END) AS title FROM h GROUP BY ALL),
+       g AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS slug FROM c)
+       SELECT conv_id, printf('%03d', row_number() OVER (PARTITION BY conv_id ORDER BY section)) || '_' || slug || '_' || row_number() OVER (PARTITION BY conv_id, slug ORDER BY section) AS section_id, title, body FROM g""",
+)
 def markdown_sections(t: Tables) -> DataFrame:
-    """Markdown cut at its headings."""
-    docs = t.nation.select("n_nationkey", F.concat(F.lit("# "), "n_name", F.lit("\nbody\n## Facts\n- x\n### Facts\n- y")).alias("md"))
-    return flatten.markdown_sections(docs, "n_nationkey", "md").select("n_nationkey", "section_id")
-
-
-@query("markdown_sections_whole")
-def markdown_sections_whole(t: Tables) -> DataFrame:
     """Whole conversations as Markdown, a heading for each turn, cut at the headings."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     parts = F.transform(turns, lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"]))
@@ -206,22 +208,10 @@ def paired_calls(t: Tables) -> DataFrame:
 
 @query(
     "segment_assignment",
-    """WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey - 100 AS s, o_orderkey AS e FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT o_custkey, o_orderkey AS at FROM orders WHERE o_orderkey % 3 = 1)
-       SELECT p.o_custkey, p.at, CAST(coalesce(min(s.n) FILTER (s.e >= p.at), max(s.n)) AS INTEGER) AS n FROM p LEFT JOIN s USING (o_custkey) GROUP BY ALL""",
-)
-def segment_assignment(t: Tables) -> DataFrame:
-    """Points to the first segment that ends after them, else the last."""
-    bounds = t.orders.where("o_orderkey % 3 = 0").select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"), (F.col("o_orderkey") - 100).alias("s"), F.col("o_orderkey").alias("e"))
-    points = t.orders.where("o_orderkey % 3 = 1").select("o_custkey", F.col("o_orderkey").alias("at"))
-    return joins.assign_segment(points, bounds, ["o_custkey"], "at", "s", "e", "n")
-
-
-@query(
-    "segment_assignment_whole",
     """WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey - 100 AS s, o_orderkey AS e FROM orders), p AS (SELECT o_custkey, o_orderkey + 37 AS at FROM orders)
        SELECT p.o_custkey, p.at, CAST(coalesce(min(s.n) FILTER (s.e >= p.at), max(s.n)) AS INTEGER) AS n FROM p LEFT JOIN s USING (o_custkey) GROUP BY ALL""",
 )
-def segment_assignment_whole(t: Tables) -> DataFrame:
+def segment_assignment(t: Tables) -> DataFrame:
     """All orders as segments, and a point after each."""
     bounds = t.orders.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"), (F.col("o_orderkey") - 100).alias("s"), F.col("o_orderkey").alias("e"))
     points = t.orders.select("o_custkey", (F.col("o_orderkey") + 37).alias("at"))

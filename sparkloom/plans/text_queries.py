@@ -58,24 +58,11 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 @query(
     "cosine_batch",
-    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
-       SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id) AS INTEGER) AS rank
-       FROM e, (SELECT * FROM e ORDER BY vec_id LIMIT 5) q QUALIFY rank <= 3""",
-)
-def cosine_batch(t: Tables) -> DataFrame:
-    """The nearest rows to each of a small query set (Q05, Q11)."""
-    queries = t.embeddings.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    docs = t.embeddings.select("vec_id", "embedding")
-    return retrieval.cosine_batch(docs, "vec_id", "embedding", queries, "query_id", "asked", 3).withColumn("score", F.round("score", 6))
-
-
-@query(
-    "cosine_batch_whole",
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
        SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 6) DESC, e.vec_id) AS INTEGER) AS rank
        FROM e, (SELECT * FROM e WHERE vec_id % 50 = 0) q QUALIFY rank <= 3""",
 )
-def cosine_batch_whole(t: Tables) -> DataFrame:
+def cosine_batch(t: Tables) -> DataFrame:
     """The nearest rows to each of the searches' queries, every id divisible by 50 (Q05, Q11)."""
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     docs = t.embeddings.select("vec_id", "embedding")
@@ -153,14 +140,8 @@ def same_json_shape(t: Tables) -> DataFrame:
     return t.events.agg(F.count(F.lit(1)).alias("n"), F.count_if(alike).alias("alike"))
 
 
-@query("text_pieces", "SELECT n_nationkey, [substr(n_name, 1, CAST(floor(length(n_name) / 3) AS INTEGER)), substr(n_name, CAST(floor(length(n_name) / 3) AS INTEGER) + 1, CAST(floor(length(n_name) * 2 / 3) - floor(length(n_name) / 3) AS INTEGER)), substr(n_name, CAST(floor(length(n_name) * 2 / 3) AS INTEGER) + 1, CAST(length(n_name) - floor(length(n_name) * 2 / 3) AS INTEGER))] AS pieces FROM nation")
+@query("text_pieces", "SELECT doc_id, [substr(text, 1, CAST(floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) / 3) AS INTEGER) + 1, CAST(floor(length(text) * 2 / 3) - floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) * 2 / 3) AS INTEGER) + 1, CAST(length(text) - floor(length(text) * 2 / 3) AS INTEGER))] AS pieces FROM documents")
 def text_pieces(t: Tables) -> DataFrame:
-    """A text cut evenly."""
-    return t.nation.select("n_nationkey", text.pieces("n_name", 3).alias("pieces"))
-
-
-@query("text_pieces_whole", "SELECT doc_id, [substr(text, 1, CAST(floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) / 3) AS INTEGER) + 1, CAST(floor(length(text) * 2 / 3) - floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) * 2 / 3) AS INTEGER) + 1, CAST(length(text) - floor(length(text) * 2 / 3) AS INTEGER))] AS pieces FROM documents")
-def text_pieces_whole(t: Tables) -> DataFrame:
     """Whole documents cut evenly."""
     return t.documents.select("doc_id", text.pieces("text", 3).alias("pieces"))
 
@@ -172,16 +153,15 @@ def system_errors(t: Tables) -> DataFrame:
     return t.orders.where(flag).select("o_orderkey")
 
 
-@query("masked_terms", "SELECT n_nationkey, n_name || ' (' || n_nationkey || ')' AS restored FROM nation")
-def masked_terms(t: Tables) -> DataFrame:
-    """Terms masked and restored."""
-    full = F.concat("n_name", F.lit(" ("), "n_nationkey", F.lit(")"))
-    masked = t.nation.select("n_nationkey", masking.mask(full, ["NATION", "1", "10", "N_2"]).alias("m"))
-    return masked.select("n_nationkey", masking.unmask(F.col("m.text"), F.col("m.terms")).alias("restored"))
+_TERMS = r"the license|\blicense\b|\bder\b|\bthe\b|\b10\b|\b1\b|@"
 
 
-@query("masked_terms_whole")
-def masked_terms_whole(t: Tables) -> DataFrame:
+@query(
+    "masked_terms",
+    f"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '{_TERMS}') AS parts, regexp_extract_all(text, '{_TERMS}') AS terms FROM documents)
+       SELECT doc_id, array_to_string(list_transform(parts, lambda p, i: CASE WHEN i = 1 THEN p ELSE '[[' || (i - 2) || ']]' || p END), '') AS masked, CAST(len(terms) AS INTEGER) AS n, text AS restored FROM d""",
+)
+def masked_terms(t: Tables) -> DataFrame:
     """Terms masked in whole documents, how many, and the texts restored."""
     masked = t.documents.select("doc_id", masking.mask("text", ["the", "der", "license", "the license", "@", "1", "10"]).alias("m"))
     return masked.select("doc_id", F.col("m.text").alias("masked"), F.size("m.terms").alias("n"), masking.unmask(F.col("m.text"), F.col("m.terms")).alias("restored"))

@@ -18,7 +18,7 @@ def test_text_cursor_deals_out_whole_texts(spark, tmp_path):
     rows = [(conv, turn, "user", text if turn == 0 else "later") for conv, text in texts.items() for turn in range(conv + 1)]
     write(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
     pieces = {}
-    for row in sorted(QUERIES["text_cursor_whole"](spark, str(tmp_path)).collect()):
+    for row in sorted(QUERIES["text_cursor"](spark, str(tmp_path)).collect()):
         pieces.setdefault(row.conv_id, []).append(row.piece)
     assert {conv: "".join(x) for conv, x in pieces.items()} == texts
     assert [len(x) for x in pieces[4]] == [240, 120, 120, 0, 120]
@@ -32,7 +32,7 @@ def test_cosine_batch_asks_every_query(spark, tmp_path, monkeypatch):
     vectors[9] = 0
     write(spark, tmp_path, "embeddings", [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, None), (1001, [1.0, None]), (1050, []), (1002, [float("inf")] * 8), (1003, [float("nan")] * 8)], "vec_id long, embedding array<double>")
     got = {}
-    for row in sorted(QUERIES["cosine_batch_whole"](spark, str(tmp_path)).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for row in sorted(QUERIES["cosine_batch"](spark, str(tmp_path)).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(row.query_id, []).append((row.vec_id, row.score))
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
     assert got.pop(1050) == [(1050, 0.0)]  # an empty vector has only itself to be compared to
@@ -54,7 +54,7 @@ def test_cosine_batch_takes_more_than_ten_thousand_queries(spark):
 def test_routed_lookup_asks_every_customer(spark, tmp_path):
     write(spark, tmp_path, "customer", [(k, f"customer {k}") for k in range(120)], "c_custkey long, c_name string")
     write(spark, tmp_path, "supplier", [(k, f"supplier {k}") for k in range(3)], "s_suppkey long, s_name string")
-    got = {r.id: r.found for r in QUERIES["routed_lookup_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.found for r in QUERIES["routed_lookup"](spark, str(tmp_path)).collect()}
     assert got == {f"c:{k}": f"customer {k}" for k in range(120)} | {f"s:{k}": f"supplier {k}" for k in range(3)} | {"x:1": None}
 
 
@@ -76,7 +76,7 @@ def test_bootstrap_ci_draws_as_often_as_the_reference(spark, tmp_path):
 def test_segment_assignment_takes_every_order(spark, tmp_path):
     orders = {c: sorted({(k * 31 + c * 7) % 500 for k in range(c * 3)}) for c in range(1, 6)}
     write(spark, tmp_path, "orders", [(c, k) for c, keys in orders.items() for k in keys], "o_custkey long, o_orderkey long")
-    got = {(r.o_custkey, r.at): r.n for r in QUERIES["segment_assignment_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.o_custkey, r.at): r.n for r in QUERIES["segment_assignment"](spark, str(tmp_path)).collect()}
     assert got == {(c, k + 37): next((n for n, end in enumerate(keys, 1) if end >= k + 37), len(keys)) for c, keys in orders.items() for k in keys}
 
 
@@ -89,13 +89,13 @@ def write_documents(spark, folder):
 
 def test_text_pieces_of_documents(spark, tmp_path):
     write_documents(spark, tmp_path)
-    got = {r.doc_id: r.pieces for r in QUERIES["text_pieces_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.pieces for r in QUERIES["text_pieces"](spark, str(tmp_path)).collect()}
     assert got == {k: [None] * 3 if x is None else [x[len(x) * i // 3 : len(x) * (i + 1) // 3] for i in range(3)] for k, x in TEXTS.items()}
 
 
 def test_masked_terms_of_documents(spark, tmp_path):
     write_documents(spark, tmp_path)
-    got = {r.doc_id: r for r in QUERIES["masked_terms_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in QUERIES["masked_terms"](spark, str(tmp_path)).collect()}
     assert {k: r.restored for k, r in got.items()} == TEXTS
     assert got[1].masked.startswith("Titel über\n[[0]], [[1]] of [[2]]: [[3]] end\n") and got[1].n == 12
     assert got[4].masked == "Titel über\n[[0]] [[1]]" and got[7].masked == "a[[0]]b [x]" and got[6].n == 0
@@ -103,7 +103,7 @@ def test_masked_terms_of_documents(spark, tmp_path):
 
 def test_required_documents_by_first_line(spark, tmp_path):
     write_documents(spark, tmp_path)
-    got = sorted((tuple(r) for r in QUERIES["required_documents_whole"](spark, str(tmp_path)).collect()), key=str)
+    got = sorted((tuple(r) for r in QUERIES["required_documents"](spark, str(tmp_path)).collect()), key=str)
     # 7 is the title of 5, which goes before the id
     assert got == sorted([("1", 1), ("", 2), ("3", 3), ("Titel über", 1), ("5", 5), ("x" * 5000, 6), ("7", 5), ("none", None)], key=str)
 
@@ -113,7 +113,7 @@ TURNS = [(1, 0, "user", "Hello # there"), (1, 1, "assistant", "# Facts\n- é\n\n
 
 def test_proportional_transcript_of_conversations(spark, tmp_path):
     write(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string")
-    got = sorted(map(tuple, QUERIES["proportional_transcript_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["proportional_transcript"](spark, str(tmp_path)).collect()))
     want = []
     for conv in (1, 2):
         for pair in (0, 1):
@@ -127,7 +127,7 @@ def test_proportional_transcript_of_conversations(spark, tmp_path):
 
 def test_markdown_sections_of_conversations(spark, tmp_path):
     write(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string")
-    got = sorted(map(tuple, QUERIES["markdown_sections_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["markdown_sections"](spark, str(tmp_path)).collect()))
     first = [("001_conversation_1", "Conversation", "# Conversation"), ("002_user_1", "user", "## user\nHello # there"), ("003_assistant_1", "assistant", "## assistant"), ("004_facts_1", "Facts", "# Facts\n- é\n"), ("005_user_2", "user", "### user\nend"), ("006_user_3", "user", "## user\n")]
     assert [x[1:] for x in got if x[0] == 1] == first
     assert "\n".join(x[3] for x in got if x[0] == 2) == "# Conversation\n" + "\n".join(f"## {role}\n{text}" for c, _, role, text in TURNS if c == 2)
