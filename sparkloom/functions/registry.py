@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -117,3 +118,41 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
         return pd.Series(list(embedder([t or "" for t in texts])))
 
     return df.withColumn(name, run(text))
+
+
+def respond(df: DataFrame, catalog: ToolCatalog, name: str, arguments: str) -> DataFrame:
+    """Each call's response as JSON text, and whether it failed (V35): an exception gives ``Error: ...``.
+
+    ``arguments`` is a JSON object; an unknown or hidden tool fails as well.
+    """
+    tools = {t.name: t.fn for t in catalog.listed()}
+
+    @F.pandas_udf("struct<response:string,error:boolean>")
+    def run(names: pd.Series, given: pd.Series) -> pd.DataFrame:
+        rows = []
+        for tool, text in zip(names, given, strict=True):
+            try:
+                if tool not in tools:
+                    raise ValueError(f"no tool {tool}")
+                rows.append((json.dumps(tools[tool](**json.loads(text or "{}")), default=str), False))
+            except Exception as e:  # whatever a tool raises is its response
+                rows.append((json.dumps(f"Error: {e}"), True))
+        return pd.DataFrame(rows, columns=["response", "error"])
+
+    return df.withColumn("__r", run(name, arguments)).select(*df.columns, "__r.response", "__r.error")
+
+
+class QueryEncoder:
+    """Vectors of single queries, each asked for once (V40); a blank query raises."""
+
+    def __init__(self, embedder: Callable[[list[str]], list[list[float]]], most: int = 10_000):
+        self.embedder, self.most, self._known = embedder, most, {}
+
+    def encode(self, text: str | None) -> list[float]:
+        if not text or not text.strip():
+            raise ValueError("a blank query has no vector")
+        if text not in self._known:
+            if len(self._known) >= self.most:
+                self._known.clear()
+            self._known[text] = [float(x) for x in self.embedder([text])[0]]
+        return self._known[text]

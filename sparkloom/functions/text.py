@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.stats import col
@@ -229,3 +229,8 @@ def unique_names(c: str | Column, keys: list[str], order: list[Column], longest:
     cut = F.left(col(c), F.lit(longest - 4))
     n = F.row_number().over(Window.partitionBy(*keys, cut).orderBy(*order))
     return F.when(n > 1, F.concat(cut, F.lit("_"), n.cast("string"))).otherwise(cut)
+
+
+def with_normal(df: DataFrame, column: str) -> DataFrame:
+    """The frame with a column trimmed and lower-cased, as it is if it has none of that name."""
+    return df.withColumn(column, normal(column)) if column in df.columns else df

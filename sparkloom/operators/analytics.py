@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.stats import correlation, no_nan, rate_or_zero, standard_error
+from sparkloom.functions.text import is_blank
 
 
 def unpivot_metrics(df: DataFrame, keys: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -134,10 +135,10 @@ def _seeded(values: np.ndarray, resamples: int, seed: int, level: float) -> tupl
 def bootstrap_means(df: DataFrame, by: list[str], value: str, resamples: int = 1000, seed: int = 20260625, level: float = 0.95, low: float | None = None, high: float | None = None) -> DataFrame:
     """Percentile bootstrap of the mean by group (A14, A16): ``estimate, ci_low, ci_high``.
 
-    Values are sorted first, so results don't depend on how rows are dealt. A group goes to one task
+    A group without values gives NaN. Values are sorted first, so results don't depend on how rows are dealt. A group goes to one task
     as one sorted array: this is for groups of means (one value for a task and run), not of raw rows.
     """
-    groups = df.where(no_nan(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(no_nan(value))).alias("__v"))
+    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(no_nan(value))).alias("__v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,7 @@ def bootstrap_means(df: DataFrame, by: list[str], value: str, resamples: int = 1
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields[:-1])
     out = groups.mapInArrow(run, f"{fields}, estimate double, ci_low double, ci_high double")
     if low is not None and high is not None:
-        out = out.withColumns({c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c))) for c in ("ci_low", "ci_high")})
+        out = out.withColumns({c: F.when(F.isnan(c), F.col(c)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col(c)))) for c in ("ci_low", "ci_high")})
     return out
 
 
@@ -242,3 +243,32 @@ def literal_map(df: DataFrame, source: str, target: str, order: str) -> DataFram
     """Canonical to localised literals, one target each, the last by order."""
     present = df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
     return present.groupBy(source).agg(F.max_by(target, order).alias(target))
+
+
+def shares_of(df: DataFrame, keys: list[str], within: list[str], relevant: Column) -> DataFrame:
+    """Counts of each cell with its share of the relevant rows and of all rows of its group (J04): one aggregation, then sums over few cells."""
+    cells = df.groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(relevant).alias("relevant"))
+    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    return cells.withColumns({"share_of_relevant": F.try_divide(F.col("relevant"), F.sum("relevant").over(group)), "share_of_all": F.try_divide(F.col("n"), F.sum("n").over(group))})
+
+
+def against_mode(df: DataFrame, by: list[str], persona: str, mode: str, solo: str, value: str) -> DataFrame:
+    """Means of each persona beside the mean of the solo mode of its group (A48), NULL where there is none."""
+    cells = df.groupBy(*by, persona, mode).agg(F.sum(no_nan(value)).alias("__s"), F.count(no_nan(value)).alias("__n"))
+    alone = F.col(mode) == solo
+    group = Window.partitionBy(*by)
+    cells = cells.withColumn("solo_mean", F.try_divide(F.sum(F.when(alone, F.col("__s"))).over(group), F.sum(F.when(alone, F.col("__n"))).over(group)))
+    return cells.where(~alone).groupBy(*by, persona).agg(F.try_divide(F.sum("__s"), F.sum("__n")).alias("mean"), F.first("solo_mean").alias("solo_mean"))
+
+
+def language_correctness(turns: DataFrame, run: list[str], position: str, text: str, detected: str, expected: Column) -> DataFrame:
+    """Each run's share of turns in the expected language (V17, V19): all turns with a text count, an undetected one as incorrect.
+
+    ``score`` is rounded to four digits and NULL without turns; ``incorrect`` lists positions.
+    """
+    spoken = ~is_blank(text)
+    right = spoken & F.coalesce(F.col(detected) == expected, F.lit(False))
+    out = turns.groupBy(*run).agg(
+        F.count_if(spoken).alias("turns"), F.count_if(spoken & F.col(detected).isNotNull()).alias("detected"), F.count_if(right).alias("correct"), F.array_sort(F.collect_list(F.when(spoken & ~right, F.col(position)))).alias("incorrect")
+    )
+    return out.withColumn("score", F.bround(F.try_divide(F.col("correct").cast("double"), F.col("turns").cast("double")), 4))

@@ -19,6 +19,21 @@ def simulation_rows(sims: DataFrame) -> DataFrame:
     )
 
 
+def flat_runs(runs: DataFrame) -> DataFrame:
+    """All 24 scalar columns of each simulation with those of its run (P01); nested values that lack are NULL.
+
+    ``runs`` has ``info`` and ``simulations`` as the reader gives them. A simulation without messages
+    counts those of its ticks.
+    """
+    rows = ordered_messages(runs.select("info", F.explode("simulations").alias("s")).select("info", "s.*"))
+    i = F.col("info")
+    return rows.select(
+        F.col("id").alias("simulation_id"), "task_id", "trial", "seed", F.col("reward_info.reward").alias("reward"), "agent_cost", "user_cost", "termination_reason", "duration", F.coalesce(F.size("messages"), F.lit(0)).alias("num_messages"),
+        *(i[c].alias(f"info_{c}") for c in ("git_commit", "seed", "num_trials", "max_steps", "max_errors")), i["environment_info"]["domain_name"].alias("info_domain"),
+        *(i[f"{side}_info"][c].alias(f"info_{side}_{c}") for side in ("user", "agent") for c in ("implementation", "llm", "llm_args")), i["lang_id"].alias("info_lang_id"), i["lang_components"].alias("info_lang_components"),
+    )
+
+
 def transfer_only(actions: Column) -> Column:
     """Exactly one gold action, and one that transfers."""
     return F.coalesce((F.size(actions) == 1) & F.contains(F.lower(F.get(actions, F.lit(0))["name"]), F.lit("transfer")), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.windows import leading_run
+from sparkloom.plans.predicates import query
 
 
 def by_key(df: DataFrame, key: str, value: object, require: bool = False) -> DataFrame:
@@ -77,3 +78,13 @@ def everything_of(tables: dict[str, DataFrame], key: str, value: object) -> Data
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def by_field(df: DataFrame, field: str, value: object) -> DataFrame:
+    """All records whose field equals a value (L12, L13), by the rules of constraints."""
+    return query(df, {field: value})
+
+
+def every_record(df: DataFrame, id_col: str) -> DataFrame:
+    """All records of a table, by id."""
+    return df.orderBy(id_col)

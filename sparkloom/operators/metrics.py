@@ -137,3 +137,13 @@ def total_cost(messages: DataFrame, sim: str, role: str, cost: str) -> DataFrame
 def success_ratio(sims: DataFrame, by: list[str], reward: str) -> DataFrame:
     """Share of full rewards by group, rounded half to even."""
     return sims.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_success(reward)).alias("c")).withColumn("ratio", safe_ratio("c", "n"))
+
+
+def failed_only(sims: DataFrame, reward: str) -> DataFrame:
+    """Simulations without full reward (F18); one without a reward has failed."""
+    return sims.where(~is_success(reward))
+
+
+def never_solved(sims: DataFrame, task: str, reward: str) -> DataFrame:
+    """All simulations of the tasks that no trial solved (F18): an anti-join on solved tasks, which a hot task can't skew."""
+    return sims.join(sims.where(is_success(reward)).select(task).distinct(), task, "left_anti")

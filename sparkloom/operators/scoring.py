@@ -164,3 +164,13 @@ def replay_view(messages: str | Column) -> Column:
     messages = F.col(messages) if isinstance(messages, str) else messages
     spoken = F.filter(messages, lambda m: (m["role"] == "user") | F.coalesce(F.trim(m["content"]) != "", F.lit(False)))
     return F.transform(spoken, lambda m: F.when(m["role"] == "assistant", m.withField("tool_calls", F.filter(m["tool_calls"], lambda c: F.lit(False)))).otherwise(m))
+
+
+def tick_calls(ticks: DataFrame, sim: str, tick: str, sides: list[str]) -> DataFrame:
+    """``sim, n, name, arguments`` of the calls in ticks' messages, by tick, side and place (V32): input for :func:`replay_states`.
+
+    ``n`` orders the calls of a simulation: a struct, which sorts by its fields.
+    """
+    found = F.array(*(F.struct(F.lit(k).alias("side"), F.coalesce(F.col(c)["tool_calls"], F.array().cast(ticks.schema[c].dataType["tool_calls"].dataType)).alias("calls")) for k, c in enumerate(sides)))
+    rows = ticks.select(sim, tick, F.explode(found).alias("f")).select(sim, tick, "f.side", F.posexplode("f.calls").alias("at", "c"))
+    return rows.select(sim, F.struct(F.col(tick).alias("tick"), "side", "at").alias("n"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))

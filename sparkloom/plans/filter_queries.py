@@ -44,7 +44,7 @@ for _name, (_constraints, _where) in _OPS.items():
 @query("constraint_ids", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 7")
 def constraint_ids(t: Tables) -> DataFrame:
     """Ids only, with the query's own limit."""
-    return predicates.query_json(t.orders, '{"o_orderstatus": "F", "limit": 7, "return_ids": true}', "o_orderkey")
+    return predicates.query_json(t.orders, '{"o_orderstatus": "F", "limit": 7, "return_ids": true}', "o_orderkey").select("o_orderkey")
 
 
 @query("constraint_on_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 AND event_type <> 'view'")

@@ -75,9 +75,8 @@ def compare(a: Column, kind: T.DataType, op: str, value: Any) -> Column:
         else:
             return F.lit(False)
     elif op in ("startswith", "endswith"):
-        if value is None:
-            return F.lit(False)
-        text = a.cast("string")
+        # Values are compared as Python writes them: True, False and None.
+        text = F.when(a, "True").when(~a, "False") if isinstance(kind, T.BooleanType) else a.cast("string")
         found = F.startswith(text, F.lit(str(value))) if op == "startswith" else F.endswith(text, F.lit(str(value)))
     else:
         if isinstance(value, str):  # membership in a string is a substring test
@@ -103,11 +102,14 @@ def compile_constraints(schema: T.StructType, constraints: Mapping[str, Any]) ->
 
 
 def query(df: DataFrame, constraints: Mapping[str, Any], id_col: str | None = None, return_ids: bool = False, limit: int | None = None) -> DataFrame:
-    """Rows, or only ids, that fulfil all constraints (F01). A limit of 0 or less still gives one row."""
+    """Rows that fulfil all constraints (F01), or with ``return_ids`` their ids, each with its record.
+
+    A limit of 0 or less still gives one row.
+    """
     found = df.where(compile_constraints(df.schema, constraints))
     if limit is not None:
         found = found.orderBy(id_col).limit(max(1, limit)) if id_col else found.limit(max(1, limit))
-    return found.select(id_col) if return_ids and id_col else found
+    return found.select(id_col, F.struct("*").alias("record")) if return_ids and id_col else found
 
 
 def query_json(df: DataFrame, constraints: str = "{}", id_col: str | None = None) -> DataFrame:

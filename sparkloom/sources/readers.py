@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import tomllib
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.sources import schemas
@@ -63,6 +64,32 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULTS).option("multiLine", True).json(path)
 
 
+def index_problems(spark: SparkSession, path: str) -> DataFrame:
+    """``id, problem`` of simulations that a folder's index names without a file, or that have a file without being named.
+
+    Only the names of the files are read. Without an index, as in a run in one file, there are none.
+    """
+    folder = path.rsplit("/", 1)[0] if path.endswith(".json") else path
+    indexed = read_metadata(spark, path).where("simulation_index IS NOT NULL")
+    named = indexed.select(F.explode("simulation_index.id").alias("id")).distinct().withColumn("named", F.lit(True))
+    if results_format(spark, path) != "dir":
+        return named.where("false").select("id", F.lit("missing").alias("problem"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/simulations")
+    stored = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id")).withColumn("stored", F.lit(True))
+    problem = F.when(F.col("stored").isNull(), "missing").when(F.col("named").isNull(), "extra")
+    found = named.join(stored, "id", "full_outer").select("id", problem.alias("problem")).where("problem IS NOT NULL")
+    return found.join(indexed.select(F.lit(1)).limit(1), how="left_semi")
+
+
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """A run's simulations from either format; an index that doesn't fit the files raises."""
+    problems = index_problems(spark, path)
+    first = problems.orderBy("problem", "id").limit(20).collect()
+    if first:
+        raise ValueError(f"the index of {path} doesn't fit its files: " + ", ".join(f"{r.problem} {r.id}" for r in first))
+    return read_simulations(spark, path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Runs without their simulations; column pruning keeps them out of the parse."""
     return spark.read.schema(schemas.METADATA).option("multiLine", True).json(path)
@@ -91,13 +118,62 @@ def with_tasks(simulations: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    """Experiment rows with a source, numbers coerced, and their order."""
-    rows = spark.read.schema(schemas.EXPERIMENTS).option("header", True).csv(path)
+    """Experiment rows with a source, numbers coerced, and their number in their file.
+
+    Numbers are those of lines: the header is 1, so rows start at 2; rows without a source are counted too.
+    """
+    rows = spark.read.schema(schemas.EXPERIMENTS).option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True).csv(path)
+    place = Window.partitionBy("__file").orderBy("__block", "__row")
+    rows = rows.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__row": F.monotonically_increasing_id()})
+    rows = rows.withColumn("line_number", F.row_number().over(place) + 1).drop("__file", "__block", "__row")
     numbers = ["num_tasks", "num_simulations", "pass_1", "pass_2", "pass_3", "rho"]
     kept = rows.where(F.trim(F.coalesce("simulation_source", F.lit(""))) != "")
     typed = kept.withColumns({c: F.col(c).try_cast("double") for c in numbers})
     normal = {c: F.lower(F.trim(c)) for c in ("scenario", "domain", "language")}
-    return typed.withColumns(normal).withColumn("source_row", F.monotonically_increasing_id())
+    return typed.withColumns(normal).withColumn("source_row", F.col("line_number") - 2)
+
+
+def clean_experiments(rows: DataFrame, wanted: dict[str, list[str]], metrics: list[str], keys: list[str], order: str = "source_row") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that are wanted and have a metric, the last of each key (S12): the rows, the keys given more than once, and an audit.
+
+    ``wanted`` maps a column to its allowed values. The audit is one row of counts, from one pass.
+    """
+    fits = reduce(lambda a, b: a & b, (F.coalesce(F.col(c).isin(values), F.lit(False)) for c, values in wanted.items()), F.lit(True))
+    measured = F.coalesce(*(F.col(m).isNotNull() & ~F.isnan(m) for m in metrics[:1]), F.lit(False))
+    for m in metrics[1:]:
+        measured = measured | F.coalesce(F.col(m).isNotNull() & ~F.isnan(m), F.lit(False))
+    kept = rows.where(fits & measured)
+    rest = [c for c in rows.columns if c not in keys]
+    clean = kept.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*keys, "__r.*")
+    groups = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    totals = rows.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(fits).alias("rows_matching"), F.count_if(fits & measured).alias("rows_before_dedupe"))
+    after = groups.agg(F.count(F.lit(1)).alias("clean_rows"), F.count_if(F.col("row_count") > 1).alias("duplicate_groups"))
+    audit = totals.crossJoin(F.broadcast(after)).withColumn("excluded_rows", F.col("raw_rows") - F.col("rows_before_dedupe"))  # one row each
+    return clean, groups.where("row_count > 1"), audit
+
+
+def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20) -> DataFrame:
+    """Per log file: silence after the last sound of the agent, the reward, and speech events within it.
+
+    The agent last spoke in the last completed tick that is followed, within nine lines, by audio of some
+    bytes. A log without such a tick or without an end has no row.
+    """
+    stamp = r"^.*?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+).*"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    when = lambda what: F.when(F.col("line").rlike(stamp + what), F.to_timestamp(F.regexp_extract("line", stamp, 1)))
+    order = Window.partitionBy("file").orderBy("at")
+    heard = F.max(F.regexp_extract("line", r"Agent audio: (\d+) bytes", 1).try_cast("long")).over(order.rowsBetween(1, 9)) > 0
+    lines = files.withColumns({"sound": F.when(heard, when(r"Tick \d+ completed")), "end": when("FINISHED SIMULATION"), "began": when("(speech_started|Speech started detected)"), "user": when(r"\[USER\].*speech=True"), "reward": F.nullif(F.regexp_extract("line", r"Reward:\s*([\d.]+)", 1), F.lit(""))})
+    found = lines.groupBy("file").agg(
+        F.max_by("sound", F.when(F.col("sound").isNotNull(), F.col("at"))).alias("sound"), F.min_by("end", F.when(F.col("end").isNotNull(), -F.col("at"))).alias("end"), F.max_by("reward", F.when(F.col("reward").isNotNull(), F.col("at"))).cast("double").alias("reward"),
+        F.array_compact(F.collect_list("began")).alias("began"), F.array_compact(F.collect_list("user")).alias("user"),
+    )
+    late = F.col("end") - F.make_dt_interval(secs=F.lit(last_seconds))
+    after = lambda c, t: F.size(F.filter(c, lambda x: x > t))
+    return found.where("sound IS NOT NULL AND end IS NOT NULL").select(
+        "file", ((F.unix_micros("end") - F.unix_micros("sound")) / 1e6).alias("silence_seconds"), F.coalesce("reward", F.lit(0.0)).alias("reward"), F.size("began").alias("speech_started"), after("began", F.col("sound")).alias("speech_in_silence"), after("began", late).alias("speech_at_end"),
+        after("user", F.col("sound")).alias("user_speech_in_silence"), after("user", late).alias("user_speech_at_end"),
+    )
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ REVIEW = f"STRUCT<errors: ARRAY<{ERROR}>>"
 SIMULATION = f"STRUCT<id: STRING, task_id: STRING, trial: INT, seed: INT, start_time: STRING, end_time: STRING, duration: DOUBLE, termination_reason: STRING, agent_cost: DOUBLE, user_cost: DOUBLE, reward_info: {REWARD}, messages: ARRAY<{MESSAGE}>, ticks: ARRAY<{TICK}>, review: {REVIEW}, user_only_review: {REVIEW}>"
 ACTION = "STRUCT<action_id: STRING, requestor: STRING, name: STRING, arguments: STRING, compare_args: ARRAY<STRING>>"
 TASK = f"STRUCT<id: STRING, evaluation_criteria: STRUCT<actions: ARRAY<{ACTION}>, env_assertions: ARRAY<STRING>, communicate_info: ARRAY<STRING>, nl_assertions: ARRAY<STRING>, reward_basis: ARRAY<STRING>>>"
-INFO = "STRUCT<git_commit: STRING, num_trials: INT, max_steps: INT, max_errors: INT, seed: INT, environment_info: STRUCT<domain_name: STRING>, agent_info: STRUCT<implementation: STRING, llm: STRING>, user_info: STRUCT<implementation: STRING, llm: STRING>>"
+INFO = "STRUCT<git_commit: STRING, num_trials: INT, max_steps: INT, max_errors: INT, seed: INT, environment_info: STRUCT<domain_name: STRING>, agent_info: STRUCT<implementation: STRING, llm: STRING, llm_args: STRING>, user_info: STRUCT<implementation: STRING, llm: STRING, llm_args: STRING>, lang_id: STRING, lang_components: ARRAY<STRING>>"
 INDEX = "STRUCT<id: STRING, task_id: STRING, trial: INT, reward: DOUBLE, termination_reason: STRING, agent_cost: DOUBLE, duration: DOUBLE>"
 
 

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.topk import greedy_until
+from sparkloom.sources import schemas
+
+
+def _swapped(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write beside ``path``, then take its place: what was there stays until all is written, also if ``df`` reads it."""
+    context = df.sparkSession.sparkContext
+    jvm = context._jvm
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write(df, aside)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(aside), target):
+        raise OSError(f"{aside} could not take the place of {path}")
+
 
 def write_results(df: DataFrame, path: str, layout: str = "json") -> None:
-    """Simulations as one folder, or as a folder for each."""
+    """Simulations as one folder, or as a folder for each (K02, K10); a folder that is there is replaced when all is written."""
     if layout == "json":
-        df.write.mode("overwrite").json(path)
+        _swapped(df, path, lambda d, p: d.write.json(p))
     elif layout == "dir":
-        df.withColumn("sim_id", F.col("id")).write.mode("overwrite").partitionBy("sim_id").json(path)
+        _swapped(df.withColumn("sim_id", F.col("id")), path, lambda d, p: d.write.partitionBy("sim_id").json(p))
     else:
         raise ValueError(f"unknown layout {layout}")
 
@@ -21,14 +41,29 @@ def simulation_index(df: DataFrame) -> DataFrame:
     return df.select("id", "task_id", "trial", F.col("reward_info.reward").alias("reward"), "termination_reason", "agent_cost", "duration")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def one_per_key(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``, else (and among equals) the greatest as a row."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    kept = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
+    return rows.groupBy(*keys).agg(F.max(kept).alias("__r")).select(*(F.col(c) if c in keys else F.col("__r")[c].alias(c) for c in rows.columns))
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """The table with rows of the same key replaced and others added (K05): running it twice changes nothing."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    return existing.join(new.select(*keys), keys, "left_anti").unionByName(one_per_key(new, keys, order), allowMissingColumns=True)
 
 
-def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def append_new(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Only the rows whose key isn't there yet, for an appending write."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return one_per_key(new.join(existing.select(*keys), keys, "left_anti"), keys, order)
+
+
+def resumed(existing: DataFrame, planned: DataFrame, keys: list[str], termination: str = "termination_reason", void: tuple[str, ...] = ("infrastructure_error",)) -> tuple[DataFrame, DataFrame]:
+    """What a run that is taken up again keeps, and what it has still to do (K05): runs that the infrastructure ended are done anew."""
+    kept = existing.where(~F.coalesce(F.col(termination).isin(*void), F.lit(False)))
+    return kept, planned.join(kept.select(*keys), keys, "left_anti")
 
 
 def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
@@ -51,14 +86,57 @@ def trimmed(df: DataFrame, message_fields: list[str], simulation_fields: list[st
     return slim.withColumn("saved_bytes", F.col("__before") - F.octet_length(F.to_json(F.struct(*kept)))).drop("__before")
 
 
+def truncated(df: DataFrame, key: str, bound: int, keep: int = 200, messages: str = "messages", content: str = "content", role: str = "tool") -> DataFrame:
+    """Records of which the longest messages of a role are cut, longest first, until the record's contents fit.
+
+    ``bound`` and ``keep`` are characters. Equal lengths are cut in the order of the messages; a record that
+    doesn't fit even so has all of them cut.
+    """
+    size = F.coalesce(F.length(F.col("m")[content]), F.lit(0))
+    total = F.aggregate(F.coalesce(messages, F.array()), F.lit(0), lambda a, m: a + F.coalesce(F.length(m[content]), F.lit(0)))
+    each = df.select(key, total.alias("__total"), F.posexplode(messages).alias("at", "m")).withColumn("__size", size)
+    long = each.where((F.col("m.role") == role) & (F.col("__size") > keep))
+    cut = greedy_until(long, [key], [F.desc("__size"), F.col("at")], F.col("__size") - keep, F.col("__total"), bound)
+    marks = cut.groupBy(key).agg(F.collect_set("at").alias("__cut"))
+    shorter = F.transform(messages, lambda m, i: F.when(F.array_contains("__cut", i), m.withField(content, F.left(m[content], F.lit(keep)))).otherwise(m))
+    return df.join(marks, key, "left").withColumn(messages, F.when(F.col("__cut").isNotNull(), shorter).otherwise(F.col(messages))).drop("__cut")
+
+
+def _toml(value: object) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(str(k))} = {_toml(v)}" for k, v in value.items() if v is not None) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(_toml(v) for v in value if v is not None) + "]"
+    return json.dumps(value)
+
+
+def _record_text(df: DataFrame, suffix: str) -> str:
+    """One configuration record as YAML or TOML; NULLs are left out of TOML, which has none."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"a .{suffix} file holds one record")
+    record = json.loads(rows[0].j)
+    if suffix == "toml":
+        return "".join(f"{json.dumps(k)} = {_toml(v)}\n" for k, v in record.items() if v is not None)
+    try:
+        import yaml
+    except ImportError:
+        return json.dumps(record, indent=1)  # JSON is YAML
+    return yaml.safe_dump(record, sort_keys=False, allow_unicode=True)
+
+
 def write_any(df: DataFrame, path: str) -> None:
-    """Write by suffix: JSON, text or Markdown, CSV, Parquet (K01); any other raises.
+    """Write by suffix: JSON, YAML, TOML, text or Markdown, CSV, Parquet (K01); any other raises.
 
-    Text files take the frame's one text column.
+    Text files take the frame's one text column, YAML and TOML its one row.
     """
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "json":
         df.write.mode("overwrite").json(path)
+    elif suffix in ("yaml", "yml", "toml"):
+        df.sparkSession.createDataFrame([(_record_text(df, suffix),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     elif suffix in ("txt", "md"):
         df.write.mode("overwrite").text(path)
     elif suffix == "csv":
@@ -70,5 +148,12 @@ def write_any(df: DataFrame, path: str) -> None:
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
-    """A run's metadata beside its simulations, which stay as they are."""
-    df.drop("simulations").write.mode("overwrite").json(path)
+    """A run's metadata beside its simulations, which stay as they are (K03), as does the index that is on disk."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    new = df.drop("simulations")
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        old = spark.read.schema(schemas.METADATA).option("multiLine", True).json(path).limit(1).select(F.col("simulation_index").alias("__index"))
+        new = new.drop("simulation_index").join(old, how="left").withColumnRenamed("__index", "simulation_index")  # one row each
+    _swapped(new, path, lambda d, p: d.write.json(p))

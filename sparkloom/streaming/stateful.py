@@ -1,7 +1,9 @@
 """Streams of events and ticks: segments, open intervals, turn taking, idempotent sinks.
 
-State is kept by key and bounded by a watermark or a timeout. Runs over the same rows give the rows of
-the batch forms, whatever the micro-batches.
+State is kept by key and bounded by a watermark or, in the forms with state of their own, by ``idle``: a key
+without rows for so many milliseconds is given up. Queries that process what is there and stop leave it out. The rows of a key in one trigger are put in order together, however they are cut into Arrow
+batches; so runs over the same rows give the rows of the batch forms, as long as a key's rows don't come in
+a later trigger than rows that follow them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.sources.sinks import one_per_key
+
 
 def event_stream(spark, folder: str, schema: str, file_glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
     """Files of a folder as a stream."""
@@ -39,47 +43,63 @@ def correlate(events: DataFrame, item: str, kind: str, ts: str, kinds: list[str]
     return rows.groupBy(item).agg(*(F.min(F.when(F.col(kind) == k, F.col(ts))).alias(k) for k in kinds))
 
 
-def stream_leading_turns(turns: DataFrame, key: str, position: str, role: str) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+
+
+def _in_order(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    """All rows of a key in a trigger, by ``order``."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+
+
+def stream_leading_turns(turns: DataFrame, key: str, position: str, role: str, idle: int | None = None) -> DataFrame:
     """For each turn, how many user turns in a row stand unanswered (A68): ``key, position, waiting``.
 
     Rows of a key must come in order; the state is one number.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (waiting,) = state.get if state.exists else (0,)
-        for rows in batches:
-            rows = rows.sort_values(position, kind="stable")
-            out = []
-            for at, who in zip(rows[position], rows[role], strict=True):
-                waiting = waiting + 1 if who == "user" else 0 if who == "assistant" else waiting
-                out.append((k[0], at, waiting))
-            yield pd.DataFrame(out, columns=[key, position, "waiting"])
+        rows, out = _in_order(batches, position), []
+        for at, who in zip(rows[position], rows[role], strict=True):
+            waiting = waiting + 1 if who == "user" else 0 if who == "assistant" else waiting
+            out.append((k[0], at, waiting))
+        yield pd.DataFrame(out, columns=[key, position, "waiting"])
         state.update((waiting,))
+        if idle:
+            state.setTimeoutDuration(idle)
 
     kinds = dict(turns.dtypes)
-    return turns.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {position} {kinds[position]}, waiting long", "waiting long", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {position} {kinds[position]}, waiting long", "waiting long", "append", _timeout(idle))
 
 
-def stream_open_intervals(events: DataFrame, key: str, at: str, kind: str, opens: str, closes: str) -> DataFrame:
+def stream_open_intervals(events: DataFrame, key: str, at: str, kind: str, opens: str, closes: str, idle: int | None = None) -> DataFrame:
     """Intervals as they close, the latest opened first (M13, M14): ``key, opened_at, closed_at``.
 
-    The state is the stack of open intervals of a key.
+    The state is the stack of open intervals of a key. Those of a key that is given up end with NULL.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stack = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows = rows.sort_values(at, kind="stable")
-            out = []
-            for when, what in zip(rows[at], rows[kind], strict=True):
-                if what == opens:
-                    stack.append(int(when))
-                elif what == closes and stack:
-                    out.append((k[0], stack.pop(), int(when)))
-            yield pd.DataFrame(out, columns=[key, "opened_at", "closed_at"])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], x, None) for x in stack], columns=[key, "opened_at", "closed_at"]).astype({"closed_at": "Int64"})
+            return
+        rows, out = _in_order(batches, at), []
+        for when, what in zip(rows[at], rows[kind], strict=True):
+            if what == opens:
+                stack.append(int(when))
+            elif what == closes and stack:
+                out.append((k[0], stack.pop(), int(when)))
+        yield pd.DataFrame(out, columns=[key, "opened_at", "closed_at"])
         state.update((stack,))
+        if idle:
+            state.setTimeoutDuration(idle)
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, opened_at long, closed_at long", "stack array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, opened_at long, closed_at long", "stack array<long>", "append", _timeout(idle))
 
 
 def next_action(speaking: bool, heard: bool, waited: int, patience: int, talked_over: int, tolerance: int) -> str:
@@ -91,34 +111,37 @@ def next_action(speaking: bool, heard: bool, waited: int, patience: int, talked_
     return "generate" if waited >= patience else "wait"
 
 
-def stream_turn_taking(ticks: DataFrame, key: str, tick: str, own: str, other: str, patience: int = 3, tolerance: int = 2) -> DataFrame:
+def stream_turn_taking(ticks: DataFrame, key: str, tick: str, own: str, other: str, patience: int = 3, tolerance: int = 2, idle: int | None = None) -> DataFrame:
     """Each tick's action by a state machine (M09, M12): ``key, tick, action``; the state is two counts."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         waited, over = state.get if state.exists else (0, 0)
-        for rows in batches:
-            rows = rows.sort_values(tick, kind="stable")
-            out = []
-            for at, mine, theirs in zip(rows[tick], rows[own], rows[other], strict=True):
-                speaking, heard = isinstance(mine, str), isinstance(theirs, str)
-                over = over + 1 if speaking and heard else 0
-                waited = 0 if speaking or heard else waited + 1
-                out.append((k[0], int(at), next_action(speaking, heard, waited, patience, over, tolerance)))
-            yield pd.DataFrame(out, columns=[key, tick, "action"])
+        rows, out = _in_order(batches, tick), []
+        for at, mine, theirs in zip(rows[tick], rows[own], rows[other], strict=True):
+            speaking, heard = isinstance(mine, str), isinstance(theirs, str)
+            over = over + 1 if speaking and heard else 0
+            waited = 0 if speaking or heard else waited + 1
+            out.append((k[0], int(at), next_action(speaking, heard, waited, patience, over, tolerance)))
+        yield pd.DataFrame(out, columns=[key, tick, "action"])
         state.update((waited, over))
+        if idle:
+            state.setTimeoutDuration(idle)
 
     kinds = dict(ticks.dtypes)
-    return ticks.select(key, tick, own, other).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tick} long, action string", "waited long, over long", "append", GroupStateTimeout.NoTimeout)
+    return ticks.select(key, tick, own, other).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tick} long, action string", "waited long, over long", "append", _timeout(idle))
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str | None = None) -> StreamingQuery:
     """Write each batch once into its own folder (K05): a batch that is run again replaces itself.
 
-    Readers keep the last version of a key by batch number, see :func:`latest_versions`.
+    Of a key's rows in a batch the last by ``order`` is written. Readers keep the last version of a key by batch number, see :func:`latest_versions`.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        one_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
