@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def unit_hash(columns: list[str], seed: int) -> Column:
-    """A number in [0, 1) from a row's key."""
-    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) from a row's key: 52 bits of the MD5 of its values and the seed, as any SQL engine can draw it."""
+    text = F.concat_ws("|", *(F.col(c).cast("string") for c in columns), F.lit(str(seed)))
+    return F.conv(F.left(F.md5(text), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, order: list[Column]) -> DataFrame:

@@ -282,12 +282,15 @@ def stratified_sample(t: Tables) -> DataFrame:
     return sampling.stratified_sample(rows, ["o_orderstatus", "o_orderpriority"], 5, [F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey")])
 
 
-@query("weighted_choice")
+_U = "CAST('0x' || left(md5(p_partkey || '|7'), 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query("weighted_choice", f"SELECT p_partkey, CASE WHEN u < 0.5 THEN 'en' WHEN u < 0.8 THEN 'de' ELSE 'fr' END AS choice FROM (SELECT p_partkey, {_U} AS u FROM part)")
 def weighted_choice(t: Tables) -> DataFrame:
     return sampling.weighted_choice(t.part.select("p_partkey"), ["p_partkey"], {"en": 0.5, "de": 0.3, "fr": 0.2}, 7)
 
 
-@query("quota_blocks")
+@query("quota_blocks", f"SELECT p_partkey, CASE WHEN n < 0.5 THEN 'en' WHEN n < 0.8 THEN 'de' ELSE 'fr' END AS choice FROM (SELECT p_partkey, (row_number() OVER (ORDER BY {_U}, p_partkey) - 1) / count(*) OVER () AS n FROM part)")
 def quota_blocks(t: Tables) -> DataFrame:
     return sampling.quota_blocks(t.part.select("p_partkey"), ["p_partkey"], {"en": 0.5, "de": 0.3, "fr": 0.2}, 7)
 

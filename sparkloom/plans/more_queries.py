@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import masking, text
 from sparkloom.operators import analytics, reconcile, retrieval, scoring, ticks
 from sparkloom.plans.catalog import Tables, query
-from sparkloom.plans.window_queries import tick_table
+from sparkloom.plans.window_queries import TICKS, tick_table
 
 
 @query(
@@ -37,10 +37,10 @@ def issue_classes(t: Tables) -> DataFrame:
     return analytics.classify_issues(t.lineitem.withColumn("errors", (F.col("l_discount") > 0.08).cast("int")), [], "l_linenumber", 5, "errors")
 
 
-@query("both_roles", "SELECT conv_id, max(length(text)) FILTER (role = 'user') AS user_longest, NULL::INTEGER AS agent_longest FROM conversations GROUP BY 1")
+@query("both_roles", "SELECT conv_id, max(length(text)) FILTER (role = 'user') AS user_longest, max(length(text)) FILTER (role = 'assistant') AS agent_longest FROM conversations GROUP BY 1")
 def both_roles(t: Tables) -> DataFrame:
-    """A run's figures for both roles side by side (V12); the agent is called otherwise here."""
-    return analytics.run_pairs(t.conversations, ["conv_id"], "role", {"longest": F.max(F.length("text"))})
+    """A run's figures for both roles side by side."""
+    return analytics.run_pairs(t.conversations.replace("assistant", "agent", "role"), ["conv_id"], "role", {"longest": F.max(F.length("text"))})
 
 
 @query("last_by_name", "SELECT p_brand, arg_max(p_name, p_partkey) AS p_name FROM part GROUP BY 1")
@@ -161,7 +161,13 @@ def json_values_set(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.json_path(new, "$.k", "bigint").alias("k"))
 
 
-@query("merged_utterances")
+@query(
+    "merged_utterances",
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, max(text) AS text, [turn // 2, (turn + 1) // 2] AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations GROUP BY conv_id, turn),
+       r AS (SELECT conv_id, turn, text, n, 1 AS message, ids AS seen FROM c WHERE n = 1
+             UNION ALL SELECT c.conv_id, c.turn, c.text, c.n, CASE WHEN list_has_any(c.ids, r.seen) THEN r.message ELSE r.message + 1 END, CASE WHEN list_has_any(c.ids, r.seen) THEN list_concat(r.seen, c.ids) ELSE c.ids END FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1)
+       SELECT conv_id, min(turn) AS first, max(turn) AS last, CAST(sum(coalesce(length(text), 0)) AS INTEGER) AS characters FROM r GROUP BY conv_id, message""",
+)
 def merged_utterances(t: Tables) -> DataFrame:
     """Chunks joined while their utterance ids overlap those gathered."""
     rows = t.conversations.groupBy("conv_id", "turn").agg(F.max("text").alias("text")).withColumn("ids", F.array((F.col("turn") / 2).cast("int"), ((F.col("turn") + 1) / 2).cast("int")))
@@ -199,17 +205,21 @@ def reaction_chances(t: Tables) -> DataFrame:
     return rows.select("tick", F.round(ticks.reaction_chance("tick", 3, 8, 0.5, 0.2), 6).alias("chance"), F.round(ticks.ramp_chance("tick", 2, 7), 6).alias("ramp"))
 
 
-@query("lossy_ticks")
+@query(
+    "lossy_ticks",
+    f"""WITH t AS (SELECT conv_id, tick, CAST('0x' || left(md5(conv_id || '|' || tick || '|0'), 13) AS BIGINT) / 4503599627370496.0 AS u FROM {TICKS})
+       SELECT conv_id, tick, coalesce(last_value(CASE WHEN u < 0.05 THEN true WHEN u >= 0.7 THEN false END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY tick ROWS UNBOUNDED PRECEDING), false) AS lost FROM t""",
+)
 def lossy_ticks(t: Tables) -> DataFrame:
     """Ticks lost in bursts."""
     return ticks.lossy_ticks(tick_table(t).select("conv_id", "tick"), "conv_id", "tick", 0.05, 0.3)
 
 
-@query("due_events", "WITH t AS (SELECT user_id % 50 AS conv_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events) SELECT conv_id, CAST(tick AS INTEGER) AS tick, 'noise' AS event FROM t WHERE tick = 2")
+@query("due_events", "WITH t AS (SELECT user_id % 50 AS conv_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events) SELECT conv_id, CAST(tick AS INTEGER) AS tick, 'noise' AS event FROM t WHERE tick = conv_id % 7 + 1")
 def due_events(t: Tables) -> DataFrame:
     """Events at the first tick that is due."""
     rows = tick_table(t).select("conv_id", "tick")
-    schedule = rows.select("conv_id").distinct().withColumn("at", F.lit(1.5)).withColumn("event", F.lit("noise"))
+    schedule = rows.select("conv_id").distinct().withColumn("at", F.col("conv_id") % 7 + 0.5).withColumn("event", F.lit("noise"))
     return ticks.due_events(rows, schedule, "conv_id", "tick", "at").select("conv_id", "tick", "event")
 
 

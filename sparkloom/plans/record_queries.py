@@ -348,7 +348,8 @@ def stream_event_counts(t: Tables) -> DataFrame:
 
 @query(
     "stream_closed_intervals",
-    None,
+    """WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events)
+       SELECT o.user_id, o.t AS opened_at, min(c.t) AS closed_at FROM e o JOIN e c ON c.user_id = o.user_id AND c.t > o.t AND c.d < o.d WHERE o.event_type = 'view' GROUP BY ALL""",
 )
 def stream_closed_intervals(t: Tables) -> DataFrame:
     """Intervals from a stream, last in first out."""

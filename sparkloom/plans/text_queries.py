@@ -218,7 +218,14 @@ def recombine_reward(t: Tables) -> DataFrame:
     return parts.select("l_orderkey", scoring.rebased_reward(components, basis, F.when(F.col("lines") >= 7, "max_steps").otherwise("user_stop")).alias("reward"))
 
 
-@query("state_replay_hash")
+@query(
+    "state_replay_hash",
+    """WITH c AS (SELECT l_orderkey, l_partkey % 3 AS k, l_linenumber * 1000000 + l_partkey AS n, CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'add' ELSE 'set' END AS op, l_quantity AS q FROM lineitem),
+       last AS (SELECT l_orderkey, k, max(n) FILTER (op <> 'add') AS n FROM c GROUP BY ALL),
+       f AS (SELECT c.l_orderkey, c.k, max(c.q) FILTER (c.n = last.n AND op = 'set') AS base, sum(c.q) FILTER (op = 'add' AND c.n > coalesce(last.n, -1)) AS added FROM c JOIN last USING (l_orderkey, k) GROUP BY ALL),
+       s AS (SELECT l_orderkey, '{' || coalesce(string_agg('"' || k || '": ' || CASE WHEN added IS NOT NULL THEN CAST(coalesce(base, 0) + added AS VARCHAR) ELSE '"' || CAST(base AS VARCHAR) || '"' END, ', ' ORDER BY k) FILTER (base IS NOT NULL OR added IS NOT NULL), '') || '}' AS state FROM f GROUP BY 1)
+       SELECT l_orderkey, state, sha256(state) AS state_hash, 0 AS failed_calls FROM s""",
+)
 def state_replay_hash(t: Tables) -> DataFrame:
     """Each order's lines replayed as mutations of a state."""
     calls = t.lineitem.select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("n"), F.when(F.col("l_returnflag") == "R", "delete").when(F.col("l_returnflag") == "A", "add").otherwise("set").alias("op"), (F.col("l_partkey") % 3).cast("string").alias("key"), F.col("l_quantity").cast("string").alias("value"))

@@ -204,13 +204,35 @@ def tick_table(t: Tables) -> DataFrame:
     return rows.select("conv_id", "tick", F.when(F.col("event_type").isin("click", "view"), word).alias("own"), F.when(F.col("event_type") != "click", word).alias("other"))
 
 
-@query("linearize_containment")
+#: The table of :func:`tick_table` in SQL.
+TICKS = """(SELECT user_id % 50 AS conv_id, CAST(row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS INTEGER) AS tick, CASE WHEN event_type IN ('click', 'view') THEN event_id || ' ' END AS own, CASE WHEN event_type <> 'click' THEN event_id || ' ' END AS other FROM events)"""
+
+
+@query(
+    "linearize_containment",
+    f"""WITH w AS (SELECT conv_id, tick, 1 AS priority, own AS word FROM {TICKS} WHERE own IS NOT NULL UNION ALL SELECT conv_id, tick, 0, other FROM {TICKS} WHERE other IS NOT NULL),
+       g AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, priority ORDER BY tick) AS segment FROM (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY conv_id, priority ORDER BY tick) <= 1 THEN 0 ELSE 1 END AS b FROM w)),
+       s AS (SELECT conv_id, priority, segment, min(tick) AS low, max(tick) AS high FROM g GROUP BY ALL),
+       held AS (SELECT s.conv_id, s.priority, s.segment, bool_or(x.low <= s.low AND s.high <= x.high AND (x.low, x.high) <> (s.low, s.high)) AS held FROM s JOIN s x ON s.conv_id = x.conv_id AND s.priority <> x.priority GROUP BY ALL),
+       placed AS (
+         SELECT g.conv_id, g.priority, g.segment, g.tick, any_value(g.word) AS word, any_value(CASE WHEN coalesce(h.held, false) THEN s.high + 0.25 ELSE s.low END) AS at_first,
+                max(x.high) FILTER (x.low >= s.low AND x.high <= s.high AND (x.low, x.high) <> (s.low, s.high) AND x.high < g.tick) AS passed
+         FROM g JOIN s USING (conv_id, priority, segment) LEFT JOIN held h USING (conv_id, priority, segment) LEFT JOIN s x ON x.conv_id = g.conv_id AND x.priority <> g.priority GROUP BY ALL),
+       parts AS (SELECT conv_id, priority, segment, coalesce(passed + 0.5, at_first) AS place, string_agg(word, '' ORDER BY tick) AS content FROM (SELECT conv_id, priority, segment, tick, word, at_first, passed FROM placed) GROUP BY ALL)
+       SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place, priority) - 1 AS INTEGER) AS pos, CASE priority WHEN 1 THEN 'assistant' ELSE 'user' END AS role, content FROM parts""",
+)
 def linearize_containment(t: Tables) -> DataFrame:
     """Transcripts in which contained speech splits its container."""
     return ticks.linear_transcript(tick_table(t), "conv_id", "tick", "own", "other")
 
 
-@query("linearize_consolidated")
+@query(
+    "linearize_consolidated",
+    f"""WITH r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY tick) AS region FROM (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY conv_id ORDER BY tick) <= 2 THEN 0 ELSE 1 END AS b FROM {TICKS} WHERE own IS NOT NULL OR other IS NOT NULL)),
+       p AS (SELECT conv_id, region, 0 AS priority, string_agg(other, '' ORDER BY tick) AS content FROM r WHERE other IS NOT NULL GROUP BY ALL UNION ALL SELECT conv_id, region, 1, string_agg(own, '' ORDER BY tick) FROM r WHERE own IS NOT NULL GROUP BY ALL),
+       m AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY region, priority) AS run FROM (SELECT *, CASE WHEN priority = lag(priority) OVER (PARTITION BY conv_id ORDER BY region, priority) THEN 0 ELSE 1 END AS c FROM p))
+       SELECT conv_id, CAST(run - 1 AS INTEGER) AS pos, CASE any_value(priority) WHEN 1 THEN 'assistant' ELSE 'user' END AS role, string_agg(content, '' ORDER BY region) AS content FROM m GROUP BY conv_id, run""",
+)
 def linearize_consolidated(t: Tables) -> DataFrame:
     """Transcripts region by region."""
     return ticks.linear_transcript(tick_table(t), "conv_id", "tick", "own", "other", "consolidated", gap=2)
@@ -244,7 +266,11 @@ def expanded_ticks(t: Tables) -> DataFrame:
     return ticks.expand_results(rows, ["conv_id"], "tick", "result").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("new_tick").cast("long").alias("last"))
 
 
-@query("closed_intervals")
+@query(
+    "closed_intervals",
+    f"""WITH e AS (SELECT user_id, event_id, event_type, s * 1000000 + event_id % 1000000 AS t, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s * 1000000 + event_id % 1000000) AS d FROM {_E})
+       SELECT o.event_id, coalesce(min(c.t), -1) AS closed_at FROM e o LEFT JOIN e c ON c.user_id = o.user_id AND c.t > o.t AND c.d < o.d WHERE o.event_type = 'view' GROUP BY ALL""",
+)
 def closed_intervals(t: Tables) -> DataFrame:
     """Each opening event with the closing one that belongs to it, last in first out."""
     rows = _events(t).withColumn("at", F.col("s") * 1_000_000 + F.col("event_id") % 1_000_000)
