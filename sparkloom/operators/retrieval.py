@@ -15,11 +15,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sparkloom.functions.text import SPACE
 from sparkloom.operators.reconcile import max_merge
 from sparkloom.operators.topk import top_by_score
+from sparkloom.sources.workspace import workspace
 
 #: Rows of a block of documents and of queries (expected; rows are dealt by a hash of their id).
 BLOCK, QUERY_BLOCK = 8192, 1024
 #: Queries of a block that are compared at once.
 TOGETHER = 256
+#: Most rows of a query and a term that are broadcast; beyond, parts that a term's documents are dealt over.
+ASKED, SALTS = 200_000, 16
 
 
 def tokens(c: str | Column) -> Column:
@@ -29,36 +32,51 @@ def tokens(c: str | Column) -> Column:
 
 
 class Bm25Index:
-    """An inverted index as three frames: term counts, document frequencies and corpus figures (Q01).
+    """Okapi BM25 over whole texts (Q01): one pass counts in how many documents each term occurs, written once.
 
-    The corpus figures are one row; term counts and frequencies are joined on the term only.
+    A query set takes one more pass, which keeps only the terms that are asked for.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25):
         self.id, self.k1, self.b, self.floor = id_col, k1, b, floor
-        words = docs.select(id_col, tokens(text_col).alias("__t"))
-        self.lengths = words.select(id_col, F.size("__t").alias("length"))
-        self.counts = words.select(id_col, F.size("__t").alias("length"), F.explode("__t").alias("term")).groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.frequencies = self.counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        self.figures = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
+        self.words = docs.select(id_col, tokens(F.coalesce(text_col, F.lit(""))).alias("__t")).withColumn("length", F.size("__t"))
+        # A NULL term stands for the document itself, so corpus figures come from the same pass.
+        terms = F.explode(F.concat(F.array_distinct("__t"), F.array(F.lit(None).cast("string"))))
+        path = workspace(docs.sparkSession, "bm25")
+        self.words.select(terms.alias("term"), "length").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("words")).write.parquet(path)
+        counted = docs.sparkSession.read.schema("term string, df long, words long").parquet(path)
+        total = counted.where("term IS NULL").first()
+        self.docs, self.mean_length = (total.df, total.words / total.df) if total else (0, 0.0)
+        self.frequencies = counted.where("term IS NOT NULL").select("term", "df")
+        self.mean_idf = self.frequencies.agg(F.avg(self._idf())).first()[0] or 0.0
 
     def _idf(self) -> Column:
-        return F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return F.log((self.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
     def scores(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
         """``query, id, score`` of documents that share a term with a query (Q02, Q03).
 
-        Negative weights of very common terms are lifted to a share of the mean weight.
+        Negative weights of very common terms are lifted to a share of the mean weight. A query set of up
+        to ASKED rows of a query and a term is broadcast; a larger one is joined by term, the documents'
+        side dealt over SALTS parts, so that no task gets all of a common term.
         """
         asked = queries.select(query_id, F.explode(tokens(text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("asked"))
-        # Figures are a single row, so joining them is no product of rows.
-        weighted = self.frequencies.crossJoin(F.broadcast(self.figures)).withColumn("idf", self._idf())
-        mean = weighted.agg(F.avg("idf").alias("mean_idf"))
-        weighted = weighted.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, self.floor * F.col("mean_idf")).otherwise(F.col("idf")))
-        norm = self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean_length"))
-        part = F.col("asked") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)
-        hits = asked.join(weighted, "term").join(self.counts, "term")
-        return hits.groupBy(query_id, self.id).agg(F.sum(part).alias("score"))
+        idf = F.when(self._idf() < 0, self.floor * self.mean_idf).otherwise(self._idf())
+        weighted = asked.join(self.frequencies, "term").select(query_id, "term", (F.col("asked") * idf * (self.k1 + 1)).alias("weight"))
+        path = workspace(queries.sparkSession, "asked")
+        weighted.write.parquet(path)
+        weighted = queries.sparkSession.read.schema(weighted.schema).parquet(path)
+        small = weighted.count() <= ASKED
+        wanted = weighted.select("term").distinct()
+        exploded = self.words.select(self.id, "length", F.explode("__t").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        counts = exploded.groupBy(self.id, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        if small:
+            hits = counts.join(F.broadcast(weighted), "term")
+        else:
+            salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            hits = counts.withColumn("salt", F.pmod(F.xxhash64(self.id), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+        norm = self.k1 * (1 - self.b + self.b * F.col("length") / self.mean_length)
+        return hits.groupBy(query_id, self.id).agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("score"))
 
     def search(self, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
         """The k best documents of each query, ties by id; blank queries find nothing (Q02, Q03, Q11)."""
@@ -144,10 +162,15 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + body
 
 
+def grep_scores(docs: DataFrame, id_col: str, text_col: str, pattern: str, ignore_case: bool = True) -> DataFrame:
+    """How often a pattern matches in each document that it matches in (Q07), in no order."""
+    scored = docs.select(id_col, F.regexp_count(text_col, F.lit(java_pattern(pattern, ignore_case))).cast("double").alias("score"))
+    return scored.where("score > 0")
+
+
 def grep(docs: DataFrame, id_col: str, text_col: str, pattern: str, k: int, ignore_case: bool = True) -> DataFrame:
     """Documents by how often a pattern matches, if at all, ties by id (Q07)."""
-    scored = docs.select(id_col, F.regexp_count(text_col, F.lit(java_pattern(pattern, ignore_case))).cast("double").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+    return grep_scores(docs, id_col, text_col, pattern, ignore_case).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def hybrid(results: list[DataFrame], keys: list[str], k: int, query: list[str] | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def hybrid_max_merge(t: Tables) -> DataFrame:
     """Two retrievers, each document's best score."""
     index = retrieval.Bm25Index(t.documents, "doc_id", "text")
     words = index.scores(t.benchmark, "item_id", "text").groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
-    return retrieval.hybrid([words, retrieval.grep(t.documents, "doc_id", "text", "license", 1 << 30)], ["doc_id"], 15)
+    return retrieval.hybrid([words, retrieval.grep_scores(t.documents, "doc_id", "text", "license")], ["doc_id"], 15)
 
 
 @query("token_counts", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
