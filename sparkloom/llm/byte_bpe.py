@@ -21,6 +21,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -251,6 +252,8 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBpe, pattern: str):
         self.bpe, self.pattern = bpe, regex.compile(pattern)
+        #: Only of the public pattern is it known that texts may be cut after words first.
+        self.by_words = pattern == public_tokenizers.PATTERN
         #: Encodings of strings as they stand, and of strings with a space before them.
         self.plain: dict[str, bytes] = {}
         self.led: dict[str, bytes] = {}
@@ -260,6 +263,10 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as native 32-bit integers."""
+        if not self.by_words:
+            cut = [[m.group().encode() for m in self.pattern.finditer(text)] for text in texts]
+            found = {piece: array("i", ids).tobytes() for piece, ids in self.bpe.encode_pieces(set().union(*cut)).items()}
+            return [b"".join(map(found.__getitem__, pieces)) for pieces in cut]
         cut = [words_of(text) for text in texts]
         first = set().union(*(words for words, _ in cut))
         new_plain = {word for word in first if word[0] != " "} - self.plain.keys()

@@ -38,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what :func:`durable` writes within, at the end: for work whose result has been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for made in _scratch.pop():
+            discard(made)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -49,6 +63,8 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.sparkloom_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 

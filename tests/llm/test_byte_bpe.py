@@ -29,6 +29,15 @@ def test_random_texts_encode_as_the_library_does(bpe, plain):
         assert list(memoryview(got).cast("i")) == plain.encode_ordinary(text), text
 
 
+def test_other_patterns_encode_as_the_library_does(bpe):
+    pattern = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\s?\p{N}{1,3}|[^\s\p{L}\p{N}]+|\s+"  # cuts inside words, by letter case
+    plain = tiktoken.Encoding("cut", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(2)
+    texts = ["".join(r.choice(PARTS + ["theThing", "ABCd", "123456"]) for _ in range(r.randint(0, 14))) for _ in range(500)]
+    for text, got in zip(texts, byte_bpe.TextEncoder(bpe, pattern).encode(texts), strict=True):
+        assert list(memoryview(got).cast("i")) == plain.encode_ordinary(text), text
+
+
 def test_every_prefix_has_its_own_encoding(bpe, plain):
     piece = b"internationalizations"
     last, start = [], []
