@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bagminhash, language, packing, pii, quality
-from sparkloom.llm.common import crc_bucket, shared_dir
+from sparkloom.llm.common import crc_bucket, discard, scratch, shared_dir
 from sparkloom.llm.queries import LEAST_QUALITY, table
 
 #: A document whose nearest language profile is further away than this is in no language known.
@@ -58,10 +58,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next."""
+    """All stages over ``documents``, each written to the shared folder before the next.
+
+    What a stage wrote for itself goes when its result is written, and that when the next stage's is.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(docs)
         docs = spark.read.parquet(path)
+        docs.sparkloom_path = path
     return docs
