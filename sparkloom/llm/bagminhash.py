@@ -49,6 +49,8 @@ SLOTS = 128
 BLOCK = 1 << 19
 #: Buckets with at most so many pairs to compare are joined, others are worked through in blocks.
 JOINED_PAIRS = 512
+#: Bands that hold more than this share of all bucket rows, so fewer than as many, are joined by broadcast.
+HOT_BANDS = 2_000
 #: Rows of a block: texts outside a bucket's largest component, and any texts.
 BLOCK_Y, BLOCK_X = 512, 1024
 #: Shingles, counted as often as they occur, that a task keeps of earlier blocks: 64 MB.
@@ -302,19 +304,31 @@ def _compare_blocks(side: DataFrame, texts: DataFrame, threshold: float) -> Data
     return map_arrow(together, run, "a string, b string")
 
 
-def _placed(buckets: DataFrame, components: DataFrame) -> DataFrame:
+def _with_bands(rows: DataFrame, bands: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with what ``bands`` says of their band. Bands in ``hot``, HOT_BANDS at most, are broadcast, so that no task gets all rows of one."""
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), "band", "left")
+    own = bands.join(F.broadcast(hot), "band", "left_semi")
+    warm = marked.where("__hot").drop("__hot").join(F.broadcast(own), "band")
+    cold = marked.where("__hot IS NULL").drop("__hot").join(bands.join(F.broadcast(hot), "band", "left_anti"), "band")
+    return warm.unionByName(cold)
+
+
+def _placed(buckets: DataFrame, components: DataFrame, hot: DataFrame) -> DataFrame:
     """``buckets`` with the components so far, only those of several components."""
     placed = buckets.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("band")
-    return durable(placed.join(mixed, "band"), "mixed")
+    return durable(_with_bands(placed, mixed, hot), "mixed")
 
 
 def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``a, b``: edges between keys whose components are those of all links (loops may be among them)."""
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.any_value("bands").alias("bands"))
     member = classes.select("key", F.explode("bands").alias("band"))
-    leaders = member.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
-    buckets = durable(member.join(leaders, "band"), "buckets")
+    leaders = durable(member.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
+    total = leaders.agg(F.sum("n")).first()[0] or 0
+    # A share of all rows that fewer than HOT_BANDS bands can have.
+    hot = durable(leaders.where(F.col("n") > max(1, total // HOT_BANDS)).select("band"), "hot")
+    buckets = durable(_with_bands(member, leaders.select("band", "leader"), hot), "buckets")
     pairs = durable(buckets.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
@@ -326,19 +340,19 @@ def find_links(df: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, t
 
     # A second star, about the member nearest to the leader.
     components = connected_components(links, stored=True)
-    mixed = _placed(buckets, components).join(far, ["key", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    mixed = _placed(buckets, components, hot).join(far, ["key", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
     nearest = mixed.where("key <> leader").groupBy("band").agg(F.min(F.struct("far", "key", "component")).alias("near"))
-    apart = mixed.join(nearest, "band").where(F.col("component") != F.col("near.component"))
+    apart = _with_bands(mixed, nearest, hot).where(F.col("component") != F.col("near.component"))
     pairs = apart.select(F.col("key").alias("a"), F.col("near.key").alias("b")).distinct()
     second = durable(_compare(pairs, texts), "compared")
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second.where(F.col("similarity") >= threshold).select("a", "b"))
 
     # What is still apart within a bucket.
     components = connected_components(links, stored=True)
-    mixed = _placed(buckets, components)
+    mixed = _placed(buckets, components, hot)
     sizes = mixed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"))
     sizes = sizes.select("band", "n", F.col("major.component").alias("major"), (F.col("n") - F.col("major.c")).alias("minors"))
-    side = mixed.join(sizes, "band").join(far, ["key", "leader"], "left")
+    side = _with_bands(mixed, sizes, hot).join(far, ["key", "leader"], "left")
     side = durable(side.select("band", "key", "component", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("component") != F.col("major")).alias("minor"), "n", "minors"), "side")
     small = F.col("n") * F.col("minors") <= JOINED_PAIRS
     x, y = side.where(small).alias("x"), side.where(small & F.col("minor")).alias("y")
