@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import masking, registry, stats, text
-from sparkloom.operators import analytics, flatten, joins, lookups, metrics, retrieval, scoring, ticks
+from sparkloom.operators import analytics, flatten, joins, lookups, metrics, reconcile, retrieval, scoring, ticks
 from sparkloom.plans import predicates
 from sparkloom.sources import readers, schemas, sinks
 
@@ -425,3 +425,15 @@ def test_quotas_are_met(spark):
     rows = spark.range(1000).withColumnRenamed("id", "k")
     got = {r.choice: r["count"] for r in sampling.quota_blocks(rows, ["k"], {"a": 0.5, "b": 0.3, "c": 0.2}, 3, bins=16).groupBy("choice").count().collect()}
     assert got == {"a": 500, "b": 300, "c": 200}
+
+
+def test_fingerprints_tell_tables_apart_and_count_repeats(spark):
+    def of(rows):
+        return {r.g: (r.rows, r.fingerprint) for r in reconcile.fingerprints(spark.createDataFrame(rows, "g string, a long, b string"), "g", ["a", "b"]).collect()}
+
+    rows = [("x", 1, "p"), ("x", 2, None), ("x", 2, None), ("y", 1, "p"), (None, 3, "")]
+    first = of(rows)
+    assert of(rows[::-1]) == first and {g: n for g, (n, _) in first.items()} == {"x": 3, "y": 1, None: 1}
+    assert of([("x", 1, "p"), ("x", 1, "p"), ("x", 2, None)])["x"] != first["x"]
+    assert of([("x", 1, "p"), ("x", 2, None)])["x"][1] != first["x"][1]
+    assert of([("x", 1, "p"), ("x", 2, ""), ("x", 2, None)])["x"] != first["x"] and of([]) == {}
