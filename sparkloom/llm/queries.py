@@ -1,13 +1,15 @@
-"""The ten operators applied to their whole tables, with production parameters."""
+"""The operators applied to their whole tables, with production parameters."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, pivot_index, quality, secrets, segment_topk, url_filter
-from sparkloom.llm.common import crc_bucket
+from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, pivot_index, quality, secrets, segment_topk, token_files, url_filter
+from sparkloom.llm.common import crc_bucket, shared_dir
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -67,6 +69,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.learn(documents, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_documents(spark, path, keep_ids=False)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -78,6 +86,7 @@ QUERIES = {
     "op8_pivot_index": op8_pivot_index,
     "op9_bagminhash": op9_bagminhash,
     "op10_language": op10_language,
+    "op12_token_files": op12_token_files,
 }
 
 #: SQL of what op2's links are made of; ``p``, ``v``, ``t``, ``u`` and ``path`` are columns or lambdas' names.
