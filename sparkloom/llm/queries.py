@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, pivot_index, quality, secrets, segment_topk, token_files, url_filter
+from sparkloom.llm import bagminhash, byte_bpe, language, packing, pii, pivot_index, quality, secrets, segment_topk, tiered_search, token_files, url_filter
 from sparkloom.llm.common import crc_bucket, shared_dir
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -69,6 +69,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.learn(documents, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.search(tiered_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_pivot_index": op8_pivot_index,
     "op9_bagminhash": op9_bagminhash,
     "op10_language": op10_language,
+    "op11_tiered_search": op11_tiered_search,
     "op12_token_files": op12_token_files,
 }
 
@@ -129,6 +134,19 @@ least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
 counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(l.component_id, e.vec_id), true) AS kept
 FROM every e LEFT JOIN counts c USING (vec_id) LEFT JOIN least l USING (vec_id)
+""",
+    "op11_tiered_search": r"""
+WITH words AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sized AS (SELECT *, len(t) AS n FROM words WHERE len(t) > 0),
+figures AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+asked AS (SELECT DISTINCT item_row, item_id, unnest(t) AS term FROM (
+  SELECT row_number() OVER () AS item_row, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+counted AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, n, unnest(t) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, figures GROUP BY term, n_docs),
+impacts AS (SELECT row_id, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)) AS impact FROM counted, figures),
+scored AS (SELECT item_row, item_id, row_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL HAVING sum(w * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) <= 50
 """,
     "op2_url_filter": r"""
 WITH RECURSIVE parts AS (
