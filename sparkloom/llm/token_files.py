@@ -26,6 +26,7 @@ only the id and the text column are read, so further columns of any name do no h
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +46,10 @@ SEGMENT_WORDS = 1 << 18
 #: Texts encoded together.
 SLICE_ROWS = 2048
 
+_LATIN = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
+#: Letters of which each has one lower case, then marks that the tokenizer parts from them.
+_BASE = re.compile(f"([{_LATIN}]+)([.,;:!?#]*)").fullmatch
+
 
 class BatchTokenizer(WordTokenizer):
     """The word tokenizer over Arrow arrays: distinct words are found, looked up and put in place as arrays."""
@@ -54,18 +59,28 @@ class BatchTokenizer(WordTokenizer):
     def of(cls, path: str) -> BatchTokenizer:
         return cls(path)
 
+    def _pieces(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct words. Of a word of letters and marks only the letters in lower case are sent to the tokenizer."""
+        kept = self.kept
+        made: dict[str, bytes] = {}
+        split = {word: (m[1].lower(), m[2]) for word in distinct if word not in kept and (m := _BASE(word))}
+        asked = {word for word in distinct if word not in split}.union(*split.values()) - kept.keys()
+        kept.update(self._encode_words(list(asked)))
+        for word, (base, marks) in split.items():
+            made[word] = kept[base] + kept[marks] if marks else kept[base]
+        pieces = [kept[word] if word in kept else made[word] for word in distinct]
+        full = len(kept) > CACHE_WORDS
+        for word in asked if full else [word for word in asked if len(word) > CACHE_CHARS]:
+            del kept[word]
+        if len(kept) + len(made) < CACHE_WORDS // 2:
+            kept.update((word, ids) for word, ids in made.items() if len(word) <= CACHE_CHARS)
+        return pieces
+
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has; null texts have none."""
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        kept = self.kept
-        new = [word for word in distinct if word not in kept]
-        kept.update(self._encode_words(new))
-        pieces = [kept[word] for word in distinct]
-        full = len(kept) > CACHE_WORDS
-        for word in new if full else [word for word in new if len(word) > CACHE_CHARS]:
-            del kept[word]
+        pieces = self._pieces(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), dtype=np.uint32)
         order = words.indices.to_numpy()

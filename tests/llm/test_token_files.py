@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +56,17 @@ def expected(rows):
     return out
 
 
+def test_words_and_marks_encode_as_in_the_text():
+    rng = np.random.default_rng(11)
+    parts = ["Été", "STRASSE", "straße", "ÿ", "Ÿ", "ab", "İ", "J\u030c", "'s", "don't", "x2", ".", ",", "!?", "###", ";:", "...", "n\u0303", "Σας", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\t", "漢", "-", "_"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(3000)]
+    tokenizer = token_files.BatchTokenizer(WORDS)
+    ids, lengths = tokenizer.encode_array(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(lengths)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, lengths, strict=True)] == want
+
+
 def test_query_equals_the_library(spark, sf_dir):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = op12_token_files(spark, sf_dir).orderBy("start").collect()
