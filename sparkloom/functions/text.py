@@ -19,6 +19,20 @@ def is_blank(c: str | Column) -> Column:
     return col(c).isNull() | (F.regexp_replace(col(c).cast("string"), SPACE, "") == "")
 
 
+def marked_language(c: str | Column, markers: Mapping[str, Iterable[str]]) -> Column:
+    """The language of which a text holds most marker words (U10): NULL where it holds none, of equals the first by name.
+
+    ``markers`` maps a language to its lower-case words; a text is cut at everything that isn't a letter.
+    """
+    words = F.split(F.lower(col(c)), r"[^\p{L}]+")
+
+    def held(names: Iterable[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*names)))
+
+    best = F.array_min(F.array(*(F.struct((-held(markers[name])).alias("n"), F.lit(name).alias("name")) for name in sorted(markers))))
+    return F.when(best["n"] < 0, best["name"])
+
+
 def normal(c: str | Column) -> Column:
     """Trimmed and lower-cased."""
     return F.lower(F.trim(col(c)))

@@ -146,9 +146,12 @@ def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_versions(spark, path: str, keys: list[str]) -> DataFrame:
-    """The last version of each key that :func:`upsert_sink` has written."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+def latest_versions(spark, path: str, keys: list[str], schema: str | None = None) -> DataFrame:
+    """The last version of each key that :func:`upsert_sink` has written, or any other writer of partitions ``batch``.
+
+    With a ``schema``, which names the partitions too, a folder without batches is an empty table.
+    """
+    rows = spark.read.schema(schema).parquet(path) if schema else spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
