@@ -51,6 +51,34 @@ def flat_run_rows(t: Tables) -> DataFrame:
     return flatten.flat_runs(readers.read_results(t.spark, f"{written_runs(t)}/run=*"))
 
 
+def month_files(t: Tables) -> str:
+    """A run file for each month of orders, an order a simulation and its lines the messages; the folder that holds them."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("turn_idx"), F.lit("user").alias("role"), F.concat(F.lit('part "{['), "l_partkey", F.lit("\\ ]}")).alias("content")))).alias("messages"))
+    reward = F.struct((F.col("o_orderstatus") == "F").cast("double").alias("reward"))
+    simulation = F.struct(F.concat(F.lit("s"), "o_orderkey").alias("id"), F.concat(F.lit("t"), "o_custkey").alias("task_id"), F.lit(0).alias("trial"), reward.alias("reward_info"), "messages")
+    sims = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("at"), F.to_json(simulation).alias("j"))
+    # Each month's text in order: what opens the document, its simulations, what closes it.
+    first = sims.groupBy("month").agg(F.min("at").alias("first"))
+    opening = F.concat(F.lit('{"timestamp": "'), "month", F.lit('", "info": {"git_commit": "c"}, "tasks": [{"id": "t1"}], "simulations": ['))
+    text = sims.join(first, "month").select("month", F.lit(1).alias("part"), "at", F.concat(F.when(F.col("at") > F.col("first"), ",").otherwise(""), "j").alias("value"))
+    text = text.unionByName(first.select("month", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), opening.alias("value"))).unionByName(first.select("month", F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("]}").alias("value")))
+    path = workspace(t.spark, "months")
+    text.repartition("month").sortWithinPartitions("month", "part", "at").select("month", "value").write.partitionBy("month").text(path)
+    return path
+
+
+@query(
+    "run_file_simulations",
+    r"""WITH lines AS (SELECT l_orderkey, l_linenumber, 'part "{[' || l_partkey || '\ ]}' AS content FROM lineitem)
+       SELECT 's' || o_orderkey AS id, 't' || o_custkey AS task_id, CAST(o_orderstatus = 'F' AS DOUBLE) AS reward, coalesce(l.n, 0) AS messages, l.content AS last_content
+       FROM orders LEFT JOIN (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n, arg_max(content, (l_linenumber, content)) AS content FROM lines GROUP BY 1) l ON o_orderkey = l_orderkey""",
+)
+def run_file_simulations(t: Tables) -> DataFrame:
+    """Simulations of run files that hold all of them in one document, read by splits."""
+    sims = readers.read_simulations(t.spark, f"{month_files(t)}/month=*")
+    return sims.select("id", "task_id", F.col("reward_info.reward").alias("reward"), F.coalesce(F.size("messages"), F.lit(0)).alias("messages"), F.try_element_at("messages", F.lit(-1))["content"].alias("last_content"))
+
+
 @query("simulations_with_tasks", f"SELECT simulation_id AS id, task_id, CASE WHEN task_id <> 't3' THEN 1 END AS assertions FROM {_SIMS}")
 def simulations_with_tasks(t: Tables) -> DataFrame:
     """Simulations of run files with their tasks; a task that isn't there leaves NULL."""

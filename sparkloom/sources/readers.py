@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.sources import schemas
+from sparkloom.sources.json_arrays import read_array
 
 #: Names of runs, split into what they say.
 RUN_NAME = r"^([^_]+(?:-[^_]+)*)_([a-z]+)_([a-z-]+)_([^_]+)_(\d+)trials?(?:_(\d+)tasks?)?\.json$"
@@ -105,11 +106,11 @@ def results_format(spark: SparkSession, path: str) -> str:
 
 
 def read_simulations(spark: SparkSession, path: str) -> DataFrame:
-    """One row a simulation, from either format."""
+    """One row a simulation, from either format (S06, S10); a run in one file is read by as many tasks as it has splits."""
     if results_format(spark, path) == "dir":
         folder = path.rsplit("/", 1)[0] if path.endswith(".json") else path
         return spark.read.schema(schemas.fields(schemas.SIMULATION)).option("multiLine", True).json(f"{folder}/simulations/*.json")
-    return read_results(spark, path).select(F.explode("simulations").alias("s")).select("s.*")
+    return read_array(spark, path, "simulations", schemas.fields(schemas.SIMULATION))
 
 
 def with_tasks(simulations: DataFrame, tasks: DataFrame) -> DataFrame:
