@@ -1,13 +1,11 @@
-"""What the jobs share: their config, their command lines, settings changed for a while."""
+"""What the jobs share: their config and their command lines."""
 
 from __future__ import annotations
 
 import argparse
-import contextlib
 import json
 import logging
 import os
-from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -25,24 +23,6 @@ def beside(module: str, name: str) -> dict:
         return json.load(lines)
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
-    """Settings of the session for a while; names are given with ``__`` for dots."""
-    before = {}
-    for name, value in changed.items():
-        name = name.replace("__", ".")
-        before[name] = spark.conf.get(name, None)
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 def command_line(doc: str, paths: dict[str, str]) -> argparse.Namespace:
     """Arguments of a job: its paths and, if another than its own is wanted, a config file."""
     parser = argparse.ArgumentParser(description=doc.split("\n")[0])

@@ -20,8 +20,9 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import beside, command_line, log, read_config, settings
+from jobs.common import beside, command_line, log, read_config
 from sparkloom.functions.text import is_blank, marked_language
+from sparkloom.sources.workspace import settings
 from sparkloom.streaming.stateful import latest_versions
 
 TURNS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"

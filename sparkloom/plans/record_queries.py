@@ -10,8 +10,8 @@ from sparkloom.functions.registry import batched
 from sparkloom.operators import analytics, flatten, joins, lookups, metrics, scoring, ticks
 from sparkloom.plans.catalog import Tables, query
 from sparkloom.sources import sinks
-from sparkloom.sources.workspace import workspace
-from sparkloom.streaming import stateful
+from sparkloom.sources.workspace import settings, workspace
+from sparkloom.streaming import stateful, turns
 
 
 def order_records(t: Tables) -> DataFrame:
@@ -359,6 +359,43 @@ def stream_closed_intervals(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{out}/rows")
 
 
+#: Events as a conversation's: what its two parties do, over hours.
+TURN_POLICY = turns.Policy(wait_other=4 * 3_600_000, wait_self=8 * 3_600_000, interrupted=1, interrupting=2, interrupt_after=4, backchannel_after=2, backchannel_every=3, interval=2, overlap=12 * 3_600_000, idle=40 * 3_600_000)
+
+
+@query(
+    "turn_taking",
+    """WITH RECURSIVE until AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS until FROM events),
+       e AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_id AS id, CASE event_type WHEN 'click' THEN 'self' WHEN 'purchase' THEN 'backchannel' WHEN 'error' THEN 'tool' ELSE 'other' END AS kind,
+               row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS pos FROM events, until WHERE epoch_us(ts) // 1000 < until),
+       s AS (
+         SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS at_ms, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS self_at, CAST(NULL AS BIGINT) AS other_at,
+                CAST(NULL AS BIGINT) AS self_began, CAST(NULL AS BIGINT) AS other_began, CAST(0 AS BIGINT) AS run, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS since, false AS due, false AS telling FROM e
+         UNION ALL
+         SELECT user_id, pos, at_ms, id, kind, action, self_at, other_at, self_began, other_began, run, n, CASE WHEN kind = 'backchannel' OR action = 'backchannel' THEN 0 ELSE since END, due, telling
+         FROM (SELECT *, CASE kind WHEN 'tool' THEN 'generate_message' WHEN 'backchannel' THEN 'keep_talking'
+                  WHEN 'other' THEN CASE WHEN n % 2 = 0 AND run >= 4 THEN 'generate_message' WHEN n % 2 = 0 AND run >= 2 AND since >= 3 THEN 'backchannel' ELSE 'wait' END
+                  ELSE CASE WHEN other_on AND run >= CASE WHEN telling OR self_began > other_began THEN 2 ELSE 1 END THEN 'stop_talking' ELSE 'keep_talking' END END AS action
+               FROM (SELECT user_id, pos, at_ms, id, kind, other_on, n + 1 AS n, since + 1 AS since, CASE WHEN talks THEN at_ms ELSE self_at END AS self_at, CASE WHEN kind = 'other' THEN at_ms ELSE other_at END AS other_at,
+                            CASE WHEN talks AND NOT self_on THEN at_ms ELSE self_began END AS self_began, CASE WHEN kind = 'other' AND NOT other_on THEN at_ms ELSE other_began END AS other_began,
+                            CASE WHEN kind = 'other' THEN CASE WHEN other_on THEN run + 1 ELSE 1 END WHEN talks AND NOT other_on THEN 0 ELSE run END AS run,
+                            CASE WHEN kind = 'tool' THEN true WHEN talks AND NOT self_on THEN false ELSE due END AS due, CASE WHEN talks AND NOT self_on THEN due ELSE telling END AS telling
+                     FROM (SELECT *, kind IN ('self', 'backchannel') AS talks, coalesce(at_ms - other_at <= 43200000, false) AS other_on, coalesce(at_ms - self_at <= 43200000, false) AS self_on
+                           FROM (SELECT e.user_id, e.pos, e.at_ms, e.id, e.kind, CASE WHEN anew THEN NULL ELSE self_at END AS self_at, CASE WHEN anew THEN NULL ELSE other_at END AS other_at, CASE WHEN anew THEN NULL ELSE self_began END AS self_began, CASE WHEN anew THEN NULL ELSE other_began END AS other_began,
+                                        CASE WHEN anew THEN 0 ELSE run END AS run, CASE WHEN anew THEN 0 ELSE n END AS n, CASE WHEN anew THEN 0 ELSE since END AS since, NOT anew AND due AS due, NOT anew AND telling AS telling
+                                 FROM (SELECT s.* EXCLUDE (at_ms, id, kind, action, pos), e.*, coalesce(e.at_ms - s.at_ms > 144000000, false) AS anew FROM s JOIN e ON e.user_id = s.user_id AND e.pos = s.pos + 1) e))))),
+       spoken AS (SELECT user_id, greatest(coalesce(other_at + 14400000, 0), coalesce(self_at + 28800000, 0)) + 1 AS silence, lead(at_ms) OVER (PARTITION BY user_id ORDER BY pos) AS next_at FROM s WHERE kind <> 'tool')
+       SELECT user_id, at_ms AS "at", id, action FROM s WHERE pos > 0 UNION ALL SELECT user_id, silence, NULL, 'generate_message' FROM spoken, until WHERE silence < coalesce(next_at, until)""",
+)
+def turn_taking(t: Tables) -> DataFrame:
+    """What a party would do at each event and in silences, from a stream up to its watermark."""
+    kind = F.when(F.col("event_type") == "click", "self").when(F.col("event_type") == "purchase", "backchannel").when(F.col("event_type") == "error", "tool").otherwise("other")
+    out = workspace(t.spark, "turns")
+    with settings(t.spark, spark__sql__streaming__stateStore__providerClass=turns.STATE_STORE):
+        stateful.run_once(turns.stream_turn_taking(_event_stream(t).withColumn("kind", kind), TURN_POLICY, "user_id", "ts", "event_id", "kind", "1 hour"), f"{out}/rows", f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/rows")
+
+
 @query("stream_correlated", "SELECT user_id, min(ts) FILTER (event_type = 'view') IS NOT NULL AS viewed, min(ts) FILTER (event_type = 'click') IS NOT NULL AS clicked FROM events GROUP BY 1")
 def stream_correlated(t: Tables) -> DataFrame:
     """Times of several kinds of events by item, in one aggregation."""

@@ -1,9 +1,11 @@
-"""Where intermediate tables and stream checkpoints go."""
+"""Where intermediate tables and stream checkpoints go, and settings that hold for a while."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,21 @@ def workspace(spark: SparkSession, name: str) -> str:
         _local = _local or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         shared = _local
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
+    """Settings of the session for a while; names are given with ``__`` for dots."""
+    before = {}
+    for name, value in changed.items():
+        name = name.replace("__", ".")
+        before[name] = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

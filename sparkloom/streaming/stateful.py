@@ -1,4 +1,4 @@
-"""Streams of events and ticks: segments, open intervals, turn taking, idempotent sinks.
+"""Streams of events and ticks: segments, open intervals, idempotent sinks.
 
 State is kept by key and bounded by a watermark or, in the forms with state of their own, by ``idle``: a key
 without rows for so many milliseconds is given up. Queries that process what is there and stop leave it out. The rows of a key in one trigger are put in order together, however they are cut into Arrow
@@ -102,38 +102,6 @@ def stream_open_intervals(events: DataFrame, key: str, at: str, kind: str, opens
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, opened_at long, closed_at long", "stack array<long>", "append", _timeout(idle))
 
 
-def next_action(speaking: bool, heard: bool, waited: int, patience: int, talked_over: int, tolerance: int) -> str:
-    """What a party does in a tick (M09): stop when talked over, keep on, answer after a pause, or wait."""
-    if speaking:
-        return "stop" if heard and talked_over >= tolerance else "keep_talking"
-    if heard:
-        return "listen"
-    return "generate" if waited >= patience else "wait"
-
-
-def stream_turn_taking(ticks: DataFrame, key: str, tick: str, own: str, other: str, patience: int = 3, tolerance: int = 2, idle: int | None = None) -> DataFrame:
-    """Each tick's action by a state machine (M09, M12): ``key, tick, action``; the state is two counts."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        waited, over = state.get if state.exists else (0, 0)
-        rows, out = _in_order(batches, tick), []
-        for at, mine, theirs in zip(rows[tick], rows[own], rows[other], strict=True):
-            speaking, heard = isinstance(mine, str), isinstance(theirs, str)
-            over = over + 1 if speaking and heard else 0
-            waited = 0 if speaking or heard else waited + 1
-            out.append((k[0], int(at), next_action(speaking, heard, waited, patience, over, tolerance)))
-        yield pd.DataFrame(out, columns=[key, tick, "action"])
-        state.update((waited, over))
-        if idle:
-            state.setTimeoutDuration(idle)
-
-    kinds = dict(ticks.dtypes)
-    return ticks.select(key, tick, own, other).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tick} long, action string", "waited long, over long", "append", _timeout(idle))
-
-
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str | None = None) -> StreamingQuery:
     """Write each batch once into its own folder (K05): a batch that is run again replaces itself.
 

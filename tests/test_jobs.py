@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import language_drift, run_report
-from jobs.common import beside, settings
+from jobs.common import beside
 from sparkloom.functions.text import marked_language
+from sparkloom.sources.workspace import settings
 
 DRIFT, REPORT = beside(language_drift.__file__, language_drift.CONFIG), beside(run_report.__file__, run_report.CONFIG)
 

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobs.common import settings
 from sparkloom.sources import readers, schemas
 from sparkloom.sources.json_arrays import brackets, read_array, record_in
+from sparkloom.sources.workspace import settings
 
 SCHEMA = "id STRING, n INT, inner STRUCT<a: ARRAY<STRUCT<b: STRING>>, s: STRING>"
 

@@ -53,14 +53,6 @@ def test_waiting_turns(spark, folder, tmp_path):
     assert sorted((r.k, r.at, r.waiting) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
 
 
-def test_turn_taking(spark, tmp_path):
-    rows = [(1, k, *p) for k, p in enumerate([("a", None), ("a", "b"), ("a", "b"), (None, "b"), (None, None), (None, None), (None, None)])]
-    spark.createDataFrame(rows, "k long, tick long, own string, other string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = stateful.event_stream(spark, f"{tmp_path}/in", "k long, tick long, own string, other string")
-    stateful.run_once(stateful.stream_turn_taking(stream, "k", "tick", "own", "other"), f"{tmp_path}/out", f"{tmp_path}/cp")
-    got = [r.action for r in spark.read.parquet(f"{tmp_path}/out").orderBy("tick").collect()]
-    assert got == ["keep_talking", "keep_talking", "stop", "listen", "wait", "wait", "generate"]
-
 
 def test_upserts_keep_the_last_version(spark, tmp_path):
     for version in range(2):
