@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.stats import correlation, no_nan, rate_or_zero, standard_error
 from sparkloom.functions.text import is_blank
+from sparkloom.operators.sampling import unit_hash
+from sparkloom.sources.workspace import workspace
 
 
 def unpivot_metrics(df: DataFrame, keys: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -153,6 +156,42 @@ def bootstrap_means(df: DataFrame, by: list[str], value: str, resamples: int = 1
     return out
 
 
+def bootstrap_draws(df: DataFrame, by: list[str], value: str, resamples: int = 1000, seed: int = 20260625, level: float = 0.95) -> DataFrame:
+    """Percentile bootstrap of the mean for groups of any size (A14, A16): ``estimate, ci_low, ci_high``.
+
+    A resample of a group of ``n`` values takes exactly ``n`` draws. Values are numbered by group and size
+    through a sort by ranges; draw ``j`` of resample ``b`` hits number ``floor(n * u)``, ``u`` in [0, 1) being 52 bits
+    of the MD5 of group, ``b``, ``j`` and seed. So any SQL engine draws the same, rows may be dealt in any way, and no
+    group meets in one task: draws are joined to the values that they hit, and sums of resamples are added up
+    before they are shuffled. The work is ``n`` times ``resamples``.
+
+    NULL and NaN values don't count; a group without values gives NaN.
+    """
+    spark = df.sparkSession
+    rows = df.select(*by, no_nan(value).alias("__v")).where("__v IS NOT NULL")
+    # Equal values may stand in any order, so a row's number before the sort parts those of a common value.
+    ordered = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by, "__v", "__tie").sortWithinPartitions(*by, "__v", "__tie")
+    path = workspace(spark, "ranked")
+    ordered.select(*by, "__v", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).write.parquet(path)
+    ranked = spark.read.parquet(path)
+    parts = ranked.groupBy("__part").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    placed = ranked.join(F.broadcast(parts.select("__part", "__first", before.alias("__before"))), "__part").withColumn("__at", F.col("__before") + F.col("__id") - F.col("__first"))
+    groups = placed.groupBy(*by).agg(F.min("__at").alias("__start"), F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("estimate"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in by), F.lit(True))
+    g, p = groups.alias("g"), placed.alias("p")
+    members = p.join(g, reduce(lambda x, y: x & y, (F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by), F.lit(True))).select(*(F.col(f"g.{c}") for c in by), (F.col("__at") - F.col("__start")).alias("__j"), "__start", "__n")
+    draws = members.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    hit = draws.select(*by, "__b", (F.col("__start") + F.floor(F.col("__n") * unit_hash([*by, "__b", "__j"], seed))).alias("__at"))
+    means = hit.join(placed.select("__at", "__v"), "__at").groupBy(*by, "__b").agg(F.avg("__v").alias("__m"))
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*by).agg(F.percentile("__m", F.array(F.lit(tail), F.lit(1 - tail))).alias("__q"))  # a mean for each resample
+    every = df.select(*by).distinct()
+    out = every.join(groups, same(every, groups), "left").select(*(every[c] for c in by), "estimate")
+    nan = F.lit(float("nan"))
+    return out.join(bounds, same(out, bounds), "left").select(*(out[c] for c in by), F.coalesce("estimate", nan).alias("estimate"), F.coalesce(F.col("__q")[0], nan).alias("ci_low"), F.coalesce(F.col("__q")[1], nan).alias("ci_high"))
+
+
 def score_summary(scores: DataFrame, by: list[str], sim: str, correct: str, total: str, language: str, top: int = 5) -> DataFrame:
     """Mean score, perfect and drifted simulations, turn accuracy, top drift languages, worst simulations.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import copy
+import functools
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,35 +76,159 @@ def state_hash(state: dict) -> str:
     return hashlib.sha256(json.dumps(state, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def key_value_step(state: dict, op: str, key: str, value: str | None) -> None:
-    """The generic mutations: set, add to a number, delete, append to a list."""
-    if op == "set":
-        state[key] = value
-    elif op == "add":
-        state[key] = float(state.get(key, 0)) + float(value)
-    elif op == "delete":
-        state.pop(key, None)
-    elif op == "append":
-        state.setdefault(key, []).append(value)
-    else:
-        raise ValueError(f"unknown mutation {op}")
+#: The generic mutations: set, add to a number, delete, append to a list.
+MUTATIONS = ("set", "add", "delete", "append")
 
 
-def replay_states(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None] = key_value_step) -> DataFrame:
-    """``sim, state, state_hash`` after each simulation's mutating calls in order.
+class _Absent:
+    """No value under a key."""
 
-    A step that raises leaves the state as it was, as a failed tool call does. Steps of their own may
-    change nested values in place only under the name ``append``.
+
+ABSENT = _Absent()
+
+
+def _number(value: object) -> float | None:
+    try:
+        return float(value)  # type: ignore[arg-type]
+    except (ValueError, TypeError):
+        return None
+
+
+@dataclass
+class KeyChange:
+    """What a stretch of calls does to the value of one key, whatever it was before.
+
+    Up to the stretch's first ``set`` or ``delete`` the outcome depends on the value that it meets, so only
+    what matters is kept: the sum of what would be added, the list of what would be appended. From there
+    on the value is known.
+    """
+
+    adds: int = 0
+    total: float = 0.0
+    appended: list = field(default_factory=list)
+    bad: int = 0
+    first: str | None = None
+    known: bool = False
+    value: object = ABSENT
+    failed: int = 0
+
+    def call(self, op: str, value: str | None) -> None:
+        """One call more. A call fails if it is none of the mutations, or doesn't fit the value; it then changes nothing."""
+        if op in ("set", "delete"):
+            self.known, self.value = True, value if op == "set" else ABSENT
+            return
+        number = _number(value) if op == "add" else None
+        if op == "append":
+            one = KeyChange(appended=[value], first=op)
+        elif number is not None:
+            one = KeyChange(adds=1, total=number, first=op)
+        else:
+            one = KeyChange(bad=1)
+        self.then(one)
+
+    def then(self, more: KeyChange) -> KeyChange:
+        """This stretch and the next as one."""
+        if self.known:
+            self.value, failed = more.after(self.value)
+            self.failed += failed
+            return self
+        self.adds, self.total, self.bad = self.adds + more.adds, self.total + more.total, self.bad + more.bad
+        self.appended += more.appended
+        self.first = self.first or more.first
+        self.known, self.value, self.failed = more.known, more.value, more.failed
+        return self
+
+    def after(self, value: object) -> tuple[object, int]:
+        """The value that this stretch leaves of ``value``, and how many of its calls failed."""
+        if isinstance(value, list) or (value is ABSENT and self.first == "append"):
+            if self.appended:
+                value = [] if value is ABSENT else value
+                value += self.appended
+            failed = self.adds + self.bad
+        else:
+            number = 0.0 if value is ABSENT else _number(value)
+            failed = len(self.appended) + self.bad + (self.adds if number is None else 0)
+            if self.adds and number is not None:
+                value = number + self.total
+        return (self.value, failed + self.failed) if self.known else (value, failed)
+
+    def packed(self) -> str:
+        return json.dumps([self.adds, self.total, self.appended, self.bad, self.first, self.known, [] if self.value is ABSENT else [self.value], self.failed])
+
+    @classmethod
+    def unpacked(cls, text: str) -> KeyChange:
+        *rest, value, failed = json.loads(text)
+        return cls(*rest, value[0] if value else ABSENT, failed)
+
+
+def _key_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sim, key, part, change`` of a task's calls, which come in order; a change for each Arrow batch."""
+    part = TaskContext.get().partitionId() << 32
+    for n, batch in enumerate(batches):
+        found: dict[tuple, KeyChange] = {}
+        for sim, op, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fits = op in MUTATIONS and key is not None
+            found.setdefault((sim, key if fits else None), KeyChange()).call(op if fits else "none", value)
+        kinds = [batch.column(0).type, pa.string(), pa.int64(), pa.string()]
+        rows = zip(*((sim, key, part + n, change.packed()) for (sim, key), change in found.items()), strict=True) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["sim", "key", "part", "change"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sim, key, value, failed`` from each key's changes in order; ``value`` is JSON, NULL where there is none."""
+    for batch in batches:
+        values, fails = [], []
+        for changes in batch.column(2).to_pylist():
+            whole = functools.reduce(KeyChange.then, (KeyChange.unpacked(c["change"]) for c in changes))
+            value, failed = whole.after(ABSENT)
+            values.append(None if value is ABSENT else json.dumps(value))
+            fails.append(failed)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.string()), pa.array(fails, pa.int32())], ["sim", "key", "value", "failed"])
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [{e["key"]: json.loads(e["value"]) for e in entries if e["value"] is not None} for entries in batch.column(1).to_pylist()]
+        columns = [pa.array([json.dumps(s, sort_keys=True) for s in rows], pa.string()), pa.array([state_hash(s) for s in rows], pa.string()), batch.column(2).cast(pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], "state", "state_hash", "failed_calls"])
+
+
+def replay_states(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None] | None = None) -> DataFrame:
+    """``sim, state, state_hash, failed_calls`` after each simulation's mutating calls in order.
+
+    The generic mutations are composed: calls are dealt out by ranges of simulation and order, each task
+    sums up what its calls do to each key, and a key's changes are put together in order. So a simulation
+    of any length is spread over tasks; only its state is ever held whole. Equal ``order`` is told apart by
+    op, key and value. What is added to a number is summed by stretches, so of numbers that aren't exact in
+    binary the last digit may differ from that of adding one by one.
+
+    A mutation that doesn't fit the value (adding to text, appending to a number, an unknown one) fails and
+    leaves the state as it was. A ``step`` of one's own takes the place of the mutations; as it may do
+    anything to the state, a simulation is then replayed in one Python call.
     """
+    if step is not None:
+        return _replayed(calls, sim, order, op, key, value, step)
+    kind = calls.schema[sim].dataType.simpleString()
+    rows = calls.select(F.col(sim).alias("sim"), F.col(order).alias("at"), F.col(op).alias("op"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+    dealt = rows.repartitionByRange("sim", "at").sortWithinPartitions("sim", "at", "op", "key", "value").select("sim", "op", "key", "value")
+    changes = dealt.mapInArrow(_key_changes, f"sim {kind}, key string, part long, change string")
+    by_key = changes.groupBy("sim", "key").agg(F.array_sort(F.collect_list(F.struct("part", "change"))).alias("changes"))
+    values = by_key.mapInArrow(_folded, f"sim {kind}, key string, value string, failed int")
+    states = values.groupBy(F.col("sim").alias(sim)).agg(F.collect_list(F.struct("key", "value")).alias("entries"), F.sum("failed").alias("failed"))
+    return states.mapInArrow(_states, f"`{sim}` {kind}, state string, state_hash string, failed_calls int")
+
+
+def _replayed(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None]) -> DataFrame:
+    """Replay by steps that may do anything: a step that raises leaves the state as it was, as a failed tool call does."""
 
     def scan(rows: list[dict]) -> list[tuple]:
         state: dict = {}
         failed = 0
         for row in rows:
-            before = dict(state) if row[op] != "append" else json.loads(json.dumps(state))
+            before = copy.deepcopy(state)
             try:
                 step(state, row[op], row[key], row[value])
-            except (ValueError, TypeError, KeyError):
+            except Exception:  # whatever a step raises, the call has failed
                 state, failed = before, failed + 1
         return [(json.dumps(state, sort_keys=True), state_hash(state), failed)]
 

@@ -181,6 +181,22 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return analytics.bootstrap_means(means, ["l_returnflag"], "mean", low=0.0, high=1.0)
 
 
+@query(
+    "bootstrap_by_draws",
+    """WITH means AS (SELECT c_mktsegment, o_custkey, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+       ranked AS (SELECT c_mktsegment, m, row_number() OVER (PARTITION BY c_mktsegment ORDER BY m) - 1 AS j, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM means),
+       draws AS (SELECT c_mktsegment, b, CAST(floor(n * (CAST('0x' || left(md5(concat_ws('|', c_mktsegment, b, j, '20260625')), 13) AS BIGINT) / 4503599627370496.0::DOUBLE)) AS BIGINT) AS j FROM ranked, (SELECT unnest(range(1000)) AS b)),
+       resampled AS (SELECT d.c_mktsegment, d.b, avg(r.m) AS m FROM draws d JOIN ranked r ON d.c_mktsegment = r.c_mktsegment AND d.j = r.j GROUP BY ALL),
+       bounds AS (SELECT c_mktsegment, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM resampled GROUP BY 1)
+       SELECT c_mktsegment, round(avg(m), 4) AS estimate, round(any_value(low), 4) AS ci_low, round(any_value(high), 4) AS ci_high FROM means JOIN bounds USING (c_mktsegment) GROUP BY 1""",
+)
+def bootstrap_by_draws(t: Tables) -> DataFrame:
+    """Intervals of mean prices by segment, from means by customer, in groups of any size."""
+    means = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "o_custkey").agg(F.avg("o_totalprice").alias("m"))
+    found = analytics.bootstrap_draws(means, ["c_mktsegment"], "m")
+    return found.withColumns({c: F.round(c, 4) for c in ("estimate", "ci_low", "ci_high")})
+
+
 @query("leaderboard_topk", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS rank FROM supplier QUALIFY rank <= 20")
 def leaderboard_topk(t: Tables) -> DataFrame:
     return topk.leaderboard(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), "s_acctbal", ["s_suppkey"], 20).withColumn("s_acctbal", F.round("s_acctbal", 2))
