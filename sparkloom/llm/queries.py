@@ -101,15 +101,48 @@ _RESOLVED = r"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
     ELSE regexp_extract(u, '(?s)^(.*?):', 1) || '://' || regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1) || CASE WHEN t LIKE '/%' THEN '' WHEN t LIKE '?%' THEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE coalesce(nullif(regexp_extract(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1), ''), '/') END || t END"""
 
 
+_W = r"[\t\n\f\r ]"
+_ATTRIBUTES = r"""([^\t\n\f\r />=]+)[\t\n\f\r ]*(?:=[\t\n\f\r ]*(?:"([^"]*)"|''([^'']*)''|([^\t\n\f\r "''>][^\t\n\f\r >]*)))?"""
+_TAGS = r"""(?i)<((?:link|meta|base)[\t\n\f\r /](?:[^>=]|=[\t\n\f\r ]*(?:"[^"]*(?:"|\z)|''[^'']*(?:''|\z)|[^\t\n\f\r "''>]))*(?:=[\t\n\f\r ]*)?)(>|\z)"""
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
+
+
 def _attribute(name: str) -> str:
-    raw = " || ".join(rf"""regexp_extract(t, '(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', {k})""" for k in (1, 2, 3))
+    raw = " || ".join(f"coalesce(regexp_extract_all(t, '{_ATTRIBUTES}', {k})[list_position(list_transform(regexp_extract_all(t, '{_ATTRIBUTES}', 1), lambda n: lower(n)), '{name}')], '')" for k in (2, 3, 4))
     named = " ".join(f"WHEN regexp_matches(p, '^{name};') THEN '{c}' || p[{len(name) + 2}:]" for name, c in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''")))
     numeric = ""
     for pattern, prefix in (("#([0-9]{1,7});", ""), ("#[xX]([0-9a-fA-F]{1,6});", "0x")):
         code = f"CAST('{prefix}' || regexp_extract(p, '^{pattern}', 1) AS BIGINT)"
         numeric += f" WHEN regexp_matches(p, '^{pattern}') THEN chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER)) || substr(p, strpos(p, ';') + 1)"
-    return f"trim(list_transform([{raw}], lambda v: string_split(v, '&')[1] || array_to_string(list_transform(string_split(v, '&')[2:], lambda p: CASE {named}{numeric} ELSE '&' || p END), ''))[1])"
+    decoded = f"list_transform([{raw}], lambda v: string_split(v, '&')[1] || array_to_string(list_transform(string_split(v, '&')[2:], lambda p: CASE {named}{numeric} ELSE '&' || p END), ''))[1]"
+    return _trimmed(decoded)
+
+
+def _refresh(content: str) -> str:
+    rest = f"regexp_replace(regexp_extract({content}, '(?s)^{_W}*(?:[0-9]+|[.])[0-9.]*(?:{_W}*[;,]{_W}*|{_W}+)(.*)$', 1), '(?i)^url{_W}*={_W}*', '')"
+    quotes = """(?s)^(?:"([^"]*)|''([^'']*))"""
+    return _trimmed(f"""list_transform([{rest}], lambda r: CASE WHEN regexp_matches(r, '^["'']') THEN regexp_extract(r, '{quotes}', 1) || regexp_extract(r, '{quotes}', 2) ELSE r END)[1]""")
+
+
+def _unescaped(c: str) -> str:
+    digits, code = "upper(regexp_extract(p, '^[0-9a-fA-F]{2}'))", "CAST('0x' || regexp_extract(p, '^[0-9a-fA-F]{2}') AS INTEGER)"
+    part = f"CASE WHEN {digits} = '' THEN '%' || p WHEN ({code} BETWEEN 48 AND 57 OR {code} BETWEEN 65 AND 90 OR {code} BETWEEN 97 AND 122 OR {code} IN (45, 46, 95, 126)) THEN chr({code}) || p[3:] ELSE '%' || {digits} || p[3:] END"
+    return f"(string_split({c}, '%')[1] || array_to_string(list_transform(string_split({c}, '%')[2:], lambda p: {part}), ''))"
+
+
+def _node() -> str:
+    """The node of ``host``, ``path`` and ``rest`` of a URL ``u``."""
+    scheme = "lower(regexp_extract(u, '(?s)^(.*?)://', 1))"
+    host = "regexp_replace(host, '^.*@', '')"
+    host = f"CASE {scheme} WHEN 'http' THEN regexp_replace({host}, ':(80)?$', '') WHEN 'https' THEN regexp_replace({host}, ':(443)?$', '') ELSE regexp_replace({host}, ':$', '') END"
+    path = f"list_transform([{_unescaped('path')}], lambda path: {_PATH})[1]"
+    return f"CASE WHEN contains(u, '://') THEN {host} || coalesce(nullif({path}, ''), '/') || {_unescaped('rest')} END"
+
 
+_NO_LINKS = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{name}[\t\n\f\r />].*?(?:</{name}(?:[\t\n\f\r /][^>]*)?>|\z)" for name in url_filter.RAW)
 
 ORACLE_SQL: dict[str, str] = {
     "op5_segment_topk": """
@@ -155,23 +188,22 @@ WITH RECURSIVE parts AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS rest
   FROM pages),
-named AS (SELECT *, nullif(host || {path} || rest, '') AS node FROM parts),
-tags AS (
-  SELECT url, node, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta|base)\b[^>]*>') AS tags
-  FROM named WHERE regexp_matches(html, '(?i)canonical|refresh')),
-bases AS (SELECT url, node, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base\b')), lambda t: {href}), lambda h: h <> '')[1] AS t, url AS u FROM tags),
+named AS (SELECT *, {node} AS node FROM (SELECT *, url AS u FROM parts)),
+cleaned AS (SELECT url, node, regexp_replace(html, '{no_links}', '', 'g') AS h FROM named WHERE regexp_matches(html, '(?i)<(?:link|meta)')),
+tags AS (SELECT url, node, list_filter(list_transform(list_zip(regexp_extract_all(h, '{tags}', 1), regexp_extract_all(h, '{tags}', 2)), lambda z: CASE WHEN z[2] = '>' THEN z[1] END), lambda t: t IS NOT NULL) AS tags FROM cleaned),
+bases AS (SELECT url, node, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^base')), lambda t: {href}), lambda h: h <> '')[1] AS t, url AS u FROM tags),
 based AS (SELECT node, tags, coalesce({resolved}, url) AS u FROM bases),
 raw AS (
   SELECT node, u, unnest(list_concat(
-    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<link\b') AND regexp_matches(lower({rel}), '(^|\s)canonical(\s|$)')), lambda t: {href}),
-    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\b') AND lower({equiv}) = 'refresh'), lambda t: trim(regexp_extract({content}, '(?is)\burl\s*=\s*["'']?([^"'']*)', 1))))) AS t
+    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^link') AND regexp_matches(lower({rel}), '(^|{w})canonical({w}|$)')), lambda t: {href}),
+    list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^meta') AND lower({equiv}) = 'refresh'), lambda t: {refresh}))) AS t
   FROM based),
 urls AS (SELECT node, {resolved} AS u FROM raw WHERE t <> ''),
 targets AS (
-  SELECT node, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT node, u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS rest
   FROM urls),
-links AS (SELECT node AS a, nullif(host || {path} || rest, '') AS b FROM targets),
+links AS (SELECT node AS a, {node} AS b FROM targets),
 edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
 rules(rule, verdict, rule_host, rule_path) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
@@ -191,5 +223,5 @@ SELECT n.page_id, n.host, n.path, b.rule, coalesce(b.verdict, a.verdict, 'allow'
 FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path LEFT JOIN alias a ON n.node = a.node
 """,
 }
-for _name, _sql in {"path": _PATH, "resolved": _RESOLVED, "href": _attribute("href"), "rel": _attribute("rel"), "equiv": _attribute("http-equiv"), "content": _attribute("content")}.items():
+for _name, _sql in {"node": _node(), "no_links": _NO_LINKS, "tags": _TAGS, "resolved": _RESOLVED, "href": _attribute("href"), "rel": _attribute("rel"), "equiv": _attribute("http-equiv"), "refresh": _refresh(_attribute("content")), "w": _W}.items():
     ORACLE_SQL["op2_url_filter"] = ORACLE_SQL["op2_url_filter"].replace("{" + _name + "}", _sql)

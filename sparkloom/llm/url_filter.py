@@ -5,10 +5,14 @@ are also joined into classes of aliases by their canonical links, meta refreshes
 table of redirects: a page that no rule fits is blocked if some alias is blocked by a rule and none
 is allowed by one. Explicit allow rules thus come first, on the page itself and within a class.
 
-Links are read as browsers do: character references in attributes are decoded (the five of XML and
-numeric ones), targets are resolved against the page's URL or its first ``<base href>``, and dot
-segments go, also from the URLs of pages before they are compared as aliases. Comments and scripts hold
-no links. A target that isn't relative and has no ``://`` is none.
+Links are read as browsers do: a tag ends at the first ``>`` outside quoted values, an attribute's first
+value counts, character references in it are decoded (the five of XML and numeric ones), a refresh may
+leave out ``url=``, and targets are resolved against the page's URL or its first ``<base href>``. Comments
+and elements whose content is text or inert (:data:`RAW`) hold no links. A target that isn't relative and
+has no ``://`` is none.
+
+URLs are compared as aliases without user names, default ports, dot segments and escapes of characters that
+need none; an empty path is ``/``.
 
 Everything is DataFrame functions: rules become a literal map from host to its rules, which is looked
 up for each suffix of the page's host, and classes come from distributed connected components. Only
@@ -30,6 +34,19 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import durable
 from sparkloom.llm.components import connected_components
 
+#: Elements in which a browser with scripts finds no links.
+RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "noembed", "noframes", "xmp")
+
+_S = r"\t\n\f\r "
+_SPACE = f"[{_S}]"
+#: Comments and such elements; what isn't closed goes on to the end.
+_NO_LINKS = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{name}[{_S}/>].*?(?:</{name}(?:[{_S}/][^>]*)?>|\\z)" for name in RAW)
+#: The inside of a tag, and ``>``, or nothing if the text ends first. Quotes count only where a value begins.
+#: Groups of attributes are matched one after another, so that the stack stays shallow.
+_TAG = f"""(?i)<((?:link|meta|base)[{_S}/](?>(?:[^>=]++|={_SPACE}*+(?:"[^"]*+(?:"|\\z)|'[^']*+(?:'|\\z)|[^{_S}"'>])){{1,64}}+)*+(?:={_SPACE}*+)?+)(>|\\z)"""
+_ATTRIBUTE = f"""([^{_S}/>=]+){_SPACE}*(?:={_SPACE}*(?:"([^"]*)"|'([^']*)'|([^{_S}"'>][^{_S}>]*)))?"""
+_REFRESH = f"(?s)^{_SPACE}*(?:[0-9]+|[.])[0-9.]*(?:{_SPACE}*[;,]{_SPACE}*|{_SPACE}+)(.*)$"
+
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 
 
@@ -58,9 +75,26 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|\z)"), joined).otherwise(path)
 
 
+def unescaped(text: Column) -> Column:
+    """Percent escapes of letters, digits and ``-._~`` as themselves, all others in capitals."""
+
+    def part(p: Column) -> Column:
+        digits = F.upper(F.regexp_extract(p, r"^[0-9a-fA-F]{2}", 0))
+        character, rest = F.char(F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long")), F.substr(p, F.lit(3))
+        return F.when(digits == "", F.concat(F.lit("%"), p)).when(character.rlike(r"^[A-Za-z0-9._~-]$"), F.concat(character, rest)).otherwise(F.concat(F.lit("%"), digits, rest))
+
+    parts = F.split(text, "%")
+    return F.when(F.contains(text, F.lit("%")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(text)
+
+
 def node_of(url: Column) -> Column:
-    """What stands for a URL among aliases: host, path without dot segments, query; null where there is no ``://``."""
-    return F.nullif(F.concat(host_of(url), without_dots(path_of(url)), F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 3)), F.lit(""))
+    """What stands for a URL among aliases: host, path and query, each in one spelling; null where there is no ``://``."""
+    scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(.*?)://", 1))
+    host = F.regexp_replace(host_of(url), r"^.*@", "")
+    host = F.regexp_replace(host, F.when(scheme == "http", r":(80)?$").when(scheme == "https", r":(443)?$").otherwise(r":$"), F.lit(""))
+    path = F.coalesce(F.nullif(without_dots(unescaped(path_of(url))), F.lit("")), F.lit("/"))
+    query = unescaped(F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 3))
+    return F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("://")), F.concat(host, path, query))
 
 
 def _character(code: Column) -> Column:
@@ -82,10 +116,22 @@ def decoded(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(c)
 
 
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute, quoted or not; empty where there is none."""
-    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.trim(decoded(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))))
+    """The value that a tag (its inside) first gives an attribute, quoted or not; empty where there is none."""
+    names, *values = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), k) for k in (1, 2, 3, 4))
+    at = F.array_position(F.transform(names, F.lower), name).cast("int")
+    return F.when(at > 0, trimmed(decoded(F.concat(*(F.element_at(v, F.greatest(at, F.lit(1))) for v in values))))).otherwise("")
+
+
+def refresh_target(content: Column) -> Column:
+    """The URL of a refresh's content: a time, a separator, and the URL, perhaps after ``url=`` and in quotes."""
+    rest = F.regexp_replace(F.regexp_extract(content, _REFRESH, 1), f"(?i)^url{_SPACE}*={_SPACE}*", "")
+    quoted = F.regexp_extract(rest, r"""(?s)^(?:"([^"]*)|'([^']*))""", 1), F.regexp_extract(rest, r"""(?s)^(?:"([^"]*)|'([^']*))""", 2)
+    return trimmed(F.when(rest.rlike("""^["']"""), F.concat(*quoted)).otherwise(rest))
 
 
 def resolved(target: Column, base: Column) -> Column:
@@ -126,14 +172,15 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``a, b``: a page's node and that of the URL it names as canonical or refreshes to."""
-    html = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta|base)\b[^>]*>)"), 1)
-    found = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), tags.alias("tags"))
-    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)\A<base\b")), lambda t: attribute(t, "href")), lambda h: h != "")
+    html = F.regexp_replace(F.col(html_col), _NO_LINKS, "")
+    inside, end = (F.regexp_extract_all(html, F.lit(_TAG), k) for k in (1, 2))
+    tags = F.filter(F.transform(F.arrays_zip(inside.alias("tag"), end.alias("end")), lambda t: F.when(t["end"] == ">", t["tag"])), lambda t: t.isNotNull())
+    found = pages.where(F.col(html_col).rlike("(?i)<(?:link|meta)")).select(F.col(url_col).alias("url"), tags.alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^base")), lambda t: attribute(t, "href")), lambda h: h != "")
     found = found.withColumn("base", F.coalesce(resolved(F.try_element_at(bases, F.lit(1)), F.col("url")), F.col("url")))
-    canonical = F.filter("tags", lambda t: t.rlike(r"(?i)\A<link\b") & F.lower(attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
-    refresh = F.filter("tags", lambda t: t.rlike(r"(?i)\A<meta\b") & (F.lower(attribute(t, "http-equiv")) == "refresh"))
-    targets = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: F.trim(F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1))))
+    canonical = F.filter("tags", lambda t: t.rlike("(?i)^link") & F.lower(attribute(t, "rel")).rlike(f"(^|{_SPACE})canonical({_SPACE}|$)"))
+    refresh = F.filter("tags", lambda t: t.rlike("(?i)^meta") & (F.lower(attribute(t, "http-equiv")) == "refresh"))
+    targets = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: refresh_target(attribute(t, "content"))))
     links = found.select("url", "base", F.explode(targets).alias("to")).where("to <> ''")
     return links.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("to"), F.col("base"))).alias("b"))
 

@@ -1,7 +1,8 @@
 import random
 import re
+import string
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote, urljoin, urlsplit
 
 import duckdb
 import pytest
@@ -56,38 +57,68 @@ def test_plan_is_native(spark):
 
 
 class Links(HTMLParser):
-    """What a page names as canonical or refreshes to, read by an HTML parser."""
+    """What a page names as canonical or refreshes to, read by an HTML parser; refreshes by the HTML standard's steps."""
 
     def __init__(self, url):
         super().__init__()
-        self.url, self.base, self.targets = url, None, []
+        self.url, self.base, self.targets, self.inert = url, None, [], None
 
     def handle_starttag(self, tag, attributes):
-        a = {k: (v or "").strip() for k, v in attributes}
+        if self.inert:
+            return
+        if tag in url_filter.RAW:
+            self.inert = tag
+        a = {k: (v or "").strip() for k, v in reversed(attributes)}
         if tag == "base" and a.get("href") and self.base is None:
             self.base = a["href"]
         if tag == "link" and "canonical" in a.get("rel", "").lower().split():
             self.targets.append(a.get("href", ""))
         if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
-            found = re.search(r"""\burl\s*=\s*["']?([^"']*)""", a.get("content", ""), re.IGNORECASE)
-            self.targets.append(found[1].strip() if found else "")
+            self.targets.append(self.refresh(a.get("content", "")))
+
+    def handle_endtag(self, tag):
+        if tag == self.inert:
+            self.inert = None
+
+    @staticmethod
+    def refresh(text):
+        rest = text.lstrip()
+        time = re.match(r"[0-9]*", rest)[0]
+        if not time and not rest.startswith("."):
+            return ""
+        rest = rest.lstrip("0123456789.")
+        if not rest or rest[0] not in ";, \t\n\f\r":
+            return ""
+        rest = rest.lstrip()
+        rest = (rest[1:] if rest[:1] in (";", ",") else rest).lstrip()
+        if rest[:3].lower() == "url" and rest[3:].lstrip().startswith("="):
+            rest = rest[3:].lstrip()[1:].lstrip()
+        if rest[:1] in ("'", '"'):
+            rest = rest[1:].split(rest[0])[0]
+        return rest.strip()
 
     def links(self):
         base = urljoin(self.url, self.base) if self.base else self.url
         base = base if "://" in base else self.url
-        return [urljoin(base, t) for t in self.targets if t]
+        return [urljoin(unescaped(base), t) for t in self.targets if t]  # escaped dots are dots in a base too
+
+
+def unescaped(text):
+    """Escapes of unreserved characters undone, as URL libraries do before they compare."""
+    return re.sub("%[0-9a-fA-F]{2}", lambda m: unquote(m[0]) if unquote(m[0]) in f"{string.ascii_letters}{string.digits}-._~" else m[0].upper(), text)
 
 
 def name(url):
-    """Host, path without dots and query of a URL."""
+    """Host, path and query of a URL as a URL library tells them."""
     if not url or "://" not in url:
         return None
-    head, rest = url.split("://", 1)
-    host, tail = re.match(r"([^/?#]*)([^#]*)", rest).groups()
-    path, _, query = tail.partition("?")
+    parts = urlsplit(url)
+    port = "" if parts.port in (None, {"http": 80, "https": 443}.get(parts.scheme)) else f":{parts.port}"
+    path = unescaped(parts.path)
     if re.search(r"/\.\.?(/|$)", path):
         path = urlsplit(urljoin("http://h/", "http:" + path)).path
-    return host.lower() + path + tail[len(tail.partition("?")[0]) :] or None
+    tail = url.split("://", 1)[1].partition("#")[0].partition("?")
+    return parts.hostname + port + (path or "/") + tail[1] + unescaped(tail[2])
 
 
 def rule_of(host, path):
@@ -129,8 +160,8 @@ def judged_by_rules(pages):
 
 def made_pages(seed):
     r = random.Random(seed)
-    hosts = ["a.io", "b.io", "www.example.org", "foo.net", "sub.example.net", "example.com", "C.io"]
-    paths = ["/", "/en/", "/fr/1", "/de/x", "/q?a=1&b=2", "/q?a=1", "/d/e/f", "/d/k", "", "/d/./k", "/d/e/../k", "/d/e/.."]
+    hosts = ["a.io", "b.io", "www.example.org", "foo.net", "sub.example.net", "example.com", "C.io", "a.io:80", "b.io:443", "c.io:8080", "me:pw@foo.net", "a.io:"]
+    paths = ["/%7Eu/%64", "/~u/d", "/%2fx?%41=%zz", "/%2Fx?A=%zz", "/d/%2e%2E/k", "/", "/en/", "/fr/1", "/de/x", "/q?a=1&b=2", "/q?a=1", "/d/e/f", "/d/k", "", "/d/./k", "/d/e/../k", "/d/e/.."]
 
     def url():
         return f"{r.choice(['http', 'https'])}://{r.choice(hosts)}{r.choice(paths)}"
@@ -149,6 +180,9 @@ def made_pages(seed):
         return r.choice(
             [f"<link rel=canonical href={quoted(t)}>", f"<LINK HREF = {quoted(t)} REL='nofollow CANONICAL'>", f'<meta http-equiv="refresh" content="0; url={t}">', f"<META content=\"5;URL='{t}'\" HTTP-EQUIV=Refresh>"]
             + [f"<base href={quoted(target())}>", f"<link rel=stylesheet href={quoted(t)}>", f"<!-- <link rel=canonical href={quoted(t)}> -->", f"<script>'<link rel=canonical href=x>'</script>", f"<link rel=canonical data-href={quoted(t)}>", "<p>canonical</p>"]
+            + [f'<link title="a>b href=x" rel="canonical" href={quoted(t)}>', f"<link rel=&#99;anonical href={quoted(t)}>", f'<link rel=canonical href={quoted(t)} href="http://other.io/">', f"<link data-x=a\"b rel=canonical href={quoted(t)}>", f"<link rel=canonical href=>"]
+            + [f'<meta http-equiv=refresh content="{r.choice(["0; ", "5,", ".5 ", "1.2;  URL = ", "x;", "0", "3;url=&quot;", "7; url"])}{t}">' for _ in range(3)]
+            + [f"<{e}><link rel=canonical href={quoted(t)}></{e}>" for e in ("textarea", "style", "title", "noscript", "template")]
         )
 
     return [(k, r.choice([url(), url(), url(), url(), None, "plain"]), "".join(tag() for _ in range(r.choice([0, 0, 1, 1, 2])))) for k in range(200)]
@@ -167,6 +201,14 @@ def test_links_and_verdicts_of_made_pages_follow_the_rules(spark, seed):
     assert sum(x[5] is not None for x in want) > 10
 
 
+def test_each_spelling_of_a_blocked_page_blocks_its_alias(spark):
+    links = ['<link rel=canonical href="http://bad.net">', '<link title="a>b" rel="canonical" href="http://bad.net/p">', '<meta http-equiv=refresh content="0; http://bad.net/p">', "<link rel=canonical href=http://bad.net:80/p>", "<link rel=&#x63;anonical href=//bad.net/p>"]
+    pages = [(k, f"http://x{k}.io/", html) for k, html in enumerate(links)] + [(50, "http://a.io", "<link rel=canonical href=http://b.io/%7Ex>"), (51, "http://b.io/~x", "<link rel=canonical href=http://bad.net/>"), (52, "http://a.io/", None)]
+    pages += [(60, "http://c.io/", "<textarea><link rel=canonical href=http://bad.net/></textarea>"), (61, "http://d.io/", '<link rel=canonical href="http://bad.net/'), (62, "http://e.io/", "<link " * 50_000), (63, "http://f.io/", "<link " + "a=b " * 50_000 + "rel=canonical href='http://bad.net/'>")]
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert {k for k, v in got.items() if v == "allow"} == {60, 61, 62} and len(got) == len(pages)
+
+
 def test_long_html_and_rules_of_one_length(spark):
     long = "<p>x</p>" * 200_000 + '<link rel=canonical href="http://b.org/ab">' + "<" * 100_000
     pages = spark.createDataFrame([(1, "http://x.io/", long), (2, "http://a.b.org/abc", None)], "page_id long, url string, html string")
