@@ -142,17 +142,8 @@ def respond(df: DataFrame, catalog: ToolCatalog, name: str, arguments: str) -> D
     return df.withColumn("__r", run(name, arguments)).select(*df.columns, "__r.response", "__r.error")
 
 
-class QueryEncoder:
-    """Vectors of single queries, each asked for once (V40); a blank query raises."""
-
-    def __init__(self, embedder: Callable[[list[str]], list[list[float]]], most: int = 10_000):
-        self.embedder, self.most, self._known = embedder, most, {}
-
-    def encode(self, text: str | None) -> list[float]:
-        if not text or not text.strip():
-            raise ValueError("a blank query has no vector")
-        if text not in self._known:
-            if len(self._known) >= self.most:
-                self._known.clear()
-            self._known[text] = [float(x) for x in self.embedder([text])[0]]
-        return self._known[text]
+def encoded(queries: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], name: str = "vector") -> DataFrame:
+    """Queries with their vectors (V40): each distinct text is encoded once, in batches; a blank query raises."""
+    blank = F.raise_error(F.lit("a blank query has no vector")).cast("string")
+    checked = queries.withColumn(text, F.when(F.trim(F.coalesce(text, F.lit(""))) == "", blank).otherwise(F.col(text)))
+    return checked.join(embed(checked.select(text).distinct(), text, embedder, name), text)

@@ -196,10 +196,10 @@ def cache_split(docs: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame,
     return docs.join(cache, key), docs.join(cache.select(key), key, "left_anti")
 
 
-def to_markdown(docs: DataFrame, id_col: str, title: str, text: str) -> DataFrame:
-    """All documents as one Markdown text, in order of id (Q19): for small corpora only."""
+def to_markdown(docs: DataFrame, id_col: str, title: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """All documents, or those of each group, as one Markdown text in order of id (Q19): for small corpora only."""
     section = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(text))
-    return docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), section.alias("s")))), lambda x: x["s"]), "\n\n").alias("markdown"))
+    return docs.groupBy(*(by or [])).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), section.alias("s")))), lambda x: x["s"]), "\n\n").alias("markdown"))
 
 
 class Pipeline:

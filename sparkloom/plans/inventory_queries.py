@@ -89,12 +89,11 @@ def language_correctness(t: Tables) -> DataFrame:
     return analytics.language_correctness(turns, ["conv_id", "role"], "turn", "text", "found", text.expected_language("role", ["user"], F.lit("th")))
 
 
-@query("records_by_field", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000011' OR c_name = 'CUST_11'")
+@query("records_by_field", "SELECT 'order' AS kind, o_orderkey AS id FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def records_by_field(t: Tables) -> DataFrame:
     """All records whose field has a value."""
-    named = t.customer.where("c_custkey = 11").first()
-    people = lookups.by_field(t.customer, "c_name", named.c_name if named and named.c_name in ("Customer#000000011", "CUST_11") else "")
-    return lookups.by_field(t.orders, "o_custkey", 7).select("o_orderkey").union(people.select("c_custkey"))
+    people = lookups.by_field(t.customer, "c_mktsegment", "BUILDING").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    return lookups.by_field(t.orders, "o_custkey", 7).select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id")).union(people)
 
 
 @query("every_record", "SELECT s_suppkey, s_name FROM supplier")
@@ -109,12 +108,12 @@ def normal_keys(t: Tables) -> DataFrame:
     return text.with_normal(text.with_normal(t.nation.select("n_nationkey", F.concat(F.lit(" "), "n_name").alias("n_name")), "n_name"), "no_such_column")
 
 
-@query("tick_replay", "WITH e AS (SELECT user_id % 50 AS conv_id, event_type, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events) SELECT conv_id, '{\"last\": \"' || arg_max(event_type, n) || '\", \"n\": ' || printf('%.1f', count(*) * 2.0) || '}' AS state FROM e GROUP BY 1")
+@query("tick_replay", "WITH e AS (SELECT user_id AS conv_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT conv_id, '{\"last\": \"' || arg_max(event_type, n) || '\", \"n\": ' || printf('%.1f', count(*) * 2.0) || '}' AS state FROM e GROUP BY 1")
 def tick_replay(t: Tables) -> DataFrame:
     """Calls in ticks of two sides replayed as mutations (V32): one side counts up, the other sets."""
     tick = F.row_number().over(Window.partitionBy("conv_id").orderBy("ts", "event_id")).alias("tick")
     call = lambda name, arguments: F.struct(F.lit(name).alias("name"), arguments.alias("arguments"))
-    rows = t.events.select((F.col("user_id") % 50).alias("conv_id"), "ts", "event_id", "event_type").select("conv_id", tick, "event_type")
+    rows = t.events.select(F.col("user_id").alias("conv_id"), "ts", "event_id", "event_type").select("conv_id", tick, "event_type")
     ticks = rows.select("conv_id", "tick", F.struct(F.array(call("add:n", F.lit("1")), call("add:n", F.lit("1"))).alias("tool_calls")).alias("own"), F.struct(F.array(call("set:last", F.col("event_type"))).alias("tool_calls")).alias("other"))
     calls = scoring.tick_calls(ticks, "conv_id", "tick", ["own", "other"])
     calls = calls.select("conv_id", "n", F.substring_index("name", ":", 1).alias("op"), F.substring_index("name", ":", -1).alias("key"), F.col("arguments").alias("value"))
@@ -146,37 +145,34 @@ def tool_responses(t: Tables) -> DataFrame:
     return registry.respond(calls, tools, "tool", "arguments").select("n_nationkey", "response", "error")
 
 
-@query("tool_catalog", "SELECT kind, count(*) AS n, bool_or(mutates) AS mutates FROM (VALUES ('read', false), ('read', false), ('write', true)) v(kind, mutates) GROUP BY 1")
+@query(
+    "tool_catalog",
+    """SELECT name, kind, mutates, count(*) AS calls, CAST(sum(CASE name WHEN 'view' THEN 2 * event_id WHEN 'click' THEN -event_id ELSE event_id END) AS BIGINT) AS answers
+       FROM events JOIN (VALUES ('view', 'read', false), ('click', 'write', true), ('error', 'generic', false), ('purchase', 'write', true)) v(name, kind, mutates) ON event_type = name GROUP BY ALL""",
+)
 def tool_catalog(t: Tables) -> DataFrame:
-    """Tools by what they do, hidden ones once unlocked, and callable from SQL."""
+    """Events as calls of tools from SQL, by what the tools do; a hidden tool isn't listed before it is unlocked."""
     tools = registry.ToolCatalog()
-    for kind, name in (("read", "look"), ("write", "change"), ("read", "secret"), ("think", "never")):
-        fn = lambda x: x
+    kinds = {"view": ("read", lambda x: 2 * x), "click": ("write", lambda x: -x), "error": ("generic", lambda x: x), "purchase": ("write", lambda x: x), "signup": ("think", lambda x: x)}
+    for name, (kind, fn) in kinds.items():
         fn.__name__ = name
-        tools.tool(kind, "long", hidden=name in ("secret", "never"))(fn)
-    tools.unlock("secret")
+        tools.tool(kind, "long", hidden=name in ("error", "signup"))(fn)
+    tools.unlock("error")
     tools.register_sql(t.spark)
-    if t.spark.sql("SELECT look(3L) AS x").first().x != 3 or tools.writes() != ["change"]:
+    if tools.writes() != ["click", "purchase"]:
         raise AssertionError("the catalogue doesn't do what it lists")
-    return tools.frame(t.spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.bool_or("mutates").alias("mutates"))
+    answer = F.coalesce(*(F.when(F.col("event_type") == x.name, F.call_function(x.name, F.col("event_id"))) for x in tools.listed()))
+    calls = t.events.select(F.col("event_type").alias("name"), answer.alias("answer"))
+    listed = tools.frame(t.spark).select("name", "kind", "mutates")  # a row for each tool
+    return calls.join(F.broadcast(listed), "name").groupBy("name", "kind", "mutates").agg(F.count(F.lit(1)).alias("calls"), F.sum("answer").alias("answers"))
 
 
-@query("query_vectors", "SELECT n_nationkey, [CAST(length(n_name) AS DOUBLE), 1.0::DOUBLE] AS v FROM nation")
+@query("query_vectors", "SELECT conv_id, turn, role, [CAST(length(text) AS DOUBLE), 1.0::DOUBLE] AS v FROM conversations WHERE trim(text) <> ''")
 def query_vectors(t: Tables) -> DataFrame:
-    """Queries encoded one by one, each asked for once (V40), beside the batch form."""
-    asked: list[str] = []
-
-    def embedder(texts: list[str]) -> list[list[float]]:
-        asked.extend(texts)
-        return [[float(len(x)), 1.0] for x in texts]
-
-    encoder = registry.QueryEncoder(embedder)
-    rows = [(r.n_nationkey, encoder.encode(r.n_name), encoder.encode(r.n_name)) for r in t.nation.collect()]
-    if len(asked) != len(set(asked)):
-        raise AssertionError("a query was encoded twice")
-    one = t.spark.createDataFrame([x[:2] for x in rows], "n_nationkey int, v array<double>")
-    batch = registry.embed(t.nation.select("n_nationkey", "n_name"), "n_name", lambda texts: [[float(len(x)), 1.0] for x in texts], "b")
-    return one.join(batch, "n_nationkey").where(F.col("b").cast("array<double>") == F.col("v")).select("n_nationkey", "v")
+    """Turns as queries, each text encoded once however often it is asked."""
+    asked = t.conversations.where(F.trim("text") != "").select("conv_id", "turn", "role", "text")
+    found = registry.encoded(asked, "text", lambda texts: [[float(len(x)), 1.0] for x in texts], "v")
+    return found.select("conv_id", "turn", "role", F.col("v").cast("array<double>").alias("v"))
 
 
 @query("deep_merge", "SELECT n_nationkey, n_name AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'b' END AS b, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE 1 END AS x, 2 AS y, n_nationkey % 2 = 0 AS z FROM nation")
@@ -299,10 +295,11 @@ def retrieval_pipeline(t: Tables) -> DataFrame:
     return pipeline.search(t.benchmark, "item_id", 4).select("item_id", "doc_id", "score", "rank")
 
 
-@query("corpus_as_markdown", "SELECT string_agg('## ' || n_name || chr(10) || chr(10) || 'nation ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) AS markdown FROM nation")
+@query("corpus_as_markdown", "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY 1")
 def corpus_as_markdown(t: Tables) -> DataFrame:
-    """A small corpus as one text (Q19)."""
-    return retrieval.to_markdown(t.nation.withColumn("body", F.concat(F.lit("nation "), "n_nationkey")), "n_nationkey", "n_name", "body")
+    """A small corpus, here each conversation, as one text (Q19)."""
+    rows = t.conversations.select("conv_id", F.struct("turn", "role", "text").alias("at"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    return retrieval.to_markdown(rows, "at", "role", "text", ["conv_id"])
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import masking, text
@@ -188,7 +188,7 @@ def assertions_met(t: Tables) -> DataFrame:
 
 @query(
     "call_segments",
-    """WITH t AS (SELECT user_id % 50 AS conv_id, event_id, event_type, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events),
+    """WITH t AS (SELECT user_id AS conv_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick FROM events),
        r AS (SELECT conv_id, event_id - 1 AS id, min(tick) AS e FROM t WHERE event_type <> 'click' GROUP BY ALL)
        SELECT t.conv_id, t.event_id AS id, CAST(t.tick AS INTEGER) AS start, CAST(r.e AS INTEGER) AS "end" FROM t LEFT JOIN r ON t.conv_id = r.conv_id AND t.event_id = r.id WHERE t.event_type IN ('click', 'view')""",
 )
@@ -198,11 +198,17 @@ def call_segments(t: Tables) -> DataFrame:
     return ticks.call_segments(rows, ["conv_id"], "tick", "call", "result")
 
 
-@query("reaction_chances", "SELECT tick, CASE WHEN tick < 3 THEN 0.0 WHEN tick >= 8 THEN 1.0 ELSE round(1 - exp(-0.5 * 0.2), 6) END::DOUBLE AS chance, greatest(0.0, least(1.0, round((tick - 2) / 5, 6)))::DOUBLE AS ramp FROM range(12) r(tick)")
+@query(
+    "reaction_chances",
+    """WITH g AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 3600000000 AS tick FROM events)
+       SELECT event_id, tick, CASE WHEN tick < 3 THEN 0.0 WHEN tick >= 8 THEN 1.0 ELSE round(1 - exp(-0.5 * 0.2), 6) END::DOUBLE AS chance, greatest(0.0, least(1.0, round((tick - 2) / 5, 6)))::DOUBLE AS ramp FROM g WHERE tick IS NOT NULL""",
+)
 def reaction_chances(t: Tables) -> DataFrame:
-    """Chances to react by how long one has waited."""
-    rows = t.spark.range(12).withColumnRenamed("id", "tick")
-    return rows.select("tick", F.round(ticks.reaction_chance("tick", 3, 8, 0.5, 0.2), 6).alias("chance"), F.round(ticks.ramp_chance("tick", 2, 7), 6).alias("ramp"))
+    """Chances to react by how many hours a user's events are apart."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gap = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 3_600_000_000)
+    rows = t.events.select("event_id", gap.alias("tick")).where("tick IS NOT NULL")
+    return rows.select("event_id", "tick", F.round(ticks.reaction_chance("tick", 3, 8, 0.5, 0.2), 6).alias("chance"), F.round(ticks.ramp_chance("tick", 2, 7), 6).alias("ramp"))
 
 
 @query(
@@ -215,7 +221,7 @@ def lossy_ticks(t: Tables) -> DataFrame:
     return ticks.lossy_ticks(tick_table(t).select("conv_id", "tick"), "conv_id", "tick", 0.05, 0.3)
 
 
-@query("due_events", "WITH t AS (SELECT user_id % 50 AS conv_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events) SELECT conv_id, CAST(tick AS INTEGER) AS tick, 'noise' AS event FROM t WHERE tick = conv_id % 7 + 1")
+@query("due_events", "WITH t AS (SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick FROM events) SELECT conv_id, CAST(tick AS INTEGER) AS tick, 'noise' AS event FROM t WHERE tick = conv_id % 7 + 1")
 def due_events(t: Tables) -> DataFrame:
     """Events at the first tick that is due."""
     rows = tick_table(t).select("conv_id", "tick")

@@ -182,10 +182,11 @@ def owner_records(t: Tables) -> DataFrame:
     return lookups.everything_of(tables, "owner", 5).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("constant_relation", "SELECT * FROM (VALUES ('AMS', 'Amsterdam'), ('BER', 'Berlin')) v(code, city)")
+@query("constant_relation", "SELECT code, city, count(c_custkey) AS customers FROM (VALUES ('BUILDING', 'Amsterdam'), ('MACHINERY', 'Berlin'), ('NONE', 'Nowhere')) v(code, city) LEFT JOIN customer ON c_mktsegment = code GROUP BY ALL")
 def constant_relation(t: Tables) -> DataFrame:
-    """A relation that is always the same."""
-    return t.spark.sql("SELECT * FROM VALUES ('AMS', 'Amsterdam'), ('BER', 'Berlin') AS v(code, city)")
+    """A relation that is always the same, and what a table has of it."""
+    fixed = t.spark.sql("SELECT * FROM VALUES ('BUILDING', 'Amsterdam'), ('MACHINERY', 'Berlin'), ('NONE', 'Nowhere') AS v(code, city)")
+    return fixed.join(t.customer, F.col("code") == F.col("c_mktsegment"), "left").groupBy("code", "city").agg(F.count("c_custkey").alias("customers"))
 
 
 @query("collection_counts", "SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS variants_entries FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")

@@ -120,13 +120,20 @@ def stored_simulations(t: Tables) -> DataFrame:
     return readers.read_checked(spark, f"{folder}/results.json").select("id", "task_id")
 
 
-@query("metadata_rewritten", "SELECT 'new' AS git_commit, 2 AS indexed")
+@query("metadata_rewritten", "SELECT 'new ' || r_name AS git_commit, r_name AS domain, count(*) AS indexed FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def metadata_rewritten(t: Tables) -> DataFrame:
-    """Metadata written anew keep the index that is on disk."""
-    path = workspace(t.spark, "metadata")
-    t.spark.createDataFrame([(("old",), [("a",), ("b",)])], "info struct<git_commit:string>, simulation_index array<struct<id:string>>").coalesce(1).write.json(path)
-    sinks.write_metadata(t.spark.createDataFrame([(("new",), [("z",)])], "info struct<git_commit:string>, simulation_index array<struct<id:string>>"), path)
-    return t.spark.read.schema(schemas.METADATA).json(path).select("info.git_commit", F.size("simulation_index").alias("indexed"))
+    """Metadata of each region's run written anew: the index of nations that is on disk stays."""
+    index = F.struct(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"))
+    runs = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(index)).alias("simulation_index"))
+    base, out = workspace(t.spark, "metadata"), None
+    for k, region in enumerate(r.r_name for r in t.region.collect()):  # a file for each of the five
+        path = f"{base}/{k}.json"
+        info = lambda commit, region=region: F.struct(F.lit(f"{commit} {region}").alias("git_commit"), F.struct(F.lit(region).alias("domain_name")).alias("environment_info")).alias("info")
+        runs.where(F.col("r_name") == region).select(info("old"), "simulation_index").coalesce(1).write.json(path)
+        sinks.write_metadata(t.region.where(F.col("r_name") == region).select(info("new"), F.array(F.struct(F.lit("z").alias("id"))).alias("simulation_index")), path)
+        one = t.spark.read.schema(schemas.METADATA).json(path).select("info.git_commit", F.col("info.environment_info.domain_name").alias("domain"), F.size("simulation_index").cast("long").alias("indexed"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("experiment_lines", "SELECT CAST(n_nationkey + 2 AS INTEGER) AS line_number, lower(n_name) AS domain, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey / 100.0 END AS pass_1 FROM nation WHERE n_nationkey % 4 <> 1")
@@ -206,14 +213,16 @@ def suffix_round_trip(t: Tables) -> DataFrame:
     return out
 
 
-@query("found_files", "SELECT 'a/results.json' AS name UNION ALL SELECT 'a/b/results.json' UNION ALL SELECT 'results_reviewed.json'")
+@query("found_files", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows FROM orders GROUP BY 1")
 def found_files(t: Tables) -> DataFrame:
-    """Result files under folders, each once, others left out."""
+    """Files of one kind under folders that are named twice: each once, those of other kinds left out."""
     base = workspace(t.spark, "tree")
-    for name in ("a/results.json", "a/b/results.json", "a/other.json", "results_reviewed.json", "notes.md"):
-        put(t.spark, f"{base}/{name}", '{"id": "x"}')
-    found = readers.read_files(t.spark, [base, base], "results*.json", "id STRING")
-    return found.select(F.regexp_replace(F.col("_metadata.file_path"), r"^.*/tree-[0-9a-f]+/", "").alias("name"))
+    rows = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    rows.write.partitionBy("month").text(f"{base}/a/b")
+    rows.write.partitionBy("month").csv(f"{base}/a/other")
+    found = readers.read_files(t.spark, [base, f"{base}/", base], ".txt")
+    ids = F.filter(F.split("value", "\n"), lambda x: x.startswith("o"))
+    return found.select(F.regexp_extract("_metadata.file_path", "month=([0-9-]+)", 1).alias("month"), F.size(ids).alias("n")).groupBy("month").agg(F.sum("n").alias("rows"))
 
 
 @query("submissions", "SELECT n_name AS submission, n_regionkey AS score FROM nation WHERE n_nationkey < 10 AND n_nationkey % 3 <> 0 AND n_nationkey % 2 = 0")
@@ -227,54 +236,59 @@ def submissions(t: Tables) -> DataFrame:
     return readers.read_submissions(t.spark, f"{base}/*", "score INT", manifest).select("submission", "score")
 
 
-_LOG = """2024-01-01 10:00:00.5 x Tick 1 completed
-Agent audio: 300 bytes
-2024-01-01 10:00:10.0 speech_started
-2024-01-01 10:00:20.0 y Tick 2 completed
-Agent audio: 0 bytes
-2024-01-01 10:00:30.0 [USER] chunk speech=True
-2024-01-01 10:00:40.0 Speech started detected at 3
-2024-01-01 10:00:55.0 FINISHED SIMULATION
-Reward: 0.5
-"""
-
-
-@query("log_intervals", "SELECT 'a.log' AS file, 54.5::DOUBLE AS silence_seconds, 0.5::DOUBLE AS reward, 2 AS speech_started, 2 AS speech_in_silence, 1 AS speech_at_end, 1 AS user_speech_in_silence, 0 AS user_speech_at_end")
+@query(
+    "log_intervals",
+    """WITH e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+       l AS (SELECT user_id, n, 0 AS part, event_type AS kind, ts, CAST(NULL AS BIGINT) AS bytes, event_id FROM e UNION ALL SELECT user_id, n, 1, 'audio', NULL, event_id % 3 * 100, event_id FROM e WHERE event_type = 'click'),
+       h AS (SELECT *, max(bytes) OVER (PARTITION BY user_id ORDER BY n, part ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) > 0 AS heard FROM l),
+       f AS (SELECT user_id, arg_max(ts, (n, part)) FILTER (kind = 'click' AND heard) AS sound, arg_max(ts, n) FILTER (kind = 'signup') AS ended, arg_max(event_id % 10 / 10.0, n) FILTER (kind = 'error') AS reward FROM h GROUP BY 1)
+       SELECT f.user_id, round((epoch_us(f.ended) - epoch_us(f.sound)) / 1e6, 3) AS silence_seconds, coalesce(f.reward, 0.0)::DOUBLE AS reward, CAST(count(*) FILTER (kind = 'view') AS INTEGER) AS speech_started, CAST(count(*) FILTER (kind = 'view' AND ts > f.sound) AS INTEGER) AS speech_in_silence,
+              CAST(count(*) FILTER (kind = 'view' AND ts > f.ended - INTERVAL 1 DAY) AS INTEGER) AS speech_at_end, CAST(count(*) FILTER (kind = 'purchase' AND ts > f.sound) AS INTEGER) AS user_speech_in_silence, CAST(count(*) FILTER (kind = 'purchase' AND ts > f.ended - INTERVAL 1 DAY) AS INTEGER) AS user_speech_at_end
+       FROM f JOIN l ON f.user_id = l.user_id WHERE f.sound IS NOT NULL AND f.ended IS NOT NULL GROUP BY f.user_id, f.ended, f.sound, f.reward""",
+)
 def log_intervals(t: Tables) -> DataFrame:
-    """Silence and speech events of logs; one without sound has no row."""
+    """Silence and speech events of logs, a log for each user of events, written by Spark; one without sound or end has no row."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    said = F.when(F.col("event_type") == "click", F.concat(F.lit(" y Tick "), "event_id", F.lit(" completed\nAgent audio: "), F.col("event_id") % 3 * 100, F.lit(" bytes")))
+    said = said.when(F.col("event_type") == "view", F.when(F.col("event_id") % 2 == 0, " speech_started").otherwise(" Speech started detected at 3"))
+    said = said.when(F.col("event_type") == "purchase", " [USER] chunk speech=True").when(F.col("event_type") == "signup", " FINISHED SIMULATION")
+    lines = t.events.select("user_id", "ts", "event_id", F.coalesce(F.concat(stamp, said), F.concat(F.lit("Reward: "), F.col("event_id") % 10 / 10)).alias("value"))
     path = workspace(t.spark, "logs")
-    put(t.spark, f"{path}/a.log", _LOG)
-    put(t.spark, f"{path}/b.log", "2024-01-01 10:00:55.0 FINISHED SIMULATION\n")
-    return readers.log_intervals(t.spark, path)
+    lines.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value").write.partitionBy("user_id").text(path)
+    found = readers.log_intervals(t.spark, f"{path}/user_id=*", 86_400, "file_path")
+    return found.withColumns({"user_id": F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long"), "silence_seconds": F.round("silence_seconds", 3)}).drop("file")
 
 
 @query(
     "runs_by_name",
-    "SELECT * FROM (VALUES ('gpt-4_airline_base_gpt-4_3trials_50tasks.json', 'gpt-4', 'airline', 'base', 3, 50), ('m_retail_solo_u_1trials.json', 'm', 'retail', 'solo', 1, NULL), ('notes.json', NULL, NULL, NULL, NULL, NULL)) v(file_name, llm, domain, mode, num_trials, num_tasks)",
+    """SELECT o_orderpriority || '_' || lower(c_mktsegment) || '_' || lower(o_orderstatus) || '_u_' || count(*) || 'trials' || CASE WHEN o_orderstatus = 'F' THEN '' ELSE '_' || count(DISTINCT o_custkey) || 'tasks' END || '.json' AS file_name, CASE WHEN o_orderpriority NOT LIKE '% %' THEN o_orderpriority END AS llm,
+              CASE WHEN o_orderpriority NOT LIKE '% %' THEN lower(c_mktsegment) END AS domain, CASE WHEN o_orderpriority NOT LIKE '% %' THEN lower(o_orderstatus) END AS mode, CASE WHEN o_orderpriority NOT LIKE '% %' THEN CAST(count(*) AS INTEGER) END AS num_trials,
+              CASE WHEN o_orderpriority NOT LIKE '% %' AND o_orderstatus <> 'F' THEN CAST(count(DISTINCT o_custkey) AS INTEGER) END AS num_tasks, o_orderstatus AS git_commit FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority, c_mktsegment, o_orderstatus""",
 )
 def runs_by_name(t: Tables) -> DataFrame:
-    """All runs of a folder with what their names say."""
+    """All runs of a folder with what their names say (S18, S19, V51); a name with a blank doesn't say."""
+    groups = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderpriority", "c_mktsegment", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("k"))
+    tasks = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit("_"), "k", F.lit("tasks")))
+    llm = F.when(F.contains("o_orderpriority", F.lit(" ")), F.concat(F.col("o_orderpriority"), F.lit(""))).otherwise(F.col("o_orderpriority"))
+    name = F.concat(llm, F.lit("_"), F.lower("c_mktsegment"), F.lit("_"), F.lower("o_orderstatus"), F.lit("_u_"), "n", F.lit("trials"), tasks, F.lit(".json"))
     path = workspace(t.spark, "named")
-    for name in ("gpt-4_airline_base_gpt-4_3trials_50tasks.json", "m_retail_solo_u_1trials.json", "notes.json"):
-        put(t.spark, f"{path}/{name}", '{"info": {"git_commit": "c"}}')
-    return readers.read_runs(t.spark, path).select("file_name", "llm", "domain", "mode", "num_trials", "num_tasks")
+    groups.select(name.alias("run"), F.struct(F.col("o_orderstatus").alias("git_commit")).alias("info")).write.partitionBy("run").json(path)
+    runs = readers.read_runs(t.spark, f"{path}/run=*")
+    named = ~F.contains("file_name", F.lit(" "))
+    return runs.select("file_name", *(F.when(named, F.col(c)).alias(c) for c in ("llm", "domain", "mode", "num_trials", "num_tasks")), "info.git_commit")
 
 
-@query("wav_files", "SELECT 16000::BIGINT AS rate, 2::BIGINT AS channels, 16::BIGINT AS bits, 0.25::DOUBLE AS seconds, 16044::BIGINT AS length")
+@query("wav_files", "SELECT user_id, 16000::BIGINT AS rate, 2::BIGINT AS channels, 16::BIGINT AS bits, count(*) / 16000.0::DOUBLE AS seconds, 44 + 4 * count(*) AS length FROM events GROUP BY 1")
 def wav_files(t: Tables) -> DataFrame:
-    """Sound as bytes, with rate and length of a tick from its header."""
-    import io
-    import wave
-
-    sound = io.BytesIO()
-    with wave.open(sound, "wb") as w:
-        w.setnchannels(2)
-        w.setsampwidth(2)
-        w.setframerate(16000)
-        w.writeframes(bytes(16000))
+    """Sound as bytes, with rate and length from its header (S20, V58): a user's events are so many frames."""
+    n = F.col("n") * 4
+    little = lambda c: F.unhex(F.array_join(F.transform(F.sequence(F.lit(7), F.lit(1), F.lit(-2)), lambda k: F.substr(F.lpad(F.hex(c), 8, "0"), k, F.lit(2))), ""))
+    head = F.unhex(F.lit("57415645666D742010000000" + "01000200" + "803E0000" + "00FA0000" + "04001000" + "64617461"))
+    sound = F.concat(F.unhex(F.lit("52494646")), little(n + 36), head, little(n), F.unhex(F.repeat(F.lit("00"), n.cast("int"))))
     path = workspace(t.spark, "sound")
-    put(t.spark, f"{path}/a.wav", sound.getvalue())
-    return readers.read_audio(t.spark, f"{path}/*.wav").select("rate", "channels", "bits", "seconds", "length")
+    t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", sound.alias("content")).write.parquet(path)
+    figures = t.spark.read.parquet(path).withColumns(readers.audio_figures())
+    return figures.select("user_id", "rate", "channels", "bits", "seconds", F.octet_length("content").cast("long").alias("length"))
 
 
 @query("resumed_runs", "SELECT o_orderkey, o_orderstatus = 'P' AS again FROM orders WHERE o_orderstatus <> 'F'")

@@ -198,14 +198,14 @@ def tick_table(t: Tables) -> DataFrame:
     """Two channels made of events: clicks are one side's words, other events the other's."""
     from pyspark.sql import Window
 
-    rows = t.events.select((F.col("user_id") % 50).alias("conv_id"), "event_id", "event_type", "ts")
+    rows = t.events.select(F.col("user_id").alias("conv_id"), "event_id", "event_type", "ts")
     rows = rows.withColumn("tick", F.row_number().over(Window.partitionBy("conv_id").orderBy("ts", "event_id")) - 1)
     word = F.concat(F.col("event_id").cast("string"), F.lit(" "))
     return rows.select("conv_id", "tick", F.when(F.col("event_type").isin("click", "view"), word).alias("own"), F.when(F.col("event_type") != "click", word).alias("other"))
 
 
 #: The table of :func:`tick_table` in SQL.
-TICKS = """(SELECT user_id % 50 AS conv_id, CAST(row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS INTEGER) AS tick, CASE WHEN event_type IN ('click', 'view') THEN event_id || ' ' END AS own, CASE WHEN event_type <> 'click' THEN event_id || ' ' END AS other FROM events)"""
+TICKS = """(SELECT user_id AS conv_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS tick, CASE WHEN event_type IN ('click', 'view') THEN event_id || ' ' END AS own, CASE WHEN event_type <> 'click' THEN event_id || ' ' END AS other FROM events)"""
 
 
 @query(
@@ -240,7 +240,7 @@ def linearize_consolidated(t: Tables) -> DataFrame:
 
 @query(
     "tick_segments",
-    """WITH t AS (SELECT user_id % 50 AS conv_id, event_id, event_type, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events),
+    """WITH t AS (SELECT user_id AS conv_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick FROM events),
        o AS (SELECT conv_id, tick, event_id || ' ' AS word, CASE WHEN tick - lag(tick) OVER (PARTITION BY conv_id ORDER BY tick) <= 2 THEN 0 ELSE 1 END AS b FROM t WHERE event_type IN ('click', 'view')),
        g AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY tick) AS segment FROM o)
        SELECT conv_id, CAST(segment AS BIGINT) AS segment, CAST(min(tick) AS INTEGER) AS start, CAST(max(tick) AS INTEGER) AS "end", string_agg(word, '' ORDER BY tick) AS text FROM g GROUP BY conv_id, segment""",
@@ -251,7 +251,7 @@ def tick_segments(t: Tables) -> DataFrame:
 
 @query(
     "tick_messages",
-    """WITH t AS (SELECT user_id % 50 AS conv_id, event_id || ' ' AS word, event_type, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS tick FROM events)
+    """WITH t AS (SELECT user_id AS conv_id, event_id || ' ' AS word, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick FROM events)
        SELECT conv_id, CAST(tick AS INTEGER) AS tick, 0 AS priority, 'assistant' AS role, word AS content FROM t WHERE event_type IN ('click', 'view') UNION ALL SELECT conv_id, CAST(tick AS INTEGER), 1, 'user', word FROM t WHERE event_type <> 'click'""",
 )
 def tick_messages(t: Tables) -> DataFrame:
@@ -259,7 +259,7 @@ def tick_messages(t: Tables) -> DataFrame:
     return ticks.tick_messages(tick_table(t), ["conv_id"], "tick", {"own": "assistant", "other": "user"})
 
 
-@query("expanded_ticks", "WITH t AS (SELECT user_id % 50 AS conv_id, ts, event_id, event_type FROM events) SELECT conv_id, count(*) + count(*) FILTER (event_type = 'click') AS n, count(*) + count(*) FILTER (event_type = 'click') - 1 AS last FROM t GROUP BY 1")
+@query("expanded_ticks", "WITH t AS (SELECT user_id AS conv_id, ts, event_id, event_type FROM events) SELECT conv_id, count(*) + count(*) FILTER (event_type = 'click') AS n, count(*) + count(*) FILTER (event_type = 'click') - 1 AS last FROM t GROUP BY 1")
 def expanded_ticks(t: Tables) -> DataFrame:
     """Ticks with a result become two, renumbered."""
     rows = tick_table(t).withColumn("result", F.when(F.col("other").isNull(), F.col("own")))

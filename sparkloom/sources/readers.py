@@ -10,7 +10,7 @@ import json
 import tomllib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.sources import schemas
@@ -153,14 +153,16 @@ def clean_experiments(rows: DataFrame, wanted: dict[str, list[str]], metrics: li
     return clean, groups.where("row_count > 1"), audit
 
 
-def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20) -> DataFrame:
+def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20, name: str = "file_name") -> DataFrame:
     """Per log file: silence after the last sound of the agent, the reward, and speech events within it.
 
+    ``name`` says what ``file`` holds, ``file_name`` or ``file_path``.
+
     The agent last spoke in the last completed tick that is followed, within nine lines, by audio of some
     bytes. A log without such a tick or without an end has no row.
     """
     stamp = r"^.*?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+).*"
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    files = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{name}").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     when = lambda what: F.when(F.col("line").rlike(stamp + what), F.to_timestamp(F.regexp_extract("line", stamp, 1)))
     order = Window.partitionBy("file").orderBy("at")
     heard = F.max(F.regexp_extract("line", r"Agent audio: (\d+) bytes", 1).try_cast("long")).over(order.rowsBetween(1, 9)) > 0
@@ -217,14 +219,23 @@ def run_name_parts(name: str = "file_name") -> dict:
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """All runs of a folder with the parameters in their names."""
-    rows = spark.read.schema(schemas.RESULTS).option("multiLine", True).json(folder).withColumn("file_name", F.col("_metadata.file_name"))
-    return rows.withColumns(run_name_parts())
+    """All runs of a folder with the parameters in their names (S18, V51): the file's, or its folder's if that is called ``run=NAME.json``."""
+    rows = spark.read.schema(schemas.RESULTS).option("multiLine", True).json(folder)
+    named = F.regexp_extract(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"/run=([^/]+\.json)/[^/]+$", 1)
+    return rows.withColumn("file_name", F.coalesce(F.nullif(named, F.lit("")), F.col("_metadata.file_name"))).withColumns(run_name_parts())
 
 
-def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """WAV files as bytes with rate, channels and duration from their headers."""
-    raw = spark.read.format("binaryFile").load(path)
-    little = lambda at, n: F.conv(F.array_join(F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda k: F.hex(F.substring("content", at + 1 + k, 1))), ""), 16, 10).cast("long")
+def audio_figures(content: str = "content") -> dict:
+    """Rate, channels, bits and seconds that the header of WAV bytes tells, as columns."""
+
+    def little(at: int, n: int) -> Column:
+        digits = F.array_join(F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda k: F.hex(F.substring(content, at + 1 + k, 1))), "")
+        return F.conv(digits, 16, 10).cast("long")
+
     rate, channels, bits = little(24, 4), little(22, 2), little(34, 2)
-    return raw.select("path", "length", rate.alias("rate"), channels.alias("channels"), bits.alias("bits"), F.try_divide((F.col("length") - 44).cast("double"), (rate * channels * bits / 8).cast("double")).alias("seconds"), "content")
+    return {"rate": rate, "channels": channels, "bits": bits, "seconds": F.try_divide((F.octet_length(content) - 44).cast("double"), (rate * channels * bits / 8).cast("double"))}
+
+
+def read_audio(spark: SparkSession, path: str) -> DataFrame:
+    """WAV files as bytes with what their headers tell."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content").withColumns(audio_figures())
