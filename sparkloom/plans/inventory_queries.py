@@ -322,11 +322,11 @@ def customer_by_phone(t: Tables) -> DataFrame:
     return lookups.by_any_phone(people, lines, "q8", "customer_id").select("customer_id")
 
 
-@query("cell_or_zero", "SELECT c_mktsegment, coalesce(arg_min(CASE WHEN c_acctbal > 0 THEN c_acctbal END, c_custkey), 0) AS share FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1")
+@query("cell_or_zero", "SELECT c_mktsegment, c_nationkey, coalesce(arg_min_null(CASE WHEN c_acctbal > 0 THEN c_acctbal END, c_custkey), 0) AS share FROM customer GROUP BY ALL")
 def cell_or_zero(t: Tables) -> DataFrame:
     """A cell's first value, 0.0 where it has none."""
-    rows = t.customer.where("c_nationkey % 2 = 0").withColumn("share", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
-    return analytics.or_zero(rows.where("share IS NOT NULL"), ["c_mktsegment"], "share", "c_custkey")
+    rows = t.customer.withColumn("share", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    return analytics.or_zero(rows, ["c_mktsegment", "c_nationkey"], "share", "c_custkey")
 
 
 @query("asked_ids", "SELECT o_orderkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")

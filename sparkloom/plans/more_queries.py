@@ -49,10 +49,16 @@ def last_by_name(t: Tables) -> DataFrame:
     return analytics.last_by_name(t.part.select("p_brand", "p_name", "p_partkey"), "p_brand", "p_partkey")
 
 
-@query("all_checks", "SELECT bool_and(o_orderkey >= 0) AS keys, bool_and(o_orderstatus = 'F') AS done, false AS valid FROM orders")
+@query(
+    "all_checks",
+    """SELECT 'all' AS name, bool_and(o_orderkey >= 0) AS keys, bool_and(o_orderstatus IN ('F', 'O', 'P')) AS second, bool_and(o_orderkey >= 0) AND bool_and(o_orderstatus IN ('F', 'O', 'P')) AS valid FROM orders
+       UNION ALL SELECT 'done', bool_and(o_orderkey >= 0), bool_and(o_orderstatus = 'F'), bool_and(o_orderkey >= 0) AND bool_and(o_orderstatus = 'F') FROM orders""",
+)
 def all_checks(t: Tables) -> DataFrame:
-    """Checks that must hold for all rows."""
-    return analytics.all_checks(t.orders, {"keys": F.col("o_orderkey") >= 0, "done": F.col("o_orderstatus") == "F"})
+    """Checks that must hold for all rows: two that do, and two of which one doesn't."""
+    keys = F.col("o_orderkey") >= 0
+    good = analytics.all_checks(t.orders, {"keys": keys, "second": F.col("o_orderstatus").isin("F", "O", "P")}).withColumn("name", F.lit("all"))
+    return good.unionByName(analytics.all_checks(t.orders, {"keys": keys, "second": F.col("o_orderstatus") == "F"}).withColumn("name", F.lit("done")))
 
 
 @query("changed_tags", "SELECT event_type AS old, CASE WHEN event_type = 'view' THEN 'seen' ELSE 'other' END AS new, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY ALL")
@@ -104,13 +110,11 @@ def unfinished_rows(t: Tables) -> DataFrame:
     return reconcile.unfinished(t.orders.withColumn("final", F.when(F.col("o_orderstatus") == "P", " ").otherwise("x")), "final").select("o_orderkey")
 
 
-@query("group_fingerprints", "SELECT o_orderstatus, count(*) AS rows, true AS stable FROM orders GROUP BY 1")
+@query("group_fingerprints", "SELECT count(*) AS groups, count(DISTINCT rows) AS kinds FROM (SELECT o_custkey, string_agg(o_orderstatus || o_orderpriority, ',' ORDER BY o_orderstatus || o_orderpriority) AS rows FROM orders GROUP BY 1)")
 def group_fingerprints(t: Tables) -> DataFrame:
-    """Hashes of groups that don't depend on the order of rows."""
-    rows = t.orders.select("o_orderstatus", "o_orderkey", "o_totalprice")
-    a = reconcile.fingerprints(rows, "o_orderstatus", ["o_orderkey", "o_totalprice"])
-    b = reconcile.fingerprints(rows.repartition(5), "o_orderstatus", ["o_totalprice", "o_orderkey"]).select("o_orderstatus", F.col("fingerprint").alias("f"))
-    return a.join(b, "o_orderstatus").select("o_orderstatus", "rows", (F.col("fingerprint") == F.col("f")).alias("stable"))
+    """Customers whose orders are of the same kinds, by hashes that don't depend on the order of rows."""
+    found = reconcile.fingerprints(t.orders.repartition(5), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+    return found.agg(F.count(F.lit(1)).alias("groups"), F.count_distinct("fingerprint").alias("kinds"))
 
 
 @query(
@@ -154,11 +158,12 @@ def unique_sheet_names(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", text.unique_names("n_name", [], [F.col("n_nationkey")], 9).alias("name"))
 
 
-@query("json_values_set", "SELECT event_id, CAST(7 AS BIGINT) AS k FROM events")
+@query("json_values_set", "SELECT event_id, event_id AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS other FROM events")
 def json_values_set(t: Tables) -> DataFrame:
-    """Values set at paths of JSON."""
-    new = masking.set_json_values(F.col("props"), F.array(F.lit("k"), F.lit("none/x")), F.array(F.lit("7"), F.lit("1")))
-    return t.events.select("event_id", text.json_path(new, "$.k", "bigint").alias("k"))
+    """Values set at paths of JSON, those at other paths staying."""
+    nested = F.concat(F.lit('{"a": '), "props", F.lit(', "k": 0}'))
+    new = masking.set_json_values(nested, F.array(F.lit("k"), F.lit("none/x")), F.array(F.col("event_id").cast("string"), F.lit("1")))
+    return t.events.select("event_id", text.json_path(new, "$.k", "bigint").alias("k"), text.json_path(new, "$.a.k", "bigint").alias("other"))
 
 
 @query(
@@ -174,16 +179,19 @@ def merged_utterances(t: Tables) -> DataFrame:
     return scoring.merged_utterances(rows, "conv_id", "turn", "ids", "text").select("conv_id", "first", "last", F.length("content").alias("characters"))
 
 
-@query("rescored_runs", "SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS DOUBLE) AS reward FROM orders")
+@query("rescored_runs", "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 WHEN o_orderstatus = 'F' AND o_totalprice > 150000 THEN 0.5 ELSE 0.0 END::DOUBLE AS reward FROM orders")
 def rescored_runs(t: Tables) -> DataFrame:
-    """A run's rewards by another basis, beside what is stored."""
-    sims = t.orders.select(F.col("o_orderkey").alias("id"), F.create_map(F.lit("DB"), (F.col("o_orderstatus") == "F").cast("double"), F.lit("X"), F.lit(0.0)).alias("parts"), F.lit("user_stop").alias("end"))
-    return scoring.rescored(sims, F.array(F.lit("DB")), "parts", "end").select("id", "reward")
+    """A run's rewards by another basis: a product of its components, 0 for a run cut short."""
+    parts = F.create_map(F.lit("DB"), (F.col("o_orderstatus") == "F").cast("double"), F.lit("TALK"), F.when(F.col("o_totalprice") > 150_000, 0.5).otherwise(0.0), F.lit("X"), F.lit(0.0))
+    sims = t.orders.select(F.col("o_orderkey").alias("id"), parts.alias("parts"), F.when(F.col("o_orderpriority") == "5-LOW", "max_steps").otherwise("user_stop").alias("end"))
+    return scoring.rescored(sims, F.array(F.lit("DB"), F.lit("TALK"), F.lit("absent")), "parts", "end").select("id", "reward")
 
 
-@query("assertions_met", "SELECT o_orderkey, o_orderstatus = 'F' AS met FROM orders")
+@query("assertions_met", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END = (o_totalprice > 150000), false) AS met FROM orders")
 def assertions_met(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", scoring.assertion_met(F.when(F.col("o_orderstatus") == "F", True), F.lit(True)).alias("met"))
+    """Checks that returned what was asserted, true or false; one that returned nothing never did."""
+    returned = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    return t.orders.select("o_orderkey", scoring.assertion_met(returned, F.col("o_totalprice") > 150_000).alias("met"))
 
 
 @query(

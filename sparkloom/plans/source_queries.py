@@ -95,29 +95,23 @@ def run_metadata(t: Tables) -> DataFrame:
     return runs.select("info.git_commit", F.size("tasks").alias("tasks"), F.size("simulation_index").cast("long").alias("indexed"))
 
 
-@query("index_problems", "SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN 'missing' ELSE 'extra' END AS problem FROM supplier WHERE s_suppkey <= 40 AND s_suppkey % 10 IN (3, 6)")
+@query("index_problems", "SELECT 's' || s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN 'extra' ELSE 'missing' END AS problem FROM supplier WHERE (s_acctbal > 0) <> (s_nationkey < 20)")
 def index_problems(t: Tables) -> DataFrame:
-    """An index held against the names of the files (S04, S08): a folder of the first forty suppliers."""
-    folder, spark = workspace(t.spark, "indexed"), t.spark
-    few = [r.s_suppkey for r in t.supplier.where("s_suppkey <= 40").select("s_suppkey").collect()]
-    for k in few:
-        if k % 10 != 3:
-            put(spark, f"{folder}/simulations/s{k}.json", f'{{"id": "s{k}", "task_id": "t"}}')
-    index = ", ".join(f'{{"id": "s{k}"}}' for k in few if k % 10 != 6)
-    put(spark, f"{folder}/results.json", f'{{"info": {{}}, "simulation_index": [{index}]}}')
-    assert readers.results_format(spark, f"{folder}/results.json") == "dir"
-    return readers.index_problems(spark, f"{folder}/results.json")
-
-
-@query("stored_simulations", "SELECT 's' || s_suppkey AS id, 't' || s_suppkey AS task_id FROM supplier WHERE s_suppkey <= 20")
+    """An index held against the folders of simulations (S04, S08): suppliers with money have one, those of most nations are in the index."""
+    folder, ids = workspace(t.spark, "indexed"), F.concat(F.lit("s"), "s_suppkey")
+    sims = t.supplier.where("s_acctbal > 0").select(ids.alias("id"), F.lit("t").alias("task_id"))
+    sinks.write_results(sims, f"{folder}/simulations", "dir")
+    t.supplier.where("s_nationkey < 20").agg(F.collect_list(F.struct(ids.alias("id"))).alias("simulation_index")).write.json(f"{folder}/results.json")
+    return readers.index_problems(t.spark, f"{folder}/results.json")
+
+
+@query("stored_simulations", "SELECT 's' || s_suppkey AS id, 't' || s_nationkey AS task_id FROM supplier")
 def stored_simulations(t: Tables) -> DataFrame:
-    """A folder whose index fits its files, checked and read one simulation a file."""
-    folder, spark = workspace(t.spark, "checked"), t.spark
-    few = [r.s_suppkey for r in t.supplier.where("s_suppkey <= 20").select("s_suppkey").collect()]
-    for k in few:
-        put(spark, f"{folder}/simulations/s{k}.json", f'{{"id": "s{k}", "task_id": "t{k}"}}')
-    put(spark, f"{folder}/results.json", '{"info": {}, "simulation_index": [' + ", ".join(f'{{"id": "s{k}"}}' for k in few) + "]}")
-    return readers.read_checked(spark, f"{folder}/results.json").select("id", "task_id")
+    """A folder whose index fits its simulations, checked and read."""
+    folder, ids = workspace(t.spark, "checked"), F.concat(F.lit("s"), "s_suppkey").alias("id")
+    sinks.write_results(t.supplier.select(ids, F.concat(F.lit("t"), "s_nationkey").alias("task_id")), f"{folder}/simulations", "dir")
+    t.supplier.agg(F.collect_list(F.struct(ids)).alias("simulation_index")).write.json(f"{folder}/results.json")
+    return readers.read_checked(t.spark, f"{folder}/results.json").select("id", "task_id")
 
 
 @query("metadata_rewritten", "SELECT 'new ' || r_name AS git_commit, r_name AS domain, count(*) AS indexed FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
@@ -225,15 +219,13 @@ def found_files(t: Tables) -> DataFrame:
     return found.select(F.regexp_extract("_metadata.file_path", "month=([0-9-]+)", 1).alias("month"), F.size(ids).alias("n")).groupBy("month").agg(F.sum("n").alias("rows"))
 
 
-@query("submissions", "SELECT n_name AS submission, n_regionkey AS score FROM nation WHERE n_nationkey < 10 AND n_nationkey % 3 <> 0 AND n_nationkey % 2 = 0")
+@query("submissions", "SELECT 'S' || s_suppkey AS submission, s_nationkey AS score FROM supplier WHERE s_acctbal > 0 AND s_nationkey >= 8")
 def submissions(t: Tables) -> DataFrame:
-    """Submission files that a manifest names, broken ones left out."""
-    base = workspace(t.spark, "submissions")
-    rows = t.nation.where("n_nationkey < 10").collect()
-    for r in rows:
-        put(t.spark, f"{base}/{r.n_name}/submission.json", "{broken" if r.n_nationkey % 3 == 0 else f'{{"score": {r.n_regionkey}}}')
-    manifest = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("submission"))
-    return readers.read_submissions(t.spark, f"{base}/*", "score INT", manifest).select("submission", "score")
+    """Submission files of suppliers that a manifest names, broken ones left out."""
+    base, name = workspace(t.spark, "submissions"), F.concat(F.lit("S"), "s_suppkey").alias("submission")
+    content = F.when(F.col("s_nationkey") < 8, "{broken").otherwise(F.concat(F.lit('{"score": '), "s_nationkey", F.lit("}")))
+    t.supplier.select(name, content.alias("value")).write.partitionBy("submission").text(base)
+    return readers.read_submissions(t.spark, f"{base}/*", "score INT", t.supplier.where("s_acctbal > 0").select(name)).select("submission", "score")
 
 
 @query(

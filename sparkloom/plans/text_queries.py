@@ -133,11 +133,11 @@ def json_fields(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.json_path("props", "$.k", "bigint").alias("k"), text.json_path("props", "$.none.at", "bigint").alias("missing"))
 
 
-@query("same_json_shape", "SELECT count(*) AS n, count(*) AS alike FROM events")
+@query("same_json_shape", "SELECT event_type, count(*) AS n, count(*) FILTER (event_type IN ('view', 'purchase')) AS alike FROM events GROUP BY 1")
 def same_json_shape(t: Tables) -> DataFrame:
-    """Records whose structure is that of a pattern, scalars aside."""
-    alike = reconcile.same_shape(F.col("props"), F.lit('{"k": 1}'))
-    return t.events.agg(F.count(F.lit(1)).alias("n"), F.count_if(alike).alias("alike"))
+    """Records whose structure is that of a pattern, scalars aside (R06): further keys, other nesting and broken texts aren't alike."""
+    made = F.when(F.col("event_type") == "view", F.col("props")).when(F.col("event_type") == "purchase", '{"k": 99}').when(F.col("event_type") == "click", F.regexp_replace("props", "[}]", ', "x": 1}')).when(F.col("event_type") == "error", F.concat(F.lit("["), "props", F.lit("]"))).otherwise('{"k"')
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(reconcile.same_shape(made, F.lit('{"k": 1}'))).alias("alike"))
 
 
 @query("text_pieces", "SELECT doc_id, [substr(text, 1, CAST(floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) / 3) AS INTEGER) + 1, CAST(floor(length(text) * 2 / 3) - floor(length(text) / 3) AS INTEGER)), substr(text, CAST(floor(length(text) * 2 / 3) AS INTEGER) + 1, CAST(length(text) - floor(length(text) * 2 / 3) AS INTEGER))] AS pieces FROM documents")

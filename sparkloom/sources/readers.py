@@ -68,7 +68,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def index_problems(spark: SparkSession, path: str) -> DataFrame:
     """``id, problem`` of simulations that a folder's index names without a file, or that have a file without being named.
 
-    Only the names of the files are read. Without an index, as in a run in one file, there are none.
+    Only the names of the files, or of their folders ``sim_id=ID``, are read. Without an index, as in a run in one file, there are none.
     """
     folder = path.rsplit("/", 1)[0] if path.endswith(".json") else path
     indexed = read_metadata(spark, path).where("simulation_index IS NOT NULL")
@@ -76,7 +76,8 @@ def index_problems(spark: SparkSession, path: str) -> DataFrame:
     if results_format(spark, path) != "dir":
         return named.where("false").select("id", F.lit("missing").alias("problem"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/simulations")
-    stored = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id")).withColumn("stored", F.lit(True))
+    name = F.coalesce(F.nullif(F.regexp_extract("path", r"/sim_id=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.json$", 1))
+    stored = files.select(name.alias("id")).withColumn("stored", F.lit(True))
     problem = F.when(F.col("stored").isNull(), "missing").when(F.col("named").isNull(), "extra")
     found = named.join(stored, "id", "full_outer").select("id", problem.alias("problem")).where("problem IS NOT NULL")
     return found.join(indexed.select(F.lit(1)).limit(1), how="left_semi")
@@ -101,7 +102,7 @@ def results_format(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folder = base if files.exists(base) and files.getFileStatus(base).isDirectory() else base.getParent()
+    folder = base.getParent() if path.endswith(".json") else base
     return "dir" if files.exists(jvm.org.apache.hadoop.fs.Path(folder, "simulations")) else "json"
 
 
@@ -109,7 +110,8 @@ def read_simulations(spark: SparkSession, path: str) -> DataFrame:
     """One row a simulation, from either format (S06, S10); a run in one file is read by as many tasks as it has splits."""
     if results_format(spark, path) == "dir":
         folder = path.rsplit("/", 1)[0] if path.endswith(".json") else path
-        return spark.read.schema(schemas.fields(schemas.SIMULATION)).option("multiLine", True).json(f"{folder}/simulations/*.json")
+        files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("multiLine", True)
+        return files.schema(schemas.fields(schemas.SIMULATION)).json(f"{folder}/simulations")
     return read_array(spark, path, "simulations", schemas.fields(schemas.SIMULATION))
 
 
@@ -196,7 +198,7 @@ def read_collections(spark: SparkSession, path: str, name: str, schema: str) ->
 def read_submissions(spark: SparkSession, path: str, schema: str, manifest: DataFrame | None = None) -> DataFrame:
     """Submission files; bad ones are left out, a manifest says which count."""
     rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("submission", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = rows.withColumn("submission", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:submission=)?([^/]+)/[^/]+$", 1)).where("_corrupt_record IS NULL").drop("_corrupt_record")
     return rows.join(manifest.select("submission"), "submission", "left_semi") if manifest is not None else rows
 
 
