@@ -404,6 +404,22 @@ def stream_correlated(t: Tables) -> DataFrame:
     return found.select("user_id", F.col("view").isNotNull().alias("viewed"), F.col("click").isNotNull().alias("clicked"))
 
 
+@query(
+    "stream_joined",
+    """WITH e AS (SELECT user_id, event_type, ts FROM events)
+       SELECT v.user_id, epoch_us(v.ts) AS viewed, epoch_us(c.ts) AS clicked, epoch_us(p.ts) AS purchased FROM e v LEFT JOIN e c ON c.user_id = v.user_id AND c.event_type = 'click' AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 24 HOUR
+       LEFT JOIN e p ON p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 24 HOUR WHERE v.event_type = 'view' AND v.ts < (SELECT max(ts) FROM e) - INTERVAL 96 HOUR""",
+)
+def stream_joined(t: Tables) -> DataFrame:
+    """Views with the clicks and purchases that follow within a day, from three streams (M20): those whose day was over when the stream stopped."""
+    out = workspace(t.spark, "joined")
+    found = stateful.correlate_streams(_event_stream(t), "user_id", "event_type", "ts", ["view", "click", "purchase"], "24 HOURS", "1 hour")
+    stateful.run_once(found, f"{out}/rows", f"{out}/checkpoint")
+    last = t.events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 96 HOURS")).alias("until"))
+    rows = t.spark.read.parquet(f"{out}/rows").join(F.broadcast(last), F.col("view") < F.col("until"))  # one row
+    return rows.select("user_id", *(F.unix_micros(k).alias(name) for k, name in (("view", "viewed"), ("click", "clicked"), ("purchase", "purchased"))))
+
+
 @query("model_means", "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
 def model_means(t: Tables) -> DataFrame:
     """Means of a few models."""

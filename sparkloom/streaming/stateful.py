@@ -43,6 +43,22 @@ def correlate(events: DataFrame, item: str, kind: str, ts: str, kinds: list[str]
     return rows.groupBy(item).agg(*(F.min(F.when(F.col(kind) == k, F.col(ts))).alias(k) for k in kinds))
 
 
+def correlate_streams(events: DataFrame, item: str, kind: str, ts: str, kinds: list[str], within: str, late: str) -> DataFrame:
+    """Each event of the first kind with those of the other kinds of its item that follow ``within`` a time (M20): ``item`` and a time for each kind.
+
+    Kinds are joined as streams, so state reaches back no further than ``within`` and ``late`` before the watermark. A
+    kind that doesn't come is NULL, told once the watermark has passed the time in which it could.
+    """
+    first, *others = kinds
+    out = events.where(F.col(kind) == first).select(item, F.col(ts).alias(first)).withWatermark(first, late)
+    for k in others:
+        other = events.where(F.col(kind) == k).select(F.col(item).alias("__item"), F.col(ts).alias(k)).withWatermark(k, late)
+        follows = (F.col(item) == F.col("__item")) & (F.col(k) >= F.col(first)) & (F.col(k) <= F.col(first) + F.expr(f"INTERVAL {within}"))
+        # Only the first kind's time goes on as the stream's event time: a computed column is none.
+        out = out.join(other, follows, "left_outer").drop("__item").withColumn(k, F.timestamp_micros(F.unix_micros(k)))
+    return out
+
+
 def _timeout(idle: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 

@@ -1,9 +1,12 @@
 """Streams give the rows of the batch forms."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ticks, windows
+from sparkloom.sources.workspace import settings
 from sparkloom.streaming import stateful
 
 
@@ -66,3 +69,20 @@ def test_upserts_keep_the_last_version(spark, tmp_path):
 def test_correlated_events(spark, folder):
     got = stateful.correlate(spark.read.parquet(folder), "k", "kind", "ts", ["o", "c", "zzz"]).collect()
     assert len(got) == 3 and all(r.zzz is None and r.o is not None for r in got)
+
+
+def test_streams_joined_over_many_triggers(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), 1_700_000_000 + rng.randrange(20_000), rng.choice("abc")) for _ in range(250)]
+    rows = sorted(set(rows), key=lambda r: r[1] + rng.randrange(80))  # out of order within the watermark's delay
+    end = 1_700_900_000
+    for part in (*(rows[k : k + 50] for k in range(0, len(rows), 50)), [(99, end, k) for k in "abc"], [(99, end + 1, k) for k in "abc"]):
+        spark.createDataFrame(part, "item long, at long, kind string").select("item", "kind", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = stateful.event_stream(spark, f"{tmp_path}/in", "item long, kind string, ts timestamp", per_trigger=1)
+    with settings(spark, spark__sql__shuffle__partitions="2"):
+        stateful.run_once(stateful.correlate_streams(stream, "item", "kind", "ts", ["a", "b", "c"], "300 SECONDS", "100 seconds"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = spark.read.parquet(f"{tmp_path}/out").where("item < 99").select("item", *(F.unix_timestamp(k) for k in "abc")).collect()
+    near = lambda item, at, kind: [t for i, t, k in rows if i == item and k == kind and at <= t <= at + 300] or [None]
+    want = [(item, at, b, c) for item, at, kind in rows if kind == "a" for b in near(item, at, "b") for c in near(item, at, "c")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert any(None in x for x in want) and any(None not in x for x in want)
