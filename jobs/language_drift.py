@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import beside, command_line, log, read_config
@@ -72,11 +72,14 @@ def run(spark: SparkSession, input_path: str, output: str, checkpoint: str, conf
     found = conversations(stream, config["markers"])
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        written = Observation(f"batch{number}")
+        rows = batch.withColumn("batch", F.lit(number).cast("long")).observe(written, F.count(F.lit(1)).alias("rows"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "language").parquet(output)
-        log.info("batch %d: wrote versions of conversations to %s", number, output)
+        log.info("batch %d: wrote %d versions of conversations to %s", number, written.get["rows"], output)
 
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=config["state_store"]):
+    # A long backlog takes many batches: all of their figures are kept until the end.
+    kept = {"spark__sql__streaming__stateStore__providerClass": config["state_store"], "spark__sql__streaming__numRecentProgressUpdates": "1000000"}
+    with settings(spark, **kept):
         query = found.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     taken = sum(p["numInputRows"] for p in query.recentProgress)
