@@ -78,3 +78,36 @@ def test_empty_documents(spark, folder, tmp_path):
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_a_long_text_goes_through_whole(spark, folder, tmp_path):
+    r = random.Random(3)
+    syllables = ["the", "ing", "er", "tion", "ou", "an"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 5))) for _ in range(450_000)]
+    long = " ".join(words) + " write to long.text@example.com now"
+    assert len(long) > 4_000_000
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = spark.createDataFrame([(900, long, "en", "s", len(long), "x", 0.0, "y", 1), (901, long, "en", "s", len(long), "x", 0.0, "y", 1)], SCHEMA)
+    docs = docs.unionByName(more)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "pii":
+            kept = {row.doc_id: row.text for row in docs.where("doc_id >= 900").collect()}
+            assert kept == {900: long.replace("long.text@example.com", "<EMAIL>")}  # its copy has gone
+    ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(kept[900], add_special_tokens=False).ids
+    pieces = docs.where("doc_id = 900").orderBy("start").select("start", "length", "doc_tokens").collect()
+    assert sum(p.length for p in pieces) == len(ids) + 1 == pieces[0].doc_tokens and pieces[-1].start + pieces[-1].length == len(ids) + 1
+
+
+def test_a_stage_that_rejects_everything(spark, folder, tmp_path):
+    """Good texts without a letter: quality keeps them, language rejects all, and the later stages get none."""
+    docs = spark.createDataFrame([(k, " ".join(str(k * j) for j in range(1, 60)), "en", "s", 9, "x", 0.0, "y", 1) for k in range(120)], SCHEMA)
+    labels = [(k, 1, 0) for k in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/sf/labels.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, f"{tmp_path}/sf").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = docs.count()
+    assert left == {"quality": 120, "language": 0, "near_dedup": 0, "pii": 0, "packing": 0}
