@@ -61,17 +61,17 @@ WITH lines AS (
   SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS r, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS rc,
          count(*) FILTER (l_returnflag <> 'N') AS w, count(*) FILTER (l_returnflag <> 'N' AND l_linestatus = 'F') AS wc FROM lineitem GROUP BY 1),
 sims AS (
-  SELECT c_mktsegment AS domain, n_name AS language, o_custkey, o_orderpriority IS DISTINCT FROM '5-LOW' AS valid, o_orderstatus = 'F' AS ok, o_totalprice AS cost, r, rc, w, wc
+  SELECT c_mktsegment AS domain, n_name AS language, o_custkey, o_orderpriority IS DISTINCT FROM '5-LOW' AS valid, o_orderstatus = 'F' AS ok, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, r, rc, w, wc
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lines ON o_orderkey = l_orderkey),
 tasks AS (
-  SELECT domain, language, o_custkey, count(*) FILTER (valid) AS n, count(*) FILTER (valid AND ok) AS c, count(*) FILTER (NOT valid) AS void, sum(cost) FILTER (valid) AS cost,
+  SELECT domain, language, o_custkey, count(*) FILTER (valid) AS n, count(*) FILTER (valid AND ok) AS c, count(*) FILTER (NOT valid) AS void, sum(cents) FILTER (valid) AS cents,
          sum(r) FILTER (valid) AS r, sum(rc) FILTER (valid) AS rc, sum(w) FILTER (valid) AS w, sum(wc) FILTER (valid) AS wc FROM sims GROUP BY ALL),
 runs AS (
   SELECT domain, language, count(*) FILTER (n > 0) AS tasks, CAST(sum(n) AS BIGINT) AS trials, CAST(sum(void) AS BIGINT) AS void_trials, {_pass(1)} AS p1, {_pass(2)} AS p2, {_pass(3)} AS p3,
-         sum(cost) / nullif(sum(n), 0) AS cost, sum(r) AS r, sum(rc) AS rc, sum(w) AS w, sum(wc) AS wc FROM tasks GROUP BY ALL)
+         CAST(sum(cents) // nullif(sum(n), 0) AS BIGINT) AS cents, sum(r) AS r, sum(rc) AS rc, sum(w) AS w, sum(wc) AS wc FROM tasks GROUP BY ALL)
 SELECT domain, language, CAST(row_number() OVER (PARTITION BY domain ORDER BY p1 DESC NULLS LAST, language) AS INTEGER) AS place, tasks, trials, void_trials,
        round(p1, 6) AS pass_hat_1, round(p2, 6) AS pass_hat_2, round(p3, 6) AS pass_hat_3, round(p1 - max(p1) FILTER (language = 'NATION_0') OVER (PARTITION BY domain), 6) AS gap_to_baseline,
-       round(p3 / nullif(p1, 0), 6) AS rho, round(cost, 2) AS mean_cost, round_even(CAST(rc AS DOUBLE) / nullif(r, 0), 6) AS read_share, round_even(CAST(wc AS DOUBLE) / nullif(w, 0), 6) AS write_share
+       round(p3 / nullif(p1, 0), 6) AS rho, cents AS mean_cost_cents, round_even(CAST(rc AS DOUBLE) / nullif(r, 0), 6) AS read_share, round_even(CAST(wc AS DOUBLE) / nullif(w, 0), 6) AS write_share
 FROM runs
 """,
 }

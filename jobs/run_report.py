@@ -42,7 +42,7 @@ def report(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem:
     void = F.col("o_orderpriority") == config["infrastructure_priority"]
     trials = orders.select(
         "o_orderkey", "o_custkey", F.when(void, metrics.INFRASTRUCTURE[0]).otherwise("agent_stop").alias("termination"),
-        (F.col("o_orderstatus") == config["success_status"]).cast("double").alias("reward"), F.col("o_totalprice").alias("cost"),
+        (F.col("o_orderstatus") == config["success_status"]).cast("double").alias("reward"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )
     # Lines are summed by trial before they are joined: both sides then have one row for each order.
     kind = F.when(F.col("l_returnflag") == config["read_flag"], "read").otherwise("write")
@@ -53,12 +53,12 @@ def report(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem:
     # One aggregation by task, one by run; void trials only add to their own count.
     by_task = sims.groupBy(*RUN, "o_custkey").agg(
         F.count_if(valid).alias("n"), F.count_if(valid & (F.col("reward") == 1.0)).alias("c"), F.count_if(~valid).alias("void"),
-        F.sum(F.when(valid, F.col("cost"))).alias("cost"), *(F.sum(F.when(valid, F.col(c))).alias(c) for c in counts),
+        F.sum(F.when(valid, F.col("cents"))).alias("cents"), *(F.sum(F.when(valid, F.col(c))).alias(c) for c in counts),
     )
     ks = range(1, config["trials"] + 1)
     by_run = by_task.groupBy(*RUN).agg(
         F.count_if(F.col("n") > 0).alias("tasks"), F.sum("n").alias("trials"), F.sum("void").alias("void_trials"),
-        *(F.avg(metrics.pass_hat("n", "c", k)).alias(f"pass_hat_{k}") for k in ks), F.try_divide(F.sum("cost"), F.sum("n")).alias("mean_cost"), *(F.sum(c).alias(c) for c in counts),
+        *(F.avg(metrics.pass_hat("n", "c", k)).alias(f"pass_hat_{k}") for k in ks), F.sum("cents").alias("cents"), *(F.sum(c).alias(c) for c in counts),
     )
     domain = Window.partitionBy("domain")
     place = F.row_number().over(domain.orderBy(F.desc_nulls_last("pass_hat_1"), "language"))
@@ -66,7 +66,7 @@ def report(customer: DataFrame, nation: DataFrame, orders: DataFrame, lineitem:
     out = by_run.withColumns({"place": place, "gap_to_baseline": F.col("pass_hat_1") - base})
     rounded = [F.round(c, 6).alias(c) for c in (*(f"pass_hat_{k}" for k in ks), "gap_to_baseline")]
     return out.select(
-        *RUN, "place", "tasks", "trials", "void_trials", *rounded, F.round(metrics.consistency(f"pass_hat_{ks[-1]}", "pass_hat_1"), 6).alias("rho"), F.round("mean_cost", 2).alias("mean_cost"),
+        *RUN, "place", "tasks", "trials", "void_trials", *rounded, F.round(metrics.consistency(f"pass_hat_{ks[-1]}", "pass_hat_1"), 6).alias("rho"), F.expr("CASE WHEN trials > 0 THEN cents DIV trials END").alias("mean_cost_cents"),
         rate_or_blank("read_correct", "read_actions").alias("read_share"), rate_or_blank("write_correct", "write_actions").alias("write_share"),
     )
 

@@ -124,7 +124,7 @@ def test_report_of_odd_rows(spark):
     found = {(r.domain, r.language): r for r in run_report.report(customer, nation, orders, lineitem, REPORT).collect()}
     assert set(found) == {("A", "NATION_0"), ("A", None), (None, "NATION_0")}
     best = found["A", "NATION_0"]
-    assert (best.place, best.tasks, best.trials, best.void_trials, best.pass_hat_1, best.pass_hat_2, best.pass_hat_3, best.mean_cost, best.read_share, best.write_share, best.gap_to_baseline) == (1, 1, 2, 1, 1.0, 1.0, None, 20.0, 1.0, 0.0, 0.0)
+    assert (best.place, best.tasks, best.trials, best.void_trials, best.pass_hat_1, best.pass_hat_2, best.pass_hat_3, best.mean_cost_cents, best.read_share, best.write_share, best.gap_to_baseline) == (1, 1, 2, 1, 1.0, 1.0, None, 2000, 1.0, 0.0, 0.0)
     assert (found["A", None].pass_hat_1, found["A", None].gap_to_baseline) == (0.0, -1.0)
     assert (found[None, "NATION_0"].tasks, found[None, "NATION_0"].trials, found[None, "NATION_0"].pass_hat_1) == (0, 0, None)
 
