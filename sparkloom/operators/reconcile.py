@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.workspace import workspace
+
 
 def content_hash(columns: list[str]) -> Column:
     """A hash of named values, the same for any column order (R09, R10); NULL differs from any text."""
@@ -40,6 +42,48 @@ def value_diff(left: DataFrame, right: DataFrame, id_col: str, columns: list[str
     return joined.select(id_col, fields.alias("d")).select(id_col, "d.*").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
+def json_leaves(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, path, kind, value`` of every scalar and every empty object or array in JSON texts, at any depth.
+
+    A path is like ``$["items"][0]``; ``kind`` is ``number``, ``string``, ``boolean``, ``null``, ``object`` or ``array``. Texts
+    that aren't JSON, and NULL ones, have none. A level is unfolded after another and written, so that what is
+    read again are only the parts that go deeper.
+    """
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("__k"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
+    found: list[DataFrame] = []
+    while True:
+        parts = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit('["'), F.regexp_replace("key", r'(["\\])', r"\\$1"), F.lit('"]'))).otherwise(F.concat(F.lit("["), "pos", F.lit("]")))
+        whole = F.col("pos").isNull()
+        out = workspace(spark, "leaves")
+        parts.select("__k", whole.alias("leaf"), F.when(whole, F.col("path")).otherwise(F.concat("path", step)).alias("path"), F.when(whole, F.col("v")).otherwise(F.col("value")).alias("v")).write.parquet(out)
+        rows = spark.read.parquet(out)
+        found.append(rows.where("leaf"))
+        level = rows.where("NOT leaf").select("__k", "path", "v")
+        if level.isEmpty():
+            break
+    schema = F.schema_of_variant("v")
+    kind = F.when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").otherwise("array")
+    leaves = reduce(DataFrame.unionByName, found)
+    return leaves.select(F.col("__k").alias(key), "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
+
+
+def deep_diff(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, path, change, left_value, right_value`` for each leaf in which JSON texts of equal keys differ.
+
+    ``change`` is ``removed``, ``added``, ``type`` (the kinds differ) or ``changed``. Arrays are compared by position,
+    objects by name, numbers by value. A text that only one side has, or that is no JSON on one, differs in all leaves.
+    """
+    sides = [json_leaves(df, key, text).select(key, "path", F.col("kind").alias(f"{side}_kind"), F.col("value").alias(f"{side}_value")) for df, side in ((left, "left"), (right, "right"))]
+    both = sides[0].join(sides[1], [key, "path"], "full_outer")
+    number = lambda side: F.when(F.col(f"{side}_kind") == "number", F.col(f"{side}_value").try_cast("double"))
+    whole = F.col("left_value").rlike("^-?[0-9]+$") & F.col("right_value").rlike("^-?[0-9]+$")
+    equal = F.col("left_value").eqNullSafe(F.col("right_value")) | F.coalesce((number("left") == number("right")) & ~whole, F.lit(False))
+    change = F.when(F.col("right_kind").isNull(), "removed").when(F.col("left_kind").isNull(), "added").when(F.col("left_kind") != F.col("right_kind"), "type").when(~equal, "changed")
+    return both.select(key, "path", change.alias("change"), "left_value", "right_value").where("change IS NOT NULL")
+
+
 def metric_mismatch(reported: DataFrame, computed: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Keys whose reported metrics aren't exactly the computed ones."""
     both = reported.alias("r").join(computed.alias("c"), key, "full_outer")

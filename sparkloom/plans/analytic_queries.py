@@ -266,6 +266,24 @@ def value_diff(t: Tables) -> DataFrame:
     return reconcile.value_diff(left, right, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
+@query(
+    "deep_diff",
+    """WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+       SELECT event_id, '$["a"]["k"]' AS path, 'changed' AS change, CAST(k AS VARCHAR) AS left_value, CAST(k + 1 AS VARCHAR) AS right_value FROM e WHERE event_type = 'click'
+       UNION ALL SELECT event_id, '$["n"]', 'removed', '1', NULL FROM e WHERE event_type = 'view' UNION ALL SELECT event_id, '$["t"][1]', 'type', CAST(k AS VARCHAR), CAST(k AS VARCHAR) FROM e WHERE event_type = 'error'
+       UNION ALL SELECT event_id, '$["t"][2]["x"][0]', 'added', NULL, 'new' FROM e WHERE event_type = 'signup'""",
+)
+def deep_diff(t: Tables) -> DataFrame:
+    """Differences of nested records at any depth (R04, R05, R11): a changed number, a lost field, another type, a longer array, and none for another order or spelling of numbers."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    left = F.concat(F.lit('{"a": {"k": '), k, F.lit(', "u": []}, "t": ["'), kind, F.lit('", '), k, F.lit('], "n": 1}'))
+    bigger = F.when(kind == "click", (k.cast("long") + 1).cast("string")).otherwise(k)
+    second = F.when(kind == "error", F.concat(F.lit('"'), k, F.lit('"'))).when(kind == "purchase", F.concat(k, F.lit(".0"))).otherwise(k)
+    more = F.when(kind == "signup", ', {"x": ["new"]}').otherwise("")
+    right = F.concat(F.when(kind == "view", "{").otherwise('{"n": 1, '), F.lit('"t": ["'), kind, F.lit('", '), second, more, F.lit('], "a": {"u": [], "k": '), bigger, F.lit("}}"))
+    return reconcile.deep_diff(t.events.select("event_id", left.alias("j")), t.events.select("event_id", right.alias("j")), "event_id", "j")
+
+
 @query("still_to_do", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus <> 'O')")
 def still_to_do(t: Tables) -> DataFrame:
     """Orders none of whose lines is done; lines that the infrastructure ended don't count."""
