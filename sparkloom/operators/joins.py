@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.workspace import workspace
+
 
 def lookup(df: DataFrame, other: DataFrame, keys: list[str], require: bool = False) -> DataFrame:
     """Left join to a dimension (J02, J05, J15); with ``require`` a missing key raises."""
@@ -68,10 +70,33 @@ def as_of(df: DataFrame, other: DataFrame, keys: list[str], at: str, other_at: s
 
 
 def assign_segment(points: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, end: str, number: str) -> DataFrame:
-    """Each point's segment (J21): the first that ends after it, else the key's last."""
-    bounds = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(start).alias("s"), F.col(end).alias("e")))).alias("__s"))
-    first = F.get(F.filter("__s", lambda x: x["e"] >= F.col(at)), F.lit(0))["n"]
-    return points.join(bounds, keys, "left").withColumn(number, F.coalesce(first, F.try_element_at("__s", F.lit(-1))["n"])).drop("__s")
+    """Each point's segment (J21): of those that end at it or after it the one of the least number, else the key's last; NULL for a key without segments.
+
+    Ends and points of a key are put in falling order, where that number is a running least. The order is made by
+    ranges, and what an earlier range has found of a key is handed on, so a key of any size is spread over tasks.
+    """
+    spark = points.sparkSession
+    kind = segments.schema[number].dataType.simpleString()
+    ends = segments.where(F.col(end).isNotNull()).select(*keys, F.col(end).alias("__pos"), F.col(number).alias("__n"), F.lit(None).alias("__row"))
+    rest = [c for c in points.columns if c not in keys]
+    asked = points.select(*keys, F.col(at).alias("__pos"), F.lit(None).cast(kind).alias("__n"), F.struct(*rest).alias("__row"))
+    rows = asked.unionByName(ends.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)))
+    order = [*keys, F.desc_nulls_first("__pos")]
+    path = workspace(spark, "segments")
+    rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__part")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    # A point without a place has no segment at or after it; ends come before points of the same place.
+    falling = Window.partitionBy(*keys, "__part").orderBy(F.desc_nulls_first("__pos"), F.col("__row").isNotNull())
+    found = rows.withColumn("__found", F.min("__n").over(falling.rowsBetween(Window.unboundedPreceding, 0))).where("__row IS NOT NULL")
+    # One row for each key and range that it lies in.
+    ranges = rows.groupBy(*keys, "__part").agg(F.min("__n").alias("__least"), F.max("__n").alias("__most"))
+    key = Window.partitionBy(*keys)
+    known = ranges.select(*keys, "__part", F.min("__least").over(key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.max("__most").over(key).alias("__last"))
+    given = F.lit(True)
+    for c in keys:
+        given = given & F.col(c).isNotNull()
+    chosen = F.when(given, F.coalesce(F.least("__found", "__before"), "__last")).alias(number)  # least skips NULL
+    return found.join(known, [*keys, "__part"], "left").select(*(F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in points.columns if c != number), chosen)
 
 
 def paired_calls(messages: DataFrame, keys: list[str], position: str, call_id: str, is_call: Column, is_result: Column) -> DataFrame:
