@@ -88,9 +88,9 @@ class ToolCatalog:
         return spark.createDataFrame([(t.name, t.kind, t.returns, t.mutates) for t in self.listed()], "name string, kind string, returns string, mutates boolean")
 
     def register_sql(self, spark: SparkSession) -> None:
-        """Make the listed tools callable from SQL."""
+        """Make the listed tools callable from SQL (U07); rows go to Python as Arrow batches."""
         for t in self.listed():
-            spark.udf.register(t.name, t.fn, t.returns)
+            spark.udf.register(t.name, F.udf(t.fn, t.returns, useArrow=True))
 
 
 def batched(detector: Callable[[], Callable[[list[str]], list[str | None]]]) -> Callable[[str | Column], Column]:

@@ -14,16 +14,26 @@ from sparkloom.sources import schemas
 
 
 def _swapped(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
-    """Write beside ``path``, then take its place: what was there stays until all is written, also if ``df`` reads it."""
+    """Write beside ``path``, then take its place: what was there stays until all is written, also if ``df`` reads it.
+
+    The old folder is moved aside and deleted last, so nothing is lost at any moment: a run that breaks off between
+    the two moves leaves ``path`` empty, with the whole old and new folders beside it (``.old-`` and ``.new-``).
+    """
     context = df.sparkSession.sparkContext
     jvm = context._jvm
-    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write(df, aside)
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    name, place = uuid.uuid4().hex, path.rstrip("/")
+    write(df, f"{place}.new-{name}")
+    target, old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (place, f"{place}.old-{name}", f"{place}.new-{name}"))
     files = target.getFileSystem(context._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    if not files.rename(jvm.org.apache.hadoop.fs.Path(aside), target):
-        raise OSError(f"{aside} could not take the place of {path}")
+    held = files.exists(target)
+    if held and not files.rename(target, old):
+        raise OSError(f"{path} could not be moved aside; the new folder is {new}")
+    if not files.rename(new, target):
+        if held:
+            files.rename(old, target)
+        raise OSError(f"{new} could not take the place of {path}")
+    if held:
+        files.delete(old, True)
 
 
 def write_results(df: DataFrame, path: str, layout: str = "json") -> None:

@@ -1,9 +1,9 @@
 """Streams of events and ticks: segments, open intervals, idempotent sinks.
 
-State is kept by key and bounded by a watermark or, in the forms with state of their own, by ``idle``: a key
-without rows for so many milliseconds is given up. Queries that process what is there and stop leave it out. The rows of a key in one trigger are put in order together, however they are cut into Arrow
-batches; so runs over the same rows give the rows of the batch forms, as long as a key's rows don't come in
-a later trigger than rows that follow them.
+Segments, counts and joins are bounded by a watermark. The two forms with state of their own, leading turns and open
+intervals, keep a number or the open intervals of each key, and give a key up only if ``idle`` is set: without rows for so
+many milliseconds of processing time. They put a key's rows of one trigger in order in memory, so rows of a key mustn't come
+in a later trigger than rows that follow them; :mod:`turns` shows the form that waits for the watermark instead.
 """
 
 from __future__ import annotations
