@@ -45,6 +45,8 @@ _NO_LINKS = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{name}[{_S}/>].*?(?:</{name
 #: Groups of attributes are matched one after another, so that the stack stays shallow.
 _TAG = f"""(?i)<((?:link|meta|base)[{_S}/](?>(?:[^>=]++|={_SPACE}*+(?:"[^"]*+(?:"|\\z)|'[^']*+(?:'|\\z)|[^{_S}"'>])){{1,64}}+)*+(?:={_SPACE}*+)?+)(>|\\z)"""
 _ATTRIBUTE = f"""([^{_S}/>=]+){_SPACE}*(?:={_SPACE}*(?:"([^"]*)"|'([^']*)'|([^{_S}"'>][^{_S}>]*)))?"""
+#: What any page with a link holds: the word that marks it, or a character reference in the attribute that would.
+_MARKED = f"""(?i)canonical|refresh|(?:rel|http-equiv){_SPACE}*={_SPACE}*(?:"[^"]*&|'[^']*&|[^{_S}"'>]*&)"""
 _REFRESH = f"(?s)^{_SPACE}*(?:[0-9]+|[.])[0-9.]*(?:{_SPACE}*[;,]{_SPACE}*|{_SPACE}+)(.*)$"
 
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
@@ -175,7 +177,7 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     html = F.regexp_replace(F.col(html_col), _NO_LINKS, "")
     inside, end = (F.regexp_extract_all(html, F.lit(_TAG), k) for k in (1, 2))
     tags = F.filter(F.transform(F.arrays_zip(inside.alias("tag"), end.alias("end")), lambda t: F.when(t["end"] == ">", t["tag"])), lambda t: t.isNotNull())
-    found = pages.where(F.col(html_col).rlike("(?i)<(?:link|meta)")).select(F.col(url_col).alias("url"), tags.alias("tags"))
+    found = pages.where(F.col(html_col).rlike(_MARKED)).select(F.col(url_col).alias("url"), tags.alias("tags"))
     bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^base")), lambda t: attribute(t, "href")), lambda h: h != "")
     found = found.withColumn("base", F.coalesce(resolved(F.try_element_at(bases, F.lit(1)), F.col("url")), F.col("url")))
     canonical = F.filter("tags", lambda t: t.rlike("(?i)^link") & F.lower(attribute(t, "rel")).rlike(f"(^|{_SPACE})canonical({_SPACE}|$)"))
