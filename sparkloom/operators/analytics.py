@@ -86,13 +86,16 @@ def distribution(df: DataFrame, by: list[str], key: str) -> DataFrame:
     """Each group's shares of a key as text like ``en_0.516|de_0.484`` and as a map.
 
     Blank keys are dropped; the largest share comes first, ties by key; shares have six digits in the map
-    and three in the text.
+    and three in the text, both rounded as SQL engines do: ties of the double's own value to even, where
+    ``format_string`` would round those of its shortest decimal up.
     """
     n = df.where(F.trim(F.coalesce(key, F.lit(""))) != "").groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(key).alias("k"))))
     grouped = n.groupBy(*by).agg(F.sum("n").alias("n"), entries.alias("e"))
-    share = lambda x: F.bround(-x["m"].cast("double") / F.col("n"), 6)
-    text = F.array_join(F.transform("e", lambda x: F.concat(x["k"], F.lit("_"), F.format_string("%.3f", share(x)))), "|")
+    share = lambda x: F.rint(-x["m"].cast("double") / F.col("n") * 1e6) / 1e6
+    # Of all shares of six digits that end in 500, ``format_number`` takes only this one's double for a tie; it lies above.
+    digits = lambda x: F.when(share(x) == 0.0005, "0.001").otherwise(F.format_number(share(x), 3))
+    text = F.array_join(F.transform("e", lambda x: F.concat(x["k"], F.lit("_"), digits(x))), "|")
     return grouped.select(*by, "n", text.alias("distribution"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], share(x)))).alias("shares"))
 
 
