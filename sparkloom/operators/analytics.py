@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.draws import unit_draws
 from sparkloom.functions.stats import correlation, no_nan, rate_or_zero, standard_error
 from sparkloom.functions.text import is_blank
-from sparkloom.operators.sampling import unit_hash
 from sparkloom.sources.workspace import workspace
 
+#: Draws of a stretch, of those hashed together, and of a task.
+DRAWS, DRAWS_TOGETHER, TASK_DRAWS = 1 << 17, 1 << 14, 1 << 23
+#: Values of a block are those whose numbers share all but so many bits; 16 at most.
+HIT_BITS = 14
+
 
 def unpivot_metrics(df: DataFrame, keys: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """One row for each key and metric that is there (A13); NaN isn't."""
@@ -159,14 +165,51 @@ def bootstrap_means(df: DataFrame, by: list[str], value: str, resamples: int = 1
     return out
 
 
+def _drawn(suffix: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For stretches of draws the places that they hit in each block of values, a row for each resample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for prefix, start, n, b, b_end, j, j_end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width = j_end - j
+                at = np.empty((b_end - b) * width, np.int64)
+                for k in range(0, len(at), DRAWS_TOGETHER):
+                    pair = np.arange(k, min(k + DRAWS_TOGETHER, len(at)))
+                    at[k : k + len(pair)] = start + np.floor(n * unit_draws(prefix, b + pair // width, j + pair % width, suffix)).astype(np.int64)
+                rows: list[tuple] = []
+                for resample, row in enumerate(np.sort(at.reshape(-1, width), axis=1), b):
+                    block = row >> bits
+                    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), width]
+                    places = (row & ((1 << bits) - 1)).astype("<u2")
+                    rows += [(int(block[x]), start, resample, places[x:y].tobytes()) for x, y in itertools.pairwise(cuts)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["__block", "__start", "b", "hits"])
+
+    return run
+
+
+def _hit_sums(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Sums and numbers of the values of a block that each resample hit."""
+
+    def run(values: pa.Table, hits: pa.Table) -> pa.Table:
+        held = np.zeros(1 << bits)
+        held[values["__at"].to_numpy() & ((1 << bits) - 1)] = values["__v"].to_numpy()
+        found = [np.frombuffer(x.as_buffer(), "<u2") for x in hits["hits"]]
+        columns = [hits["__start"], hits["b"], pa.array([float(held[x].sum()) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())]
+        return pa.Table.from_arrays(columns, ["__start", "__b", "__s", "__k"])
+
+    return run
+
+
 def bootstrap_draws(df: DataFrame, by: list[str], value: str, resamples: int = 1000, seed: int = 20260625, level: float = 0.95) -> DataFrame:
     """Percentile bootstrap of the mean for groups of any size (A14, A16): ``estimate, ci_low, ci_high``.
 
     A resample of a group of ``n`` values takes exactly ``n`` draws. Values are numbered by group and size
     through a sort by ranges; draw ``j`` of resample ``b`` hits number ``floor(n * u)``, ``u`` in [0, 1) being 52 bits
-    of the MD5 of group, ``b``, ``j`` and seed. So any SQL engine draws the same, rows may be dealt in any way, and no
-    group meets in one task: draws are joined to the values that they hit, and sums of resamples are added up
-    before they are shuffled. The work is ``n`` times ``resamples``.
+    of the MD5 of group, ``b``, ``j`` and seed. So any SQL engine draws the same, and rows may be dealt in any way.
+    Draws are dealt out in stretches of at most DRAWS; a task notes which of each HIT_BLOCK values in a row they hit,
+    two bytes a draw, and these meet the values of that block: about ``resamples`` times HIT_BLOCK hits whatever the
+    size of a group, so no group meets in one task. The work is ``n`` times ``resamples``.
 
     NULL and NaN values don't count; a group without values gives NaN.
     """
@@ -182,11 +225,19 @@ def bootstrap_draws(df: DataFrame, by: list[str], value: str, resamples: int = 1
     placed = ranked.join(F.broadcast(parts.select("__part", "__first", before.alias("__before"))), "__part").withColumn("__at", F.col("__before") + F.col("__id") - F.col("__first"))
     groups = placed.groupBy(*by).agg(F.min("__at").alias("__start"), F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("estimate"))
     same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in by), F.lit(True))
-    g, p = groups.alias("g"), placed.alias("p")
-    members = p.join(g, reduce(lambda x, y: x & y, (F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by), F.lit(True))).select(*(F.col(f"g.{c}") for c in by), (F.col("__at") - F.col("__start")).alias("__j"), "__start", "__n")
-    draws = members.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    hit = draws.select(*by, "__b", (F.col("__start") + F.floor(F.col("__n") * unit_hash([*by, "__b", "__j"], seed))).alias("__at"))
-    means = hit.join(placed.select("__at", "__v"), "__at").groupBy(*by, "__b").agg(F.avg("__v").alias("__m"))
+    # A stretch of draws: of one resample, or of several of a small group.
+    texts = [F.col(c).cast("string") for c in by]
+    prefix = F.when(F.coalesce(*texts).isNotNull(), F.concat(F.concat_ws("|", *texts), F.lit("|"))).otherwise("") if by else F.lit("")
+    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("__n")))
+    units = groups.select(prefix.alias("prefix"), "__start", "__n", step.alias("__step")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), "__step")))
+    units = units.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(DRAWS).cast("long"))))
+    units = units.select("prefix", "__start", "__n", "b", F.least(F.col("b") + F.col("__step"), F.lit(resamples)).alias("b_end"), "j", F.least(F.col("j") + DRAWS, F.col("__n")).alias("j_end"))
+    total = groups.agg(F.sum("__n")).first()[0] or 0
+    tasks = max(1, min(20_000, math.ceil(total * resamples / TASK_DRAWS)))
+    hits = units.repartition(tasks).mapInArrow(_drawn(f"|{seed}", HIT_BITS), "__block long, __start long, b int, hits binary")
+    values = placed.select(F.shiftright("__at", HIT_BITS).alias("__block"), "__at", "__v")
+    sums = values.groupBy("__block").cogroup(hits.groupBy("__block")).applyInArrow(_hit_sums(HIT_BITS), "__start long, __b int, __s double, __k long")
+    means = groups.join(sums.groupBy("__start", "__b").agg((F.sum("__s") / F.sum("__k")).alias("__m")), "__start")
     tail = (1 - level) / 2
     bounds = means.groupBy(*by).agg(F.percentile("__m", F.array(F.lit(tail), F.lit(1 - tail))).alias("__q"))  # a mean for each resample
     every = df.select(*by).distinct()
