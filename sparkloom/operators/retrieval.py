@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,6 +24,8 @@ BLOCK, QUERY_BLOCK = 8192, 1024
 TOGETHER = 256
 #: Most rows of a query and a term that are broadcast; beyond, parts that a term's documents are dealt over.
 ASKED, SALTS = 200_000, 16
+#: Products of a document's terms and queries that a task holds at once.
+PRODUCTS = 1 << 20
 
 
 def tokens(c: str | Column) -> Column:
@@ -34,7 +37,7 @@ def tokens(c: str | Column) -> Column:
 class Bm25Index:
     """Okapi BM25 over whole texts (Q01): one pass counts in how many documents each term occurs, written once.
 
-    A query set takes one more pass, which keeps only the terms that are asked for.
+    A query set takes one more pass over the texts, which keeps only the terms that are asked for.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25):
@@ -53,20 +56,66 @@ class Bm25Index:
     def _idf(self) -> Column:
         return F.log((self.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
-    def scores(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
-        """``query, id, score`` of documents that share a term with a query (Q02, Q03).
-
-        Negative weights of very common terms are lifted to a share of the mean weight. A query set of up
-        to ASKED rows of a query and a term is broadcast; a larger one is joined by term, the documents'
-        side dealt over SALTS parts, so that no task gets all of a common term.
-        """
+    def _weighted(self, queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, list | None]:
+        """``query, term, weight`` of what is asked, also as rows if there are at most ASKED."""
         asked = queries.select(query_id, F.explode(tokens(text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("asked"))
         idf = F.when(self._idf() < 0, self.floor * self.mean_idf).otherwise(self._idf())
         weighted = asked.join(self.frequencies, "term").select(query_id, "term", (F.col("asked") * idf * (self.k1 + 1)).alias("weight"))
         path = workspace(queries.sparkSession, "asked")
         weighted.write.parquet(path)
         weighted = queries.sparkSession.read.schema(weighted.schema).parquet(path)
-        small = weighted.count() <= ASKED
+        rows = weighted.limit(ASKED + 1).collect()
+        return weighted, rows if len(rows) <= ASKED else None
+
+    def _local(self, queries: DataFrame, query_id: str, rows: list, k: int = 0, digits: int | None = None, merged: bool = False) -> DataFrame:
+        """Scores from each document's own row, without a shuffle: each query's ``k`` best of a batch, or each document's best."""
+        asked = list(dict.fromkeys(r[0] for r in rows))
+        number = {q: n for n, q in enumerate(asked)}
+        rows = sorted(rows, key=lambda r: r.term)
+        terms = list(dict.fromkeys(r.term for r in rows))
+        ends = np.cumsum(np.bincount(np.searchsorted(terms, [r.term for r in rows]), minlength=len(terms))) if rows else np.zeros(0, np.int64)
+        kinds = [(query_id, queries.schema[query_id].dataType), (self.id, self.words.schema[self.id].dataType)][merged:]
+        result = pa.schema([*(pa.field(name, to_arrow_type(kind)) for name, kind in kinds), ("score", pa.float64())])
+        names = pa.array(asked, to_arrow_type(queries.schema[query_id].dataType))
+        shared = queries.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), np.concatenate([[0], ends]).astype(np.int64), np.array([number[r[0]] for r in rows], np.int64), np.array([r.weight for r in rows], np.float64), names))
+        k1, b, mean = self.k1, self.b, self.mean_length or 1.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, ends, query, weight, names = shared.value
+            together = max(1, PRODUCTS // max(1, len(weight)))
+            for batch in batches:
+                order = pc.sort_indices(batch.column(0)).to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))  # of equal scores the smaller id comes first
+                found = []
+                for start in range(0, batch.num_rows if len(weight) else 0, together):
+                    part = batch.slice(start, together)
+                    q, x, scores = products(part.column(2), k1 * (1 - b + b * part.column(1).to_numpy() / mean), terms, ends, query, weight, len(names), merged)
+                    x, scores = x + start, scores if digits is None else scores.round(digits)
+                    found.append((q, x, scores) if merged else best_rows(q, x, scores, place, k))
+                if not found:
+                    continue
+                q, x, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+                if not merged:
+                    q, x, scores = best_rows(q, x, scores, place, k)
+                columns = [names.take(pa.array(q)), batch.column(0).take(pa.array(x)), pa.array(scores)][merged:]
+                yield pa.RecordBatch.from_arrays(columns, schema=result)
+
+        fields = ", ".join(f"`{name}` {kind.simpleString()}" for name, kind in kinds)
+        return self.words.select(self.id, F.col("length"), "__t").mapInArrow(run, f"{fields}, score double")
+
+    def scores(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+        """``query, id, score`` of documents that share a term with a query (Q02, Q03).
+
+        Negative weights of very common terms are lifted to a share of the mean weight. A query set of up
+        to ASKED rows of a query and a term is broadcast; a larger one is joined by term, the documents'
+        side dealt over SALTS parts, so that no task gets all of a common term. This makes a row for each
+        query and document; where the best will do, :meth:`search` and :meth:`best_scores` make far fewer.
+        """
+        weighted, rows = self._weighted(queries, query_id, text)
+        return self._joined(weighted, query_id, rows is not None)
+
+    def _joined(self, weighted: DataFrame, query_id: str, small: bool) -> DataFrame:
         wanted = weighted.select("term").distinct()
         exploded = self.words.select(self.id, "length", F.explode("__t").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
         counts = exploded.groupBy(self.id, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -78,9 +127,57 @@ class Bm25Index:
         norm = self.k1 * (1 - self.b + self.b * F.col("length") / self.mean_length)
         return hits.groupBy(query_id, self.id).agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("score"))
 
-    def search(self, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
-        """The k best documents of each query, ties by id; blank queries find nothing (Q02, Q03, Q11)."""
-        return top_by_score(self.scores(queries, query_id, text), [query_id], "score", [self.id], k)
+    def search(self, queries: DataFrame, query_id: str, text: str, k: int, digits: int | None = None) -> DataFrame:
+        """The k best documents of each query, ties by id; blank queries find nothing (Q02, Q03, Q11).
+
+        With ``digits`` scores are rounded before ranking, so that equal documents tie whatever the order of
+        their sums. Each document, which is given once, is scored from its own row, and a batch of documents
+        passes on its k best of each query; a query set of more than ASKED rows is joined as in :meth:`scores`.
+        """
+        weighted, rows = self._weighted(queries, query_id, text)
+        if rows is None:
+            scores = self._joined(weighted, query_id, False)
+            scores = scores if digits is None else scores.withColumn("score", F.round("score", digits))
+        else:
+            scores = self._local(queries, query_id, rows, k, digits)
+        return top_by_score(scores, [query_id], "score", [self.id], k)
+
+    def best_scores(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+        """``id, score``: each document's best score over the queries that it shares a term with."""
+        weighted, rows = self._weighted(queries, query_id, text)
+        if rows is None:
+            return self._joined(weighted, query_id, False).groupBy(self.id).agg(F.max("score").alias("score"))
+        return self._local(queries, query_id, rows, merged=True)
+
+
+def products(words: pa.ListArray, norm: np.ndarray, terms: pa.Array, ends: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, merged: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and BM25 of the rows of words that share a term with a query; if ``merged`` each row's best alone.
+
+    ``query`` and ``weight`` of a term stand between its two ``ends``.
+    """
+    at = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    cells, tf = np.unique((row * len(terms) + at)[at >= 0], return_counts=True)
+    row, at = np.divmod(cells, len(terms))
+    n = ends[at + 1] - ends[at]
+    asked = np.arange(n.sum()) + np.repeat(ends[at] - np.cumsum(n) + n, n)
+    share = weight[asked] * np.repeat(tf, n) / np.repeat(tf + norm[row], n)
+    cells = np.repeat(row, n) * queries + query[asked]
+    hit = np.bincount(cells, minlength=len(words) * queries).reshape(len(words), queries) > 0
+    scores = np.bincount(cells, share, minlength=len(words) * queries).reshape(len(words), queries)
+    if merged:
+        x = np.flatnonzero(hit.any(axis=1))
+        return np.zeros(len(x), np.int64), x, np.where(hit, scores, -np.inf)[x].max(axis=1)
+    x, q = np.nonzero(hit)
+    return q, x, scores[x, q]
+
+
+def best_rows(q: np.ndarray, x: np.ndarray, scores: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, of equal scores those that come first by ``place``."""
+    order = np.lexsort((place[x], -scores, q))
+    q, x, scores = q[order], x[order], scores[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[kept], x[kept], scores[kept]
 
 
 def unit(v: str | Column) -> Column:
