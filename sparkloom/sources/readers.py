@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources import schemas
 from sparkloom.sources.json_arrays import read_array
+from sparkloom.sources.workspace import listing
 
 #: Names of runs, split into what they say.
 RUN_NAME = r"^([^_]+(?:-[^_]+)*)_([a-z]+)_([a-z-]+)_([^_]+)_(\d+)trials?(?:_(\d+)tasks?)?\.json$"
@@ -75,7 +76,8 @@ def index_problems(spark: SparkSession, path: str) -> DataFrame:
     named = indexed.select(F.explode("simulation_index.id").alias("id")).distinct().withColumn("named", F.lit(True))
     if results_format(spark, path) != "dir":
         return named.where("false").select("id", F.lit("missing").alias("problem"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/simulations")
+    with listing(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/simulations")
     name = F.coalesce(F.nullif(F.regexp_extract("path", r"/sim_id=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.json$", 1))
     stored = files.select(name.alias("id")).withColumn("stored", F.lit(True))
     problem = F.when(F.col("stored").isNull(), "missing").when(F.col("named").isNull(), "extra")
@@ -111,7 +113,8 @@ def read_simulations(spark: SparkSession, path: str) -> DataFrame:
     if results_format(spark, path) == "dir":
         folder = path.rsplit("/", 1)[0] if path.endswith(".json") else path
         files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("multiLine", True)
-        return files.schema(schemas.fields(schemas.SIMULATION)).json(f"{folder}/simulations")
+        with listing(spark):
+            return files.schema(schemas.fields(schemas.SIMULATION)).json(f"{folder}/simulations")
     return read_array(spark, path, "simulations", schemas.fields(schemas.SIMULATION))
 
 
@@ -164,7 +167,9 @@ def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20, name:
     bytes. A log without such a tick or without an end has no row.
     """
     stamp = r"^.*?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+).*"
-    files = spark.read.text(path, wholetext=True).select(F.col(f"_metadata.{name}").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    with listing(spark):
+        logs = spark.read.text(path, wholetext=True)
+    files = logs.select(F.col(f"_metadata.{name}").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     when = lambda what: F.when(F.col("line").rlike(stamp + what), F.to_timestamp(F.regexp_extract("line", stamp, 1)))
     order = Window.partitionBy("file").orderBy("at")
     heard = F.max(F.regexp_extract("line", r"Agent audio: (\d+) bytes", 1).try_cast("long")).over(order.rowsBetween(1, 9)) > 0
@@ -197,7 +202,8 @@ def read_collections(spark: SparkSession, path: str, name: str, schema: str) ->
 
 def read_submissions(spark: SparkSession, path: str, schema: str, manifest: DataFrame | None = None) -> DataFrame:
     """Submission files; bad ones are left out, a manifest says which count."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    with listing(spark):
+        rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     rows = rows.withColumn("submission", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:submission=)?([^/]+)/[^/]+$", 1)).where("_corrupt_record IS NULL").drop("_corrupt_record")
     return rows.join(manifest.select("submission"), "submission", "left_semi") if manifest is not None else rows
 

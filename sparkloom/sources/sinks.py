@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from sparkloom.operators.topk import greedy_until
 from sparkloom.sources import schemas
 
+#: Folders that a task writes, about; a file takes some 20 ms, whatever it holds.
+FOLDERS = 100
+
 
 def _swapped(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
     """Write beside ``path``, then take its place: what was there stays until all is written, also if ``df`` reads it.
@@ -36,12 +40,23 @@ def _swapped(df: DataFrame, path: str, write: Callable[[DataFrame, str], None])
         files.delete(old, True)
 
 
+def by_folder(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt so that each key's are in one task and tasks have about ``FOLDERS`` keys each, however small the data."""
+    keys = df.agg(F.approx_count_distinct(key)).first()[0]
+    return df.repartition(max(1, math.ceil(keys / FOLDERS)), key)
+
+
+def write_folders(df: DataFrame, path: str, key: str, layout: str) -> None:
+    """A folder for each key into ``path``, which must be new: tasks move their own files to their place, not the driver one by one."""
+    df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).format(layout).save(path)
+
+
 def write_results(df: DataFrame, path: str, layout: str = "json") -> None:
     """Simulations as one folder, or as a folder for each (K02, K10); a folder that is there is replaced when all is written."""
     if layout == "json":
         _swapped(df, path, lambda d, p: d.write.json(p))
     elif layout == "dir":
-        _swapped(df.withColumn("sim_id", F.col("id")), path, lambda d, p: d.write.partitionBy("sim_id").json(p))
+        _swapped(df.withColumn("sim_id", F.col("id")), path, lambda d, p: write_folders(by_folder(d, "sim_id"), p, "sim_id", "json"))
     else:
         raise ValueError(f"unknown layout {layout}")
 

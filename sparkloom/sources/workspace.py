@@ -43,3 +43,8 @@ def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def listing(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """While a frame over many folders is made: its files are listed by some tasks, not by one for each folder."""
+    return settings(spark, spark__sql__sources__parallelPartitionDiscovery__parallelism="64")

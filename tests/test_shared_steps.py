@@ -6,7 +6,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkloom.operators import retrieval
+from sparkloom.sources import readers, sinks
 
 
 def _plan(df) -> str:
@@ -37,3 +40,22 @@ def test_bm25_scores_a_document_from_its_own_row(bm25, monkeypatch):
     monkeypatch.setattr(retrieval, "ASKED", 0)
     assert {(r.q, r["rank"], r.id) for r in index.search(asked, "q", "text", 7, digits=6).collect()} == set(ranked)
     assert {r.id for r in index.best_scores(asked, "q", "text").collect()} == most.keys()
+
+
+def test_folders_are_written_and_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FOLDERS", 5)
+    rows = spark.range(60).select(F.concat(F.lit("S"), F.col("id") % 30).alias("k"), F.lit('{"score": 3}').alias("value")).coalesce(1)
+    dealt = sinks.by_folder(rows, "k")
+    assert 5 <= dealt.rdd.getNumPartitions() <= 7
+    sinks.write_folders(dealt, f"{tmp_path}/out", "k", "text")
+    assert sorted(p.parent.name for p in tmp_path.glob("out/*/*.txt")) == sorted(f"k=S{n}" for n in range(30))
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    sinks.write_folders(spark.range(200).select(F.col("id").alias("submission"), F.lit('{"score": 3}').alias("value")).coalesce(1), f"{tmp_path}/many", "submission", "text")
+    done = set(tasks.getJobIdsForGroup("listing"))
+    found = readers.read_submissions(spark, f"{tmp_path}/many/*", "score INT")
+    listed = [tasks.getStageInfo(s).numTasks for j in set(tasks.getJobIdsForGroup("listing")) - done for s in tasks.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(listed) <= 64 and len(found.collect()) == 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
