@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import stats, text
@@ -14,14 +14,25 @@ from sparkloom.sources.workspace import settings, workspace
 from sparkloom.streaming import stateful, turns
 
 
+#: Lines whose orders a task holds at most, about.
+LINES = 250_000
+
+
 def order_records(t: Tables) -> DataFrame:
     """Orders as nested records: lines as actions with checks, a reward over a basis."""
-    check = F.struct(
-        F.struct(F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("action_id"), F.lit("assistant").alias("requestor"), F.when(F.col("l_returnflag") == "N", "read").otherwise("write").alias("name"), F.lit("{}").alias("arguments")).alias("action"),
-        (F.col("l_linestatus") == "F").alias("action_match"), F.lit(1.0).alias("action_reward"), F.when(F.col("l_returnflag") == "N", "read").otherwise("write").alias("tool_type"),
-    )
-    checks = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(check).alias("checks"), F.min((F.col("l_linestatus") == "F").cast("double")).alias("action"))
-    rows = t.orders.join(checks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # Lines are gathered as what differs between them; a check's texts are put in afterwards.
+    line = F.struct(F.col("l_linenumber").alias("n"), (F.col("l_returnflag") == "N").alias("read"), (F.col("l_linestatus") == "F").alias("match"))
+    # A number of parts of their own, as parts of few bytes are put together however many rows they unfold to.
+    parts = max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // LINES))
+    dealt = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition(parts, "l_orderkey")
+    lines = dealt.groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"), F.min((F.col("l_linestatus") == "F").cast("double")).alias("action"))
+
+    def check(x: Column) -> Column:
+        kind = F.when(x["read"], "read").otherwise("write")
+        action = F.struct(F.concat_ws("-", F.col("l_orderkey"), x["n"]).alias("action_id"), F.lit("assistant").alias("requestor"), kind.alias("name"), F.lit("{}").alias("arguments"))
+        return F.struct(action.alias("action"), x["match"].alias("action_match"), F.lit(1.0).alias("action_reward"), kind.alias("tool_type"))
+
+    rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("checks", F.transform("lines", check))
     db = (F.col("o_orderstatus") == "F").cast("double")
     basis = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("DB"), F.lit("ACTION"))).otherwise(F.array(F.lit("DB")))
     reward = F.struct(db.alias("reward"), F.struct((db == 1.0).alias("db_match"), db.alias("db_reward")).alias("db_check"), F.col("checks").alias("action_checks"), basis.alias("reward_basis"), F.create_map(F.lit("DB"), db, F.lit("ACTION"), F.coalesce("action", F.lit(1.0))).alias("reward_breakdown"))

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval
+from sparkloom.plans import record_queries
+from sparkloom.plans.catalog import Tables
 from sparkloom.sources import readers, sinks
 
 
@@ -59,3 +61,9 @@ def test_folders_are_written_and_listed_by_few_tasks(spark, tmp_path, monkeypatc
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(listed) <= 64 and len(found.collect()) == 200
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_order_records_gather_what_differs_only(spark, sf_dir):
+    records = record_queries.order_records(Tables(spark, sf_dir))
+    gathered = [line for line in records._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert gathered and not any("assistant" in line or "write" in line for line in gathered)
