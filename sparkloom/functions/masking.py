@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import operator
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,26 +37,41 @@ def unmask_text(text: str, found: list[str]) -> str:
     return re.sub(r"\[\[(\d+)\]\]", lambda m: found[int(m[1])] if int(m[1]) < len(found) else m[0], text)
 
 
-def mask(c: str | Column, terms: Iterable[str]) -> Column:
-    """``struct<text, terms>`` of each text; NULL stays NULL."""
-    pattern = term_pattern(terms)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    @F.pandas_udf("struct<text:string,terms:array<string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compiled = re.compile(pattern)
-        for texts in batches:
-            rows = [mask_text(t, compiled) if t is not None else (None, None) for t in texts]
-            yield pd.DataFrame(rows, columns=["text", "terms"])
 
-    return run(c)
+def _java_terms(terms: Iterable[str]) -> str:
+    """:func:`term_pattern` for Spark, words being of letters and digits of any script."""
+    word = r"[\p{L}\p{N}_]"
+    bounded = [rf"(?<!{word}){re.escape(t)}(?!{word})" if re.fullmatch(r"\w+", t) else re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)) if t]
+    return "|".join(bounded) or r"(?!)"
+
+
+def mask(c: str | Column, terms: Iterable[str]) -> Column:
+    """``struct<text, terms>`` of each text; NULL stays NULL. No text passes through Python."""
+    c, pattern = F.col(c) if isinstance(c, str) else c, F.lit(_java_terms(terms))
+    marked = F.transform(F.split(c, pattern, -1), lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.lit("[["), (i - 1).cast("string"), F.lit("]]"), part)))
+    return F.struct(F.array_join(marked, "").alias("text"), F.regexp_extract_all(c, pattern, F.lit(0)).alias("terms"))
 
 
 def unmask(text: str | Column, terms: str | Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else unmask_text(t, list(f) if f is not None else []) for t, f in zip(texts, found, strict=True)], dtype=object)
+    """The text with its marks filled in again, NULL stays NULL; a lost mark raises."""
+    text, terms = (F.col(c) if isinstance(c, str) else c for c in (text, terms))
+    mark = r"\[\[([0-9]+)\]\]"
+    parts = F.struct(F.split(text, F.lit(mark), -1).alias("parts"), F.regexp_extract_all(text, F.lit(mark), F.lit(1)).alias("marks"), F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
+
+    def filled(s: Column) -> Column:
+        def one(part: Column, number: Column) -> Column:
+            at = number.try_cast("int")
+            return F.when(number.isNull(), part).otherwise(F.concat(F.when(at < F.size(s["terms"]), F.get(s["terms"], at)).otherwise(F.concat(F.lit("[["), number, F.lit("]]"))), part))
+
+        lost = F.array_except(F.transform(s["terms"], lambda x, i: i.cast("string")), s["marks"])
+        whole = F.array_join(F.zip_with(s["parts"], F.concat(F.array(F.lit(None).cast("string")), s["marks"]), one), "")
+        return F.when(F.size(lost) > 0, F.raise_error(F.concat(F.lit("mark "), F.get(lost, F.lit(0)), F.lit(" was lost")))).otherwise(whole)
 
-    return run(text, terms)
+    return F.when(text.isNotNull(), _once(parts, filled))
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}

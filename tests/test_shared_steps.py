@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import masking
 from sparkloom.operators import retrieval
 from sparkloom.plans import record_queries
 from sparkloom.plans.catalog import Tables
@@ -67,3 +68,14 @@ def test_order_records_gather_what_differs_only(spark, sf_dir):
     records = record_queries.order_records(Tables(spark, sf_dir))
     gathered = [line for line in records._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
     assert gathered and not any("assistant" in line or "write" in line for line in gathered)
+
+
+def test_masks_without_python(spark):
+    texts = [(0, "the cat, cats; öcat cat_ cat"), (1, None), (2, ""), (3, "a+b [[9]] [[x]] a+ba+b"), (4, "cat foodcat food"), (5, "none")]
+    df = spark.createDataFrame(texts, "id long, text string").select("id", "text", masking.mask("text", ["cat", "cat food", "a+b"]).alias("m")).select("*", masking.unmask("m.text", "m.terms").alias("back"))
+    assert "Python" not in _plan(df)
+    pattern = masking.term_pattern(["cat", "cat food", "a+b"])
+    for r in df.collect():
+        assert r.back == r.text and (r.m.text, r.m.terms) == (masking.mask_text(r.text, pattern) if r.text is not None else (None, None))
+    with pytest.raises(Exception, match="mark 1 was lost"):
+        spark.range(1).select(masking.unmask(F.lit("[[0]]"), F.array(F.lit("a"), F.lit("b")))).collect()
