@@ -19,9 +19,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from dataclasses import dataclass
+from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ BROADCAST_SPLITS = 500_000
 
 _ESCAPE = re.compile(r"\\.", re.DOTALL)
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
+_KINDS = np.zeros(256, np.int8)
+_KINDS[[ord(c) for c in '{[}]"']] = 1, 1, -1, -1, 2
 
 
 CHUNK = "file string, split long, seq long, kind string, depth long, name string, text string"
@@ -89,25 +94,74 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
-    """A task's rows split by split, as they come: ``(file, split, ...), pieces``."""
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+@dataclass(frozen=True)
+class _Marks:
+    """What Arrow batches of pieces hold: their text, each with the brace that ended it, and where in it quotes and brackets stand.
+
+    ``step`` is 1 and -1 for brackets and 0 for quotes; ``quotes`` counts quotes up to each mark. Escaped characters are no marks.
+    """
 
-    for begins, found in groupby(rows(), key=lambda row: row[:-1]):
-        yield begins, (row[-1] for row in found)
+    text: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray
+    step: np.ndarray
+    quotes: np.ndarray
+
+
+def _marks(pieces: pa.Array) -> _Marks:
+    flat = pieces.cast(pa.large_binary())
+    bounds = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    ends = bounds[1:] - bounds[0] + np.arange(1, len(flat) + 1)
+    text, own = np.full(ends[-1], ord("}"), np.uint8), np.ones(ends[-1], bool)
+    own[ends - 1] = False
+    text[own] = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    kinds = _KINDS[text]
+    slashes = np.flatnonzero(text == ord("\\"))
+    if len(slashes):  # of slashes in a row, every other one escapes what follows it
+        begins = np.diff(slashes, prepend=-2) != 1
+        place = np.arange(len(slashes))
+        escaping = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        escaped = slashes[escaping] + 1
+        kinds[escaped[text[escaped] != ord("}")]] = 0
+    at = np.flatnonzero(kinds)
+    quote = kinds[at] == 2
+    return _Marks(text, ends, at, np.where(quote, 0, kinds[at]), np.cumsum(quote))
+
+
+def _runs(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that are equal in all columns: first row and the one after the last."""
+    n = len(columns[0])
+    differ = np.zeros(n - 1, bool)
+    for c in columns:
+        differ |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), n]
+    return pairwise(cuts)
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Marks, slice, int, int]]:
+    """A task's batches split by split, as they come: ``(file, split, ...)``, the batch's marks, which of them, and from where to where the text goes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = _marks(batch.columns[-1])
+        for first, end in _runs(batch.columns[:2]):
+            begin, stop = int(marks.ends[first - 1]) if first else 0, int(marks.ends[end - 1])
+            low, high = np.searchsorted(marks.at, (begin, stop))
+            yield tuple(c[first].as_py() for c in batch.columns[:-1]), marks, slice(low, high), begin, stop
+
+
+def _quotes(marks: _Marks, which: slice) -> np.ndarray:
+    return marks.quotes[which] - (marks.quotes[which.start - 1] if which.start else 0)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (file, split), pieces in _by_split(batches):
+    for (file, split), found in groupby(_by_split(batches), key=lambda x: x[0]):
         quotes, deeper = 0, [0, 0]
-        for text in pieces:
-            n, *either = brackets(text)
+        for _, marks, which, _, _ in found:
+            own = quotes + _quotes(marks, which)
             for begin in (0, 1):
-                now = (begin + quotes) % 2
-                deeper[begin] += either[now] - ((now + n) % 2 == 0)  # the brace that ended the piece
-            quotes += n
+                deeper[begin] += int(marks.step[which][(begin + own) % 2 == 0].sum(dtype=np.int64))
+            quotes = int(own[-1])
         yield pa.RecordBatch.from_pylist([{"file": file, "split": split, "quotes": quotes, "deeper_out": deeper[0], "deeper_in": deeper[1]}])
 
 
@@ -115,29 +169,31 @@ def _cut(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """Chunks of each split: its head up to the first end of a record, whole ones, and the tail that follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, split, inside, depth), pieces in _by_split(batches):
+        for (file, split, inside, depth), found in groupby(_by_split(batches), key=lambda x: x[0]):
             out: list[tuple] = []
-            held: list[str] = []
+            held: list[bytes] = []
             begin, seq, kind, name = depth, 0, "head", None
-            for text in pieces:
-                n, outside_depth, inside_depth = brackets(text)
-                depth += inside_depth if inside else outside_depth
-                inside = (inside + n) % 2
-                held.append(text + "}")
-                if not inside:
-                    depth -= 1
-                    if depth <= level:
-                        chunk = "".join(held)
-                        if kind == "head":
-                            out.append((file, split, -1, "head", begin, None, chunk))
-                        elif found := record_in(chunk, begin, level):
-                            name = found[0] if found[0] is not None else name
-                            out.append((file, split, seq, "whole", begin, name, found[1]))
-                        held, begin, seq, kind = [], depth, seq + 1, "tail"
-                if len(out) >= 1000:
-                    yield _rows(out)
-                    out = []
-            out.append((file, split, seq, "middle" if kind == "head" else "tail", begin, None, "".join(held)))
+            for _, marks, which, start, stop in found:
+                at, within = marks.at[which], (inside + _quotes(marks, which)) % 2
+                depths = depth + np.cumsum(np.where(within == 0, marks.step[which], 0), dtype=np.int64)
+                # Only the brace that ends a piece is one.
+                ended = (marks.text[at] == ord("}")) & (within == 0) & (depths <= level)
+                for end, deep in zip((at[ended] + 1).tolist(), depths[ended].tolist(), strict=True):
+                    held.append(marks.text[start:end].tobytes())
+                    chunk = b"".join(held).decode()
+                    if kind == "head":
+                        out.append((file, split, -1, "head", begin, None, chunk))
+                    elif hit := record_in(chunk, begin, level):
+                        name = hit[0] if hit[0] is not None else name
+                        out.append((file, split, seq, "whole", begin, name, hit[1]))
+                    held, begin, start, seq, kind = [], deep, end, seq + 1, "tail"
+                    if len(out) >= 1000:
+                        yield _rows(out)
+                        out = []
+                if start < stop:
+                    held.append(marks.text[start:stop].tobytes())
+                inside, depth = int(within[-1]), int(depths[-1])
+            out.append((file, split, seq, "middle" if kind == "head" else "tail", begin, None, b"".join(held).decode()))
             yield _rows(out)
 
     return run
@@ -163,7 +219,8 @@ def read_array(spark: SparkSession, path: str, array: str | None, schema: str) -
     pieces = _pieces(spark, path)
     # Beginnings are few: a split is of spark.sql.files.maxPartitionBytes.
     begins = _written(_beginnings(pieces), "splits")
-    if begins.count() <= BROADCAST_SPLITS:
+    few = begins.count() <= BROADCAST_SPLITS
+    if few:
         placed = pieces.join(F.broadcast(begins), ["file", "split"])  # keeps the order of the pieces
     else:
         placed = pieces.join(begins, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "row")
@@ -189,5 +246,6 @@ def read_array(spark: SparkSession, path: str, array: str | None, schema: str) -
         earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
         inherited = splits.select("file", "split", F.last("last", ignorenulls=True).over(earlier).alias("before"), F.when(F.col("least") == -1, F.col("first")).alias("crossed"))
         own = F.coalesce("name", F.when(F.col("seq") >= 0, F.col("crossed")), "before")
-        records = records.join(inherited, ["file", "split"]).where(own == array)
+        # A row for each split, like the beginnings; the records themselves stay where they are.
+        records = records.join(F.broadcast(inherited) if few else inherited, ["file", "split"]).where(own == array)
     return records.select(F.from_json("text", schema).alias("r")).select("r.*")

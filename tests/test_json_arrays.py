@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.sources import readers, schemas
+from sparkloom.sources import json_arrays, readers, schemas
 from sparkloom.sources.json_arrays import brackets, read_array, record_in
 from sparkloom.sources.workspace import settings
 
@@ -101,3 +102,21 @@ def test_one_file_of_100_000_simulations(spark, sf_dir, tmp_path):
         hashed = lambda df: tuple(df.select(F.xxhash64("id", "task_id", F.to_json("messages")).alias("h")).agg(F.count("*"), F.sum(F.col("h") % 1_000_003), F.countDistinct("h")).first())
         assert hashed(got) == hashed(want)
     assert readers.read_array(spark, f"file://{path}", "tasks", schemas.fields(schemas.TASK)).select("id").collect()[0].id == "1"
+
+
+def test_records_are_not_shuffled_to_learn_their_array(spark, tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps({"simulations": [{"id": str(k)} for k in range(50)]}))
+    rows = read_array(spark, str(tmp_path / "run.json"), "simulations", "id STRING")
+    assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(int(r.id) for r in rows.collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_marks_of_a_batch_equal_those_of_its_pieces(seed):
+    rng = random.Random(seed)
+    pieces = json.dumps([record(rng, k) for k in range(60)], ensure_ascii=False).split("}")
+    column = pa.array(["left out", *pieces]).slice(1)
+    sums = json_arrays._summed(iter([pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n), column.slice(k, n)], ["file", "split", "value"]) for k, n in ((0, 7), (7, 0), (7, len(pieces) - 7))]))
+    got = pa.Table.from_batches(sums).to_pylist()
+    whole = brackets("}".join(pieces) + "}")
+    assert [(r["quotes"], r["deeper_out"], r["deeper_in"]) for r in got] == [whole]
