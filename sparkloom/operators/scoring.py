@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import product_of, says
 from sparkloom.operators.grouped import scan_groups
+from sparkloom.sources.workspace import workspace
 
 #: Reasons to end a run that void its reward (fixed values).
 PREMATURE = ("max_steps", "too_many_errors", "agent_error", "user_error", "infrastructure_error", "timeout")
@@ -94,7 +95,7 @@ def _number(value: object) -> float | None:
         return None
 
 
-@dataclass
+@dataclass(slots=True)
 class KeyChange:
     """What a stretch of calls does to the value of one key, whatever it was before.
 
@@ -118,13 +119,26 @@ class KeyChange:
             self.known, self.value = True, value if op == "set" else ABSENT
             return
         number = _number(value) if op == "add" else None
-        if op == "append":
-            one = KeyChange(appended=[value], first=op)
+        if self.known:
+            held = self.value
+            fits = isinstance(held, list) or held is ABSENT if op == "append" else number is not None and not isinstance(held, list)
+            base = (0.0 if held is ABSENT else _number(held)) if fits and op == "add" else None
+            if not fits or (op == "add" and base is None):
+                self.failed += 1
+            elif op == "add":
+                self.value = base + number
+            elif held is ABSENT:
+                self.value = [value]
+            else:
+                held.append(value)
+        elif op == "append":
+            self.appended.append(value)
+            self.first = self.first or op
         elif number is not None:
-            one = KeyChange(adds=1, total=number, first=op)
+            self.adds, self.total = self.adds + 1, self.total + number
+            self.first = self.first or op
         else:
-            one = KeyChange(bad=1)
-        self.then(one)
+            self.bad += 1
 
     def then(self, more: KeyChange) -> KeyChange:
         """This stretch and the next as one."""
@@ -161,17 +175,55 @@ class KeyChange:
         return cls(*rest, value[0] if value else ABSENT, failed)
 
 
-def _key_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``sim, key, part, change`` of a task's calls, which come in order; a change for each Arrow batch."""
-    part = TaskContext.get().partitionId() << 32
-    for n, batch in enumerate(batches):
-        found: dict[tuple, KeyChange] = {}
-        for sim, op, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            fits = op in MUTATIONS and key is not None
-            found.setdefault((sim, key if fits else None), KeyChange()).call(op if fits else "none", value)
-        kinds = [batch.column(0).type, pa.string(), pa.int64(), pa.string()]
-        rows = zip(*((sim, key, part + n, change.packed()) for (sim, key), change in found.items()), strict=True) if found else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["sim", "key", "part", "change"])
+#: What a task finds: the state of a simulation that lies in it whole, or a key's change of one that may go on in other tasks.
+_FOUND = "sim {kind}, state string, failed int, key string, part long, change string"
+
+
+#: ``json.dumps`` with sorted keys, without an encoder made for each state.
+_ENCODED = json.JSONEncoder(sort_keys=True).encode
+
+
+def _outcome(changes: dict[str | None, KeyChange]) -> tuple[str, int]:
+    """The state as JSON, and how many calls failed."""
+    state, fails = {}, 0
+    for key, change in changes.items():
+        value, failed = change.after(ABSENT)
+        fails += failed
+        if value is not ABSENT:
+            state[key] = value
+    return _ENCODED(state), fails
+
+
+def _simulations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:data:`_FOUND` of a task's calls, which come in order: its first and last simulation may cross into other tasks, those between lie in it whole."""
+    part = TaskContext.get().partitionId()
+    kinds = [None, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+    names = ["sim", "state", "failed", "key", "part", "change"]
+    sim: object = ABSENT
+    first, found = True, {}
+
+    def crossing() -> list[tuple]:
+        return [(sim, None, None, key, part, change.packed()) for key, change in found.items()]
+
+    for batch in batches:
+        kinds[0] = batch.column(0).type
+        out: list[tuple] = []
+        for own, op, key, value in zip(batch.column(0).to_pylist(), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]), strict=True):
+            if own != sim and not (own != own and sim != sim):  # NaN is one simulation
+                if sim is not ABSENT:
+                    out += crossing() if first else [(sim, *_outcome(found), None, None, None)]
+                    first = False
+                sim, found = own, {}
+            fits = key is not None and op in MUTATIONS
+            at = key if fits else None
+            change = found.get(at)
+            if change is None:
+                change = found[at] = KeyChange()
+            change.call(op if fits else "none", value)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    if sim is not ABSENT:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*crossing(), strict=True), kinds, strict=True)], names)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +241,17 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [{e["key"]: json.loads(e["value"]) for e in entries if e["value"] is not None} for entries in batch.column(1).to_pylist()]
-        columns = [pa.array([json.dumps(s, sort_keys=True) for s in rows], pa.string()), pa.array([state_hash(s) for s in rows], pa.string()), batch.column(2).cast(pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], "state", "state_hash", "failed_calls"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_ENCODED(s) for s in rows], pa.string()), batch.column(2).cast(pa.int32())], ["sim", "state", "failed"])
 
 
 def replay_states(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None] | None = None) -> DataFrame:
     """``sim, state, state_hash, failed_calls`` after each simulation's mutating calls in order.
 
-    The generic mutations are composed: calls are dealt out by ranges of simulation and order, each task
-    sums up what its calls do to each key, and a key's changes are put together in order. So a simulation
-    of any length is spread over tasks; only its state is ever held whole. Equal ``order`` is told apart by
-    op, key and value. What is added to a number is summed by stretches, so of numbers that aren't exact in
+    The generic mutations are composed: calls are dealt out by ranges of simulation and order, and each task
+    sums up what its calls do to each key. A simulation that lies in one task is done there. Of the first and the last of
+    a task, which may go on in others, the changes of each key are put together in order, so a simulation
+    of any length is spread over tasks; only its state is ever held whole. What tasks find is written to the workspace.
+    Equal ``order`` is told apart by op, key and value. What is added to a number is summed by stretches, so of numbers that aren't exact in
     binary the last digit may differ from that of adding one by one.
 
     A mutation that doesn't fit the value (adding to text, appending to a number, an unknown one) fails and
@@ -211,11 +263,15 @@ def replay_states(calls: DataFrame, sim: str, order: str, op: str, key: str, val
     kind = calls.schema[sim].dataType.simpleString()
     rows = calls.select(F.col(sim).alias("sim"), F.col(order).alias("at"), F.col(op).alias("op"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
     dealt = rows.repartitionByRange("sim", "at").sortWithinPartitions("sim", "at", "op", "key", "value").select("sim", "op", "key", "value")
-    changes = dealt.mapInArrow(_key_changes, f"sim {kind}, key string, part long, change string")
-    by_key = changes.groupBy("sim", "key").agg(F.array_sort(F.collect_list(F.struct("part", "change"))).alias("changes"))
+    path = workspace(calls.sparkSession, "replayed")
+    dealt.mapInArrow(_simulations, _FOUND.format(kind=kind)).write.parquet(path)
+    found = calls.sparkSession.read.schema(_FOUND.format(kind=kind)).parquet(path)
+    by_key = found.where("part IS NOT NULL").groupBy("sim", "key").agg(F.array_sort(F.collect_list(F.struct("part", "change"))).alias("changes"))
     values = by_key.mapInArrow(_folded, f"sim {kind}, key string, value string, failed int")
-    states = values.groupBy(F.col("sim").alias(sim)).agg(F.collect_list(F.struct("key", "value")).alias("entries"), F.sum("failed").alias("failed"))
-    return states.mapInArrow(_states, f"`{sim}` {kind}, state string, state_hash string, failed_calls int")
+    entries = values.groupBy("sim").agg(F.collect_list(F.struct("key", "value")).alias("entries"), F.sum("failed").alias("failed"))
+    crossed = entries.mapInArrow(_states, f"sim {kind}, state string, failed int")
+    states = found.where("part IS NULL").select("sim", "state", "failed").unionByName(crossed)
+    return states.select(F.col("sim").alias(sim), "state", F.sha2("state", 256).alias("state_hash"), F.col("failed").alias("failed_calls"))
 
 
 def _replayed(calls: DataFrame, sim: str, order: str, op: str, key: str, value: str, step: Callable[[dict, str, str, str | None], None]) -> DataFrame:

@@ -84,3 +84,19 @@ def test_one_conversation_of_a_million_calls_is_spread(spark):
     assert got["s"] == one_by_one(rows) and got["t"] == one_by_one(rows[:10])
     dealt = calls.select("sim", F.col("n").alias("at")).repartitionByRange("sim", "at").groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) > 1 and max(r["count"] for r in dealt) < 300_000
+
+
+def test_simulations_within_a_task_are_done_there(spark):
+    # Of 2,000 simulations only a task's first and last hand on changes; the others are written as states.
+    h = F.xxhash64("id")
+    calls = spark.range(10_000).select((F.col("id") % 2000).cast("double").alias("sim"), F.col("id").alias("n"), F.element_at(F.array(F.lit("set"), F.lit("add"), F.lit("append")), (F.pmod(h, F.lit(3)) + 1).cast("int")).alias("op"), F.lit("k").alias("key"), F.pmod(h, F.lit(9)).cast("string").alias("value"))
+    calls = calls.withColumn("sim", F.when(F.col("sim") == 7, F.lit(float("nan"))).otherwise(F.col("sim")))
+    states = scoring.replay_states(calls, "sim", "n", "op", "key", "value")
+    path = next(f for f in states.inputFiles()).rsplit("/", 1)[0]
+    assert 0 < spark.read.parquet(path).where("part IS NOT NULL").select("sim").distinct().count() <= 2 * 8
+    got = {str(r.sim): (r.state, r.failed_calls, r.state_hash) for r in states.collect()}
+    rows = calls.orderBy("n").collect()
+    assert len(got) == 2000 == states.count()
+    for sim in ("nan", "0.0", "1.0", "999.0", "1999.0"):
+        state, failed = one_by_one([tuple(r)[2:] for r in rows if str(r.sim) == sim])
+        assert got[sim] == (state, failed, scoring.state_hash(json.loads(state)))
