@@ -95,3 +95,14 @@ def test_a_key_of_50_000_rows_and_state_of_idle_keys(spark, tmp_path):
     assert streamed(spark, tmp_path, "big", [rows[::2], rows[1::2]], None, 100) == expected(rows, 100)
     state = spark.read.format("statestore").option("stateVarName", "standing").load(f"{tmp_path}/big/cp")
     assert {r.key.k for r in state.select("key").collect()} == {0}
+
+
+def test_rows_wait_in_stretches_and_ids_are_exact(spark, tmp_path):
+    # 25,000 rows wait for the watermark in a few elements; ids beyond 2^53 and NULL ones come in one key.
+    rows = [(0, 1_700_000_000_000 + 7 * k, 2**60 + k, ("self", "other", "other")[k % 3]) for k in range(25_000)] + [(1, 1_700_000_000_000, 2**60 + 1, "self"), (1, 1_700_000_000_000, None, "other"), (1, 1_700_000_000_001, 2**60 + 3, "tool")]
+    assert streamed(spark, tmp_path, "held", [rows], None, 300_000) == []
+    got = streamed(spark, tmp_path, "told", [rows], None, 100)
+    assert [r for r in got if r[0] == 1] == sorted([(1, 1_700_000_000_000, 2**60 + 1, "keep_talking"), (1, 1_700_000_000_000, None, "wait"), (1, 1_700_000_000_001, 2**60 + 3, "generate_message"), (1, 1_700_000_000_081, None, "generate_message")], key=str)
+    assert [r for r in got if r[0] == 0] == expected(rows[:25_000], 100)
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(f"{tmp_path}/held/cp")
+    assert waiting.where("key.k = 0").count() <= 5
