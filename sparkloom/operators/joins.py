@@ -27,11 +27,14 @@ def refreshed(df: DataFrame, newer: DataFrame, keys: list[str], columns: list[st
 def two_legs(legs: DataFrame, origin: str, destination: str, day: str, departs: str, arrives: str, next_day: Column | None = None) -> DataFrame:
     """Pairs of legs that connect (J06): the second starts where and after the first ends.
 
-    The join is an equality on place and day, the order of times a filter on top, so it hashes.
+    The join is an equality on place and day, the order of times a filter on top, so it hashes. Few rows make many
+    pairs, so first legs are dealt out by place and day even where the second ones are small enough to broadcast.
     """
     first = legs.select(*(F.col(c).alias(f"{c}_1") for c in legs.columns))
     first = first.withColumn("__day", F.col(f"{day}_1") if next_day is None else next_day)
     second = legs.select(*(F.col(c).alias(f"{c}_2") for c in legs.columns))
+    tasks = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given isn't lowered for being few bytes
+    first = first.repartition(tasks, f"{destination}_1", "__day")
     on = (F.col(f"{destination}_1") == F.col(f"{origin}_2")) & (F.col("__day") == F.col(f"{day}_2")) & (F.col(f"{departs}_2") >= F.col(f"{arrives}_1"))
     return first.join(second, on).drop("__day")
 

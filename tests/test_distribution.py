@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from sparkloom.operators import analytics
+from sparkloom.operators import analytics, joins
 from sparkloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -22,3 +22,11 @@ def test_six_digits_are_those_of_sql(spark):
     rows = spark.range(64_000).select(F.lit("s").alias("s"), F.when(F.col("id") < 4012, "a").otherwise("b").alias("k"))
     share = analytics.distribution(rows, ["s"], "k").first().shares["a"]
     assert share == duckdb.execute("SELECT round_even(4012 / 64000::DOUBLE, 6)").fetchone()[0]
+
+
+def test_pairs_of_few_legs_are_made_by_several_tasks(spark):
+    legs = spark.range(2000).coalesce(1).select(F.col("id").alias("n"), (F.col("id") % 20).alias("a"), (F.col("id") % 19).alias("b"), (F.col("id") % 7).alias("d"), F.col("id").alias("dep"), (F.col("id") + 9).alias("arr"))
+    pairs = joins.two_legs(legs, "a", "b", "d", "dep", "arr").select("n_1", "n_2", F.spark_partition_id().alias("task")).collect()
+    rows = legs.collect()
+    assert sorted((r.n_1, r.n_2) for r in pairs) == sorted((x.n, y.n) for x in rows for y in rows if x.b == y.a and x.d == y.d and y.dep >= x.arr)
+    assert len({r.task for r in pairs}) > 4
