@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.workspace import workspace
 
+#: Legs of one place and day that meet in a task, of each side, about; those of them that are paired together.
+SLICE, BLOCK = 8_192, 128
+
 
 def lookup(df: DataFrame, other: DataFrame, keys: list[str], require: bool = False) -> DataFrame:
     """Left join to a dimension (J02, J05, J15); with ``require`` a missing key raises."""
@@ -27,16 +30,32 @@ def refreshed(df: DataFrame, newer: DataFrame, keys: list[str], columns: list[st
 def two_legs(legs: DataFrame, origin: str, destination: str, day: str, departs: str, arrives: str, next_day: Column | None = None) -> DataFrame:
     """Pairs of legs that connect (J06): the second starts where and after the first ends.
 
-    The join is an equality on place and day, the order of times a filter on top, so it hashes. Few rows make many
-    pairs, so first legs are dealt out by place and day even where the second ones are small enough to broadcast.
+    Few rows make many pairs, so the legs of a place and day are dealt out in slices of about ``SLICE`` at most, each of
+    one side to each of the other: what a task holds doesn't grow with them. In a slice legs lie in blocks of ``BLOCK``
+    by time, and only blocks that can connect are paired. The pairs of two blocks repeat the same few legs in the same
+    order, which columnar files store in a tenth of the bytes.
     """
-    first = legs.select(*(F.col(c).alias(f"{c}_1") for c in legs.columns))
-    first = first.withColumn("__day", F.col(f"{day}_1") if next_day is None else next_day)
-    second = legs.select(*(F.col(c).alias(f"{c}_2") for c in legs.columns))
     tasks = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given isn't lowered for being few bytes
-    first = first.repartition(tasks, f"{destination}_1", "__day")
-    on = (F.col(f"{destination}_1") == F.col(f"{origin}_2")) & (F.col("__day") == F.col(f"{day}_2")) & (F.col(f"{departs}_2") >= F.col(f"{arrives}_1"))
-    return first.join(second, on).drop("__day")
+    key, met = ["__place", "__day"], ["__place", "__day", "__s1", "__s2"]
+    first, second = (legs.select(*(F.col(c).alias(f"{c}_{side}") for c in legs.columns)) for side in (1, 2))
+    first = first.withColumns({"__place": F.col(f"{destination}_1"), "__day": F.col(f"{day}_1") if next_day is None else next_day})
+    second = second.withColumns({"__place": F.col(f"{origin}_2"), "__day": F.col(f"{day}_2")})
+    slices = F.ceil(F.count(F.lit(1)) / SLICE).cast("int")
+    sizes = first.groupBy(*key).agg(slices.alias("__n1")).join(second.groupBy(*key).agg(slices.alias("__n2")), key)
+
+    def blocks(df: DataFrame, own: int, other: int, time: str, bound: Column) -> DataFrame:
+        columns = [f"{c}_{own}" for c in legs.columns]
+        rows = df.join(sizes, key).withColumn(f"__s{own}", F.pmod(F.xxhash64(*columns), F.col(f"__n{own}")).cast("int")).repartition(tasks, *key, f"__s{own}")
+        number = F.row_number().over(Window.partitionBy(*key, f"__s{own}").orderBy(time))
+        packed = rows.withColumn("__block", F.floor((number - 1) / BLOCK)).groupBy(*key, f"__s{own}", f"__n{other}", "__block").agg(bound.alias(f"__bound{own}"), F.collect_list(F.struct(*columns)).alias(f"__legs{own}"))
+        return packed.withColumn(f"__s{other}", F.explode(F.sequence(F.lit(0), F.col(f"__n{other}") - 1))).drop(f"__n{other}", "__block").repartition(tasks, *met)
+
+    ends = blocks(first, 1, 2, f"{arrives}_1", F.min(f"{arrives}_1"))
+    starts = blocks(second, 2, 1, f"{departs}_2", F.max(f"{departs}_2"))
+    paired = ends.join(starts, met).where("__bound2 >= __bound1").select("__legs1", "__legs2")
+    # The same number of tasks: it parts the join from what follows, else all pairs of a block would be gathered first.
+    pairs = paired.coalesce(tasks).select(F.inline("__legs1"), "__legs2").select(*(f"{c}_1" for c in legs.columns), F.inline("__legs2"))
+    return pairs.where(F.col(f"{departs}_2") >= F.col(f"{arrives}_1"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:

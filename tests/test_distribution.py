@@ -1,4 +1,4 @@
-"""Shares as text, rounded as SQL rounds them."""
+"""Shares as text, rounded as SQL rounds them; pairs of legs, dealt out and stored."""
 
 import duckdb
 from pyspark.sql import functions as F
@@ -30,3 +30,28 @@ def test_pairs_of_few_legs_are_made_by_several_tasks(spark):
     rows = legs.collect()
     assert sorted((r.n_1, r.n_2) for r in pairs) == sorted((x.n, y.n) for x in rows for y in rows if x.b == y.a and x.d == y.d and y.dep >= x.arr)
     assert len({r.task for r in pairs}) > 4
+
+
+def test_legs_of_one_place_and_day_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SLICE", 40, raising=False)
+    monkeypatch.setattr(joins, "BLOCK", 8, raising=False)
+    n = F.col("id")
+    legs = spark.range(400).select(n.alias("n"), F.lit(1).alias("a"), F.when(n % 50 > 0, 1).alias("b"), F.lit(3).alias("d"), F.when(n % 45 > 0, n % 90).alias("dep"), (n % 90 + 9).alias("arr"))
+    legs = legs.unionByName(legs.where("n < 30").withColumns({"n": F.col("n") + 400, "d": F.lit(4)}))
+    rows = legs.collect()
+    for step in (0, 1):
+        pairs = joins.two_legs(legs, "a", "b", "d", "dep", "arr", F.col("d_1") + step)
+        assert pairs.columns == [f"{c}_{side}" for side in (1, 2) for c in legs.columns]
+        got = pairs.select("*", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.n_1, r.n_2) for r in got) == sorted((x.n, y.n) for x in rows for y in rows if x.b == y.a and x.d + step == y.d and y.dep is not None and y.dep >= x.arr)
+        by_n = {r.n: r for r in rows}
+        assert all(tuple(r)[:-1] == (*by_n[r.n_1], *by_n[r.n_2]) for r in got)
+    assert len({r.task for r in joins.two_legs(legs, "a", "b", "d", "dep", "arr").select(F.spark_partition_id().alias("task")).collect()}) > 4
+
+
+def test_pairs_of_legs_are_stored_in_few_bytes(spark, tmp_path):
+    n = F.col("id")
+    legs = spark.range(6000).select((F.xxhash64("id") % 1_000_000).alias("n"), F.lit(1).alias("a"), F.lit(1).alias("b"), F.lit(1).alias("d"), (n * 7919 % 86_400).alias("dep"), (n * 7919 % 86_400 + 3600).alias("arr"))
+    joins.two_legs(legs, "a", "b", "d", "dep", "arr").select("n_1", "n_2").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs > 15_000_000 and sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < pairs / 4
