@@ -158,26 +158,34 @@ def clean_experiments(rows: DataFrame, wanted: dict[str, list[str]], metrics: li
     return clean, groups.where("row_count > 1"), audit
 
 
-def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20, name: str = "file_name") -> DataFrame:
-    """Per log file: silence after the last sound of the agent, the reward, and speech events within it.
+def log_intervals(spark: SparkSession, path: str, last_seconds: int = 20, name: str = "file_name", log: str | None = None) -> DataFrame:
+    """Per log: silence after the last sound of the agent, the reward, and speech events within it.
 
-    ``name`` says what ``file`` holds, ``file_name`` or ``file_path``.
+    A file is a log, and ``name`` says what ``file`` holds, ``file_name`` or ``file_path``. Where files hold many logs,
+    ``log`` is a pattern whose group is the name of a line's log, which ``file`` holds then; such files are read by
+    splits. A log's lines lie in one file, in order; lines that name no log are left out.
 
     The agent last spoke in the last completed tick that is followed, within nine lines, by audio of some
     bytes. A log without such a tick or without an end has no row.
     """
     stamp = r"^.*?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+).*"
-    with listing(spark):
-        logs = spark.read.text(path, wholetext=True)
-    files = logs.select(F.col(f"_metadata.{name}").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    when = lambda what: F.when(F.col("line").rlike(stamp + what), F.to_timestamp(F.regexp_extract("line", stamp, 1)))
-    order = Window.partitionBy("file").orderBy("at")
-    heard = F.max(F.regexp_extract("line", r"Agent audio: (\d+) bytes", 1).try_cast("long")).over(order.rowsBetween(1, 9)) > 0
-    lines = files.withColumns({"sound": F.when(heard, when(r"Tick \d+ completed")), "end": when("FINISHED SIMULATION"), "began": when("(speech_started|Speech started detected)"), "user": when(r"\[USER\].*speech=True"), "reward": F.nullif(F.regexp_extract("line", r"Reward:\s*([\d.]+)", 1), F.lit(""))})
-    found = lines.groupBy("file").agg(
-        F.max_by("sound", F.when(F.col("sound").isNotNull(), F.col("at"))).alias("sound"), F.min_by("end", F.when(F.col("end").isNotNull(), -F.col("at"))).alias("end"), F.max_by("reward", F.when(F.col("reward").isNotNull(), F.col("at"))).cast("double").alias("reward"),
-        F.array_compact(F.collect_list("began")).alias("began"), F.array_compact(F.collect_list("user")).alias("user"),
-    )
+    if log is None:
+        with listing(spark):
+            logs = spark.read.text(path, wholetext=True)
+        files = logs.select(F.col(f"_metadata.{name}").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    else:
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        files = spark.read.option("lineSep", "\n").text(path).select(F.regexp_extract("value", log, 1).alias("file"), place.alias("at"), F.col("value").alias("line")).where("file <> ''")
+    # Few lines say it: only those are searched for the time before it.
+    when = lambda what: F.when(F.col("line").rlike(what) & F.col("line").rlike(stamp + what), F.to_timestamp(F.regexp_extract("line", stamp, 1)))
+    audio = F.regexp_extract("line", r"Agent audio: (\d+) bytes", 1).try_cast("long")
+    reward = F.nullif(F.regexp_extract("line", r"Reward:\s*([\d.]+)", 1), F.lit(""))
+    # What a line says goes on, not its text.
+    said = files.select("file", "at", when(r"Tick \d+ completed").alias("tick"), audio.alias("audio"), when("FINISHED SIMULATION").alias("end"), when("(speech_started|Speech started detected)").alias("began"), when(r"\[USER\].*speech=True").alias("user"), reward.alias("reward"))
+    heard = F.max("audio").over(Window.partitionBy("file").orderBy("at").rowsBetween(1, 9)) > 0
+    lines = said.withColumn("sound", F.when(heard, F.col("tick")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    found = lines.groupBy("file").agg(last("sound").alias("sound"), last("end").alias("end"), last("reward").cast("double").alias("reward"), F.array_compact(F.collect_list("began")).alias("began"), F.array_compact(F.collect_list("user")).alias("user"))
     late = F.col("end") - F.make_dt_interval(secs=F.lit(last_seconds))
     after = lambda c, t: F.size(F.filter(c, lambda x: x > t))
     return found.where("sound IS NOT NULL AND end IS NOT NULL").select(

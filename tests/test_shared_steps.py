@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
 from sparkloom.functions import masking
 from sparkloom.operators import retrieval
-from sparkloom.plans import record_queries
+from sparkloom.plans import ORACLE_SQL, record_queries, source_queries
 from sparkloom.plans.catalog import Tables
 from sparkloom.sources import readers, sinks
+from sparkloom.sources.workspace import settings
 
 
 def _plan(df) -> str:
@@ -64,6 +66,39 @@ def test_folders_are_written_and_listed_by_few_tasks(spark, tmp_path, monkeypatc
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
 
 
+def test_logs_of_many_users_are_few_files(spark, tmp_path, monkeypatch):
+    user = F.when(F.col("id") % 41 > 0, F.col("id") % 121 - 1)
+    kinds = F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error")))
+    events = spark.range(6000).select(F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(F.col("id") * 7919, F.lit(600_000)))).alias("ts"), user.alias("user_id"), F.get(kinds, F.pmod(F.xxhash64("id"), F.lit(5)).cast("int")).alias("event_type"), (F.col("id") % 50).cast("double").alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(source_queries, "workspace", lambda spark, name: f"file://{tmp_path}/{name}")
+    with settings(spark, spark__sql__files__maxPartitionBytes="20000", spark__sql__files__openCostInBytes="1"):  # a log goes on in the next split
+        got = source_queries.log_intervals(Tables(spark, str(tmp_path))).collect()
+    names = list(got[0].asDict())
+    want = duckdb.execute(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['log_intervals'].replace('FROM events', f"FROM '{tmp_path}/events.parquet/*.parquet'")})").fetchall()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want) and min(r.user_id for r in got) == -1
+    assert len(list(tmp_path.glob("logs/**/part-*"))) <= 8
+
+
+def test_logs_are_read_alike_from_a_file_each_and_many_to_a_file(spark, tmp_path):
+    tick, audio = "2024-01-01 10:00:0{}.5 x Tick {} completed", "Agent audio: {} bytes"
+    silent = ["line"] * 8
+    logs = {
+        "a": [tick.format(1, 1), *silent, audio.format(5), tick.format(2, 2), *silent, "line", audio.format(5), "2024-01-01 10:00:04.0 [USER] said speech=True", "Reward: 0.5", "Reward: 1.0", "2024-01-01 10:00:09.0 FINISHED SIMULATION"],
+        "b": [tick.format(1, 1), audio.format(0), "2024-01-01 10:00:09.0 FINISHED SIMULATION"],
+        "c": [tick.format(3, 9), audio.format(7), "2024-01-01 10:00:05.0 speech_started", "2024-01-01 10:00:07.0 FINISHED SIMULATION", "FINISHED SIMULATION of no time"],
+    }
+    for name, lines in logs.items():
+        (tmp_path / "each" / name).mkdir(parents=True)
+        (tmp_path / "each" / name / f"{name}.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "many.log").write_text("".join(f"[{name}] {line}\n" for name, lines in logs.items() for line in lines) + "nobody's Reward: 3\n")
+    each = {tuple(r)[1:] for r in readers.log_intervals(spark, f"file://{tmp_path}/each/*", 3).collect()}
+    for size in ("100", "1000000"):
+        with settings(spark, spark__sql__files__maxPartitionBytes=size, spark__sql__files__openCostInBytes="1"):
+            many = readers.log_intervals(spark, f"file://{tmp_path}/many.log", 3, log=r"^\[(\w+)\] ").collect()
+        assert {tuple(r)[1:] for r in many} == each and {r.file: r.silence_seconds for r in many} == {"a": 7.5, "c": 3.5}
+
+
 def test_order_records_gather_what_differs_only(spark, sf_dir):
     records = record_queries.order_records(Tables(spark, sf_dir))
     gathered = [line for line in records._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
